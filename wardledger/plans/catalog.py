@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardledger.operators import claim_header as H
 from wardledger.operators import revenue as R
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
@@ -19,6 +20,11 @@ FILTERS = ReportFilters(dt.date(1996, 1, 1), dt.date(1999, 12, 31), "CO-0")
 OPEN_FILTERS = ReportFilters(from_date=dt.date(1997, 1, 1))
 RUN = RunContext(dt.datetime(2002, 3, 4, 5, 6, 7))
 
+
+def _headers(t: Tables) -> DataFrame:
+    return H.claim_headers(t.insurance_claim, t, RUN)
+
+
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "r1_consultation_revenue": lambda t: R.consultation_revenue(t, FILTERS),
     "r2_lab_revenue": lambda t: R.lab_revenue(t, FILTERS),
@@ -32,6 +38,26 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "r10_revenue_report": lambda t: report.revenue_report(t, FILTERS),
     "r11_report_total": lambda t: report.report_with_total(report.revenue_report(t, FILTERS)),
     "r12_cash_revenue": lambda t: R.cash_revenue(t, FILTERS),
+    "h1_claim_appointments": lambda t: H.claim_appointments(t.insurance_claim),
+    "h2_claim_encounters": lambda t: H.claim_encounters(t.insurance_claim, t),
+    "h3_final_encounters": lambda t: H.final_encounters_ranked(t.insurance_claim, t),
+    "h4_claim_practitioners": lambda t: H.claim_practitioners(H.final_encounters(t.insurance_claim, t), t),
+    "h5_claim_inpatient_record": lambda t: H.claim_inpatient_record(H.final_encounters(t.insurance_claim, t)),
+    "h6_claim_stays": lambda t: H.claim_stays(t.insurance_claim, t, RUN),
+    "h7_claim_period": lambda t: _headers(t).select(F.col("name").alias("claim"), "claim_year", "claim_month"),
+    "h8_claim_headers": lambda t: _headers(t),
+    "h9_folio_numbers": lambda t: H.folio_numbers(_headers(t), t.folio_counter)[0],
+    "h9_folio_counters": lambda t: H.folio_numbers(_headers(t), t.folio_counter)[1],
+    "h10_eligible_appointments": lambda t: H.eligible_appointments(t).select(
+        "name", "patient", "insurance_company", "insurance_subscription", "nhif_patient_claim"
+    ),
+    "h11_link_appointments": lambda t: H.link_appointments(t.patient_appointment, t.insurance_claim).select(
+        "name", "nhif_patient_claim"
+    ),
+    "h11_unlink_deleted_claims": lambda t: H.unlink_deleted_claims(
+        t.patient_appointment, t.insurance_claim.filter(F.col("docstatus") == 0)
+    ).select("name", "nhif_patient_claim"),
+    "h12_claims_with_returns": lambda t: H.claims_with_returns(t.insurance_claim, t),
 }
 
 
