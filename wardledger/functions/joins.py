@@ -11,11 +11,16 @@ NO_MATCH = "\u0001"
 SPREAD = 4096
 
 
-def spread_blank(key: Column | str, row_id: Column | str) -> Column:
-    """``key``, with blank values replaced by many values that match nothing.
+def spread_null(key: Column | str, row_id: Column | str) -> Column:
+    """``key``, with NULL replaced by many values that match nothing.
 
     An outer join sends every row without a key to the same partition. Here such rows are spread by
     a hash of the row's own name, which a retried task computes again.
     """
     slot = F.pmod(F.xxhash64(col(row_id)), F.lit(SPREAD)).cast("string")
-    return F.coalesce(non_blank(key), F.concat(F.lit(NO_MATCH), slot))
+    return F.coalesce(col(key), F.concat(F.lit(NO_MATCH), slot))
+
+
+def spread_blank(key: Column | str, row_id: Column | str) -> Column:
+    """As ``spread_null``, for keys in which the empty string also means none."""
+    return spread_null(non_blank(key), row_id)

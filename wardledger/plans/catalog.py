@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardledger.operators import claim_diseases as D
 from wardledger.operators import claim_header as H
+from wardledger.operators import claim_items as C
+from wardledger.operators import prescriptions as P
 from wardledger.operators import revenue as R
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
@@ -25,6 +28,16 @@ def _headers(t: Tables) -> DataFrame:
     return H.claim_headers(t.insurance_claim, t, RUN)
 
 
+def _records(t: Tables) -> DataFrame:
+    return H.claim_inpatient_record(H.final_encounters(t.insurance_claim, t))
+
+
+def _rated_lines(t: Tables) -> DataFrame:
+    claims, records = t.insurance_claim, _records(t)
+    beds = C.bed_lines(C.inpatient_claims(claims, records, t), t)
+    return beds.unionByName(C.consultation_lines(claims, records, t))
+
+
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "r1_consultation_revenue": lambda t: R.consultation_revenue(t, FILTERS),
     "r2_lab_revenue": lambda t: R.lab_revenue(t, FILTERS),
@@ -58,6 +71,21 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         t.patient_appointment, t.insurance_claim.filter(F.col("docstatus") == 0)
     ).select("name", "nhif_patient_claim"),
     "h12_claims_with_returns": lambda t: H.claims_with_returns(t.insurance_claim, t),
+    "c1_claim_diseases": lambda t: D.claim_diseases(t.insurance_claim, t),
+    "c2_disease_codes": lambda t: D.normalized_codes(t.codification_table),
+    "c2_missing_codes": lambda t: D.missing_code_violations(t.insurance_claim, t),
+    "c3_prescriptions": lambda t: P.prescriptions(t),
+    "c4_outpatient_lines": lambda t: C.outpatient_lines(t.insurance_claim, _records(t), t).select(*C.LINE_COLUMNS),
+    "c5_inpatient_lines": lambda t: C.inpatient_lines(t.insurance_claim, _records(t), t).select(*C.LINE_COLUMNS),
+    "c6_consultation_lines": lambda t: C.consultation_lines(t.insurance_claim, _records(t), t).select(*C.LINE_COLUMNS),
+    "c7_item_status": lambda t: P.with_status(P.prescriptions(t), t).select("name", "ref_doctype", "status"),
+    "c8_rated_lines": lambda t: _rated_lines(t).filter(F.col("unit_price").isNotNull()).select(*C.LINE_COLUMNS),
+    "c8_price_violations": lambda t: C.price_violations(_rated_lines(t)),
+    "c9_claim_lines": lambda t: C.claim_lines(t.insurance_claim, t),
+    "c10_completed_items": lambda t: C.completed_items(t.claim_item, _headers(t), RUN),
+    "c10_claim_totals": lambda t: C.claim_totals(t.claim_item),
+    "c13_item_reference_codes": lambda t: C.item_reference_codes(t),
+    "c13_missing_reference_codes": lambda t: C.reference_code_violations(t),
 }
 
 
