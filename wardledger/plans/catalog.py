@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardledger.operators import claim_changes as G
 from wardledger.operators import claim_diseases as D
+from wardledger.operators import claim_export as X
 from wardledger.operators import claim_header as H
 from wardledger.operators import claim_items as C
+from wardledger.operators import claim_notes as N
+from wardledger.operators import claim_reconcile as M
 from wardledger.operators import prescriptions as P
 from wardledger.operators import revenue as R
 from wardledger.options import ReportFilters, RunContext
@@ -38,6 +42,78 @@ def _rated_lines(t: Tables) -> DataFrame:
     return beds.unionByName(C.consultation_lines(claims, records, t))
 
 
+def _folios(t: Tables) -> DataFrame:
+    claims, headers = t.insurance_claim, _headers(t)
+    return X.folio_documents(
+        headers,
+        D.claim_diseases(claims, t),
+        C.claim_lines(claims, t),
+        N.clinical_notes(claims, headers, t, RUN),
+        H.folio_numbers(headers, t.folio_counter)[0],
+    )
+
+
+def _folio_fields(folios: DataFrame) -> DataFrame:
+    """The documents read back, field by field, so that both engines can be compared."""
+    schema = (
+        "entities array<struct<BillNo string, FolioNo string, SerialNo string, ClaimYear string, CardNo string, "
+        "LastName string, DateOfBirth string, ClinicalNotes string, PatientTypeCode string, DateAdmitted string, "
+        "DateDischarged string, PatientFile string, FolioDiseases array<struct<DiseaseCode string>>, "
+        "FolioItems array<struct<ItemCode string, ApprovalRefNo string, AmountClaimed decimal(18,4)>>>>"
+    )
+    e = F.col("entity")
+
+    def codes(array: str, field: str):
+        return F.array_join(F.transform(e[array], lambda x: x[field]), ",", "null")
+
+    return folios.withColumn("entity", F.from_json("folio_json", schema)["entities"][0]).select(
+        "claim",
+        e["BillNo"].alias("bill_no"),
+        e["FolioNo"].alias("folio_no"),
+        e["SerialNo"].alias("serial_no"),
+        e["ClaimYear"].alias("claim_year"),
+        e["CardNo"].alias("card_no"),
+        e["LastName"].alias("last_name"),
+        e["DateOfBirth"].alias("date_of_birth"),
+        e["ClinicalNotes"].alias("clinical_notes"),
+        e["PatientTypeCode"].alias("patient_type_code"),
+        e["DateAdmitted"].alias("date_admitted"),
+        e["DateDischarged"].alias("date_discharged"),
+        e["PatientFile"].alias("patient_file"),
+        F.col("folio_json").contains('"LateSubmissionReason":null').cast("int").alias("late_reason_is_null"),
+        F.size(e["FolioDiseases"]).alias("diseases"),
+        codes("FolioDiseases", "DiseaseCode").alias("disease_codes"),
+        F.size(e["FolioItems"]).alias("items"),
+        codes("FolioItems", "ItemCode").alias("item_codes"),
+        codes("FolioItems", "ApprovalRefNo").alias("approvals"),
+        F.aggregate(
+            e["FolioItems"],
+            F.lit(0).cast("decimal(28,4)"),
+            lambda total, x: (total + F.coalesce(x["AmountClaimed"], F.lit(0))).cast("decimal(28,4)"),
+        )
+        .cast("double")
+        .alias("amount"),
+    )
+
+
+def _early_originals(t: Tables) -> DataFrame:
+    """Originals of which some are missing, as after a merge."""
+    return t.original_claim_item.filter(F.col("idx") <= 3)
+
+
+def _originals(t: Tables) -> DataFrame:
+    return M.reconcile_items(t.original_claim_item)
+
+
+def _removed(t: Tables) -> DataFrame:
+    return G.removed_originals(_originals(t), t.claim_item)
+
+
+def _removed_names(t: Tables) -> DataFrame:
+    originals = _originals(t)
+    return G.removed_names(G.removed_originals(originals, t.claim_item), G.seen_references(originals, t.claim_item))
+
+
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "r1_consultation_revenue": lambda t: R.consultation_revenue(t, FILTERS),
     "r2_lab_revenue": lambda t: R.lab_revenue(t, FILTERS),
@@ -84,8 +160,31 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "c9_claim_lines": lambda t: C.claim_lines(t.insurance_claim, t),
     "c10_completed_items": lambda t: C.completed_items(t.claim_item, _headers(t), RUN),
     "c10_claim_totals": lambda t: C.claim_totals(t.claim_item),
+    "c11_clinical_notes": lambda t: N.clinical_notes(t.insurance_claim, _headers(t), t, RUN),
+    "c11_missing_examination": lambda t: N.missing_examination(t.insurance_claim, t),
+    "c12_folio_documents": lambda t: _folio_fields(_folios(t)),
     "c13_item_reference_codes": lambda t: C.item_reference_codes(t),
     "c13_missing_reference_codes": lambda t: C.reference_code_violations(t),
+    "m1_reconciled_items": lambda t: M.reconcile_items(t.claim_item, recompute_amount=True),
+    "m1_reconciled_originals": lambda t: M.reconcile_items(t.original_claim_item),
+    "m2_merged_claims": lambda t: M.mergeable_claims(t.insurance_claim),
+    "m2_single_claims": lambda t: M.single_claim_violations(t.insurance_claim),
+    "m3_original_snapshot": lambda t: M.original_snapshot(t.claim_item),
+    "m4_missing_originals": lambda t: M.missing_originals(t.claim_item, _early_originals(t)),
+    "m4_missing_originals_by_name": lambda t: M.missing_originals(
+        M.reconcile_items(t.claim_item, recompute_amount=True), _early_originals(t), token_match=True
+    ),
+    "t1_amount_changes": lambda t: G.amount_changes(_originals(t), t.claim_item),
+    "t2_removed_originals": lambda t: _removed(t).select(
+        "claim", "idx", "item_code", "ref_doctype", "ref_docname", F.col("current_amount").alias("amount_claimed")
+    ),
+    "t2_removed_appointments": lambda t: G.removed_appointments(_removed(t)),
+    "t3_drug_removals": lambda t: G.drug_removals(_removed_names(t), t),
+    "t4_service_removals": lambda t: G.service_removals(_removed_names(t), t),
+    "t4_unknown_prescriptions": lambda t: G.unknown_service_violations(_removed_names(t), t),
+    "t5_stay_removals": lambda t: G.stay_removals(_removed_names(t), t),
+    "t6_change_requests": lambda t: G.change_requests(t),
+    "t7_change_records": lambda t: G.track_changes(_originals(t), t.claim_item, _headers(t), t, RUN),
 }
 
 
