@@ -86,6 +86,7 @@ def main(argv: list[str]) -> int:
             n, m, diff = compare(spark, con, sf_dir, name, query, oracle[name])
         except Exception as error:  # reported, then the run goes on with the next query
             n, m, diff = -1, -1, f"{type(error).__name__}: {str(error)[:1500]}"
+            con = duck(sf_dir)
         bad += diff is not None
         print(f"{'ok  ' if diff is None else 'FAIL'} {name} {n}/{m} {time.time() - start:.1f}s {diff or ''}", flush=True)
     print("failures:", bad)

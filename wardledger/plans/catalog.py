@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardledger.operators import claim_changes as G
+from wardledger.operators import claim_checks as V
 from wardledger.operators import claim_diseases as D
 from wardledger.operators import claim_export as X
 from wardledger.operators import claim_header as H
 from wardledger.operators import claim_items as C
 from wardledger.operators import claim_notes as N
 from wardledger.operators import claim_reconcile as M
+from wardledger.operators import delivery as L
+from wardledger.operators import orders as O
 from wardledger.operators import prescriptions as P
 from wardledger.operators import revenue as R
+from wardledger.operators import stock as S
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
 from wardledger.sources.derived import derived_tables
@@ -114,6 +118,11 @@ def _removed_names(t: Tables) -> DataFrame:
     return G.removed_names(G.removed_originals(originals, t.claim_item), G.seen_references(originals, t.claim_item))
 
 
+def _delivered(t: Tables) -> Tables:
+    """Deliveries after their descriptions were filled from the invoices."""
+    return t.with_tables(delivery_note_item=S.with_invoice_dosage(t))
+
+
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "r1_consultation_revenue": lambda t: R.consultation_revenue(t, FILTERS),
     "r2_lab_revenue": lambda t: R.lab_revenue(t, FILTERS),
@@ -185,6 +194,47 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "t5_stay_removals": lambda t: G.stay_removals(_removed_names(t), t),
     "t6_change_requests": lambda t: G.change_requests(t),
     "t7_change_records": lambda t: G.track_changes(_originals(t), t.claim_item, _headers(t), t, RUN),
+    "v1_without_encounters": lambda t: V.without_encounters(t.insurance_claim, t),
+    "v2_without_final_encounters": lambda t: V.without_final_encounters(t.insurance_claim, t),
+    "v3_practitioners": lambda t: V.practitioner_violations(t.insurance_claim, t),
+    "v4_without_rows": lambda t: V.without_rows(t.insurance_claim, D.claim_diseases(t.insurance_claim, t), t.claim_item),
+    "v5_total_amount": lambda t: V.total_violations(t.insurance_claim, t.claim_item),
+    "v6_draft_items": lambda t: V.draft_items(t.claim_item),
+    "v7_appointment_mismatches": lambda t: V.appointment_mismatches(t.insurance_claim, t),
+    "v8_other_insurers": lambda t: V.other_insurer_claims(t.insurance_claim, t),
+    "v9_duplicate_drafts": lambda t: V.duplicate_drafts(t.insurance_claim),
+    "v10_submission_period": lambda t: V.submission_period_violations(_headers(t), t),
+    "v11_missing_signatures": lambda t: V.missing_signatures(_headers(t)),
+    "v12_merge_needed": lambda t: V.merge_needed(t.insurance_claim, t),
+    "v13_card_decisions": lambda t: V.card_decisions(t.insurance_claim, t),
+    "v_claim_violations": lambda t: V.claim_violations(
+        t.insurance_claim, _headers(t), D.claim_diseases(t.insurance_claim, t), t.claim_item, t
+    ),
+    "s1_order_encounters": lambda t: O.order_encounters(t).select("name", "inpatient_record", "insurance_subscription"),
+    "s2_order_lines": lambda t: O.order_lines(O.order_encounters(t), t, RUN).drop("dosage_info"),
+    "s3_dosage_text": lambda t: O.order_lines(O.order_encounters(t), t, RUN)
+    .filter(F.col("category") == "drug")
+    .select("reference_dn", "dosage_info"),
+    "s4_order_headers": lambda t: O.order_headers(
+        O.order_encounters(t), O.order_lines(O.order_encounters(t), t, RUN), t, RUN
+    ),
+    "s4_order_violations": lambda t: O.order_violations(
+        O.order_encounters(t), O.order_lines(O.order_encounters(t), t, RUN), t
+    ),
+    "s5_dosage_template": lambda t: O.with_dosage_template(t.sales_order_item, t),
+    "s6_stock_on_hand": lambda t: S.stock_on_hand(t),
+    "s7_order_stock_validate": lambda t: S.order_stock_checks(t, "validate"),
+    "s7_order_stock_submit": lambda t: S.order_stock_checks(t, "before_submit"),
+    "s8_invoice_stock_validate": lambda t: S.invoice_stock_checks(t, "validate"),
+    "s8_invoice_stock_submit": lambda t: S.invoice_stock_checks(t, "before_submit"),
+    "s9_order_dimensions": lambda t: S.with_order_dimensions(t),
+    "s10_invoice_dosage": lambda t: S.with_invoice_dosage(t).select("name", "parent", "item_code", "description"),
+    "s11_dosage_fields": lambda t: L.dosage_or_default(S.with_invoice_dosage(t), t).select(
+        "name", "drug_code", "dosage", "period", "dosage_form", "interval", "interval_uom", "comment"
+    ),
+    "s12_dispensed_prescriptions": lambda t: L.dispensed_prescriptions(_delivered(t)),
+    "s12_dispensing_violations": lambda t: L.dispensing_violations(_delivered(t)),
+    "s13_updated_prescriptions": lambda t: L.updated_prescriptions(_delivered(t)),
 }
 
 

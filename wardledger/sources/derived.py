@@ -115,7 +115,7 @@ SELECT 'APP-'||o_orderkey AS name, 'PT-'||o_custkey AS patient, 'HP-'||(o_orderk
        '0'||(o_orderkey % 10)||':15:00' AS appointment_time, 'CO-'||(o_custkey % 3) AS company,
        CASE o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'O' THEN 'Open' ELSE 'Cancelled' END AS status,
        {_SUBSCRIPTION} AS insurance_subscription, {_INSURER} AS insurance_company,
-       c_mktsegment AS coverage_plan_name, 'CARD-'||o_custkey AS coverage_plan_card_number,
+       'PLAN-'||c_mktsegment AS coverage_plan_name, 'CARD-'||o_custkey AS coverage_plan_card_number,
        'AUTH-'||o_orderkey AS authorization_number,
        CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS follow_up, o_totalprice AS paid_amount,
        'HSU-'||(o_orderkey % 7) AS service_unit, 'ITEM-'||(o_orderkey % 200) AS billing_item,
@@ -300,7 +300,7 @@ SELECT 'CT-'||{_ROW} AS name, 'ENC-'||l_orderkey AS parent, 'Patient Encounter'
     "insurance_claim": f"""
 SELECT {_claim('o_orderkey')} AS name, 'APP-'||o_orderkey AS patient_appointment, 'PT-'||o_custkey AS patient,
        CASE WHEN o_orderkey % 26 = 0 THEN '' WHEN o_orderkey % 22 = 0 THEN 'CARD-X ' ELSE 'CARD-'||o_custkey END AS cardno,
-       CASE WHEN o_orderkey % 34 = 0 THEN NULL ELSE c_mktsegment END AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
+       CASE WHEN o_orderkey % 34 = 0 THEN NULL ELSE 'PLAN-'||c_mktsegment END AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
        CAST(date_trunc('month', o_orderdate) AS date) AS attendance_date,
        CASE WHEN o_orderkey % 12 = 0 THEN '["APP-'||o_orderkey||'","APP-'||(o_orderkey + 2)||'"]'
             WHEN o_orderkey % 12 = 4 THEN '' WHEN o_orderkey % 12 = 8 THEN '[]' ELSE NULL END AS claim_appointment_list,
@@ -318,7 +318,7 @@ LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(({_CLAIMED_PRICE}) * l_quantity AS d
 WHERE o_orderkey % 2 = 0
 UNION ALL
 SELECT {_claim('900000000 + o_orderkey')} AS name, 'APP-'||o_orderkey AS patient_appointment, 'PT-'||o_custkey AS patient,
-       'CARD-'||o_custkey AS cardno, c_mktsegment AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
+       'CARD-'||o_custkey AS cardno, 'PLAN-'||c_mktsegment AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
        CAST(date_trunc('month', o_orderdate) AS date) AS attendance_date, CAST(NULL AS string) AS claim_appointment_list,
        0 AS docstatus, 'Unclaimable' AS workflow_state, 'AUTH-'||o_orderkey AS authorization_no, 0.0 AS total_amount,
        CAST(NULL AS string) AS folio_id, CAST(NULL AS string) AS patient_signature, 0 AS allow_changes,
