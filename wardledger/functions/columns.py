@@ -37,12 +37,22 @@ def non_blank(value: Column | str) -> Column:
 
 
 def is_blank(value: Column | str) -> Column:
-    return non_blank(value).isNull()
+    """NULL or empty, in a form that the parquet scan understands."""
+    return col(value).isNull() | (col(value) == "")
 
 
-def flag(value: Column | str) -> Column:
-    """Truth of a check field; NULL counts as unset."""
-    return F.coalesce(col(value), F.lit(0)) != 0
+def is_set(value: Column | str) -> Column:
+    """A check field that is on; NULL counts as off. Both forms reach the parquet scan."""
+    return col(value).isNotNull() & (col(value) != 0)
+
+
+def is_unset(value: Column | str) -> Column:
+    return col(value).isNull() | (col(value) == 0)
+
+
+def differs(value: Column | str, other) -> Column:
+    """Not equal, with NULL differing from every value."""
+    return ~col(value).eqNullSafe(other)
 
 
 def month_start(value: Column | str) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardledger.session import ensure_checkpoint_dir
+from wardledger.session import materialize
 
 
 def number_within(
@@ -20,14 +20,10 @@ def number_within(
     its number within its slice plus the group's rows in the slices before. The sliced rows are
     checkpointed, because a recomputed range partitioning may cut elsewhere.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    slices = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group_order = [F.col(k).asc_nulls_first() for k in keys]
-    sliced = (
-        df.repartitionByRange(slices, *group_order, *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
+    sliced = materialize(
+        df.repartitionByRange(slices, *group_order, *order).withColumn("_slice", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

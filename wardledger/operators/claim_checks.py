@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardledger.functions.columns import is_blank, money, violation
+from wardledger.functions.columns import differs, is_blank, money, violation
 from wardledger.operators import claim_header as H
 from wardledger.sources.tables import Tables
 
@@ -147,7 +147,7 @@ def _visits(claims: DataFrame, t: Tables) -> DataFrame:
         F.col("coverage_plan_name").alias("plan"),
     ]
     appointments = t.patient_appointment.filter(
-        F.coalesce("status", F.lit("")) != "Cancelled"
+        differs("status", "Cancelled")
     ).select(F.col("name").alias("appointment"), *visit)
     appointment_counts = appointments.groupBy(*VISIT).agg(F.count(F.lit(1)).alias("appointments"))
     held = claims.filter((F.col("docstatus") == 0) & (F.col("workflow_state") == "Unclaimable"))

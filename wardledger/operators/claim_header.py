@@ -220,13 +220,11 @@ def folio_numbers(headers: DataFrame, counters: DataFrame) -> tuple[DataFrame, D
 
 def eligible_appointments(t: Tables) -> DataFrame:
     """Appointments a claim can be made for: insured elsewhere and not claimed yet."""
-    def text(name: str):
-        return F.coalesce(F.col(name), F.lit(""))
-
     return t.patient_appointment.filter(
-        text("nhif_patient_claim").isin("", "None")
-        & ~text("insurance_company").like("%NHIF%")
-        & ~text("insurance_subscription").isin("", "None")
+        (is_blank("nhif_patient_claim") | (F.col("nhif_patient_claim") == "None"))
+        & (F.col("insurance_company").isNull() | ~F.col("insurance_company").contains("NHIF"))
+        & ~is_blank("insurance_subscription")
+        & (F.col("insurance_subscription") != "None")
     )
 
 

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardledger.functions.columns import flag, is_blank, money_sum, non_blank, stable_id, violation
+from wardledger.functions.columns import differs, is_blank, is_set, is_unset, money_sum, non_blank, stable_id, violation
 from wardledger.functions.joins import spread_null
 from wardledger.functions.numbering import number_within
 from wardledger.operators import claim_header as H
 from wardledger.operators.prescriptions import prescriptions, with_approval, with_item, with_status
 from wardledger.options import RunContext
+from wardledger.session import materialize
 from wardledger.sources.schemas import CLAIM_LINE
 from wardledger.sources.tables import Tables
 
@@ -33,8 +34,14 @@ def _lines(df: DataFrame, **columns: Column | str) -> DataFrame:
 
 
 def with_rate(lines: DataFrame, t: Tables) -> DataFrame:
-    """Adds ``rate`` by item, company, subscription and insurer; NULL where there is none."""
-    rates = t.item_rate.select(F.col("insurance_subscription").alias("_subscription"), "item_code", "company", "insurance_company", "rate")
+    """Adds ``rate`` by item, company, subscription and insurer; NULL where there is none.
+
+    A key that is stored twice gives its lowest rate, never a second line.
+    """
+    subscription = F.col("insurance_subscription").alias("_subscription")
+    rates = t.item_rate.groupBy("item_code", "company", subscription, "insurance_company").agg(
+        F.min("rate").alias("rate")
+    )
     return (
         lines.withColumn("_subscription", spread_null("insurance_subscription", "ref_docname"))
         .join(rates, ["item_code", "company", "_subscription", "insurance_company"], "left")
@@ -42,11 +49,14 @@ def with_rate(lines: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def _prescribed_lines(encounters: DataFrame, t: Tables, name_column: str) -> DataFrame:
-    """Lines of the prescriptions of these (claim, encounter) rows."""
-    rows = prescriptions(t).filter(~flag("prescribe") & ~flag("is_cancelled"))
+def _prescribed_lines(encounters: DataFrame, t: Tables) -> DataFrame:
+    """Lines of the prescriptions of these (claim, encounter, inpatient) rows.
+
+    Inpatient lines are named by the template's code, others by its display name.
+    """
+    rows = prescriptions(t).filter(is_unset("prescribe") & is_unset("is_cancelled"))
     visits = encounters.select(
-        "claim", F.col("encounter").alias("parent"), F.col("creation").alias("encounter_creation"), "practitioner"
+        "claim", F.col("encounter").alias("parent"), F.col("creation").alias("encounter_creation"), "practitioner", "inpatient"
     )
     found = with_approval(with_status(with_item(rows.join(visits, "parent"), t), t), t)
     delivered = F.coalesce("quantity", F.lit(0.0)) - F.coalesce("quantity_returned", F.lit(0.0))
@@ -54,7 +64,7 @@ def _prescribed_lines(encounters: DataFrame, t: Tables, name_column: str) -> Dat
     return _lines(
         found,
         claim="claim",
-        item_name=name_column,
+        item_name=F.when(F.col("inpatient"), F.col("template")).otherwise(F.col("display_name")),
         item_code="item_code",
         item_quantity=quantity,
         unit_price="amount",
@@ -72,10 +82,18 @@ def _prescribed_lines(encounters: DataFrame, t: Tables, name_column: str) -> Dat
     )
 
 
+VISIT_COLUMNS = ["claim", "encounter", "creation", "practitioner", "inpatient"]
+
+
+def outpatient_encounters(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
+    """Encounters of claims without an inpatient record."""
+    visits = H.submitted_encounters(claims, t).join(records.select("claim"), "claim", "left_anti")
+    return visits.withColumn("inpatient", F.lit(False))
+
+
 def outpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
     """Service lines of claims without an inpatient record."""
-    visits = H.submitted_encounters(claims, t).join(records.select("claim"), "claim", "left_anti")
-    return _prescribed_lines(visits, t, "display_name")
+    return _prescribed_lines(outpatient_encounters(claims, records, t), t)
 
 
 def inpatient_claims(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
@@ -117,7 +135,7 @@ def _unit_types(t: Tables) -> DataFrame:
 
 def _priced_occupancies(stays: DataFrame, t: Tables) -> DataFrame:
     """Confirmed occupancies with the item of their unit type and its rate for the admission's insurance."""
-    occupancies = t.inpatient_occupancy.filter(flag("is_confirmed")).select(
+    occupancies = t.inpatient_occupancy.filter(is_set("is_confirmed")).select(
         F.col("parent").alias("inpatient_record"),
         F.col("name").alias("ref_docname"),
         "service_unit",
@@ -170,11 +188,9 @@ def inpatient_encounters(claims: DataFrame, stays: DataFrame, t: Tables) -> Data
     """Encounters of inpatient claims on a check-in day; those of other days are not claimed."""
     days = stays.select("claim", "inpatient_record").join(stay_days(t), "inpatient_record")
     visits = H.submitted_encounters(claims, t).withColumnRenamed("encounter_date", "day")
-    return visits.join(days.select("claim", "day", "position"), ["claim", "day"])
-
-
-def inpatient_service_lines(claims: DataFrame, stays: DataFrame, t: Tables) -> DataFrame:
-    return _prescribed_lines(inpatient_encounters(claims, stays, t), t, "template")
+    return visits.join(days.select("claim", "day", "position"), ["claim", "day"]).withColumn(
+        "inpatient", F.lit(True)
+    )
 
 
 def inpatient_consultancy_lines(stays: DataFrame, t: Tables) -> DataFrame:
@@ -182,10 +198,10 @@ def inpatient_consultancy_lines(stays: DataFrame, t: Tables) -> DataFrame:
     chargeable = (
         stay_days(t)
         .join(_unit_types(t), "service_unit")
-        .filter(flag("is_consultancy_chargeable"))
+        .filter(is_set("is_consultancy_chargeable"))
         .select("inpatient_record", "day")
     )
-    visits = t.inpatient_consultancy.filter(flag("is_confirmed") & (F.col("rate") != 0)).select(
+    visits = t.inpatient_consultancy.filter(is_set("is_confirmed") & (F.col("rate") != 0)).select(
         F.col("parent").alias("inpatient_record"),
         F.col("date").alias("day"),
         F.col("name").alias("ref_docname"),
@@ -214,21 +230,31 @@ def inpatient_consultancy_lines(stays: DataFrame, t: Tables) -> DataFrame:
     )
 
 
+def _stay_lines(stays: DataFrame, t: Tables) -> DataFrame:
+    parts = [admission_lines(stays, t), bed_lines(stays, t), inpatient_consultancy_lines(stays, t)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def inpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
     """All service lines of claims with an inpatient record."""
     stays = inpatient_claims(claims, records, t)
-    parts = [
-        admission_lines(stays, t),
-        bed_lines(stays, t),
-        inpatient_service_lines(claims, stays, t),
-        inpatient_consultancy_lines(stays, t),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _stay_lines(stays, t).unionByName(_prescribed_lines(inpatient_encounters(claims, stays, t), t))
+
+
+def service_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
+    """The lines of both kinds of claims, reading the prescriptions once."""
+    stays = inpatient_claims(claims, records, t)
+    visits = (
+        outpatient_encounters(claims, records, t)
+        .select(*VISIT_COLUMNS)
+        .unionByName(inpatient_encounters(claims, stays, t).select(*VISIT_COLUMNS))
+    )
+    return _stay_lines(stays, t).unionByName(_prescribed_lines(visits, t))
 
 
 def _priced_appointments(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
     appointments = t.patient_appointment.filter(
-        ~flag("follow_up") & (F.coalesce("has_no_consultation_charges", F.lit(0)) != 1)
+        is_unset("follow_up") & differs("has_no_consultation_charges", 1)
     ).select(
         F.col("name").alias("ref_docname"),
         F.col("billing_item").alias("item_code"),
@@ -304,9 +330,8 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
 
 def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
     """All numbered lines of each claim."""
-    records = H.claim_inpatient_record(H.final_encounters(claims, t))
-    services = outpatient_lines(claims, records, t).unionByName(inpatient_lines(claims, records, t))
-    return numbered_lines(claims, services, consultation_lines(claims, records, t))
+    records = materialize(H.claim_inpatient_record(H.final_encounters(claims, t)))
+    return numbered_lines(claims, service_lines(claims, records, t), consultation_lines(claims, records, t))
 
 
 def completed_items(items: DataFrame, headers: DataFrame, run: RunContext) -> DataFrame:
@@ -342,7 +367,7 @@ def claim_totals(items: DataFrame) -> DataFrame:
 def item_reference_codes(t: Tables) -> DataFrame:
     """Each item's code at its other insurers; the smallest where there are several."""
     codes = (
-        t.item_customer_detail.filter(F.coalesce("customer_name", F.lit("")) != "NHIF")
+        t.item_customer_detail.filter(differs("customer_name", "NHIF"))
         .groupBy(F.col("parent").alias("item_code"))
         .agg(F.min("ref_code").alias("ref_code"))
     )

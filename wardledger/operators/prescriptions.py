@@ -108,11 +108,9 @@ def with_status(rows: DataFrame, t: Tables) -> DataFrame:
 
 def with_approval(rows: DataFrame, t: Tables) -> DataFrame:
     """Adds ``approval_ref_no`` of the reference document."""
-    approvals = t.approval.select(
-        F.col("ref_doctype").alias("document_type"),
-        F.col("ref_docname").alias("_document"),
-        F.col("approval_number").alias("approval_ref_no"),
-    )
+    approvals = t.approval.groupBy(
+        F.col("ref_doctype").alias("document_type"), F.col("ref_docname").alias("_document")
+    ).agg(F.min("approval_number").alias("approval_ref_no"))
     return (
         rows.withColumn("_document", spread_blank("document", "name"))
         .join(approvals, ["document_type", "_document"], "left")

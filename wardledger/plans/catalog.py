@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from wardledger.operators import claim_changes as G
 from wardledger.operators import claim_checks as V
 from wardledger.operators import claim_diseases as D
-from wardledger.operators import claim_export as X
 from wardledger.operators import claim_header as H
 from wardledger.operators import claim_items as C
 from wardledger.operators import claim_notes as N
@@ -24,6 +23,8 @@ from wardledger.operators import revenue as R
 from wardledger.operators import stock as S
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
+from wardledger.plans.claim_build import build_claims
+from wardledger.session import materialize
 from wardledger.sources.derived import derived_tables
 from wardledger.sources.tables import Tables
 
@@ -47,14 +48,7 @@ def _rated_lines(t: Tables) -> DataFrame:
 
 
 def _folios(t: Tables) -> DataFrame:
-    claims, headers = t.insurance_claim, _headers(t)
-    return X.folio_documents(
-        headers,
-        D.claim_diseases(claims, t),
-        C.claim_lines(claims, t),
-        N.clinical_notes(claims, headers, t, RUN),
-        H.folio_numbers(headers, t.folio_counter)[0],
-    )
+    return build_claims(t.insurance_claim, t, RUN).documents
 
 
 def _folio_fields(folios: DataFrame) -> DataFrame:
@@ -193,7 +187,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "t4_unknown_prescriptions": lambda t: G.unknown_service_violations(_removed_names(t), t),
     "t5_stay_removals": lambda t: G.stay_removals(_removed_names(t), t),
     "t6_change_requests": lambda t: G.change_requests(t),
-    "t7_change_records": lambda t: G.track_changes(_originals(t), t.claim_item, _headers(t), t, RUN),
+    "t7_change_records": lambda t: G.track_changes(
+        materialize(_originals(t)), t.claim_item, _headers(t), t, RUN
+    ),
     "v1_without_encounters": lambda t: V.without_encounters(t.insurance_claim, t),
     "v2_without_final_encounters": lambda t: V.without_final_encounters(t.insurance_claim, t),
     "v3_practitioners": lambda t: V.practitioner_violations(t.insurance_claim, t),

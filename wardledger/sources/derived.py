@@ -228,7 +228,7 @@ SELECT DISTINCT 'HSUT-'||(s_suppkey % 7) AS name, 'GROUP-'||(s_suppkey % 7 % 3)
 SELECT 'ITEM-'||p_partkey AS item_code, 'NAME-'||(p_partkey - p_partkey % 2) AS item_name, p_name AS description,
        p_type AS item_group, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS is_stock_item FROM {part}""",
     "item_rate": f"""
-SELECT 'ITEM-'||k.item_no AS item_code, 'CO-'||(c_custkey % 3) AS company, {_SUBSCRIPTION} AS insurance_subscription,
+SELECT DISTINCT 'ITEM-'||k.item_no AS item_code, 'CO-'||(c_custkey % 3) AS company, {_SUBSCRIPTION} AS insurance_subscription,
        {_INSURER} AS insurance_company, p_retailprice AS rate
 FROM (SELECT o_custkey AS cust, o_orderkey % 200 AS item_no FROM {{orders}}
       UNION SELECT o_custkey AS cust, l_suppkey % 7 AS item_no FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
