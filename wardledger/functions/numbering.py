@@ -11,10 +11,18 @@ from wardledger.session import materialize
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: list[Column], out: str, partitions: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    out: str,
+    after: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in the given (total) order.
 
+    ``after`` holds the keys (once each) and a column ``last_no``: numbers of these groups go on
+    from there. It is joined with the per-slice counts, not with the rows.
+
     ``row_number`` over the group would put the whole group into one task. Instead the rows are
     range-partitioned by group and order, so a large group covers several slices; a row's number is
     its number within its slice plus the group's rows in the slices before. The sliced rows are
@@ -30,7 +38,13 @@ def number_within(
         sliced.groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_slice").alias("_o_slice"), "_before")
+    )
+    if after is not None:
+        offsets = offsets.join(after.select(*keys, "last_no"), keys, "left").withColumn(
+            "_before", F.col("_before") + F.coalesce("last_no", F.lit(0))
+        )
+    offsets = offsets.select(
+        *[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_slice").alias("_o_slice"), "_before"
     )
     same = reduce(
         lambda a, b: a & b,

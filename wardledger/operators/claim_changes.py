@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardledger.functions.columns import non_blank, violation
 from wardledger.operators.prescriptions import DRUG, KINDS
 from wardledger.options import RunContext
+from wardledger.session import materialize
 from wardledger.sources.schemas import CLAIM_CHANGE, shaped
 from wardledger.sources.tables import Tables
 
@@ -248,9 +249,12 @@ def change_records(events: DataFrame, headers: DataFrame, run: RunContext) -> Da
 def track_changes(
     originals: DataFrame, items: DataFrame, headers: DataFrame, t: Tables, run: RunContext
 ) -> DataFrame:
-    """All change records of submitted claims, from reconciled originals and claim items."""
+    """All change records of submitted claims, from reconciled originals and claim items.
+
+    The removed names are computed once and kept, as three kinds of removals read them.
+    """
     removed = removed_originals(originals, items)
-    names = removed_names(removed, seen_references(originals, items))
+    names = materialize(removed_names(removed, seen_references(originals, items)))
     events = [
         amount_changes(originals, items),
         removed_appointments(removed),

@@ -196,21 +196,17 @@ def folio_numbers(headers: DataFrame, counters: DataFrame) -> tuple[DataFrame, D
     A company's month may hold any share of the claims, so it is numbered in slices.
     """
     keys = ["company", "claim_year", "claim_month"]
-    numbered = number_within(
-        headers.select("name", *keys, "creation"),
+    stored = counters.groupBy(*keys).agg(F.max("folio_no").alias("last_no"))
+    claims = number_within(
+        headers.select(F.col("name").alias("claim"), *keys, "creation"),
         keys,
-        [F.col("creation").asc(), F.col("name").asc()],
-        "position",
-    )
-    stored = counters.groupBy(*keys).agg(F.max("folio_no").alias("stored_no"))
-    claims = numbered.join(stored, keys, "left").select(
-        F.col("name").alias("claim"),
-        *keys,
-        (F.coalesce("stored_no", F.lit(0)) + F.col("position")).alias("folio_no"),
-    )
+        [F.col("creation").asc(), F.col("claim").asc()],
+        "folio_no",
+        after=stored,
+    ).drop("creation")
     latest = claims.groupBy(*keys).agg(F.max("folio_no").alias("folio_no"))
     new_counters = (
-        stored.withColumnRenamed("stored_no", "folio_no")
+        stored.withColumnRenamed("last_no", "folio_no")
         .unionByName(latest)
         .groupBy(*keys)
         .agg(F.max("folio_no").alias("folio_no"))

@@ -82,25 +82,52 @@ def _prescribed_lines(encounters: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-VISIT_COLUMNS = ["claim", "encounter", "creation", "practitioner", "inpatient"]
+def inpatient_claims(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
+    """(claim, inpatient_record, admission_encounter, ...) of claims with an inpatient record."""
+    admissions = t.inpatient_record.select(F.col("name").alias("inpatient_record"), "admission_encounter")
+    heads = claims.select(F.col("name").alias("claim"), "patient_appointment", "company")
+    return records.join(admissions, "inpatient_record", "left").join(heads, "claim")
 
 
-def outpatient_encounters(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
-    """Encounters of claims without an inpatient record."""
-    visits = H.submitted_encounters(claims, t).join(records.select("claim"), "claim", "left_anti")
-    return visits.withColumn("inpatient", F.lit(False))
+def stay_days(t: Tables) -> DataFrame:
+    """(inpatient_record, day, service_unit, position): the first occupancy of each check-in day, confirmed or not."""
+    return (
+        t.inpatient_occupancy.groupBy(
+            F.col("parent").alias("inpatient_record"), F.to_date("check_in").alias("day")
+        )
+        .agg(F.min(F.struct("idx", "name", "service_unit")).alias("first"))
+        .select("inpatient_record", "day", "first.service_unit", F.col("first.idx").alias("position"))
+    )
 
 
-def outpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
-    """Service lines of claims without an inpatient record."""
-    return _prescribed_lines(outpatient_encounters(claims, records, t), t)
+def claimed_encounters(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
+    """Encounters whose prescriptions a claim bills, each claim's encounters read once.
 
+    All of an outpatient claim; of an inpatient claim those on a check-in day, with the position of
+    that day's first bed. Those of other days are not claimed.
+    """
+    days = stay_days(t).select(F.col("inpatient_record").alias("_record"), F.col("day").alias("encounter_date"), "position")
+    inpatient = F.col("inpatient_record").isNotNull()
+    return (
+        H.submitted_encounters(claims, t)
+        .join(records.select("claim", "inpatient_record"), "claim", "left")
+        .withColumn("_record", spread_null("inpatient_record", "encounter"))
+        .join(days, ["_record", "encounter_date"], "left")
+        .filter(~inpatient | F.col("position").isNotNull())
+        .select(
+            "claim",
+            "encounter",
+            "creation",
+            "practitioner",
+            inpatient.alias("inpatient"),
+            F.coalesce("position", F.lit(0)).alias("position"),
+        )
+    )
 
-def inpatient_claims(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
-    """(claim, inpatient_record, admission_encounter, ...) of claims with an inpatient record."""
-    admissions = t.inpatient_record.select(F.col("name").alias("inpatient_record"), "admission_encounter")
-    heads = claims.select(F.col("name").alias("claim"), "patient_appointment", "company")
-    return records.join(admissions, "inpatient_record").join(heads, "claim")
+
+def outpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
+    """Service lines of claims without an inpatient record."""
+    return _prescribed_lines(claimed_encounters(claims, records, t).filter(~F.col("inpatient")), t)
 
 
 def admission_lines(stays: DataFrame, t: Tables) -> DataFrame:
@@ -173,26 +200,6 @@ def bed_lines(stays: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def stay_days(t: Tables) -> DataFrame:
-    """(inpatient_record, day, service_unit, position): the first occupancy of each check-in day, confirmed or not."""
-    return (
-        t.inpatient_occupancy.groupBy(
-            F.col("parent").alias("inpatient_record"), F.to_date("check_in").alias("day")
-        )
-        .agg(F.min(F.struct("idx", "name", "service_unit")).alias("first"))
-        .select("inpatient_record", "day", "first.service_unit", F.col("first.idx").alias("position"))
-    )
-
-
-def inpatient_encounters(claims: DataFrame, stays: DataFrame, t: Tables) -> DataFrame:
-    """Encounters of inpatient claims on a check-in day; those of other days are not claimed."""
-    days = stays.select("claim", "inpatient_record").join(stay_days(t), "inpatient_record")
-    visits = H.submitted_encounters(claims, t).withColumnRenamed("encounter_date", "day")
-    return visits.join(days.select("claim", "day", "position"), ["claim", "day"]).withColumn(
-        "inpatient", F.lit(True)
-    )
-
-
 def inpatient_consultancy_lines(stays: DataFrame, t: Tables) -> DataFrame:
     """Confirmed, priced consultancies on days whose first bed allows charging them."""
     chargeable = (
@@ -237,19 +244,8 @@ def _stay_lines(stays: DataFrame, t: Tables) -> DataFrame:
 
 def inpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
     """All service lines of claims with an inpatient record."""
-    stays = inpatient_claims(claims, records, t)
-    return _stay_lines(stays, t).unionByName(_prescribed_lines(inpatient_encounters(claims, stays, t), t))
-
-
-def service_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
-    """The lines of both kinds of claims, reading the prescriptions once."""
-    stays = inpatient_claims(claims, records, t)
-    visits = (
-        outpatient_encounters(claims, records, t)
-        .select(*VISIT_COLUMNS)
-        .unionByName(inpatient_encounters(claims, stays, t).select(*VISIT_COLUMNS))
-    )
-    return _stay_lines(stays, t).unionByName(_prescribed_lines(visits, t))
+    visits = claimed_encounters(claims, records, t).filter("inpatient")
+    return _stay_lines(inpatient_claims(claims, records, t), t).unionByName(_prescribed_lines(visits, t))
 
 
 def _priced_appointments(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
@@ -308,7 +304,7 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
     """
     listed = F.size(F.from_json("claim_appointment_list", "array<string>"))
     counts = claims.select(
-        F.col("name").alias("claim"), F.when(listed > 0, listed).otherwise(1).alias("appointments")
+        F.col("name").alias("claim"), F.when(listed > 0, listed).otherwise(1).alias("last_no")
     )
     order = [
         F.col(c).asc_nulls_first()
@@ -317,11 +313,7 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
             "table_order", "row_idx", "ref_docname",
         )
     ]
-    numbered = (
-        number_within(services, ["claim"], order, "idx")
-        .join(counts, "claim")
-        .withColumn("idx", F.col("idx") + F.col("appointments"))
-    )
+    numbered = number_within(services, ["claim"], order, "idx", after=counts)
     by_position = Window.partitionBy("claim").orderBy("row_idx")
     first = consultations.withColumn("idx", F.row_number().over(by_position))
     columns = ["idx", *LINE_COLUMNS]
@@ -329,9 +321,13 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
 
 
 def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
-    """All numbered lines of each claim."""
-    records = materialize(H.claim_inpatient_record(H.final_encounters(claims, t)))
-    return numbered_lines(claims, service_lines(claims, records, t), consultation_lines(claims, records, t))
+    """All numbered lines of each claim.
+
+    The inpatient claims are few and read by every branch, so they are computed once and kept.
+    """
+    stays = materialize(inpatient_claims(claims, H.claim_inpatient_record(H.final_encounters(claims, t)), t))
+    services = _stay_lines(stays, t).unionByName(_prescribed_lines(claimed_encounters(claims, stays, t), t))
+    return numbered_lines(claims, services, consultation_lines(claims, stays, t))
 
 
 def completed_items(items: DataFrame, headers: DataFrame, run: RunContext) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank, joined
 from wardledger.operators import claim_header as H
-from wardledger.operators.claim_items import inpatient_claims, inpatient_encounters
+from wardledger.operators.claim_items import claimed_encounters
 from wardledger.options import RunContext
 from wardledger.sources.tables import Tables
 
@@ -23,14 +23,9 @@ def note_encounters(claims: DataFrame, t: Tables) -> DataFrame:
     Inpatient claims show only those on a check-in day, day by day.
     """
     records = H.claim_inpatient_record(H.final_encounters(claims, t))
-    columns = ["claim", "encounter", F.struct("position", "creation", "encounter").alias("place")]
-    outpatient = (
-        H.submitted_encounters(claims, t)
-        .join(records.select("claim"), "claim", "left_anti")
-        .withColumn("position", F.lit(0))
+    return claimed_encounters(claims, records, t).select(
+        "claim", "encounter", F.struct("position", "creation", "encounter").alias("place")
     )
-    inpatient = inpatient_encounters(claims, inpatient_claims(claims, records, t), t)
-    return outpatient.select(*columns).unionByName(inpatient.select(*columns))
 
 
 def _drug_text(t: Tables) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import DOSAGE_KEYS, dosage_field, is_blank, stable_id
+from wardledger.session import materialize
 from wardledger.sources.tables import Tables
 
 DEFAULTS = {
@@ -88,22 +89,21 @@ def dispensing_violations(t: Tables) -> DataFrame:
     return unlinked.unionByName(undiagnosed)
 
 
-def _accepted_items(t: Tables) -> DataFrame:
+def accepted_items(t: Tables) -> DataFrame:
     """Items of the notes without violations; a refused note changes nothing."""
     refused = dispensing_violations(t).select("note").distinct()
     return _note_items(t).join(refused, "note", "left_anti")
 
 
-def dispensed_prescriptions(t: Tables) -> DataFrame:
-    """New drug rows for delivered items that were not prescribed."""
+def dispensed_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
+    """New drug rows for accepted delivery items that were not prescribed."""
     pharmacies = (
         t.healthcare_service_unit.filter(F.col("service_unit_type") == "Pharmacy")
         .groupBy("company", "warehouse")
         .agg(F.min("name").alias("healthcare_service_unit"))
     )
     return (
-        _accepted_items(t)
-        .filter(is_blank("reference_name"))
+        accepted.filter(is_blank("reference_name"))
         .join(_first_diagnoses(t), "encounter")
         .join(pharmacies, ["company", "warehouse"], "left")
         .select(
@@ -126,18 +126,18 @@ def dispensed_prescriptions(t: Tables) -> DataFrame:
     )
 
 
-def undelivered_prescriptions(t: Tables) -> DataFrame:
+def undelivered_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
     """Names of prescribed drug rows that a delivery note of their encounter did not deliver.
 
     Notes per encounter are compared with notes per (encounter, drug), so a row is joined with two
     counts and not with the notes.
     """
-    accepted = _accepted_items(t).select("encounter", "note", "drug_code").distinct()
+    delivered = accepted.select("encounter", "note", "drug_code").distinct()
     notes = (
-        accepted.groupBy("encounter").agg(F.count_distinct("note").alias("notes")).withColumnRenamed("encounter", "parent")
+        delivered.groupBy("encounter").agg(F.count_distinct("note").alias("notes")).withColumnRenamed("encounter", "parent")
     )
     deliveries = (
-        accepted.groupBy("encounter", "drug_code")
+        delivered.groupBy("encounter", "drug_code")
         .agg(F.count(F.lit(1)).alias("deliveries"))
         .withColumnRenamed("encounter", "parent")
     )
@@ -153,5 +153,6 @@ def undelivered_prescriptions(t: Tables) -> DataFrame:
 
 def updated_prescriptions(t: Tables) -> DataFrame:
     """The new drug prescription table: undelivered rows out, dispensed rows in."""
-    kept = t.drug_prescription.join(undelivered_prescriptions(t), "name", "left_anti")
-    return kept.unionByName(dispensed_prescriptions(t), allowMissingColumns=True)
+    accepted = materialize(accepted_items(t))
+    kept = t.drug_prescription.join(undelivered_prescriptions(accepted, t), "name", "left_anti")
+    return kept.unionByName(dispensed_prescriptions(accepted, t), allowMissingColumns=True)

@@ -228,7 +228,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "s11_dosage_fields": lambda t: L.dosage_or_default(S.with_invoice_dosage(t), t).select(
         "name", "drug_code", "dosage", "period", "dosage_form", "interval", "interval_uom", "comment"
     ),
-    "s12_dispensed_prescriptions": lambda t: L.dispensed_prescriptions(_delivered(t)),
+    "s12_dispensed_prescriptions": lambda t: L.dispensed_prescriptions(L.accepted_items(_delivered(t)), t),
     "s12_dispensing_violations": lambda t: L.dispensing_violations(_delivered(t)),
     "s13_updated_prescriptions": lambda t: L.updated_prescriptions(_delivered(t)),
 }
