@@ -236,11 +236,11 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
 
 def dates_as_text(df: DataFrame) -> DataFrame:
     """Dates and datetimes as text, so that both engines print them alike."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(f.name).cast("string").alias(f.name)
+            f"cast(`{f.name}` as string) as `{f.name}`"
             if isinstance(f.dataType, (T.DateType, T.TimestampNTZType))
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

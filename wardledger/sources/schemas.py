@@ -6,6 +6,7 @@ Money is ``double`` as stored and is summed as ``decimal(18,4)``; check fields a
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _TYPES = {
@@ -213,6 +214,12 @@ CLAIM_CHANGE = _struct(
 )
 
 
-def shaped(df, schema: T.StructType):
-    """The columns of an output schema, in its order and types."""
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+def shaped(df: DataFrame, schema: T.StructType, missing_as_null: bool = False) -> DataFrame:
+    """The columns of a schema, in its order and types."""
+    have = set(df.columns) if missing_as_null else {f.name for f in schema.fields}
+    return df.selectExpr(
+        *[
+            f"cast({f'`{f.name}`' if f.name in have else 'null'} as {f.dataType.simpleString()}) as `{f.name}`"
+            for f in schema.fields
+        ]
+    )

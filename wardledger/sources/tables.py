@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wardledger.sources.schemas import SCHEMAS
+from wardledger.sources.schemas import SCHEMAS, shaped
 
 
 class Tables:
@@ -85,10 +84,4 @@ class Tables:
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Cast the declared columns to their declared types; missing ones become NULL."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SCHEMAS[name].fields
-        ]
-    )
+    return shaped(df, SCHEMAS[name], missing_as_null=True)
