@@ -41,14 +41,15 @@ class BuiltClaims:
 def build_claims(claims: DataFrame, t: Tables, run: RunContext) -> BuiltClaims:
     """Everything that saving a claim computes, for all the given claims.
 
-    Headers and lines are each computed once and kept, since several outputs read them.
+    Headers are computed once and kept, since several outputs read them; lines and folio numbers
+    rest on the kept slices of their numbering.
     """
     headers = materialize(H.claim_headers(claims, t, run))
     numbers, counters = H.folio_numbers(headers, t.folio_counter)
     return BuiltClaims(
         headers=headers,
         diseases=claim_diseases(claims, t),
-        lines=materialize(C.claim_lines(claims, t)),
+        lines=C.claim_lines(claims, t),
         notes=clinical_notes(claims, headers, t, run),
         folio_numbers=numbers,
         folio_counters=counters,
