@@ -1,10 +1,12 @@
-"""Claim validation: one row per (claim, rule, detail) instead of stopping at the first error."""
+"""Claim validation: one row per (claim, rule, detail) instead of stopping at the first error.
 
-from __future__ import annotations
+A rule is a condition on a claim's facts. The facts of all rules are gathered side by side, so the whole
+report reads the claims once; each rule can also be run alone on the facts it needs.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import differs, is_blank, money, violation
@@ -14,141 +16,109 @@ from wardledger.sources.tables import Tables
 # Insurers whose claims are made elsewhere.
 OTHER_INSURERS = ("NHIF", "NHIF Town", "NHIF Upanga - RSPDC")
 
-VISIT = ["patient", "day", "card", "plan"]
+VISIT = ["patient", "attendance_date", "cardno", "coverage_plan_name"]
 CLAIM_CARD = ["patient", "patient_appointment", "cardno"]
 
 
-def _named(claims: DataFrame, *columns: str) -> DataFrame:
-    return claims.select(F.col("name").alias("claim"), *columns)
-
-
-def _without(claims: DataFrame, rows: DataFrame, rule: str) -> DataFrame:
-    found = rows.select("claim").distinct()
-    return _named(claims).join(found, "claim", "left_anti").select(*violation("claim", rule, F.lit(None)))
-
-
-def without_encounters(claims: DataFrame, t: Tables) -> DataFrame:
-    return _without(claims, H.submitted_encounters(claims, t), "no_submitted_encounter")
-
-
-def without_final_encounters(claims: DataFrame, t: Tables) -> DataFrame:
-    return _without(claims, H.final_encounters(claims, t), "no_final_encounter")
-
-
-def practitioner_violations(claims: DataFrame, t: Tables) -> DataFrame:
-    """First practitioner without a name, or without a council number."""
-    people = H.claim_practitioners(H.final_encounters(claims, t), t)
-    checks = F.array(
-        F.when(is_blank("practitioner_name"), F.lit("practitioner_name")),
-        F.when(is_blank("first_code"), F.lit("practitioner_code")),
-    )
-    return (
-        people.select("claim", F.explode(F.array_compact(checks)).alias("rule"), F.col("first_practitioner").alias("detail"))
+def _rows(claims: DataFrame) -> DataFrame:
+    return claims.select(
+        F.col("name").alias("claim"), *CLAIM_CARD, "attendance_date", "coverage_plan_name", "docstatus",
+        "authorization_no", "total_amount",
     )
 
 
-def without_rows(claims: DataFrame, diseases: DataFrame, items: DataFrame) -> DataFrame:
-    """Claims without a disease row, and claims without an item row."""
-    return _without(claims, diseases, "no_disease").unionByName(
-        _without(claims, items.select(F.col("parent").alias("claim")), "no_item")
-    )
+# Facts ---------------------------------------------------------------------------------------------------
 
 
-def total_violations(claims: DataFrame, items: DataFrame) -> DataFrame:
-    """Total amount that is not the sum of the items' amounts, compared exactly."""
-    sums = items.groupBy(F.col("parent").alias("claim")).agg(F.sum(money("amount_claimed")).alias("items"))
-    compared = _named(claims, "total_amount").join(sums, "claim", "left")
-    total, added = F.coalesce(money("total_amount"), F.lit(0)), F.coalesce("items", F.lit(0))
-    return compared.filter(total != added).select(
-        *violation("claim", "total_amount", F.lit(None))
+def _encounter_facts(rows: DataFrame, claims: DataFrame, t: Tables) -> DataFrame:
+    """encounters, final_encounters, and the first practitioner of the final ones."""
+    people = t.healthcare_practitioner.select(
+        F.col("name").alias("practitioner"), "practitioner_name", "tz_mct_code", F.lit(True).alias("known")
     )
-
-
-def draft_items(items: DataFrame) -> DataFrame:
-    return items.filter(F.col("status") == "Draft").select(
-        *violation("parent", "draft_item", F.concat_ws(" ", F.col("idx").cast("string"), "ref_doctype", "item_name"))
+    first = F.min(
+        F.when(F.col("is_final") & F.col("known"), F.struct("practitioner", "practitioner_name", "tz_mct_code"))
     )
+    facts = (
+        H.submitted_encounters(claims, t)
+        .join(people, "practitioner", "left")
+        .groupBy("claim")
+        .agg(
+            F.count(F.lit(1)).alias("encounters"),
+            F.count_if("is_final").alias("final_encounters"),
+            first.alias("first"),
+        )
+    )
+    return rows.join(facts, "claim", "left").fillna(0, ["encounters", "final_encounters"])
 
 
-def appointment_mismatches(claims: DataFrame, t: Tables) -> DataFrame:
-    """Authorization or card number that differs from the appointment's."""
-    appointments = t.patient_appointment.select(
-        F.col("name").alias("patient_appointment"), "authorization_number", "coverage_plan_card_number"
-    )
-    checks = F.array(
-        F.when(~F.col("authorization_no").eqNullSafe(F.col("authorization_number")), F.lit("authorization_no")),
-        F.when(~F.col("cardno").eqNullSafe(F.col("coverage_plan_card_number")), F.lit("cardno")),
+def _row_facts(rows: DataFrame, diseases: DataFrame, items: DataFrame) -> DataFrame:
+    """disease_rows, item_rows and the items' exact total."""
+    disease_counts = diseases.groupBy("claim").agg(F.count(F.lit(1)).alias("disease_rows"))
+    item_counts = items.groupBy(F.col("parent").alias("claim")).agg(
+        F.count(F.lit(1)).alias("item_rows"), F.sum(money("amount_claimed")).alias("item_total")
     )
     return (
-        _named(claims, "patient_appointment", "authorization_no", "cardno")
-        .join(appointments, "patient_appointment")
-        .select("claim", F.explode(F.array_compact(checks)).alias("rule"), F.col("patient_appointment").alias("detail"))
+        rows.join(disease_counts, "claim", "left")
+        .join(item_counts, "claim", "left")
+        .fillna(0, ["disease_rows", "item_rows"])
     )
 
 
-def other_insurer_claims(claims: DataFrame, t: Tables) -> DataFrame:
-    excluded = t.patient_appointment.filter(F.col("insurance_company").isin(*OTHER_INSURERS)).select(
-        F.col("name").alias("patient_appointment"), "insurance_company"
-    )
-    return (
-        _named(claims, "patient_appointment")
-        .join(excluded, "patient_appointment")
-        .select(*violation("claim", "other_insurer", F.col("insurance_company")))
+def _appointment_facts(rows: DataFrame, t: Tables) -> DataFrame:
+    appointments = t.patient_appointment.select(
+        F.col("name").alias("patient_appointment"),
+        "authorization_number",
+        "coverage_plan_card_number",
+        "insurance_company",
+        F.lit(True).alias("has_appointment"),
     )
+    return rows.join(appointments, "patient_appointment", "left")
 
 
-def duplicate_drafts(claims: DataFrame) -> DataFrame:
-    """Draft claims that share patient, appointment and card with another draft.
+def _draft_facts(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """drafts: how many drafts have the same patient, appointment and card, where more than one.
 
     The groups are counted first, so a claim is joined with its group's count, not its partners.
     """
-    drafts = claims.filter(F.col("docstatus") == 0)
-    repeated = drafts.groupBy(*CLAIM_CARD).agg(F.count(F.lit(1)).alias("drafts")).filter("drafts > 1")
-    return (
-        _named(drafts, *CLAIM_CARD)
-        .join(repeated, CLAIM_CARD)
-        .select(*violation("claim", "duplicate_draft", F.col("patient_appointment")))
+    repeated = (
+        claims.filter(F.col("docstatus") == 0)
+        .groupBy(*CLAIM_CARD)
+        .agg(F.count(F.lit(1)).alias("drafts"))
+        .filter("drafts > 1")
     )
+    return rows.join(repeated, CLAIM_CARD, "left")
 
 
-def submission_period_violations(headers: DataFrame, t: Tables) -> DataFrame:
-    """Claims outside their company's submission month, or whose company has none set."""
+def _header_facts(headers: DataFrame, t: Tables) -> DataFrame:
     settings = t.company_claim_settings.select("company", "submit_claim_month", "submit_claim_year")
-    unset = (F.coalesce("submit_claim_month", F.lit(0)) == 0) & (F.coalesce("submit_claim_year", F.lit(0)) == 0)
-    other = ~F.col("claim_month").eqNullSafe(F.col("submit_claim_month")) | ~F.col("claim_year").eqNullSafe(
-        F.col("submit_claim_year")
-    )
     return (
-        _named(headers, "company", "claim_month", "claim_year")
+        headers.select(
+            F.col("name").alias("claim"),
+            F.col("patient").alias("header_patient"),
+            "patient_signature",
+            "company",
+            "claim_year",
+            "claim_month",
+        )
         .join(settings, "company", "left")
-        .withColumn("rule", F.when(unset, "no_submission_period").when(other, "submission_period"))
-        .filter(F.col("rule").isNotNull())
-        .select("claim", "rule", F.concat_ws("-", F.col("claim_year").cast("string"), F.col("claim_month").cast("string")).alias("detail"))
+        .drop("company")
     )
 
 
-def missing_signatures(headers: DataFrame) -> DataFrame:
-    """No signature on the claim nor on its patient."""
-    missing = headers.filter(~is_blank("patient") & is_blank("patient_signature"))
-    return missing.select(*violation("name", "patient_signature", F.col("patient")))
-
-
-def _visits(claims: DataFrame, t: Tables) -> DataFrame:
-    """Claims with the counts that decide about merging and about the patient's card.
+def _visit_facts(rows: DataFrame, claims: DataFrame, t: Tables) -> DataFrame:
+    """The counts that decide about merging and about the patient's card.
 
     appointments: same patient, day, card and plan, not cancelled; open_claims: unclaimable drafts of
     the same patient, appointment and card; merged: the distinct appointments those list; merged_here:
     how many of ``appointments`` are among them.
     """
-    visit = [
+    appointments = t.patient_appointment.filter(differs("status", "Cancelled")).select(
+        F.col("name").alias("appointment"),
         "patient",
-        F.col("appointment_date").alias("day"),
-        F.col("coverage_plan_card_number").alias("card"),
-        F.col("coverage_plan_name").alias("plan"),
-    ]
-    appointments = t.patient_appointment.filter(
-        differs("status", "Cancelled")
-    ).select(F.col("name").alias("appointment"), *visit)
+        F.col("appointment_date").alias("attendance_date"),
+        F.col("coverage_plan_card_number").alias("cardno"),
+        "coverage_plan_name",
+    )
     appointment_counts = appointments.groupBy(*VISIT).agg(F.count(F.lit(1)).alias("appointments"))
     held = claims.filter((F.col("docstatus") == 0) & (F.col("workflow_state") == "Unclaimable"))
     claim_counts = held.groupBy(*CLAIM_CARD).agg(F.count(F.lit(1)).alias("open_claims"))
@@ -157,68 +127,187 @@ def _visits(claims: DataFrame, t: Tables) -> DataFrame:
     ).distinct()
     merged_counts = listed.groupBy(*CLAIM_CARD).agg(F.count(F.lit(1)).alias("merged"))
     here = (
-        listed.withColumnRenamed("patient", "claim_patient")
-        .join(appointments, "appointment")
-        .filter(F.col("patient") == F.col("claim_patient"))
-        .groupBy(*CLAIM_CARD, "day", "card", "plan")
+        listed.join(appointments, ["appointment", "patient", "cardno"])
+        .groupBy(*CLAIM_CARD, "attendance_date", "coverage_plan_name")
         .agg(F.count(F.lit(1)).alias("merged_here"))
     )
-    rows = _named(
-        claims,
-        *CLAIM_CARD,
-        F.col("attendance_date").alias("day"),
-        F.col("cardno").alias("card"),
-        F.col("coverage_plan_name").alias("plan"),
-    )
-    joined = (
+    return (
         rows.join(appointment_counts, VISIT, "left")
         .join(claim_counts, CLAIM_CARD, "left")
         .join(merged_counts, CLAIM_CARD, "left")
-        .join(here, [*CLAIM_CARD, "day", "card", "plan"], "left")
+        .join(here, [*CLAIM_CARD, "attendance_date", "coverage_plan_name"], "left")
+        .fillna(0, ["appointments", "open_claims", "merged", "merged_here"])
     )
-    return joined.fillna(0, ["appointments", "open_claims", "merged", "merged_here"])
+
+
+# Rules ---------------------------------------------------------------------------------------------------
+
+
+def _check(rule: str, broken: Column, detail: Column | None = None) -> Column:
+    text = (F.lit(None) if detail is None else detail).cast("string")
+    return F.when(broken, F.struct(F.lit(rule).alias("rule"), text.alias("detail")))
+
+
+def _encounter_rule() -> list[Column]:
+    return [_check("no_submitted_encounter", F.col("encounters") == 0)]
+
+
+def _final_encounter_rule() -> list[Column]:
+    return [_check("no_final_encounter", F.col("final_encounters") == 0)]
+
+
+def _practitioner_rules() -> list[Column]:
+    known, who = F.col("first").isNotNull(), F.col("first.practitioner")
+    return [
+        _check("practitioner_name", known & is_blank("first.practitioner_name"), who),
+        _check("practitioner_code", known & is_blank("first.tz_mct_code"), who),
+    ]
+
+
+def _row_rules() -> list[Column]:
+    return [_check("no_disease", F.col("disease_rows") == 0), _check("no_item", F.col("item_rows") == 0)]
+
+
+def _total_rule() -> list[Column]:
+    total = F.coalesce(money("total_amount"), F.lit(0))
+    return [_check("total_amount", total != F.coalesce("item_total", F.lit(0)))]
+
+
+def _appointment_rules() -> list[Column]:
+    found, name = F.col("has_appointment"), F.col("patient_appointment")
+    return [
+        _check("authorization_no", found & differs("authorization_no", F.col("authorization_number")), name),
+        _check("cardno", found & differs("cardno", F.col("coverage_plan_card_number")), name),
+    ]
+
+
+def _insurer_rule() -> list[Column]:
+    insurer = F.col("insurance_company")
+    return [_check("other_insurer", insurer.isin(*OTHER_INSURERS), insurer)]
+
+
+def _draft_rule() -> list[Column]:
+    return [
+        _check(
+            "duplicate_draft", (F.col("docstatus") == 0) & (F.col("drafts") > 1), F.col("patient_appointment")
+        )
+    ]
+
+
+def _period_rule() -> list[Column]:
+    month, year = F.col("submit_claim_month"), F.col("submit_claim_year")
+    unset = (F.coalesce(month, F.lit(0)) == 0) & (F.coalesce(year, F.lit(0)) == 0)
+    other = differs("claim_month", month) | differs("claim_year", year)
+    period = F.concat_ws("-", F.col("claim_year").cast("string"), F.col("claim_month").cast("string"))
+    return [_check("no_submission_period", unset, period), _check("submission_period", ~unset & other, period)]
+
+
+def _signature_rule() -> list[Column]:
+    missing = ~is_blank("header_patient") & is_blank("patient_signature")
+    return [_check("patient_signature", missing, F.col("header_patient"))]
+
+
+def _merge_rules() -> list[Column]:
+    appointments, claims = F.col("appointments"), F.col("open_claims")
+    return [
+        _check("merge_claims", claims > 1, claims),
+        _check("merge_appointments", (appointments > 1) & (F.col("merged_here") < appointments), appointments),
+    ]
+
+
+def _report(facts: DataFrame, *rules: list[Column]) -> DataFrame:
+    checks = F.array(*[check for rule in rules for check in rule])
+    return facts.select("claim", F.explode(F.array_compact(checks)).alias("broken")).select("claim", "broken.*")
+
+
+def without_encounters(claims: DataFrame, t: Tables) -> DataFrame:
+    return _report(_encounter_facts(_rows(claims), claims, t), _encounter_rule())
+
+
+def without_final_encounters(claims: DataFrame, t: Tables) -> DataFrame:
+    return _report(_encounter_facts(_rows(claims), claims, t), _final_encounter_rule())
+
+
+def practitioner_violations(claims: DataFrame, t: Tables) -> DataFrame:
+    """First practitioner without a name, or without a council number."""
+    return _report(_encounter_facts(_rows(claims), claims, t), _practitioner_rules())
+
+
+def without_rows(claims: DataFrame, diseases: DataFrame, items: DataFrame) -> DataFrame:
+    """Claims without a disease row, and claims without an item row."""
+    return _report(_row_facts(_rows(claims), diseases, items), _row_rules())
+
+
+def total_violations(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """Total amount that is not the sum of the items' amounts, compared exactly."""
+    sums = items.groupBy(F.col("parent").alias("claim")).agg(F.sum(money("amount_claimed")).alias("item_total"))
+    return _report(_rows(claims).join(sums, "claim", "left"), _total_rule())
+
+
+def draft_items(items: DataFrame) -> DataFrame:
+    return items.filter(F.col("status") == "Draft").select(
+        *violation("parent", "draft_item", F.concat_ws(" ", F.col("idx").cast("string"), "ref_doctype", "item_name"))
+    )
+
+
+def appointment_mismatches(claims: DataFrame, t: Tables) -> DataFrame:
+    """Authorization or card number that differs from the appointment's."""
+    return _report(_appointment_facts(_rows(claims), t), _appointment_rules())
+
+
+def other_insurer_claims(claims: DataFrame, t: Tables) -> DataFrame:
+    return _report(_appointment_facts(_rows(claims), t), _insurer_rule())
+
+
+def duplicate_drafts(claims: DataFrame) -> DataFrame:
+    """Draft claims that share patient, appointment and card with another draft."""
+    return _report(_draft_facts(_rows(claims), claims), _draft_rule())
+
+
+def submission_period_violations(headers: DataFrame, t: Tables) -> DataFrame:
+    """Claims outside their company's submission month, or whose company has none set."""
+    return _report(_header_facts(headers, t), _period_rule())
+
+
+def missing_signatures(headers: DataFrame, t: Tables) -> DataFrame:
+    """No signature on the claim nor on its patient."""
+    return _report(_header_facts(headers, t), _signature_rule())
 
 
 def merge_needed(claims: DataFrame, t: Tables) -> DataFrame:
     """Claims that must be merged before they are submitted."""
-    several = F.col("appointments") > 1
-    checks = F.array(
-        F.when(F.col("open_claims") > 1, F.struct(F.lit("merge_claims").alias("rule"), F.col("open_claims").alias("n"))),
-        F.when(
-            several & (F.col("merged_here") < F.col("appointments")),
-            F.struct(F.lit("merge_appointments").alias("rule"), F.col("appointments").alias("n")),
-        ),
-    )
-    return (
-        _visits(claims, t)
-        .select("claim", F.explode(F.array_compact(checks)).alias("check"))
-        .select("claim", "check.rule", F.col("check.n").cast("string").alias("detail"))
-    )
+    return _report(_visit_facts(_rows(claims), claims, t), _merge_rules())
 
 
 def card_decisions(claims: DataFrame, t: Tables) -> DataFrame:
     """(claim, decision): whether the patient's card can be released."""
     complete = F.col("appointments") - 1 == F.greatest("merged", "open_claims")
     release = (F.col("appointments") <= 1) | complete
-    return _visits(claims, t).select("claim", F.when(release, "Release").otherwise("Hold").alias("decision"))
+    return _visit_facts(_rows(claims), claims, t).select(
+        "claim", F.when(release, "Release").otherwise("Hold").alias("decision")
+    )
 
 
 def claim_violations(
     claims: DataFrame, headers: DataFrame, diseases: DataFrame, items: DataFrame, t: Tables
 ) -> DataFrame:
-    """All rules over all claims."""
-    parts = [
-        without_encounters(claims, t),
-        without_final_encounters(claims, t),
-        practitioner_violations(claims, t),
-        without_rows(claims, diseases, items),
-        total_violations(claims, items),
-        draft_items(items),
-        appointment_mismatches(claims, t),
-        other_insurer_claims(claims, t),
-        duplicate_drafts(claims),
-        submission_period_violations(headers, t),
-        missing_signatures(headers),
-        merge_needed(claims, t),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All rules over all claims, from one row of facts per claim."""
+    facts = _visit_facts(_draft_facts(_appointment_facts(_rows(claims), t), claims), claims, t)
+    facts = _row_facts(_encounter_facts(facts, claims, t), diseases, items).join(
+        _header_facts(headers, t), "claim", "left"
+    )
+    per_claim = _report(
+        facts,
+        _encounter_rule(),
+        _final_encounter_rule(),
+        _practitioner_rules(),
+        _row_rules(),
+        _total_rule(),
+        _appointment_rules(),
+        _insurer_rule(),
+        _draft_rule(),
+        _period_rule(),
+        _signature_rule(),
+        _merge_rules(),
+    )
+    return per_claim.unionByName(draft_items(items))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import clock, is_blank, joined, non_blank, violation
@@ -29,6 +29,10 @@ def _appointment_set(claims: DataFrame) -> DataFrame:
     return claims.select(F.col("name").alias("claim"), F.explode(appointments).alias("appointment"))
 
 
+def _is_final() -> Column:
+    return (F.col("duplicated") == 0) & (F.col("encounter_type") == "Final")
+
+
 def submitted_encounters(claims: DataFrame, t: Tables) -> DataFrame:
     """(claim, encounter, ...) of the claim's appointments, without the order number."""
     encounters = t.patient_encounter.filter(F.col("docstatus") == 1).select(
@@ -38,6 +42,7 @@ def submitted_encounters(claims: DataFrame, t: Tables) -> DataFrame:
         "creation",
         "modified",
         "practitioner",
+        _is_final().alias("is_final"),
     )
     return _appointment_set(claims).join(encounters, "appointment").drop("appointment")
 
@@ -50,9 +55,7 @@ def claim_encounters(claims: DataFrame, t: Tables) -> DataFrame:
 
 def final_encounters(claims: DataFrame, t: Tables) -> DataFrame:
     """Submitted, not duplicated encounters of type ``Final``, without the order number."""
-    finals = t.patient_encounter.filter(
-        (F.col("docstatus") == 1) & (F.col("duplicated") == 0) & (F.col("encounter_type") == "Final")
-    ).select("appointment", F.col("name").alias("encounter"), "practitioner", "inpatient_record", "modified")
+    finals = t.patient_encounter.filter((F.col("docstatus") == 1) & _is_final()).select("appointment", F.col("name").alias("encounter"), "practitioner", "inpatient_record", "modified")
     return _appointment_set(claims).join(finals, "appointment").drop("appointment")
 
 

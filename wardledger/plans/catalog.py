@@ -200,7 +200,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "v8_other_insurers": lambda t: V.other_insurer_claims(t.insurance_claim, t),
     "v9_duplicate_drafts": lambda t: V.duplicate_drafts(t.insurance_claim),
     "v10_submission_period": lambda t: V.submission_period_violations(_headers(t), t),
-    "v11_missing_signatures": lambda t: V.missing_signatures(_headers(t)),
+    "v11_missing_signatures": lambda t: V.missing_signatures(_headers(t), t),
     "v12_merge_needed": lambda t: V.merge_needed(t.insurance_claim, t),
     "v13_card_decisions": lambda t: V.card_decisions(t.insurance_claim, t),
     "v_claim_violations": lambda t: V.claim_violations(
