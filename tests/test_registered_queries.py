@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import compare, duck
+from wardledger.sources.schemas import REVENUE
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -43,13 +44,19 @@ def test_every_survey_operator_is_registered():
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_matches_sql(spark, con, name):
-    rows, expected, difference = compare(spark, con, SF, name, QUERIES[name], ORACLE[name])
-    assert difference is None
-    assert rows == expected > 0
+    built = []
 
+    def query(session, sf_dir):
+        built.append(QUERIES[name](session, sf_dir))
+        return built[0]
 
-@pytest.mark.parametrize("name", ["r10_revenue_report", "c5_inpatient_lines", "v12_merge_needed", "s4_order_headers", "t5_stay_removals"])
-def test_plan_has_no_python_and_no_cross_join(spark, name):
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows, expected, difference = compare(spark, con, SF, name, query, ORACLE[name])
+    assert difference is None
+    assert rows == expected > 0
+    plan = built[0]._jdf.queryExecution().executedPlan().toString()
     for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
+
+
+def test_entry_has_the_report_columns(spark):
+    assert entry.entry(spark).columns == [f.name for f in REVENUE.fields]
