@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardledger.llm.decontaminate import contamination_report
 from wardledger.llm.langid import language_report
+from wardledger.llm.near_duplicates import duplicate_report
 from wardledger.llm.secrets import secret_report
 
 
@@ -23,9 +24,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op4_language, op10_contamination)}
+    return {q.__name__: q for q in (op1_secrets, op4_language, op6_near_duplicates, op10_contamination)}
