@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from wardledger.llm.decontaminate import contamination_report
 from wardledger.llm.langid import language_report
 from wardledger.llm.near_duplicates import duplicate_report
+from wardledger.llm.packing import packing_report
 from wardledger.llm.secrets import secret_report
 
 
+def tokenizer() -> str:
+    """The vocabulary file, installed beside the tokenizer library on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,9 +36,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op4_language, op6_near_duplicates, op10_contamination)}
+    return {q.__name__: q for q in (op1_secrets, op4_language, op6_near_duplicates, op8_packing, op10_contamination)}
