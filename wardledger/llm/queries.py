@@ -10,6 +10,7 @@ from wardledger.llm.decontaminate import contamination_report
 from wardledger.llm.langid import language_report
 from wardledger.llm.near_duplicates import duplicate_report
 from wardledger.llm.packing import packing_report
+from wardledger.llm.pseudonyms import pseudonym_report
 from wardledger.llm.secrets import secret_report
 
 
@@ -20,6 +21,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Equal values get equal pseudonyms wherever the same key is used; production runs bring their own.
+DEMONSTRATION_KEY = "demonstration key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +33,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym_report(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -45,4 +54,4 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op4_language, op6_near_duplicates, op8_packing, op10_contamination)}
+    return {q.__name__: q for q in (op1_secrets, op3_pseudonyms, op4_language, op6_near_duplicates, op8_packing, op10_contamination)}
