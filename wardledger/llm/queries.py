@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardledger.llm.decontaminate import contamination_report
 from wardledger.llm.langid import language_report
+from wardledger.llm.language_model import score_report
 from wardledger.llm.near_duplicates import duplicate_report
 from wardledger.llm.packing import packing_report
 from wardledger.llm.pseudonyms import pseudonym_report
@@ -33,6 +34,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_report(table(spark, sf_dir, "documents"))
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym_report(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
 
@@ -54,4 +59,4 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op3_pseudonyms, op4_language, op6_near_duplicates, op8_packing, op10_contamination)}
+    return {q.__name__: q for q in (op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op6_near_duplicates, op8_packing, op10_contamination)}
