@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardledger.llm.batches import key_groups
 from wardledger.llm.components import connected_components
 from wardledger.llm.words import BLANKS, chunks, mixed, runs_hashes, utf8, word_hashes
 from wardledger.session import Workspace
@@ -197,7 +198,7 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, banding:
     least = _closeness(banding, percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ("key", "i", "j")):
+        for rows in key_groups(batches, ("key", "i", "j")):
             outside = np.array(rows.column("outside").to_pylist(), bool)
             node, root = (np.array(rows.column(c).to_pylist(), object) for c in ("node", "root"))
             n = np.array(rows.column("n").to_pylist())
@@ -218,25 +219,6 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, banding:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each key, which stand together."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-        start = 0
-        for i in range(len(names) + 1):
-            if i == len(names) or names[i] != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if i < len(names):
-                    if held:
-                        yield pa.Table.from_batches(held).combine_chunks()
-                    held, last, start = [], names[i], i
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, run: int) -> DataFrame:
     """The pairs whose full sets are similar enough.
 

@@ -54,5 +54,34 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 """
 
 
+OP7 = """
+WITH doc AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+    lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT), 48, '0') AS address FROM documents
+), prefix AS (
+  SELECT depth, left(address, depth) AS shard_id, sum(n_bytes) AS bytes, count(*) AS n
+  FROM doc, range(0, 49) r(depth) GROUP BY ALL
+), shard AS (
+  SELECT d.doc_id, d.n_bytes, p.shard_id, p.depth, p.bytes,
+    row_number() OVER (PARTITION BY d.doc_id ORDER BY p.depth) AS place
+  FROM doc d JOIN prefix p ON p.shard_id = left(d.address, p.depth) WHERE p.bytes <= 67108864 OR p.n = 1
+)
+SELECT doc_id, n_bytes, shard_id, depth::INTEGER AS shard_depth, bytes > 67108864 AS oversized FROM shard WHERE place = 1
+"""
+
+OP9 = """
+WITH code AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS c FROM embeddings WHERE len(embedding) = 64
+), pair AS (
+  SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
+    len(list_filter(list_zip(q.c, n.c), lambda z: z[1] <> z[2]))::BIGINT AS distance
+  FROM code q, code n WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, neighbor_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pair
+) WHERE rank <= 10
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op6_near_duplicates": OP6, "op10_contamination": OP10}
+    return {"op6_near_duplicates": OP6, "op7_shards": OP7, "op9_nearest_codes": OP9, "op10_contamination": OP10}

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardledger.llm.decontaminate import contamination_report
+from wardledger.llm.hamming_search import search_report
 from wardledger.llm.langid import language_report
 from wardledger.llm.language_model import score_report
 from wardledger.llm.near_duplicates import duplicate_report
 from wardledger.llm.packing import packing_report
 from wardledger.llm.pseudonyms import pseudonym_report
 from wardledger.llm.secrets import secret_report
+from wardledger.llm.sharding import shard_report
 
 
 def tokenizer() -> str:
@@ -22,6 +24,8 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 64 << 20
 #: Equal values get equal pseudonyms wherever the same key is used; production runs bring their own.
 DEMONSTRATION_KEY = "demonstration key"
 
@@ -50,13 +54,21 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op9_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_report(table(spark, sf_dir, "embeddings"))
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op6_near_duplicates, op8_packing, op10_contamination)}
+    return {q.__name__: q for q in (op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op6_near_duplicates, op7_shards, op8_packing, op9_nearest_codes, op10_contamination)}
