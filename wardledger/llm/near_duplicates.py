@@ -46,7 +46,8 @@ class Banding(NamedTuple):
 
 
 _EMPTY_SLOT = np.uint64(2**64 - 1)
-_BLOCK = 512
+#: Texts, and elements of sets on average, in a block.
+_BLOCK, _BLOCK_ELEMENTS = 512, 1 << 20
 #: A verified pair has at least this share of equal signature slots but for a chance of some 1 in 10**4: 4 standard
 #: deviations below the threshold at 96 slots.
 _SLACK = 0.18
@@ -149,7 +150,7 @@ def _closeness(banding: Banding, percent: int) -> int:
 def _star_pairs(members: DataFrame, nodes: DataFrame, banding: Banding, percent: int) -> DataFrame:
     """Each member of a bucket with the bucket's smallest one, where sizes and signatures allow a link."""
     leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    pairs = members.join(leaders.select("key", "leader"), "key").filter("node != leader")
+    pairs = members.select("key", "node").join(leaders.select("key", "leader"), "key").filter("node != leader")
     pairs = pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     small = nodes.select("node", "n", "signature")
     pairs = pairs.join(small.toDF("a", "n_a", "signature_a"), "a").join(small.toDF("b", "n_b", "signature_b"), "b")
@@ -168,55 +169,104 @@ def _star_pairs(members: DataFrame, nodes: DataFrame, banding: Banding, percent:
     return pairs.mapInArrow(close, pairs.select("a", "b").schema)
 
 
-def _rest_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, banding: Banding, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket that sizes and signatures allow, except tested ones.
+def _rest_links(
+    members: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, banding: Banding, percent: int, run: int
+) -> DataFrame:
+    """Verified links between different components that share a bucket.
 
-    Members outside the largest component of their bucket meet all members, in blocks of bounded size.
+    Members outside the largest component of their bucket meet all members, in blocks of bounded size. A pair that
+    shares several buckets is compared in the first of its bands, and only if sizes and signatures allow a link;
+    of the links found in a block only those are returned that connect something new.
     """
-    labelled = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    labelled = members.join(roots, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
+    blocks_of = lambda rows, elements: F.ceil(F.greatest(rows / _BLOCK, elements / _BLOCK_ELEMENTS)).cast("int")
     mixed_buckets = (
         sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("parts"))
+        .agg(
+            F.max(F.struct("rows", "elements", "root")).alias("main"),
+            F.sum("rows").alias("rows"),
+            F.sum("elements").alias("elements"),
+            F.count("*").alias("parts"),
+        )
         .filter("parts > 1")
         .select(
             "key",
             F.col("main.root").alias("main"),
-            F.ceil(F.col("total") / _BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("total") - F.col("main.n")) / _BLOCK).cast("int").alias("outside_blocks"),
+            blocks_of(F.col("rows"), F.col("elements")).alias("blocks"),
+            blocks_of(F.col("rows") - F.col("main.rows"), F.col("elements") - F.col("main.elements")).alias("outside_blocks"),
         )
     )
-    rows = labelled.join(mixed_buckets, "key").join(nodes.select("node", "n", "signature"), "node")
+    space = Workspace(members.sparkSession)
+    rows = space.keep(labelled.join(mixed_buckets, "key"), "rows")
+    content = _texts_of(texts, rows.select("node")).withColumnRenamed("id", "node")
+    content = nodes.select("node", "n", "bands", "signature").join(content, "node")
     own = lambda blocks: F.pmod(F.xxhash64("node", "key"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    columns = ["key", "i", "j", "outside", "node", "root", "n", "signature"]
+    columns = ["key", "i", "j", "outside", "band", "node", "root"]
     outside = rows.filter("root != main").withColumn("outside", F.lit(True)).withColumn("i", own("outside_blocks"))
     outside = outside.withColumn("j", every("blocks")).select(columns)
     inside = rows.withColumn("outside", F.lit(False)).withColumn("j", own("blocks"))
     inside = inside.withColumn("i", every("outside_blocks")).select(columns)
-    blocks = outside.unionByName(inside).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = outside.unionByName(inside).join(content, "node")
+    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     least = _closeness(banding, percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_groups(batches, ("key", "i", "j")):
             outside = np.array(rows.column("outside").to_pylist(), bool)
-            node, root = (np.array(rows.column(c).to_pylist(), object) for c in ("node", "root"))
+            node, root = (rows.column(c).to_pylist() for c in ("node", "root"))
             n = np.array(rows.column("n").to_pylist())
             signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, banding.slots)
+            keys = np.array(rows.column("bands").to_pylist(), np.int64)
             left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
             good = matching_slots(signature[left], signature[right]) >= least
-            good &= root[left][:, None] != root[right][None, :]
+            for earlier in range(rows.column("band")[0].as_py()):
+                good &= keys[left, earlier][:, None] != keys[right, earlier][None, :]
             smaller = np.minimum(n[left][:, None], n[right][None, :])
             good &= 100 * smaller >= percent * np.maximum(n[left][:, None], n[right][None, :])
             x, y = np.nonzero(good)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[left[x]].tolist(), rows.schema.field("node").type), pa.array(node[right[y]].tolist(), rows.schema.field("node").type)],
-                ["a", "b"],
-            )
+            texts, sets = rows.column("text"), {}
+            name: dict = {}  # of components that links of this block have joined
+
+            def top(c):
+                while c in name:
+                    c = name[c]
+                return c
+
+            def set_of(place):
+                if place not in sets:
+                    sets[place] = shingle_sets([(texts[place].as_py() or "").encode()], run)[0]
+                return sets[place]
+
+            links = []
+            for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+                a, b = top(root[p]), top(root[q])
+                if a != b and _similar(set_of(p), set_of(q), percent):
+                    name[max(a, b)] = min(a, b)
+                    links.append((node[p], node[q]))
+            kind = rows.schema.field("node").type
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], kind) for i in (0, 1)], ["a", "b"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    pairs = blocks.mapInArrow(compare, f"a {kind}, b {kind}")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return blocks.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is among the nodes, and few others, without a shuffle of texts.
+
+    The ids' hashes set bits in at most 2**20 words of 64 bits, which every task gets.
+    """
+    hashed = lambda c: F.xxhash64(c).alias("hash")
+    word, bit = "pmod(hash, 1048576)", "shiftleft(1L, cast(pmod(shiftright(hash, 20), 64) as int))"
+    bits = nodes.select(hashed("node")).groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    rows = texts.withColumn("hash", F.xxhash64("id")).withColumn("word", F.expr(word))
+    return rows.join(F.broadcast(bits), "word").filter(F.expr(f"(bits & {bit}) != 0")).select("id", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, run: int) -> DataFrame:
@@ -232,7 +282,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, run: int) -> Data
     heads = places.select(
         F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role")
     )
-    rows = docs.join(members.unionByName(heads), "id").repartition("b", "place").sortWithinPartitions("b", "place", "role")
+    dealt = members.unionByName(heads)
+    rows = _texts_of(docs, dealt.select(F.col("id").alias("node"))).join(dealt, "id").repartition("b", "place").sortWithinPartitions("b", "place", "role")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, place = np.empty(0, np.uint64), None
@@ -245,8 +296,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, run: int) -> Data
                     if roles[i] == 0:
                         head, place = found, (heads[i], places[i])
                     elif place == (heads[i], places[i]):
-                        common = len(np.intersect1d(head, found, assume_unique=True))
-                        if 100 * common >= percent * (len(head) + len(found) - common):
+                        if _similar(head, found, percent):
                             good.append(i)
             kind = batch.schema.field("id").type
             yield pa.RecordBatch.from_arrays(
@@ -274,17 +324,13 @@ def near_duplicates(
         F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     nodes = space.keep(classes, "nodes")
-    members = nodes.select(F.explode("bands").alias("key"), "node")
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "n")
     pairs = space.keep(_star_pairs(members, nodes, banding, percent), "star-pairs")
     links = space.keep(_verified(pairs, texts, percent, run), "star-links")
     roots = connected_components(links, space)
-    rest = _rest_pairs(members, nodes, roots, banding, percent)
-    tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = space.keep(rest.join(tested, ["a", "b"], "left_anti"), "rest-pairs")
-    if not rest.isEmpty():
-        more = space.keep(_verified(rest, texts, percent, run), "rest-links")
-        if not more.isEmpty():
-            roots = connected_components(links.unionByName(more), Workspace(docs.sparkSession))
+    more = space.keep(_rest_links(members, nodes, roots, texts, banding, percent, run), "rest-links")
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more), Workspace(docs.sparkSession))
     groups = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     found = rows.select("id", "n", "digest").join(groups, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
