@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,13 +88,3 @@ class Workspace:
 
     def __exit__(self, *_) -> None:
         self.close()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Gives executors this package's code, for sessions whose workers don't have it installed."""
-    context = spark.sparkContext
-    if not any(f.endswith("/wardledger.zip") for f in context.listFiles):
-        folder = tempfile.mkdtemp(prefix="wardledger-code-")  # Spark serves the archive from here
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        package = Path(__file__).resolve().parent
-        context.addPyFile(shutil.make_archive(f"{folder}/wardledger", "zip", package.parent, package.name))
