@@ -15,6 +15,7 @@ from wardledger.llm.packing import packing_report
 from wardledger.llm.pseudonyms import pseudonym_report
 from wardledger.llm.secrets import secret_report
 from wardledger.llm.sharding import shard_report
+from wardledger.llm.transcripts import transcript_report
 
 
 def tokenizer() -> str:
@@ -50,6 +51,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript_report(table(spark, sf_dir, "conversations"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -71,4 +76,4 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op6_near_duplicates, op7_shards, op8_packing, op9_nearest_codes, op10_contamination)}
+    return {q.__name__: q for q in (op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op5_transcripts, op6_near_duplicates, op7_shards, op8_packing, op9_nearest_codes, op10_contamination)}
