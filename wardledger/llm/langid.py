@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its subwords, which are the byte n-grams within its words (with the
 blanks at their borders) hashed into ``2**BITS`` rows; a linear softmax of the mean gives the languages'
 probabilities. Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows: the ``rows_per_language`` rows of each language with the smallest hash of their id. A fifth of the
+labelled rows: about ``rows_per_language`` rows of each language, those with the smallest hashes. A fifth of the
 sample is held back to fit the softmax's temperature and the probability below which a text is rejected.
 
 Nothing but the text enters a prediction. A null text, and one without a letter, is ``und`` with score 0 and
@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,12 +132,15 @@ def train(
 
 
 def _sampled(rows: DataFrame, rows_per_language: int) -> DataFrame:
-    """The rows of the sample: for each language those whose id has one of the smallest hashes."""
-    order = Window.partitionBy("lang").orderBy("order", "id")
-    ranked = rows.select("lang", "order", "id").withColumn("rank", F.row_number().over(order))
-    last = ranked.filter(F.col("rank") <= rows_per_language).groupBy("lang").agg(F.max("order").alias("last"))
-    cut = F.create_map(*[F.lit(x) for r in last.collect() for x in r])  # one entry a language
-    return rows.filter(F.col("order") <= cut[F.col("lang")])
+    """About ``rows_per_language`` rows of each language, all of smaller ones: those with the smallest hashes.
+
+    The share follows from the language's row count, so no rows are ranked; of equal rows one is taken.
+    """
+    counts = rows.groupBy("lang").count().collect()  # one row a language
+    span = 2.0**64
+    limits = {r["lang"]: min(2.0**63, -(2.0**63) + span * rows_per_language / r["count"]) for r in counts}
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
+    return rows.filter(F.col("order").cast("double") <= limit).dropDuplicates(["order"])
 
 
 def fit(
@@ -149,8 +152,7 @@ def fit(
 ) -> Model | None:
     """A model from labelled rows; those without a language or a letter are left out. None without any."""
     rows = labelled.select(
-        F.xxhash64(F.col(id_column)).alias("order"),
-        F.col(id_column).cast("string").alias("id"),
+        F.xxhash64(F.col(id_column).cast("string"), F.col(text_column)).alias("order"),
         F.col(lang_column).cast("string").alias("lang"),
         F.col(text_column).alias("text"),
     ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -194,6 +196,21 @@ def detect_language(docs: DataFrame, model: Model | None, id_column: str = "doc_
     return rows.mapInArrow(label, schema).withColumnRenamed("id", id_column)
 
 
+def identified(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(text_column))
+            kept = np.zeros(len(texts), bool)
+            for start, end in chunks(texts) if model else ():
+                languages, scores = predict(model, texts[start:end])
+                kept[start:end] = (scores >= model.threshold) & (np.array(languages, object) != UNKNOWN)
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def remainder(column: Column, divisor: int) -> Column:
     """The row's fold: crc32 of the id as text, modulo ``divisor``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % divisor
