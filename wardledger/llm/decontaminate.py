@@ -179,14 +179,20 @@ def find_contamination(
     text_column: str = "text",
     item_column: str = "item_id",
     block_bytes: int = 8 << 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_words``, ``spans`` (word ranges inside windows), ``items``."""
+    """One row per row of ``docs``: its id (or the columns ``carry``), and what it holds of the benchmark.
+
+    ``n_words``, ``spans`` (ranges of words inside windows, end exclusive) and ``items`` (sorted ids as text).
+    """
     spark: SparkSession = docs.sparkSession
     space = Workspace(spark)
     pieces = space.keep(_pieces(benchmark, item_column, text_column, n), "pieces")
     size = pieces.agg(F.sum(F.length("words") + 64)).first()[0] or 0
     blocks = 1 + size // block_bytes
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    carry = carry or (id_column,)
+    carried = [f"c{i}" for i in range(len(carry))]
+    texts = docs.select(F.col(text_column).alias("text"), *[F.col(c).alias(a) for c, a in zip(carry, carried, strict=True)])
     if blocks > 1:
         texts = texts.withColumn("row", F.monotonically_increasing_id())
     found = []
@@ -204,13 +210,13 @@ def find_contamination(
             one = one.unionByName(more)
         # A row has as many parts as there are blocks.
         one = one.groupBy("row").agg(
-            F.first("id").alias("id"),
+            *[F.first(c).alias(c) for c in carried],
             F.first("n_words").alias("n_words"),
             _union_of(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
         found = [one.drop("row")]
-    return found[0].withColumnRenamed("id", id_column)
+    return found[0].withColumnsRenamed(dict(zip(carried, carry, strict=True)))
 
 
 def _union_of(spans):
@@ -230,42 +236,41 @@ def _union_of(spans):
 
 def _marked(texts: DataFrame, index: Windows) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kept = [c for c in texts.columns if c != "text"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = utf8(batch.column("text"))
             hits = [h for a, b in chunks(rows) for h in find_windows(rows[a:b], index)]
-            columns = {
-                "id": batch.column("id"),
+            columns = {c: batch.column(c) for c in kept} | {
                 "n_words": pa.array([h.n_words for h in hits], pa.int64()),
                 "spans": pa.array([[{"start": s, "end": e} for s, e in h.spans] for h in hits], pa.list_(span)),
                 "items": pa.array([h.items for h in hits], pa.list_(pa.string())),
             }
-            if "row" in batch.schema.names:
-                columns["row"] = batch.column("row")
             yield pa.RecordBatch.from_pydict(columns)
 
-    kept = [f for f in texts.schema.fields if f.name == "row"]
     spans = T._parse_datatype_string("array<struct<start:long,end:long>>")
     fields = [
-        texts.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("spans", spans),
-        T.StructField("items", T.ArrayType(T.StringType())), *kept,
+        *(texts.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("spans", spans),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
     return texts.mapInArrow(mark, T.StructType(fields))
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Hit words and items of each document; contaminated where a twentieth of its words is hit."""
+def with_verdict(found: DataFrame) -> DataFrame:
+    """Adds ``n_hit`` (words inside windows) and ``contaminated``: a twentieth of the words is hit, one at least."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return (
-        find_contamination(docs, benchmark)
-        .withColumn("n_hit", hit)
-        .select(
-            "doc_id",
-            "n_words",
-            "n_hit",
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-            ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        )
+    found = found.withColumn("n_hit", hit)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Hit words and items of each document."""
+    return with_verdict(find_contamination(docs, benchmark)).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
     )
