@@ -93,9 +93,10 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def train(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = 16, epochs: int = 4, reject_share: float = 0.001
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = 16, steps: int = 10_000, reject_share: float = 0.001
 ) -> Model:
-    """Fits a model to texts given as (subword hashes, their shares); every fifth row calibrates it."""
+    """Fits a model to texts given as (subword hashes, their shares) in about ``steps`` steps; every fifth row
+    calibrates it."""
     languages = sorted(set(labels))
     answer = np.array([languages.index(x) for x in labels])
     random = np.random.default_rng(7)
@@ -104,6 +105,7 @@ def train(
     squares, w_squares, b_squares = np.full(1 << BITS, 1e-8, np.float32), np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)
     order = np.arange(len(rows))
     fitted = order[order % 5 != 4]
+    epochs = max(1, round(steps / max(len(fitted), 1)))
     for epoch in range(epochs):
         rate = 0.1 * (1 - epoch / epochs)
         for i in random.permutation(fitted):
@@ -134,9 +136,9 @@ def train(
 def _sampled(rows: DataFrame, rows_per_language: int) -> DataFrame:
     """About ``rows_per_language`` rows of each language, all of smaller ones: those with the smallest hashes.
 
-    The share follows from the language's row count, so no rows are ranked; of equal rows one is taken.
+    The share follows from the language's number of different rows, so none are ranked; of equal rows one is taken.
     """
-    counts = rows.groupBy("lang").count().collect()  # one row a language
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("count")).collect()  # one row a language
     span = 2.0**64
     limits = {r["lang"]: min(2.0**63, -(2.0**63) + span * rows_per_language / r["count"]) for r in counts}
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
