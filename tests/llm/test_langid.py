@@ -24,7 +24,7 @@ def test_held_out_documents_are_recognized(docs):
 
 
 def test_odd_rows(docs):
-    rows = [*corpus(120), (500, None), (501, ""), (502, "12 34 !!"), (None, "the thing", None), (503, "é" * 200_000)]
+    rows = [*corpus(120), (500, None), (501, ""), (502, "12 34 !!"), (None, "the thing", None), (503, "éeau lesque " * 30_000, None)]
     model = fit(docs(*rows))
     assert model == model and set(model.languages) == {"en", "de", "fr"}
     found = {r["doc_id"]: r for r in detect_language(docs(*rows), model).collect()}

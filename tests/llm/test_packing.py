@@ -26,6 +26,16 @@ def test_words_give_the_ids_of_the_whole_text(plain_tokenizer, text):
     assert got == plain_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(words=st.lists(st.text(alphabet=st.sampled_from("aBÉßeXĲİǅ.,;'#|-<>\u0301\u0130ſKk1ά"), min_size=1, max_size=8), max_size=6))
+def test_words_of_letters_and_punctuation(plain_tokenizer, words):
+    encoder = WordEncoder.load(tokenizer())
+    assert encoder.splits
+    text = " ".join(words)
+    got = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
+    assert got == plain_tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_forgetting_words_changes_nothing(plain_tokenizer, words):
     encoder = WordEncoder(tokenizer(), most=20)
     texts = [" ".join(words(50, seed=i)) for i in range(5)]

@@ -36,20 +36,29 @@ _SLOT_ROWS = 10_000
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins what it separates.
 
-    Words seen before are looked up; new ones are encoded together, a separator between them. At most ``most`` words
-    are remembered, whatever the texts hold.
+    Words seen before are looked up; new ones are encoded together, a separator between them. If the tokenizer
+    proves to ignore case and to part letters from punctuation, a new word of letters and trailing punctuation takes
+    the ids of its lower-cased letters and of its punctuation. At most about ``most`` words are remembered, whatever
+    the texts hold.
     """
 
     _SEPARATOR = "\0"
+    #: Punctuation without the apostrophe, which tokenizers join with letters, and what delimits special tokens.
+    _TRAILING = ".,;:!?#$%&*()[]{}+=/-\""
+    #: Below this character, lower-casing is a matter of single letters.
+    _SIMPLE = "\u0130"
     _loaded: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[bytes, bytes] = {}
-        self.separator = self.tokenizer.encode(self._SEPARATOR, add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {}  # by word
+        self.parts: dict[str, bytes] = {}  # by what a word is made of
+        self.separator = self._encode(self._SEPARATOR).tolist()
+        same = lambda a, *b: self._encode(a).tolist() == [i for x in b for i in self._encode(x).tolist()]
+        self.splits = same("Abc.,", "abc", ".,") and same("XÉ#", "xé", "#") and same("a b", "a", "b")
 
     @classmethod
     def load(cls, path: str) -> WordEncoder:
@@ -61,38 +70,61 @@ class WordEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        joined = [w for w in words if b"\0" not in w]
-        ids = self._encode(f" {self._SEPARATOR} ".join(w.decode("utf-8", "replace") for w in joined))
+    def _parts(self, word: str) -> tuple[str, ...]:
+        if self.splits:
+            letters = word.rstrip(self._TRAILING)
+            if letters.isalpha() and max(letters) < self._SIMPLE:
+                return (letters.lower(), word[len(letters) :]) if len(letters) < len(word) else (letters.lower(),)
+        return (word,)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > self.most:
+            self.known.clear()
+            self.parts.clear()
+        made = {word: self._parts(word.decode("utf-8", "replace")) for word in words}
+        new = list({p for parts in made.values() for p in parts} - self.parts.keys())
+        joined = [p for p in new if self._SEPARATOR not in p]
+        ids = self._encode(f" {self._SEPARATOR} ".join(joined))
         ends = [*np.flatnonzero(ids == self.separator[0]).tolist(), len(ids)]
         if len(self.separator) != 1 or len(ends) != len(joined):
-            joined = []  # a tokenizer that treats the separator otherwise: word by word
-        start = 0
-        for word, end in zip(joined, ends, strict=False):
-            self.known[word] = ids[start:end].tobytes()
+            joined = []  # a tokenizer that treats the separator otherwise: one by one
+        start, data = 0, ids.tobytes()
+        for part, end in zip(joined, ends, strict=False):
+            self.parts[part] = data[4 * start : 4 * end]
             start = end + 1
-        for word in words if not joined else (w for w in words if b"\0" in w):
-            self.known[word] = self._encode(word.decode("utf-8", "replace")).tobytes()
+        for part in new:
+            if part not in self.parts:
+                self.parts[part] = self._encode(part).tobytes()
+        for word, parts in made.items():
+            self.known[word] = b"".join([self.parts[p] for p in parts])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         out = []
-        for text in texts:
-            parts, at = [], 0
-            while at < len(text):  # long texts in steps that end between words
-                end = min((i for i in (text.find(b" ", at + (1 << 20)), text.find(b"\n", at + (1 << 20))) if i >= 0), default=len(text))
-                words = text[at:end].split()
-                if new := {w for w in words if w not in self.known}:
-                    if len(self.known) + len(new) > self.most:
-                        self.known.clear()
-                        new = set(words)
-                    self._learn(sorted(new))
-                parts += [self.known[w] for w in words]
-                at = end
-            out.append(b"".join(parts))
+        for a, b in chunks(texts):
+            steps = [_steps(text) for text in texts[a:b]]
+            words = [step.split() for text in steps for step in text]
+            whole = set().union(*words)
+            # The words of the chunk itself stay known until it is done.
+            if new := whole - self.known.keys():
+                self._learn(new if len(self.known) + len(new) <= self.most else whole)
+            known = self.known
+            encoded = iter([b"".join([known[w] for w in step]) for step in words])
+            out += [b"".join([next(encoded) for _ in text]) for text in steps]
         return out
 
 
+def _steps(text: bytes, size: int = 1 << 20) -> list[bytes]:
+    """A text in parts of about ``size`` bytes that end before a blank or a line's end."""
+    out, at = [], 0
+    while at < len(text):
+        ends = (i for i in (text.find(b" ", at + size), text.find(b"\n", at + size)) if i >= 0)
+        end = min(ends, default=len(text))
+        out.append(text[at:end])
+        at = end
+    return out
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
