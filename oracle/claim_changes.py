@@ -80,16 +80,16 @@ QUERIES["m2_merged_claims"] = """
 SELECT * REPLACE (CAST(attendance_date AS varchar) AS attendance_date) FROM merge_group WHERE claims > 1"""
 QUERIES["m2_single_claims"] = "SELECT claim, 'merge' AS rule, patient AS detail FROM merge_group WHERE claims = 1"
 QUERIES["m3_original_snapshot"] = f"SELECT * EXCLUDE (name) {_TEXT_DATE} FROM claim_item"
-STEPS["early_names"] = """
-SELECT DISTINCT parent, unnest(string_split(ref_docname, ',')) AS reference FROM original_claim_item WHERE idx <= 3"""
+STEPS["original_names"] = """
+SELECT DISTINCT parent, unnest(string_split(ref_docname, ',')) AS reference FROM original_claim_item"""
 QUERIES["m4_missing_originals"] = f"""
 SELECT i.* EXCLUDE (name) {_TEXT_DATE} FROM claim_item i
-WHERE NOT EXISTS (SELECT 1 FROM early_names n WHERE n.parent = i.parent AND n.reference = i.ref_docname)"""
+WHERE NOT EXISTS (SELECT 1 FROM original_names n WHERE n.parent = i.parent AND n.reference = i.ref_docname)"""
 STEPS["once_tokens"] = "SELECT parent, item_code, unnest(string_split(ref_docname, ',')) AS reference FROM item_once"
 QUERIES["m4_missing_originals_by_name"] = f"""
 SELECT i.* EXCLUDE (name) {_TEXT_DATE} FROM item_once i
 WHERE EXISTS (SELECT 1 FROM once_tokens k WHERE k.parent = i.parent AND k.item_code = i.item_code
-  AND NOT EXISTS (SELECT 1 FROM early_names n WHERE n.parent = k.parent AND n.reference = k.reference))"""
+  AND NOT EXISTS (SELECT 1 FROM original_names n WHERE n.parent = k.parent AND n.reference = k.reference))"""
 
 STEPS["seen_ref"] = """
 SELECT DISTINCT o.parent AS claim, coalesce(o.ref_docname, '') AS reference FROM original_once o

@@ -55,16 +55,18 @@ SELECT DISTINCT h.patient, h.patient_appointment, h.cardno, k.appointment FROM h
 JOIN insurance_claim c ON c.name = h.name WHERE coalesce(c.claim_appointment_list, '') NOT IN ('', '[]')"""
 STEPS["visit_app"] = "SELECT * FROM patient_appointment WHERE status <> 'Cancelled'"
 STEPS["claim_visit_app"] = """
-SELECT c.name AS claim, v.name AS appointment FROM insurance_claim c JOIN visit_app v ON v.patient = c.patient
-  AND v.appointment_date = c.attendance_date AND v.coverage_plan_card_number = c.cardno
-  AND v.coverage_plan_name = c.coverage_plan_name"""
+SELECT c.name AS claim, v.name AS appointment FROM insurance_claim c JOIN visit_app v ON v.patient IS NOT DISTINCT FROM c.patient
+  AND v.appointment_date IS NOT DISTINCT FROM c.attendance_date AND v.coverage_plan_card_number IS NOT DISTINCT FROM c.cardno
+  AND v.coverage_plan_name IS NOT DISTINCT FROM c.coverage_plan_name"""
 STEPS["claim_held_app"] = """
 SELECT c.name AS claim, m.appointment FROM insurance_claim c JOIN held_app m
-  ON m.patient = c.patient AND m.patient_appointment = c.patient_appointment AND m.cardno = c.cardno"""
+  ON m.patient IS NOT DISTINCT FROM c.patient AND m.patient_appointment IS NOT DISTINCT FROM c.patient_appointment
+  AND m.cardno IS NOT DISTINCT FROM c.cardno"""
 STEPS["visits"] = """
 SELECT c.name AS claim, coalesce(h.open_claims, 0) AS open_claims, coalesce(v.n, 0) AS appointments,
        coalesce(m.n, 0) AS merged, coalesce(b.n, 0) AS merged_here
-FROM insurance_claim c LEFT JOIN held_group h ON h.patient = c.patient AND h.patient_appointment = c.patient_appointment AND h.cardno = c.cardno
+FROM insurance_claim c LEFT JOIN held_group h ON h.patient IS NOT DISTINCT FROM c.patient AND h.patient_appointment IS NOT DISTINCT FROM c.patient_appointment
+  AND h.cardno IS NOT DISTINCT FROM c.cardno
 LEFT JOIN (SELECT claim, count(*) AS n FROM claim_visit_app GROUP BY claim) v ON v.claim = c.name
 LEFT JOIN (SELECT claim, count(*) AS n FROM claim_held_app GROUP BY claim) m ON m.claim = c.name
 LEFT JOIN (SELECT a.claim, count(*) AS n FROM claim_visit_app a JOIN claim_held_app x ON x.claim = a.claim AND x.appointment = a.appointment
@@ -79,6 +81,9 @@ for _number, _name in enumerate(
      "appointment_mismatches", "other_insurers", "duplicate_drafts", "submission_period", "missing_signatures", "merge_needed"), 1
 ):
     QUERIES[f"v{_number}_{_name}"] = f"SELECT claim, rule, detail FROM v{_number}"
+QUERIES["v3_left_out_codes"] = """
+SELECT DISTINCT f.claim, 'practitioner_code' AS rule, f.practitioner AS detail
+FROM claim_final f JOIN healthcare_practitioner p ON p.name = f.practitioner WHERE coalesce(p.tz_mct_code, '') = ''"""
 QUERIES["v13_card_decisions"] = """
 SELECT claim, CASE WHEN appointments <= 1 OR appointments - 1 = greatest(merged, open_claims) THEN 'Release' ELSE 'Hold' END AS decision
 FROM visits"""

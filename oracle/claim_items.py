@@ -136,7 +136,7 @@ QUERIES["c8_price_violations"] = """
 SELECT claim, 'item_rate' AS rule, concat_ws(' ', ref_doctype, ref_docname, item_code) AS detail
 FROM (SELECT * FROM bed_line UNION ALL SELECT * FROM consult_line) WHERE unit_price IS NULL"""
 QUERIES["c8_rated_lines"] = f"""
-SELECT {_LINE} FROM (SELECT * FROM bed_line UNION ALL SELECT * FROM consult_line) WHERE unit_price IS NOT NULL"""
+SELECT {_LINE} FROM (SELECT * FROM bed_line UNION ALL SELECT * FROM consult_line)"""
 STEPS["numbered"] = f"""
 SELECT CAST(row_number() OVER (PARTITION BY claim ORDER BY ref_doctype NULLS FIRST, item_code NULLS FIRST,
          date_created NULLS FIRST, encounter_creation NULLS FIRST, patient_encounter NULLS FIRST,
@@ -149,6 +149,10 @@ QUERIES["c9_claim_lines"] = "SELECT * FROM numbered"
 QUERIES["c10_claim_totals"] = """
 SELECT parent AS claim, CAST(sum(CAST(unit_price * item_quantity AS decimal(18,4))) AS double) AS total_amount
 FROM claim_item GROUP BY parent"""
+QUERIES["c10_completed_diseases"] = """
+SELECT d.* REPLACE (CAST(coalesce(d.date_created, DATE '2002-03-04') AS varchar) AS date_created), h.folio_id,
+    sha256(concat_ws('|', d.claim, d.status, d.codification_table)) AS folio_disease_id
+FROM disease_rows d LEFT JOIN claim_header h ON h.name = d.claim"""
 QUERIES["c10_completed_items"] = """
 SELECT i.* REPLACE (i.unit_price * i.item_quantity AS amount_claimed,
     coalesce(nullif(i.folio_item_id, ''), sha256(concat_ws('|', i.parent, i.ref_doctype, i.ref_docname, i.idx))) AS folio_item_id,

@@ -101,7 +101,7 @@ SELECT * FROM delivery_note WHERE form_sales_invoice <> '' AND patient <> '' AND
 STEPS["diagnosis"] = """
 SELECT parent, medical_code || chr(10) || description AS medical_code FROM (
   SELECT *, row_number() OVER (PARTITION BY parent ORDER BY idx, name) AS rn FROM codification_table
-  WHERE parentfield = 'patient_encounter_final_diagnosis') WHERE rn = 1"""
+  WHERE parenttype = 'Patient Encounter' AND parentfield = 'patient_encounter_final_diagnosis') WHERE rn = 1"""
 STEPS["refused"] = """
 SELECT n.name AS note, 'no_medication' AS rule, d.item_code AS detail FROM dosed d JOIN note n ON n.name = d.parent WHERE d.drug_code IS NULL
 UNION ALL SELECT n.name, 'no_final_diagnosis', n.reference_name FROM note n WHERE n.reference_name NOT IN (SELECT parent FROM diagnosis)"""
@@ -120,8 +120,8 @@ FROM accepted a JOIN diagnosis g ON g.parent = a.encounter
 LEFT JOIN pharmacy p ON p.company = a.company AND p.warehouse = a.set_warehouse WHERE coalesce(a.reference_name, '') = ''"""
 QUERIES["s12_dispensed_prescriptions"] = "SELECT * FROM dispensed"
 STEPS["kept_drug"] = """
-SELECT d.* FROM drug_prescription d WHERE NOT (d.prescribe = 1 AND EXISTS (
+SELECT d.* FROM (SELECT * FROM drug_prescription UNION ALL BY NAME SELECT * FROM dispensed) d WHERE NOT (d.prescribe = 1 AND EXISTS (
   SELECT 1 FROM accepted a WHERE a.encounter = d.parent AND NOT EXISTS (
     SELECT 1 FROM accepted b WHERE b.parent = a.parent AND b.drug_code = d.drug_code)))"""
 QUERIES["s13_updated_prescriptions"] = """
-SELECT * REPLACE (CAST(modified AS varchar) AS modified) FROM (SELECT * FROM kept_drug UNION ALL BY NAME SELECT * FROM dispensed)"""
+SELECT * REPLACE (CAST(modified AS varchar) AS modified) FROM kept_drug"""

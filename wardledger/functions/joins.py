@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import col, non_blank
 
 NO_MATCH = "\u0001"
-SPREAD = 4096
 
 
 def spread_null(key: Column | str, row_id: Column | str) -> Column:
@@ -17,10 +18,16 @@ def spread_null(key: Column | str, row_id: Column | str) -> Column:
     An outer join sends every row without a key to the same partition. Here such rows are spread by
     a hash of the row's own name, which a retried task computes again.
     """
-    slot = F.pmod(F.xxhash64(col(row_id)), F.lit(SPREAD)).cast("string")
-    return F.coalesce(col(key), F.concat(F.lit(NO_MATCH), slot))
+    return F.coalesce(col(key), F.concat(F.lit(NO_MATCH), F.xxhash64(col(row_id)).cast("string")))
 
 
 def spread_blank(key: Column | str, row_id: Column | str) -> Column:
     """As ``spread_null``, for keys in which the empty string also means none."""
     return spread_null(non_blank(key), row_id)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which NULL keys are equal to each other, as they are in a group; keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])

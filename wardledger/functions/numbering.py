@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardledger.functions.joins import join_null_safe
 from wardledger.session import materialize
 
 
@@ -26,7 +27,7 @@ def number_within(
     ``row_number`` over the group would put the whole group into one task. Instead the rows are
     range-partitioned by group and order, so a large group covers several slices; a row's number is
     its number within its slice plus the group's rows in the slices before. The sliced rows are
-    checkpointed, because a recomputed range partitioning may cut elsewhere.
+    written once, because a recomputed range partitioning may cut elsewhere.
     """
     slices = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group_order = [F.col(k).asc_nulls_first() for k in keys]
@@ -40,7 +41,7 @@ def number_within(
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     )
     if after is not None:
-        offsets = offsets.join(after.select(*keys, "last_no"), keys, "left").withColumn(
+        offsets = join_null_safe(offsets, after.select(*keys, "last_no"), keys, "left").withColumn(
             "_before", F.col("_before") + F.coalesce("last_no", F.lit(0))
         )
     offsets = offsets.select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import differs, is_blank, money, violation
+from wardledger.functions.joins import join_null_safe
 from wardledger.operators import claim_header as H
 from wardledger.sources.tables import Tables
 
@@ -86,7 +87,7 @@ def _draft_facts(rows: DataFrame, claims: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("drafts"))
         .filter("drafts > 1")
     )
-    return rows.join(repeated, CLAIM_CARD, "left")
+    return join_null_safe(rows, repeated, CLAIM_CARD, "left")
 
 
 def _header_facts(headers: DataFrame, t: Tables) -> DataFrame:
@@ -127,17 +128,15 @@ def _visit_facts(rows: DataFrame, claims: DataFrame, t: Tables) -> DataFrame:
     ).distinct()
     merged_counts = listed.groupBy(*CLAIM_CARD).agg(F.count(F.lit(1)).alias("merged"))
     here = (
-        listed.join(appointments, ["appointment", "patient", "cardno"])
+        join_null_safe(listed, appointments, ["appointment", "patient", "cardno"])
         .groupBy(*CLAIM_CARD, "attendance_date", "coverage_plan_name")
         .agg(F.count(F.lit(1)).alias("merged_here"))
     )
-    return (
-        rows.join(appointment_counts, VISIT, "left")
-        .join(claim_counts, CLAIM_CARD, "left")
-        .join(merged_counts, CLAIM_CARD, "left")
-        .join(here, [*CLAIM_CARD, "attendance_date", "coverage_plan_name"], "left")
-        .fillna(0, ["appointments", "open_claims", "merged", "merged_here"])
-    )
+    rows = join_null_safe(rows, appointment_counts, VISIT, "left")
+    rows = join_null_safe(rows, claim_counts, CLAIM_CARD, "left")
+    rows = join_null_safe(rows, merged_counts, CLAIM_CARD, "left")
+    rows = join_null_safe(rows, here, [*CLAIM_CARD, "attendance_date", "coverage_plan_name"], "left")
+    return rows.fillna(0, ["appointments", "open_claims", "merged", "merged_here"])
 
 
 # Rules ---------------------------------------------------------------------------------------------------

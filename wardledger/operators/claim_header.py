@@ -193,28 +193,30 @@ def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     return shaped(with_period(header), CLAIM_HEADER)
 
 
+FOLIO_KEYS = ["company", "claim_year", "claim_month"]
+
+
 def folio_numbers(headers: DataFrame, counters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims with folio_no, new counters) per company and claim month, after the stored counters.
 
     A company's month may hold any share of the claims, so it is numbered in slices.
     """
-    keys = ["company", "claim_year", "claim_month"]
-    stored = counters.groupBy(*keys).agg(F.max("folio_no").alias("last_no"))
+    stored = counters.groupBy(*FOLIO_KEYS).agg(F.max("folio_no").alias("last_no"))
     claims = number_within(
-        headers.select(F.col("name").alias("claim"), *keys, "creation"),
-        keys,
+        headers.select(F.col("name").alias("claim"), *FOLIO_KEYS, "creation"),
+        FOLIO_KEYS,
         [F.col("creation").asc(), F.col("claim").asc()],
         "folio_no",
         after=stored,
     ).drop("creation")
-    latest = claims.groupBy(*keys).agg(F.max("folio_no").alias("folio_no"))
-    new_counters = (
-        stored.withColumnRenamed("last_no", "folio_no")
-        .unionByName(latest)
-        .groupBy(*keys)
-        .agg(F.max("folio_no").alias("folio_no"))
-    )
-    return claims, new_counters
+    return claims, folio_counters(headers, counters)
+
+
+def folio_counters(headers: DataFrame, counters: DataFrame) -> DataFrame:
+    """The counters after the claims were numbered: the last number and the claims since, without numbering them."""
+    stored = counters.groupBy(*FOLIO_KEYS).agg(F.max("folio_no").alias("folio_no"))
+    added = headers.groupBy(*FOLIO_KEYS).agg(F.count(F.lit(1)).cast("int").alias("folio_no"))
+    return stored.unionByName(added).groupBy(*FOLIO_KEYS).agg(F.sum("folio_no").cast("int").alias("folio_no"))
 
 
 def eligible_appointments(t: Tables) -> DataFrame:

@@ -63,7 +63,9 @@ def _note_items(t: Tables) -> DataFrame:
 
 def _first_diagnoses(t: Tables) -> DataFrame:
     """(encounter, medical_code): code and description of the first final diagnosis."""
-    finals = t.codification_table.filter(F.col("parentfield") == "patient_encounter_final_diagnosis")
+    finals = t.codification_table.filter(
+        (F.col("parenttype") == "Patient Encounter") & (F.col("parentfield") == "patient_encounter_final_diagnosis")
+    )
     text = F.concat(
         F.coalesce("first.medical_code", F.lit("None")), F.lit("\n"), F.coalesce("first.description", F.lit("None"))
     )
@@ -126,9 +128,11 @@ def dispensed_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def undelivered_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
+def undelivered_prescriptions(accepted: DataFrame, prescriptions: DataFrame) -> DataFrame:
     """Names of prescribed drug rows that a delivery note of their encounter did not deliver.
 
+    One rule for stored and for newly dispensed rows, whatever the order of the notes.
+
     Notes per encounter are compared with notes per (encounter, drug), so a row is joined with two
     counts and not with the notes.
     """
@@ -142,7 +146,7 @@ def undelivered_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
         .withColumnRenamed("encounter", "parent")
     )
     return (
-        t.drug_prescription.filter(F.col("prescribe") == 1)
+        prescriptions.filter(F.col("prescribe") == 1)
         .select("name", "parent", "drug_code")
         .join(notes, "parent")
         .join(deliveries, ["parent", "drug_code"], "left")
@@ -154,5 +158,5 @@ def undelivered_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
 def updated_prescriptions(t: Tables) -> DataFrame:
     """The new drug prescription table: undelivered rows out, dispensed rows in."""
     accepted = materialize(accepted_items(t))
-    kept = t.drug_prescription.join(undelivered_prescriptions(accepted, t), "name", "left_anti")
-    return kept.unionByName(dispensed_prescriptions(accepted, t), allowMissingColumns=True)
+    rows = t.drug_prescription.unionByName(dispensed_prescriptions(accepted, t), allowMissingColumns=True)
+    return rows.join(undelivered_prescriptions(accepted, rows), "name", "left_anti")

@@ -94,11 +94,6 @@ def _folio_fields(folios: DataFrame) -> DataFrame:
     )
 
 
-def _early_originals(t: Tables) -> DataFrame:
-    """Originals of which some are missing, as after a merge."""
-    return t.original_claim_item.filter(F.col("idx") <= 3)
-
-
 def _originals(t: Tables) -> DataFrame:
     return M.reconcile_items(t.original_claim_item)
 
@@ -139,7 +134,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "h7_claim_period": lambda t: _headers(t).select(F.col("name").alias("claim"), "claim_year", "claim_month"),
     "h8_claim_headers": lambda t: _headers(t),
     "h9_folio_numbers": lambda t: H.folio_numbers(_headers(t), t.folio_counter)[0],
-    "h9_folio_counters": lambda t: H.folio_numbers(_headers(t), t.folio_counter)[1],
+    "h9_folio_counters": lambda t: H.folio_counters(_headers(t), t.folio_counter),
     "h10_eligible_appointments": lambda t: H.eligible_appointments(t).select(
         "name", "patient", "insurance_company", "insurance_subscription", "nhif_patient_claim"
     ),
@@ -158,11 +153,12 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "c5_inpatient_lines": lambda t: C.inpatient_lines(t.insurance_claim, _records(t), t).select(*C.LINE_COLUMNS),
     "c6_consultation_lines": lambda t: C.consultation_lines(t.insurance_claim, _records(t), t).select(*C.LINE_COLUMNS),
     "c7_item_status": lambda t: P.with_status(P.prescriptions(t), t).select("name", "ref_doctype", "status"),
-    "c8_rated_lines": lambda t: _rated_lines(t).filter(F.col("unit_price").isNotNull()).select(*C.LINE_COLUMNS),
+    "c8_rated_lines": lambda t: _rated_lines(t).select(*C.LINE_COLUMNS),
     "c8_price_violations": lambda t: C.price_violations(_rated_lines(t)),
     "c9_claim_lines": lambda t: C.claim_lines(t.insurance_claim, t),
     "c10_completed_items": lambda t: C.completed_items(t.claim_item, _headers(t), RUN),
     "c10_claim_totals": lambda t: C.claim_totals(t.claim_item),
+    "c10_completed_diseases": lambda t: C.completed_diseases(D.claim_diseases(t.insurance_claim, t), _headers(t), RUN),
     "c11_clinical_notes": lambda t: N.clinical_notes(t.insurance_claim, _headers(t), t, RUN),
     "c11_missing_examination": lambda t: N.missing_examination(t.insurance_claim, t),
     "c12_folio_documents": lambda t: _folio_fields(_folios(t)),
@@ -173,9 +169,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "m2_merged_claims": lambda t: M.mergeable_claims(t.insurance_claim),
     "m2_single_claims": lambda t: M.single_claim_violations(t.insurance_claim),
     "m3_original_snapshot": lambda t: M.original_snapshot(t.claim_item),
-    "m4_missing_originals": lambda t: M.missing_originals(t.claim_item, _early_originals(t)),
+    "m4_missing_originals": lambda t: M.missing_originals(t.claim_item, t.original_claim_item),
     "m4_missing_originals_by_name": lambda t: M.missing_originals(
-        M.reconcile_items(t.claim_item, recompute_amount=True), _early_originals(t), token_match=True
+        M.reconcile_items(t.claim_item, recompute_amount=True), t.original_claim_item, token_match=True
     ),
     "t1_amount_changes": lambda t: G.amount_changes(_originals(t), t.claim_item),
     "t2_removed_originals": lambda t: _removed(t).select(
@@ -193,6 +189,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "v1_without_encounters": lambda t: V.without_encounters(t.insurance_claim, t),
     "v2_without_final_encounters": lambda t: V.without_final_encounters(t.insurance_claim, t),
     "v3_practitioners": lambda t: V.practitioner_violations(t.insurance_claim, t),
+    "v3_left_out_codes": lambda t: H.header_violations(t.insurance_claim, t),
     "v4_without_rows": lambda t: V.without_rows(t.insurance_claim, D.claim_diseases(t.insurance_claim, t), t.claim_item),
     "v5_total_amount": lambda t: V.total_violations(t.insurance_claim, t.claim_item),
     "v6_draft_items": lambda t: V.draft_items(t.claim_item),

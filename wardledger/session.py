@@ -1,8 +1,7 @@
-"""Session settings and the checkpoint folder."""
+"""Session settings and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,27 +24,6 @@ def build_session(app: str = "wardledger", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only in local mode without one."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="wardledger-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once for several later uses, in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir`` (or of ``setCheckpointDir``), which all executors share."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -88,3 +66,8 @@ class Workspace:
 
     def __exit__(self, *_) -> None:
         self.close()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once for several later uses, as a table in the shared folder."""
+    return Workspace(df.sparkSession).keep(df, "kept")

@@ -312,7 +312,7 @@ SELECT 'CT-'||{_ROW} AS name, 'ENC-'||l_orderkey AS parent, 'Patient Encounter'
        l_shipdate + INTERVAL '7' HOUR AS modified FROM {{lineitem}}""",
     "insurance_claim": f"""
 SELECT {_claim('o_orderkey')} AS name, 'APP-'||o_orderkey AS patient_appointment, 'PT-'||o_custkey AS patient,
-       CASE WHEN o_orderkey % 26 = 0 THEN '' WHEN o_orderkey % 22 = 0 THEN 'CARD-X ' ELSE 'CARD-'||o_custkey END AS cardno,
+       CASE WHEN o_orderkey % 56 = 0 THEN NULL WHEN o_orderkey % 26 = 0 THEN '' WHEN o_orderkey % 22 = 0 THEN 'CARD-X ' ELSE 'CARD-'||o_custkey END AS cardno,
        CASE WHEN o_orderkey % 34 = 0 THEN NULL ELSE 'PLAN-'||c_mktsegment END AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
        CAST(date_trunc('month', o_orderdate) AS date) AS attendance_date,
        CASE WHEN o_orderkey % 12 = 0 THEN '["APP-'||o_orderkey||'","APP-'||(o_orderkey + 2)||'"]'
@@ -331,13 +331,15 @@ LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(({_CLAIMED_PRICE}) * l_quantity AS d
 WHERE o_orderkey % 2 = 0
 UNION ALL
 SELECT {_claim('900000000 + o_orderkey')} AS name, 'APP-'||o_orderkey AS patient_appointment, 'PT-'||o_custkey AS patient,
-       'CARD-'||o_custkey AS cardno, 'PLAN-'||c_mktsegment AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
+       CASE WHEN o_orderkey % 56 = 0 THEN NULL ELSE 'CARD-'||o_custkey END AS cardno,
+       CASE WHEN o_orderkey % 34 = 0 THEN NULL ELSE 'PLAN-'||c_mktsegment END AS coverage_plan_name, 'CO-'||(o_custkey % 3) AS company,
        CAST(date_trunc('month', o_orderdate) AS date) AS attendance_date, CAST(NULL AS string) AS claim_appointment_list,
        0 AS docstatus, 'Unclaimable' AS workflow_state, 'AUTH-'||o_orderkey AS authorization_no, 0.0 AS total_amount,
        CAST(NULL AS string) AS folio_id, CAST(NULL AS string) AS patient_signature, 0 AS allow_changes,
        CAST(NULL AS string) AS delayreason, 'Clerk' AS item_crt_by, o_orderdate + INTERVAL '21' HOUR AS creation
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey WHERE o_orderkey % 28 = 0""",
-    "original_claim_item": _claim_row("l_extendedprice", ""),
+    # Some claims gained items after their originals were kept.
+    "original_claim_item": _claim_row("l_extendedprice", " AND NOT (l_orderkey % 5 = 0 AND l_linenumber % 3 = 0)"),
     "claim_item": _claim_row(_CLAIMED_PRICE, " AND l_returnflag <> 'R'"),
     "medication_return": f"""
 SELECT 'RX-'||{_ROW} AS child_name, 'ENC-'||l_orderkey AS encounter_no, 'drug_items' AS parentfield,

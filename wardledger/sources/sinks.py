@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# What a rerun of the same change may differ in.
+RUN_COLUMNS = ("posting_date", "posting_time", "user_email", "edited_by")
 
 
 def write_table(
@@ -16,7 +20,18 @@ def write_table(
 
 
 def append_changes(changes: DataFrame, path: str) -> None:
-    """Change records are only ever added, by claim year and month."""
+    """Adds the change records that are not yet there, by claim year and month.
+
+    A record's ``change_id`` is a hash of its content without the run's time and user, so a submission that
+    is run again adds nothing.
+    """
+    content = [F.col(c) for c in sorted(changes.columns) if c not in RUN_COLUMNS]
+    changes = changes.withColumn("change_id", F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256))
+    spark = changes.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        known = spark.read.parquet(path).select("change_id")
+        changes = changes.join(known, "change_id", "left_anti")
     changes.write.mode("append").partitionBy("claim_year", "claim_month").parquet(path)
 
 
