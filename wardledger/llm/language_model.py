@@ -33,13 +33,15 @@ from wardledger.llm.langid import remainder
 from wardledger.llm.words import BLANKS, chunks, mixed, utf8, word_hashes
 from wardledger.session import Workspace
 
-SINGLES, SUFFIXES = 32, 32
+SINGLES, SUFFIXES = 24, 24
 CLASSES = SINGLES + SUFFIXES
 BITS = 16
-FEATURES = 6
+FEATURES = 4
 HEAD = 1 << 20
 SMOOTHING = 0.1
 END_HASH = np.uint64(0x5DEECE66D1CE4E5B)
+#: Past gradients that every row starts with, so that a rare feature's first steps are small.
+START_SQUARE = 10.0
 _BATCH = 4096
 _CHUNK = 1 << 18
 
@@ -95,8 +97,8 @@ def classes_of(tokens: Tokens, singles: np.ndarray) -> np.ndarray:
 
 
 def features_of(tokens: Tokens, classes: np.ndarray) -> np.ndarray:
-    """Rows of hashed features for each token: bias, the token before, the two before, one and two places further
-    back alone (skips), and the three classes before."""
+    """Rows of hashed features for each token: bias, the token before, the one before that alone (a skip), and the
+    three classes before."""
     n = len(tokens.hashes)
     rows = np.zeros((FEATURES, n), np.int64)
 
@@ -106,22 +108,28 @@ def features_of(tokens: Tokens, classes: np.ndarray) -> np.ndarray:
         out[tokens.place < k] = 0  # before the text's start
         return out
 
-    one, two, three = (back(tokens.hashes, k) for k in (1, 2, 3))
+    one, two = back(tokens.hashes, 1), back(tokens.hashes, 2)
     c = classes.astype(np.uint64) + np.uint64(1)
     c1, c2, c3 = (back(c, k) for k in (1, 2, 3))
     trigram = (c1 * np.uint64(CLASSES + 1) + c2) * np.uint64(CLASSES + 1) + c3
-    for i, value in enumerate((one, one + two * np.uint64(3), two, three, trigram), 1):
+    for i, value in enumerate((one, two, trigram), 1):
         rows[i] = (mixed(value + np.uint64(i << 40)) >> np.uint64(64 - BITS)).astype(np.int64)
     return rows
 
 
-def class_probabilities(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural logarithms, a row for each token."""
+def class_logits(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Unnormalized logarithms, a row for each token, the largest 0."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def class_probabilities(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = class_logits(rows, weights)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
@@ -130,9 +138,11 @@ def class_scores(tokens: Tokens, model: ClassModel) -> np.ndarray:
     classes = classes_of(tokens, model.singles)
     rows = features_of(tokens, classes)
     out = np.empty(len(classes))
-    for a in range(0, len(classes), 4 * _BATCH):
-        b = min(a + 4 * _BATCH, len(classes))
-        out[a:b] = class_probabilities(rows[:, a:b], model.weights)[np.arange(b - a), classes[a:b]]
+    for a in range(0, len(classes), _BATCH):
+        b = min(a + _BATCH, len(classes))
+        z = class_logits(rows[:, a:b], model.weights)
+        out[a:b] = z[np.arange(b - a), classes[a:b]]
+        out[a:b] -= np.log(np.exp(z, out=z).sum(axis=1))
     return out / np.log(10)
 
 
@@ -142,7 +152,7 @@ class Trainer:
     def __init__(self, singles: np.ndarray, rate: float):
         self.singles, self.rate = singles, rate
         self.weights = np.zeros((1 << BITS, CLASSES), np.float32)
-        self.squares = np.full(1 << BITS, 1e-6, np.float32)
+        self.squares = np.full(1 << BITS, START_SQUARE, np.float32)
         self.evidence = np.zeros(1 << BITS, np.int64)
 
     def learn(self, texts: list[bytes]) -> None:
@@ -151,15 +161,20 @@ class Trainer:
         rows = features_of(tokens, classes)
         for a in range(0, len(classes), _BATCH):
             part, answer = rows[:, a : a + _BATCH], classes[a : a + _BATCH]
-            error = np.exp(class_probabilities(part, self.weights))
+            error = class_probabilities(part, self.weights)
             error[np.arange(len(answer)), answer] -= 1
-            for feature in part:
-                order = np.argsort(feature, kind="stable")
-                found, first = np.unique(feature[order], return_index=True)
+            self._step(part[0, :1], error.sum(axis=0, keepdims=True), np.array([len(answer)]))
+            for feature in part[1:]:
+                order = np.argsort(feature.astype(np.uint16), kind="stable")
+                found = feature[order]
+                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
                 slope = np.add.reduceat(error[order], first, axis=0)
-                self.squares[found] += np.einsum("ij,ij->i", slope, slope) / CLASSES
-                self.weights[found] -= (self.rate / np.sqrt(self.squares[found]))[:, None] * slope
-                self.evidence[found] += np.diff(np.append(first, len(feature)))
+                self._step(found[first], slope, np.diff(np.append(first, len(found))))
+
+    def _step(self, rows: np.ndarray, slope: np.ndarray, evidence: np.ndarray) -> None:
+        self.squares[rows] += np.einsum("ij,ij->i", slope, slope) / CLASSES
+        self.weights[rows] -= (self.rate / np.sqrt(self.squares[rows]))[:, None] * slope
+        self.evidence[rows] += evidence
 
 
 def _training(docs: DataFrame, id_column: str, text_column: str, folds: int) -> DataFrame:
