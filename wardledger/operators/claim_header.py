@@ -26,7 +26,8 @@ def _appointment_set(claims: DataFrame) -> DataFrame:
     """The distinct appointments of each claim, for membership joins."""
     listed = F.array_distinct(F.from_json("claim_appointment_list", "array<string>"))
     appointments = F.when(F.size(listed) > 0, listed).otherwise(F.array("patient_appointment"))
-    return claims.select(F.col("name").alias("claim"), F.explode(appointments).alias("appointment"))
+    found = claims.select(F.col("name").alias("claim"), F.explode(appointments).alias("appointment"))
+    return found.filter(~is_blank("appointment"))  # blank ones would meet all blank ones
 
 
 def _is_final() -> Column:

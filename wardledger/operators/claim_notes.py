@@ -9,6 +9,7 @@ from wardledger.functions.columns import is_blank, joined
 from wardledger.operators import claim_header as H
 from wardledger.operators.claim_items import claimed_encounters
 from wardledger.options import RunContext
+from wardledger.session import materialize
 from wardledger.sources.tables import Tables
 
 
@@ -28,8 +29,8 @@ def note_encounters(claims: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def _drug_text(t: Tables) -> DataFrame:
-    """All drug rows of each encounter as text, in row order."""
+def _drug_text(wanted: DataFrame, t: Tables) -> DataFrame:
+    """All drug rows of each wanted encounter as text, in row order."""
     def part(label: str, column: str) -> Column:
         return F.when(~is_blank(column), F.concat(F.lit(f", {label}: "), F.col(column))).otherwise("")
 
@@ -40,13 +41,14 @@ def _drug_text(t: Tables) -> DataFrame:
     )
     return (
         t.drug_prescription.select(F.col("parent").alias("encounter"), F.struct("idx", "name", line.alias("line")).alias("row"))
+        .join(wanted, "encounter", "left_semi")
         .groupBy("encounter")
         .agg(F.concat(F.lit("<br>Medication(s): <br>"), joined(F.collect_list("row"), "line", "")).alias("drugs"))
     )
 
 
-def _encounter_text(t: Tables) -> DataFrame:
-    """The note of each encounter."""
+def _encounter_text(wanted: DataFrame, t: Tables) -> DataFrame:
+    """The note of each wanted encounter."""
     departments = t.healthcare_practitioner.select(F.col("name").alias("practitioner"), "department")
     visits = t.patient_encounter.select(
         F.col("name").alias("encounter"),
@@ -63,8 +65,9 @@ def _encounter_text(t: Tables) -> DataFrame:
         F.lit("</i> <br>"), F.coalesce("examination_detail", F.lit("")), F.coalesce("drugs", F.lit("")),
     )
     return (
-        visits.join(departments, "practitioner", "left")
-        .join(_drug_text(t), "encounter", "left")
+        visits.join(wanted, "encounter", "left_semi")
+        .join(departments, "practitioner", "left")
+        .join(_drug_text(wanted, t), "encounter", "left")
         .select("encounter", note.alias("note"))
     )
 
@@ -80,9 +83,10 @@ def clinical_notes(claims: DataFrame, headers: DataFrame, t: Tables, run: RunCon
             F.coalesce(age.cast("string"), F.lit("None")), F.lit(" years</b>,<br>"),
         ).alias("head"),
     )
+    shown = materialize(note_encounters(claims, t))
+    texts = _encounter_text(shown.select("encounter").distinct(), t)
     bodies = (
-        note_encounters(claims, t)
-        .join(_encounter_text(t), "encounter")
+        shown.join(texts, "encounter")
         .groupBy("claim")
         .agg(joined(F.collect_list(F.struct("place", "note")), "note", "").alias("body"))
     )

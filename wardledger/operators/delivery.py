@@ -78,9 +78,11 @@ def _first_diagnoses(t: Tables) -> DataFrame:
 
 def dispensing_violations(t: Tables) -> DataFrame:
     """Notes that cannot be written back: an item without medication, or no final diagnosis."""
+    medications = t.medication.select(F.col("item").alias("item_code")).distinct()
     unlinked = (
-        _note_items(t)
-        .filter(F.col("drug_code").isNull())
+        t.delivery_note_item.select(F.col("parent").alias("note"), "item_code")
+        .join(_dispensing_notes(t).select("note"), "note")
+        .join(medications, "item_code", "left_anti")
         .select("note", F.lit("no_medication").alias("rule"), F.col("item_code").alias("detail"))
     )
     undiagnosed = (
