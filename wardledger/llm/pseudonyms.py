@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
 ROUNDS = 8
+DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")
 
 # No quantifier can run over the same characters twice, so a search takes time linear in the text.
 _EDGE, _END = r"(?<![\p{L}\p{Nd}])", r"(?![\p{L}\p{Nd}])"
@@ -46,6 +47,11 @@ PATTERN = "|".join(FORMS.values())
 _WHOLE = {kind: f"^(?:{form})$" for kind, form in FORMS.items()}
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -62,9 +68,13 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
         return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % size
 
     def step(s, i):
-        new_left = F.when(i % 2 == 0, (s["left"] + draw(i, s["right"], left_size)) % left_size).otherwise(s["left"])
-        new_right = F.when(i % 2 == 1, (s["right"] + draw(i, s["left"], right_size)) % right_size).otherwise(s["right"])
-        return F.struct(new_left.cast("long").alias("left"), new_right.cast("long").alias("right"))
+        even = i % 2 == 0
+        size, moved = F.when(even, left_size).otherwise(right_size), F.when(even, s["left"]).otherwise(s["right"])
+        new = (moved + draw(i, F.when(even, s["right"]).otherwise(s["left"]), size)) % size
+        return _let(
+            new.cast("long"),
+            lambda x: F.struct(F.when(even, x).otherwise(s["left"]).alias("left"), F.when(even, s["right"]).otherwise(x).alias("right")),
+        )
 
     start = F.struct(left.cast("long").alias("left"), right.cast("long").alias("right"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
@@ -84,18 +94,23 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
         key,
         F.concat(F.lit(f"{kind}|"), n),
     )
-    return F.concat(F.lpad(out["left"].cast("string"), half, "0"), F.lpad(out["right"].cast("string"), n - half, "0"))
+    return _let(
+        out, lambda x: F.concat(F.lpad(x["left"].cast("string"), half, "0"), F.lpad(x["right"].cast("string"), n - half, "0"))
+    )
 
 
 def filled(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced, in order, by ``digits``."""
 
-    def char(i):
-        c = F.substring(form, i, F.lit(1))
-        place = F.length(_digits(F.substring(form, F.lit(1), i)))
-        return F.when(c.between("0", "9"), F.substring(digits, place, F.lit(1))).otherwise(c)
+    def fill(form, digits):
+        def char(i):
+            c = F.substring(form, i, F.lit(1))
+            place = F.length(_digits(F.substring(form, F.lit(1), i)))
+            return F.when(c.between("0", "9"), F.substring(digits, place, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), char), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), char), "")
+
+    return _let(F.struct(form.alias("form"), digits.alias("digits")), lambda x: fill(x["form"], x["digits"]))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -109,11 +124,15 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    middle = permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")
-    head = F.concat(F.substring(digits, 1, 1), middle)
-    check = (10 - _luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
-    return filled(m, F.concat(head, check.cast("string")))
+    def checked(head):
+        check = (10 - _luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
+        return F.concat(head, check.cast("string"))
+
+    def digits_of(digits):
+        middle = permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")
+        return _let(F.concat(F.substring(digits, 1, 1), middle), checked)
+
+    return filled(m, _let(_digits(m), digits_of))
 
 
 def _mod97(account: Column, country: Column, check: Column) -> Column:
@@ -134,9 +153,12 @@ def _iban_parts(m: Column) -> tuple[Column, Column, Column]:
 
 def _iban(m: Column, key: str) -> Column:
     account, country, _ = _iban_parts(m)
-    new = filled(account, permuted_digits(_digits(account), key, "iban"))
-    check = F.lpad((98 - _mod97(new, country, F.lit("00"))).cast("string"), 2, "0")
-    return filled(m, F.concat(check, _digits(new)))
+
+    def checked(new):
+        check = F.lpad((98 - _mod97(new, country, F.lit("00"))).cast("string"), 2, "0")
+        return F.concat(check, _digits(new))
+
+    return filled(m, _let(filled(account, permuted_digits(_digits(account), key, "iban")), checked))
 
 
 def _ssn_parts(m: Column) -> tuple[Column, Column, Column]:
@@ -147,15 +169,17 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = _ssn_parts(m)
     place = area - 1 - F.when(area > 666, 1).otherwise(0)  # 898 areas: 1 to 899 without 666
     out = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, F.lit("ssn"))
-    new = out["left"] + 1 + F.when(out["left"] + 1 >= 666, 1).otherwise(0)
-    return F.format_string("%03d-%02d-%04d", new, F.floor(out["right"] / 9999) + 1, out["right"] % 9999 + 1)
+
+    def text(x):
+        new = x["left"] + 1 + F.when(x["left"] + 1 >= 666, 1).otherwise(0)
+        return F.format_string("%03d-%02d-%04d", new, F.floor(x["right"] / 9999) + 1, x["right"] % 9999 + 1)
+
+    return _let(out, text)
 
 
 def _date_format(m: Column) -> Column:
     """The format by which a date is valid; day before month where both are."""
-    formats = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")
-    valid = F.coalesce(*[F.when(_day(m, f).isNotNull(), F.lit(f)) for f in formats])
-    return valid
+    return F.coalesce(*[F.when(_day(m, f).isNotNull(), F.lit(f)) for f in DATE_FORMS])
 
 
 def _day(m: Column, form: str) -> Column:
@@ -166,18 +190,20 @@ def _day(m: Column, form: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     """Days are counted within the century, of 92 * 397 or, where its first year is a leap year, 75 * 487 days."""
-    out = None
-    for form in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy"):
-        day = _day(m, form)
+
+    def moved_day(day):
         century = F.floor(F.year(day) / 100).cast("int")
         begin = F.make_date(century * 100, F.lit(1), F.lit(1))
         leap = century % 4 == 0
         a, b = F.when(leap, 75).otherwise(92), F.when(leap, 487).otherwise(397)
         place = F.datediff(day, begin)
         moved = feistel(F.floor(place / b), place % b, a, b, key, F.concat(F.lit("date|"), century))
-        new = F.date_add(begin, (moved["left"] * b + moved["right"]).cast("int"))
-        text = F.when(day.isNotNull(), F.date_format(new, form))
-        out = text if out is None else F.coalesce(out, text)
+        return _let(moved, lambda x: F.date_add(begin, (x["left"] * b + x["right"]).cast("int")))
+
+    out = F.lit(None).cast("string")
+    for form in reversed(DATE_FORMS):
+        day = _day(m, form)
+        out = F.when(day.isNotNull(), F.date_format(_let(day, moved_day), form)).otherwise(out)
     return out
 
 
@@ -188,8 +214,12 @@ def _octets(m: Column) -> Column:
 def _ip(m: Column, key: str) -> Column:
     o = _octets(m)
     out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))
-    parts = [F.floor(out["left"] / 256), out["left"] % 256, F.floor(out["right"] / 256), out["right"] % 256]
-    return F.concat_ws(".", *[p.cast("string") for p in parts])
+
+    def text(x):
+        parts = [F.floor(x["left"] / 256), x["left"] % 256, F.floor(x["right"] / 256), x["right"] % 256]
+        return F.concat_ws(".", *[p.cast("string") for p in parts])
+
+    return _let(out, text)
 
 
 def _phone(m: Column, key: str) -> Column:
