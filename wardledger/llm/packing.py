@@ -44,18 +44,18 @@ class WordEncoder:
 
     _SEPARATOR = "\0"
     #: Punctuation without the apostrophe, which tokenizers join with letters, and what delimits special tokens.
-    _TRAILING = ".,;:!?#$%&*()[]{}+=/-\""
+    _TRAILING = b".,;:!?#$%&*()[]{}+=/-\""
     #: Below this character, lower-casing is a matter of single letters.
     _SIMPLE = "\u0130"
     _loaded: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[bytes, bytes] = {}  # by word
-        self.parts: dict[str, bytes] = {}  # by what a word is made of
+        self.parts: dict[bytes, bytes] = {}  # by what a word is made of
         self.separator = self._encode(self._SEPARATOR).tolist()
         same = lambda a, *b: self._encode(a).tolist() == [i for x in b for i in self._encode(x).tolist()]
         self.splits = same("Abc.,", "abc", ".,") and same("XÉ#", "xé", "#") and same("a b", "a", "b")
@@ -70,33 +70,38 @@ class WordEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _parts(self, word: str) -> tuple[str, ...]:
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
         if self.splits:
             letters = word.rstrip(self._TRAILING)
-            if letters.isalpha() and max(letters) < self._SIMPLE:
-                return (letters.lower(), word[len(letters) :]) if len(letters) < len(word) else (letters.lower(),)
+            rest = word[len(letters) :]
+            if not letters.isalpha():  # of ASCII letters; others one by one
+                text = letters.decode("utf-8", "replace")
+                if not text.isalpha() or max(text) >= self._SIMPLE:
+                    return (word,)
+                letters = text.lower().encode()
+            return (letters.lower(), rest) if rest else (letters.lower(),)
         return (word,)
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.most:
             self.known.clear()
             self.parts.clear()
-        made = {word: self._parts(word.decode("utf-8", "replace")) for word in words}
+        made = {word: self._parts(word) for word in words}
         new = list({p for parts in made.values() for p in parts} - self.parts.keys())
-        joined = [p for p in new if self._SEPARATOR not in p]
-        ids = self._encode(f" {self._SEPARATOR} ".join(joined))
+        joined = [p for p in new if b"\0" not in p]
+        ids = self._encode(f" {self._SEPARATOR} ".encode().join(joined).decode("utf-8", "replace"))
         ends = [*np.flatnonzero(ids == self.separator[0]).tolist(), len(ids)]
         if len(self.separator) != 1 or len(ends) != len(joined):
             joined = []  # a tokenizer that treats the separator otherwise: one by one
-        start, data = 0, ids.tobytes()
+        start, data, known = 0, ids.tobytes(), self.parts
         for part, end in zip(joined, ends, strict=False):
-            self.parts[part] = data[4 * start : 4 * end]
+            known[part] = data[4 * start : 4 * end]
             start = end + 1
         for part in new:
-            if part not in self.parts:
-                self.parts[part] = self._encode(part).tobytes()
+            if part not in known:
+                known[part] = self._encode(part.decode("utf-8", "replace")).tobytes()
         for word, parts in made.items():
-            self.known[word] = b"".join([self.parts[p] for p in parts])
+            self.known[word] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
