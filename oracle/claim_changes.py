@@ -74,11 +74,13 @@ QUERIES["m1_reconciled_originals"] = f"SELECT * {_TEXT_DATE} FROM original_once"
 STEPS["merge_group"] = """
 SELECT min(c.name) AS claim, c.patient, c.attendance_date, c.cardno, c.coverage_plan_name, CAST(count(DISTINCT c.name) AS int) AS claims,
        '["' || array_to_string(list_sort(list(DISTINCT k.appointment)), '","') || '"]' AS claim_appointment_list, 0 AS allow_changes
-FROM insurance_claim c JOIN claim_app k ON k.claim = c.name
+FROM insurance_claim c JOIN claim_app k ON k.claim = c.name WHERE coalesce(c.patient, '') <> ''
 GROUP BY c.patient, c.attendance_date, c.cardno, c.coverage_plan_name"""
 QUERIES["m2_merged_claims"] = """
 SELECT * REPLACE (CAST(attendance_date AS varchar) AS attendance_date) FROM merge_group WHERE claims > 1"""
-QUERIES["m2_single_claims"] = "SELECT claim, 'merge' AS rule, patient AS detail FROM merge_group WHERE claims = 1"
+QUERIES["m2_single_claims"] = """
+SELECT claim, 'merge' AS rule, patient AS detail FROM merge_group WHERE claims = 1
+UNION ALL SELECT name, 'merge_without_patient', patient FROM insurance_claim WHERE coalesce(patient, '') = ''"""
 QUERIES["m3_original_snapshot"] = f"SELECT * EXCLUDE (name) {_TEXT_DATE} FROM claim_item"
 STEPS["original_names"] = """
 SELECT DISTINCT parent, unnest(string_split(ref_docname, ',')) AS reference FROM original_claim_item"""

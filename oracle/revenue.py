@@ -127,6 +127,7 @@ STEPS["report_rows"] = " UNION ALL ".join(
     )
 )
 QUERIES["r10_revenue_report"] = "SELECT * FROM report_rows"
+QUERIES["r10_report_with_cash"] = f"SELECT * FROM report_rows UNION ALL {QUERIES['r12_cash_revenue']}"
 QUERIES["r11_report_total"] = """
 SELECT * FROM report_rows UNION ALL
 SELECT NULL, NULL, NULL, NULL, NULL, NULL, CAST(sum(CAST(amount AS decimal(18,4))) AS double), 'Total',

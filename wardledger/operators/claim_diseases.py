@@ -15,11 +15,12 @@ BLOCKS = {
     "patient_encounter_preliminary_diagnosis": ("Provisional Diagnosis", "Provisional"),
     "patient_encounter_final_diagnosis": ("Final Diagnosis", "Final"),
 }
+# Fixed value: stored descriptions are cut to this length.
 DESCRIPTION_LENGTH = 139
 
 
 def claim_diseases(claims: DataFrame, t: Tables) -> DataFrame:
-    """One row per claim, diagnosis block and medical code: the earliest entry."""
+    """One row per claim, diagnosis block and medical code: the earliest entry, its description cut to the stored length."""
     entries = t.codification_table.filter(
         (F.col("parenttype") == "Patient Encounter") & F.col("parentfield").isin(*BLOCKS)
     ).select(

@@ -31,6 +31,7 @@ def note_encounters(claims: DataFrame, t: Tables) -> DataFrame:
 
 def _drug_text(wanted: DataFrame, t: Tables) -> DataFrame:
     """All drug rows of each wanted encounter as text, in row order."""
+    # The given texts of a note.
     def part(label: str, column: str) -> Column:
         return F.when(~is_blank(column), F.concat(F.lit(f", {label}: "), F.col(column))).otherwise("")
 

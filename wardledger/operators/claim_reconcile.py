@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardledger.functions.columns import is_blank, joined, money_sum, non_blank, violation
 from wardledger.operators.claim_header import claim_appointments
 
+# Stored field names.
 IDENTITY_COLUMNS = ("name", "owner", "creation", "modified", "modified_by", "docstatus")
 
 
@@ -44,11 +45,16 @@ def reconcile_items(items: DataFrame, recompute_amount: bool = False) -> DataFra
     return grouped.select(*[columns.get(c, F.col(f"first.{c}")).alias(c) for c in items.columns])
 
 
+# The fields in which claims must agree to be merged.
 MERGE_KEYS = ["patient", "attendance_date", "cardno", "coverage_plan_name"]
 
 
 def merged_claims(claims: DataFrame) -> DataFrame:
-    """Per patient, day, card and plan: the union of its claims' appointments as a JSON list."""
+    """Per patient, day, card and plan: the union of its claims' appointments as a JSON list.
+
+    Claims without a patient are left out: they have nothing in common, and could be any number a day.
+    """
+    claims = claims.filter(~is_blank("patient"))
     appointments = claim_appointments(claims).select("claim", "appointment")
     heads = claims.select(F.col("name").alias("claim"), *MERGE_KEYS)
     listed = (
@@ -76,9 +82,12 @@ def mergeable_claims(claims: DataFrame) -> DataFrame:
 
 
 def single_claim_violations(claims: DataFrame) -> DataFrame:
-    """Merging was asked for a claim that has no partner."""
-    return (
-        merged_claims(claims).filter(F.col("claims") == 1).select(*violation("claim", "merge", F.col("patient")))
+    """Merging was asked for a claim that has no partner, or no patient."""
+    single = merged_claims(claims).filter(F.col("claims") == 1)
+    return single.select(*violation("claim", "merge", F.col("patient"))).unionByName(
+        claims.filter(is_blank("patient"))
+        .withColumn("claim", F.col("name"))
+        .select(*violation("claim", "merge_without_patient", F.col("patient")))
     )
 
 

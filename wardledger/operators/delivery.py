@@ -9,6 +9,7 @@ from wardledger.functions.columns import DOSAGE_KEYS, dosage_field, is_blank, st
 from wardledger.session import materialize
 from wardledger.sources.tables import Tables
 
+# A medication's fields for what its description does not say.
 DEFAULTS = {
     "dosage": "default_prescription_dosage",
     "period": "default_prescription_duration",

@@ -123,6 +123,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "r8_consultancy_revenue": lambda t: R.consultancy_revenue(t, FILTERS),
     "r9_report_filters": lambda t: R.prescription_revenue(t, OPEN_FILTERS),
     "r10_revenue_report": lambda t: report.revenue_report(t, FILTERS),
+    "r10_report_with_cash": lambda t: report.revenue_report(t, FILTERS, include_cash=True),
     "r11_report_total": lambda t: report.report_with_total(report.revenue_report(t, FILTERS)),
     "r12_cash_revenue": lambda t: R.cash_revenue(t, FILTERS),
     "h1_claim_appointments": lambda t: H.claim_appointments(t.insurance_claim),

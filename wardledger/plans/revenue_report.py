@@ -13,8 +13,9 @@ from wardledger.sources.tables import Tables
 def revenue_report(t: Tables, filters: ReportFilters, include_cash: bool = False) -> DataFrame:
     """All revenue sources as one bag of rows.
 
-    The five prescription kinds share one encounter join and one aggregation. All three filters are
-    needed, because the inpatient sources cannot run without them.
+    The prescription kinds are united before their encounter join, once for the documented and once for
+    the other kinds, and share one aggregation. All three filters are needed, because the inpatient
+    sources cannot run without them.
     """
     report = (
         R.consultation_revenue(t, filters)
