@@ -46,6 +46,26 @@ def test_class_probabilities_add_up(words):
     assert np.allclose(lm.class_probabilities(rows, model.weights).sum(axis=1), 1, atol=1e-4)
 
 
+def learned(cases, singles):
+    """Scores of the last word of each text after training on all; the other words share a suffix class."""
+    trainer = lm.Trainer(np.sort(lm.tokens_of([singles]).hashes[:-1]), 0.4)
+    for _ in range(60):
+        trainer.learn([c.encode() for c in cases * 20])
+    model = lm.ClassModel(trainer.singles, trainer.weights)
+    tokens = lm.tokens_of([c.encode() for c in cases])
+    return lm.class_scores(tokens, model)[np.flatnonzero(tokens.hashes == lm.END_HASH) - 1]
+
+
+def test_both_words_before_decide_together():
+    cases = ["mab mab yes", "mab nab no", "nab mab no", "nab nab yes"]  # neither word alone tells anything
+    assert (learned(cases, b"yes no") > math.log10(0.8)).all()
+
+
+def test_the_word_three_places_back_decides():
+    cases = ["mab kab kab yes", "nab kab kab no"]
+    assert (learned(cases, b"yes no") > math.log10(0.8)).all()
+
+
 def test_features_stop_at_the_start_of_a_text():
     alone, after = lm.tokens_of([b"b c"]), lm.tokens_of([b"x y z", b"b c"])
     singles = np.empty(0, np.uint64)
