@@ -57,6 +57,10 @@ def plain_chances(rows):
     return tr.Chances(share(first), share(following), share(look))
 
 
+def named(spark, rows):
+    return spark.createDataFrame(rows, "conv long, turn long, label string, text string")
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_parts_give_what_one_piece_gives(spark, rows, partitions):
     prepare(spark)
@@ -67,6 +71,24 @@ def test_parts_give_what_one_piece_gives(spark, rows, partitions):
     assert got == sorted(one_piece(rows, chances))
 
 
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_few_rows_are_decoded_at_once(spark, rows, monkeypatch, partitions):
+    prepare(spark)
+    monkeypatch.setattr(tr, "PIECE_ROWS", 16, raising=False)
+    plain = tr.emissions
+
+    def guarded(lines, chances):
+        assert sum(x.opens_row for x in lines) <= 16
+        return plain(lines, chances)
+
+    rows = rows + [(99, 5, "user", "again?")] * 50 + [(None, None, "user", "again?")] * 50  # exact repeats
+    expected = sorted(one_piece(rows, tr.learn_chances(tr.ordered_rows(named(spark, rows), 1))), key=str)
+    monkeypatch.setattr(tr, "emissions", guarded)
+    found = tr.recover_turns(spark.createDataFrame(rows, SCHEMA), partitions=partitions)
+    got = found.select("conv_id", "turn", "part", "role", "rendered").collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected
+
+
 def test_missing_labels_are_recovered(spark, rows):
     prepare(spark)
     found = {(r["conv_id"], r["turn"]): r["role"] for r in tr.transcript_report(spark.createDataFrame(rows, SCHEMA)).filter("part = 0").collect()}

@@ -9,10 +9,11 @@ How lines of a role look and how roles follow each other is counted over the who
 markers are to be trusted is fixed. Viterbi gives the most probable states; each turn is rendered as
 ``<|role|>`` and its lines, markers removed, and ``<|end|>``.
 
-Conversations of any length are decoded in parallel: rows are range-partitioned in their order, and of a conversation
-that spans several partitions each part gives its best score from every entering to every leaving state; these are
-chained to fix the states between parts, and each part is then decoded on its own, with the same result as in one
-piece.
+Conversations of any length are decoded in parallel: rows are range-partitioned in their order and numbered, each
+partition is cut into pieces of ``PIECE_ROWS`` rows, and of a conversation that spans several pieces each gives its
+best score from every entering to every leaving state; these are chained to fix the states between pieces, and each is
+then decoded on its own, with the same result as in one. A task holds the lines of one piece at a time, and of one
+conversation 512 bytes for each of its pieces.
 
 A null or empty text is one empty line. Rows with equal keys follow each other in the order of label and text; rows
 without a conversation id are one conversation. An unknown label counts as no marker. Repeated rows are turns of
@@ -49,6 +50,8 @@ _LIST = re.compile(r"\s*(?:[-*+]\s|\d+[.)]\s|```|\||[{}])")
 LENGTHS = (1, 40, 120, 400)
 LOOKS = (len(LENGTHS) + 1) * 4
 NO_MARKER = len(ROLES)
+#: Rows that are decoded at once, at most.
+PIECE_ROWS = 4096
 _TRUST, _STRAY, _UNMARKED = 0.97, 1e-4, 0.02
 
 
@@ -218,20 +221,23 @@ def learn_chances(rows: DataFrame) -> Chances:
 
 
 def ordered_rows(rows: DataFrame, partitions: int) -> DataFrame:
-    """``conv``, ``turn``, ``label``, ``text`` in order, with the ``part`` of the order and the place ``seq`` in it."""
+    """``conv``, ``turn``, ``label``, ``text`` in order, with the ``part`` of the order, the place ``seq`` in it, and the
+    ``piece`` of at most ``PIECE_ROWS`` rows, which rises in the order of all rows."""
+    size = PIECE_ROWS
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            columns = [pa.array([part] * n, pa.int32()), pa.array(np.arange(at, at + n)), *batch.columns]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "seq", *batch.schema.names])
+            seq = np.arange(at, at + n)
+            columns = [pa.array([part] * n, pa.int32()), pa.array(seq), pa.array((part << 40) + seq // size), *batch.columns]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "piece", *batch.schema.names])
             at += n
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     order = ["conv", "turn", "label", "text"]
     in_order = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return in_order.mapInArrow(number, f"part int, seq long, {fields}")
+    return in_order.mapInArrow(number, f"part int, seq long, piece long, {fields}")
 
 
 def recover_turns(
@@ -254,35 +260,35 @@ def recover_turns(
     chances = learn_chances(ordered)
     moves, start = transitions(chances), start_scores(chances)
 
-    spanning = ordered.groupBy("conv").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")
-    spanning = spanning.select("conv", F.col("a").alias("first_part"))
+    spanning = ordered.groupBy("conv").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).filter("a < b")
+    spanning = spanning.select("conv", F.col("a").alias("first_piece"))
     conv_kind = named.schema["conv"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_groups(batches, ("conv", "part")):
+        for group in key_groups(batches, ("conv", "piece")):
             labels, texts = (group.column(c).to_pylist() for c in ("label", "text"))
             lines = [x for pair in zip(labels, texts, strict=True) for x in row_lines(*pair)]
-            first = group.column("part")[0].as_py() == group.column("first_part")[0].as_py()
+            first = group.column("piece")[0].as_py() == group.column("first_piece")[0].as_py()
             matrix = passage(emissions(lines, chances), moves, start if first else None)
-            columns = [group.column("conv").slice(0, 1), group.column("part").slice(0, 1), pa.array([matrix.tobytes()])]
-            yield pa.table(columns, ["conv", "part", "matrix"]).combine_chunks().to_batches()[0]
+            columns = [group.column("conv").slice(0, 1), group.column("piece").slice(0, 1), pa.array([matrix.tobytes()])]
+            yield pa.table(columns, ["conv", "piece", "matrix"]).combine_chunks().to_batches()[0]
 
     def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, ("conv",)):
             matrices = [np.frombuffer(m).reshape(STATES, STATES) for m in group.column("matrix").to_pylist()]
             states = chain(matrices)
-            columns = [group.column("conv"), group.column("part"), *(pa.array([s[i] for s in states], pa.int32()) for i in (0, 1))]
-            yield pa.table(columns, ["conv", "part", "before", "last"]).combine_chunks().to_batches()[0]
+            columns = [group.column("conv"), group.column("piece"), *(pa.array([s[i] for s in states], pa.int32()) for i in (0, 1))]
+            yield pa.table(columns, ["conv", "piece", "before", "last"]).combine_chunks().to_batches()[0]
 
     same_conv = ordered["conv"].eqNullSafe(spanning["conv"])
-    pieces = ordered.join(spanning, same_conv).select(ordered["*"], "first_part")
-    pieces = pieces.repartition("conv", "part").sortWithinPartitions("conv", "part", "seq")
-    matrices = pieces.mapInArrow(measure, f"conv {conv_kind}, part int, matrix binary")
-    matrices = matrices.repartition("conv").sortWithinPartitions("conv", "part")
-    fixed = space.keep(matrices.mapInArrow(join_parts, f"conv {conv_kind}, part int, before int, last int"), "fixed")
+    pieces = ordered.join(spanning, same_conv).select(ordered["*"], "first_piece")
+    pieces = pieces.repartition("conv", "piece").sortWithinPartitions("conv", "piece", "seq")
+    matrices = pieces.mapInArrow(measure, f"conv {conv_kind}, piece long, matrix binary")
+    matrices = matrices.repartition("conv").sortWithinPartitions("conv", "piece")
+    fixed = space.keep(matrices.mapInArrow(join_parts, f"conv {conv_kind}, piece long, before int, last int"), "fixed")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_groups(batches, ("conv", "part")):
+        for group in key_groups(batches, ("conv", "piece")):
             labels, texts = (group.column(c).to_pylist() for c in ("label", "text"))
             lines = [row_lines(*pair) for pair in zip(labels, texts, strict=True)]
             before, last = (group.column(c)[0].as_py() for c in ("before", "last"))
@@ -301,10 +307,10 @@ def recover_turns(
             ]
             yield pa.table(columns, ["conv", "turn", "part", "role", "text", "rendered"]).combine_chunks().to_batches()[0]
 
-    f = fixed.select(F.col("conv").alias("fixed_conv"), F.col("part").alias("fixed_part"), "before", "last")
-    both = ordered["conv"].eqNullSafe(f["fixed_conv"]) & (ordered["part"] == f["fixed_part"])
+    f = fixed.select(F.col("conv").alias("fixed_conv"), F.col("piece").alias("fixed_piece"), "before", "last")
+    both = ordered["conv"].eqNullSafe(f["fixed_conv"]) & (ordered["piece"] == f["fixed_piece"])
     segments = ordered.join(f, both, "left").select(ordered["*"], "before", "last")
-    segments = segments.repartition("conv", "part").sortWithinPartitions("conv", "part", "seq")
+    segments = segments.repartition("conv", "piece").sortWithinPartitions("conv", "piece", "seq")
     turn_kind = named.schema["turn"].dataType.simpleString()
     out = segments.mapInArrow(decode, f"conv {conv_kind}, turn {turn_kind}, part int, role string, text string, rendered string")
     return out.withColumnsRenamed({"conv": conversation, "turn": turn})
