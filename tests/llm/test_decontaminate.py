@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from wardledger.llm import decontaminate
 from wardledger.llm.decontaminate import contamination_report, find_contamination, merged, with_verdict
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,6 +57,23 @@ def test_matches_a_plain_search(spark, docs, case, block_bytes):
     assert got == sorted(((i or -1), *plain(text, items)) for i, text in rows)
 
 
+def test_repeats_do_not_swell_a_block(spark, docs, case, monkeypatch):
+    rows, items = case
+    items = items + [items[0]] * 100
+    plain_windows, sizes = decontaminate.item_windows, []
+
+    def measured(block, n):
+        sizes.append([64 + len(words) for _, words in block])
+        return plain_windows(block, n)
+
+    monkeypatch.setattr(decontaminate, "item_windows", measured)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = with_verdict(find_contamination(docs(*rows), benchmark, block_bytes=600)).collect()
+    assert len(sizes) > 1 and all(sum(s) <= 600 + max(s) for s in sizes if s)
+    got = sorted(((r["doc_id"] or -1), r["n_words"], r["n_hit"], r["items"]) for r in found)
+    assert got == sorted(((i or -1), *plain(text, items)) for i, text in rows)
+
+
 def test_report(spark, docs, case):
     rows, items = case
     benchmark = spark.createDataFrame(items, "item_id long, text string")

@@ -7,9 +7,10 @@ and only document words that are some window's prefix word make candidates. The
 fixes where the window would begin, which must leave room for it in the document (positional and length bounds);
 the next rare word must be in its place; then all words are compared, at last byte by byte.
 
-The windows are given to all tasks in blocks of at most ``block_bytes`` of benchmark text, one pass over the
-documents per block, so memory does not grow with the benchmark; a long item is cut into overlapping pieces that
-keep all of its windows. Document texts are never shuffled.
+The windows are given to all tasks in blocks, one pass over the documents per block, so memory does not grow with the
+benchmark; a long item is cut into overlapping pieces that keep all of its windows, and different pieces fill the
+blocks in turn: those of a block begin within ``block_bytes`` of benchmark text, so that only the last one reaches
+beyond. Document texts are never shuffled.
 
 Null and empty documents have no words and no hits; null and empty items have no windows. Repeated items count
 once per id; windows of an item without an id mark words but name no item. Repeated documents repeat their result.
@@ -19,11 +20,12 @@ An empty table on either side gives no hits. Columns other than those named are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,7 @@ from wardledger.llm.words import NON_ALPHANUMERIC, chunks, utf8, word_hashes
 from wardledger.session import Workspace
 
 _PIECE_WORDS = 4096
+_SLOTS = 64
 
 
 class Windows(NamedTuple):
@@ -152,6 +155,20 @@ def _pieces(benchmark: DataFrame, id_column: str, text_column: str, n: int) -> D
     return rows.mapInArrow(cut, "item string, words binary")
 
 
+def _dealt(pieces: DataFrame, block_bytes: int, space: Workspace) -> tuple[DataFrame, int]:
+    """Different pieces with the ``block`` in which they begin when laid end to end, and the number of blocks."""
+    size = F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64
+    slot = F.pmod(F.xxhash64("item", "words"), F.lit(_SLOTS)).cast("int")
+    once = space.keep(pieces.distinct().withColumn("size", size.cast("long")).withColumn("slot", slot), "once")
+    sums = {r["slot"]: r["n"] for r in once.groupBy("slot").agg(F.sum("size").alias("n")).collect()}
+    *offsets, total = accumulate((sums.get(k, 0) for k in range(_SLOTS)), initial=0)
+    before = Window.partitionBy("slot").orderBy("item", "words").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("slot") + 1)
+    begin = begin + F.coalesce(F.sum("size").over(before), F.lit(0))
+    block = F.floor(begin / F.lit(block_bytes)).cast("long")
+    return space.keep(once.select("item", "words", block.alias("block")), "pieces"), 1 + max(total - 1, 0) // block_bytes
+
+
 def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     """How often the words of a block stand in all documents."""
 
@@ -187,9 +204,7 @@ def find_contamination(
     """
     spark: SparkSession = docs.sparkSession
     space = Workspace(spark)
-    pieces = space.keep(_pieces(benchmark, item_column, text_column, n), "pieces")
-    size = pieces.agg(F.sum(F.length("words") + 64)).first()[0] or 0
-    blocks = 1 + size // block_bytes
+    pieces, blocks = _dealt(_pieces(benchmark, item_column, text_column, n), block_bytes, space)
     carry = carry or (id_column,)
     carried = [f"c{i}" for i in range(len(carry))]
     texts = docs.select(F.col(text_column).alias("text"), *[F.col(c).alias(a) for c, a in zip(carry, carried, strict=True)])
@@ -197,7 +212,7 @@ def find_contamination(
         texts = texts.withColumn("row", F.monotonically_increasing_id())
     found = []
     for block in range(blocks):
-        rows = pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
+        rows = pieces.filter(F.col("block") == block).select("item", "words").collect()
         windows = item_windows([(r["item"], bytes(r["words"])) for r in rows], n)
         words = {x for _, found_words in windows for x in found_words}
         vocabulary = np.unique(word_hashes([b" ".join(words)], NON_ALPHANUMERIC)[0])
