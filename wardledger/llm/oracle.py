@@ -83,5 +83,94 @@ SELECT query_id, rank::INTEGER AS rank, neighbor_id, distance FROM (
 """
 
 
+def _lloyd(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Lloyd's rounds, one pair of steps after the other; vectors and centroids as rows of components."""
+    steps = [
+        f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS c
+  FROM embeddings WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+), v AS MATERIALIZED (
+  SELECT r, unnest(range(1, {dims + 1})) AS d, unnest(c) AS x FROM kept
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, c) - 1 AS k, c
+  FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, c FROM kept) QUALIFY k < {k}
+), m0 AS MATERIALIZED (
+  SELECT k, unnest(range(1, {dims + 1})) AS d, unnest(c) AS x FROM c0
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, k, s FROM (SELECT r, k, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS s FROM v JOIN m{i} m USING (d) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY s, k) = 1
+)""")
+        if i < rounds:
+            steps.append(f"""m{i + 1} AS MATERIALIZED (
+  SELECT k, d, coalesce((s - ((s % n) + n) % n) // n, m{i}.x) AS x FROM m{i} LEFT JOIN (
+    SELECT k, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY k, d) USING (k, d)
+)""")
+    return (
+        ", ".join(steps)
+        + f"""
+SELECT vec_id, a.k::INTEGER AS cluster, s AS distance, sum(s) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+  sum(s) OVER ()::BIGINT AS inertia, sha AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (r)
+JOIN (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS sha FROM m{rounds} GROUP BY k) USING (k)
+"""
+    )
+
+
+#: unsigned crc32 of a decimal number, bit by bit: each character is taken in, then eight bits are shifted out.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+OP13 = f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)
+), turns AS (
+  SELECT c.conv_id, 0 AS part, o.p, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.p <= h
+  UNION ALL
+  SELECT c.conv_id, 1, o.p, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.p > h
+), path AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS n,
+    string_agg(sha256(length(role)::VARCHAR || ':' || role || text), '') OVER w AS node
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)
+), member AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, 0 AS n, '' AS node FROM conv UNION ALL SELECT conv_id, depth, n, sha256(node) FROM path
+), node AS MATERIALIZED (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM member GROUP BY node, depth
+), edge AS MATERIALIZED (
+  SELECT x.node, x.depth, x.conv_id, x.n_convs, x.n, p.node AS parent, p.conv_id AS parent_conv_id
+  FROM node x LEFT JOIN member m ON m.conv_id = x.conv_id AND m.depth = x.depth - 1 LEFT JOIN node p ON p.node = m.node
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM edge WHERE parent IS NOT NULL GROUP BY parent
+), total AS (
+  SELECT a.node, sum((x.n_convs - 1) * x.n)::BIGINT AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves
+  FROM edge x LEFT JOIN children c ON c.node = x.node
+  JOIN member a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.node
+), ends AS (
+  SELECT arg_max(node, depth) AS node, conv_id FROM member GROUP BY conv_id
+), ended AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM ends GROUP BY node
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens,
+  coalesce(sha, sha256('')) AS ends_sha256
+FROM edge LEFT JOIN children USING (node) JOIN total USING (node) LEFT JOIN ended USING (node)
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op6_near_duplicates": OP6, "op7_shards": OP7, "op9_nearest_codes": OP9, "op10_contamination": OP10}
+    return {
+        "op6_near_duplicates": OP6,
+        "op7_shards": OP7,
+        "op9_nearest_codes": OP9,
+        "op10_contamination": OP10,
+        "op12_centroids": _lloyd(),
+        "op13_prefix_trie": OP13,
+    }

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardledger.llm.byte_bpe import token_report
+from wardledger.llm.centroids import cluster_report
 from wardledger.llm.decontaminate import contamination_report
 from wardledger.llm.hamming_search import search_report
 from wardledger.llm.langid import language_report
 from wardledger.llm.language_model import score_report
 from wardledger.llm.near_duplicates import duplicate_report
 from wardledger.llm.packing import packing_report
+from wardledger.llm.prefix_trie import trie_report
 from wardledger.llm.pseudonyms import pseudonym_report
 from wardledger.llm.secrets import secret_report
 from wardledger.llm.sharding import shard_report
@@ -75,5 +78,24 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_report(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(table(spark, sf_dir, "conversations"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op5_transcripts, op6_near_duplicates, op7_shards, op8_packing, op9_nearest_codes, op10_contamination)}
+    found = (
+        op1_secrets, op2_language_model, op3_pseudonyms, op4_language, op5_transcripts, op6_near_duplicates, op7_shards,
+        op8_packing, op9_nearest_codes, op10_contamination, op11_byte_bpe, op12_centroids, op13_prefix_trie,
+    )
+    return {q.__name__: q for q in found}
