@@ -37,6 +37,58 @@ def test_a_hot_group_is_cut_into_slices(spark):
     assert sliced.count() == 8 and sliced.agg(F.max("count")).first()[0] < 1000
 
 
+def exchanges(df):
+    """Exchanges of a plan that was not run yet, without adaptive planning."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return [line for line in plan.splitlines() if re.search(r"\bExchange\b", line)]
+
+
+def test_numbering_computes_its_input_once_and_moves_only_the_borders(spark, monkeypatch):
+    kept = []
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, *a, **k: kept.append((df, keep(self, df, *a, **k))) or kept[-1][1])
+    rows = spark.range(5000).select((F.col("id") % 3).alias("key"), "id")
+    numbered = number_within(rows, ["key"], [F.col("id").asc()], "n", partitions=6)
+    assert len(kept) == 2  # the input, then its sorted slices, cut from the written input
+    assert [len(exchanges(df)) for df, _ in kept] == [0, 1]
+    assert len([e for e in exchanges(numbered) if "_group" in e]) == 1
+    assert not any("hashpartitioning(key" in e or "hashpartitioning(_slice" in e for e in exchanges(numbered))
+    slices = kept[1][1].groupBy("_slice").count()
+    assert slices.count() == 6 and slices.agg(F.max("count")).first()[0] < 1700
+    assert numbered.groupBy("key").agg(F.max("n"), F.count_distinct("n")).count() == 3
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 12])
+def test_numbers_go_on_after_stored_ones(spark, partitions):
+    rows = spark.range(600).select(F.when(F.col("id") % 5 == 0, "few").when(F.col("id") % 7 > 0, "hot").alias("key"), "id")
+    after = spark.createDataFrame([("hot", 100), (None, 7), ("unused", 3)], "key string, last_no int")
+    numbered = number_within(rows, ["key"], [F.col("id").desc()], "n", after=after, partitions=partitions)
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.col("id").desc()))
+    base = F.when(F.col("key") == "hot", 100).when(F.col("key").isNull(), 7).otherwise(0)
+    assert numbered.exceptAll(rows.withColumn("n", first + base)).count() == 0 and numbered.count() == 600
+
+
+def test_bucketed_tables_join_and_group_without_an_exchange(spark):
+    with Workspace(spark) as space:
+        left = space.keep(spark.range(100).select("id", (F.col("id") % 10).alias("k")), "left", by=("k",))
+        right = space.keep(spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v")), "right", by=("k",))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = left.join(right, "k").groupBy("k").agg(F.sum("v").alias("n"))
+            assert exchanges(out) == []
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert out.count() == 10
+        tables = set(space._tables.values())
+        assert len(tables) == 2 and all(spark.catalog.tableExists(t) for t in tables)
+    assert not any(spark.catalog.tableExists(t) for t in tables)
+
+
 def test_blank_keys_are_spread_and_match_nothing(spark):
     left = spark.range(1000).select(F.concat(F.lit("r"), "id").alias("name"), F.when(F.col("id") < 10, "x").when(F.col("id") < 500, "").alias("key"))
     spread = left.withColumn("key", spread_blank("key", "name"))

@@ -44,9 +44,9 @@ def test_query_matches_sql(spark, con, name, monkeypatch):
     built = []
     keep = Workspace.keep
 
-    def watched(self, df, table):
+    def watched(self, df, *how, **more):
         built.append(df)
-        return keep(self, df, table)
+        return keep(self, df, *how, **more)
 
     monkeypatch.setattr(Workspace, "keep", watched)
 

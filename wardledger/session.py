@@ -42,20 +42,45 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        run = uuid.uuid4().hex
+        self.path = f"{shared_folder(spark)}/run-{run}"
+        self._prefix = f"kept_{run}"
+        self._tables: dict[str, str] = {}  # bucketed tables, which the catalog knows
+
+    def keep(
+        self, df: DataFrame, name: str, by: tuple[str, ...] = (), sort: tuple[str, ...] = (), dealt: bool = False
+    ) -> DataFrame:
+        """``df`` as a written table.
+
+        With ``by`` it is bucketed by these columns, as many buckets as the session has shuffle partitions, and sorted
+        by ``sort`` within them: joins and groups on these columns then read it without an exchange. Each bucket is
+        one file; ``dealt`` frames, whose tasks hold few buckets each, are written as they are.
+        """
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if not by:
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df if dealt else df.repartition(buckets, *by)
+        table = f"{self._prefix}_{name}"
+        rows.write.bucketBy(buckets, *by).sortBy(*(sort or by)).option("path", path).saveAsTable(table)
+        self._tables[name] = table
+        return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            self._forget(name)
             self._delete(f"{self.path}/{name}")
 
     def close(self) -> None:
+        for name in list(self._tables):
+            self._forget(name)
         self._delete(self.path)
 
+    def _forget(self, name: str) -> None:
+        if name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(name)}")
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,6 +93,6 @@ class Workspace:
         self.close()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once for several later uses, as a table in the shared folder."""
-    return Workspace(df.sparkSession).keep(df, "kept")
+def materialize(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Computes ``df`` once for several later uses, as a table in the shared folder, bucketed if ``by`` is given."""
+    return Workspace(df.sparkSession).keep(df, "kept", by)
