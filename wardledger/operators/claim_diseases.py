@@ -19,15 +19,20 @@ BLOCKS = {
 DESCRIPTION_LENGTH = 139
 
 
-def claim_diseases(claims: DataFrame, t: Tables) -> DataFrame:
-    """One row per claim, diagnosis block and medical code: the earliest entry, its description cut to the stored length."""
+def claim_diseases(claims: DataFrame, t: Tables, encounters: DataFrame | None = None) -> DataFrame:
+    """One row per claim, diagnosis block and medical code: the earliest entry, its description cut to the stored length.
+
+    ``encounters`` are the claims' submitted encounters, where they were kept before.
+    """
     entries = t.codification_table.filter(
         (F.col("parenttype") == "Patient Encounter") & F.col("parentfield").isin(*BLOCKS)
     ).select(
         F.col("parent").alias("encounter"), "parentfield", "medical_code", "modified",
         F.col("name").alias("codification_table"), "code", "description",
     )
-    encounters = submitted_encounters(claims, t).select("claim", "encounter", "practitioner")
+    if encounters is None:
+        encounters = submitted_encounters(claims, t)
+    encounters = encounters.select("claim", "encounter", "practitioner")
     first = F.min(
         F.struct("modified", "codification_table", "encounter", "code", "description", "practitioner")
     )

@@ -13,19 +13,22 @@ from wardledger.sources.schemas import CLAIM_HEADER, shaped
 from wardledger.sources.tables import Tables
 
 
-def claim_appointments(claims: DataFrame) -> DataFrame:
-    """(claim, position, appointment): the claim's JSON list, or its single appointment."""
+def listed_appointments() -> Column:
+    """The claim's JSON list, or its single appointment."""
     listed = F.from_json("claim_appointment_list", "array<string>")
-    appointments = F.when(F.size(listed) > 0, listed).otherwise(F.array("patient_appointment"))
+    return F.when(F.size(listed) > 0, listed).otherwise(F.array("patient_appointment"))
+
+
+def claim_appointments(claims: DataFrame) -> DataFrame:
+    """(claim, position, appointment) of each claim's appointments."""
     return claims.select(
-        F.col("name").alias("claim"), F.posexplode(appointments).alias("position", "appointment")
+        F.col("name").alias("claim"), F.posexplode(listed_appointments()).alias("position", "appointment")
     )
 
 
 def _appointment_set(claims: DataFrame) -> DataFrame:
     """The distinct appointments of each claim, for membership joins."""
-    listed = F.array_distinct(F.from_json("claim_appointment_list", "array<string>"))
-    appointments = F.when(F.size(listed) > 0, listed).otherwise(F.array("patient_appointment"))
+    appointments = F.array_distinct(listed_appointments())
     found = claims.select(F.col("name").alias("claim"), F.explode(appointments).alias("appointment"))
     return found.filter(~is_blank("appointment"))  # blank ones would meet all blank ones
 
@@ -34,17 +37,15 @@ def _is_final() -> Column:
     return (F.col("duplicated") == 0) & (F.col("encounter_type") == "Final")
 
 
+def own_visits() -> list[Column]:
+    """What a claim reads of each encounter."""
+    names = ["appointment", "encounter_date", "creation", "modified", "practitioner"]
+    return [F.col("name").alias("encounter"), *map(F.col, names), _is_final().alias("is_final")]
+
+
 def submitted_encounters(claims: DataFrame, t: Tables) -> DataFrame:
     """(claim, encounter, ...) of the claim's appointments, without the order number."""
-    encounters = t.patient_encounter.filter(F.col("docstatus") == 1).select(
-        "appointment",
-        F.col("name").alias("encounter"),
-        "encounter_date",
-        "creation",
-        "modified",
-        "practitioner",
-        _is_final().alias("is_final"),
-    )
+    encounters = t.patient_encounter.filter(F.col("docstatus") == 1).select(*own_visits())
     return _appointment_set(claims).join(encounters, "appointment").drop("appointment")
 
 
@@ -70,10 +71,14 @@ def claim_practitioners(finals: DataFrame, t: Tables) -> DataFrame:
     """First practitioner's name and all council numbers per claim, in order of practitioner id."""
     distinct = finals.select("claim", F.col("practitioner").alias("id")).distinct()
     details = t.healthcare_practitioner.select(F.col("name").alias("id"), "practitioner_name", "tz_mct_code")
-    ordered = F.array_sort(F.collect_list(F.struct("id", "practitioner_name", "tz_mct_code")))
+    return people_of_claims(distinct.join(details, "id"))
+
+
+def people_of_claims(rows: DataFrame) -> DataFrame:
+    """As ``claim_practitioners``, from (claim, id, practitioner_name, tz_mct_code) rows."""
+    ordered = F.array_sort(F.collect_set(F.struct("id", "practitioner_name", "tz_mct_code")))
     return (
-        distinct.join(details, "id")
-        .groupBy("claim")
+        rows.groupBy("claim")
         .agg(ordered.alias("people"))
         .select(
             "claim",
@@ -100,17 +105,31 @@ def claim_stay(records: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     Same-day discharges are outpatients. A missing date counts as today in the comparisons, as in
     the reports this replaces.
     """
-    today = run.today
-    admitted_day = F.to_date("admitted_datetime")
-    scheduled_first = F.coalesce("scheduled_date", today) < F.coalesce(admitted_day, today)
     details = t.inpatient_record.select(
         F.col("name").alias("inpatient_record"),
+        F.lit(True).alias("recorded"),
         "discharge_date",
-        F.when(scheduled_first, F.col("scheduled_date")).otherwise(admitted_day).alias("admitted_on"),
-        F.when(scheduled_first, clock("creation")).otherwise(clock("admitted_datetime")).alias("admitted_time"),
+        "scheduled_date",
+        F.to_date("admitted_datetime").alias("admitted_day"),
+        clock("creation").alias("created_clock"),
+        clock("admitted_datetime").alias("admitted_clock"),
+    )
+    return stay_columns(records.join(details, "inpatient_record", "left"), run)
+
+
+def stay_columns(stays: DataFrame, run: RunContext) -> DataFrame:
+    """As ``claim_stay``, from claims joined with their records; ``recorded`` where the record exists."""
+    today = run.today
+    scheduled_first = F.coalesce("scheduled_date", today) < F.coalesce("admitted_day", today)
+    admitted_time = F.when(scheduled_first, F.col("created_clock")).otherwise(F.col("admitted_clock"))
+    with_admission = stays.withColumns(
+        {
+            "admitted_on": F.when(F.col("recorded"), F.when(scheduled_first, F.col("scheduled_date")).otherwise(F.col("admitted_day"))),
+            "admitted_time": F.when(F.col("recorded"), admitted_time),
+        }
     )
     same_day = F.coalesce("admitted_on", today) == F.coalesce("discharge_date", today)
-    return records.join(details, "inpatient_record", "left").select(
+    return with_admission.select(
         "claim",
         "inpatient_record",
         F.when(same_day, "OUT").otherwise("IN").alias("patient_type_code"),
@@ -139,18 +158,38 @@ def with_period(df: DataFrame) -> DataFrame:
 
 def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     """Claims with everything the header takes from other tables."""
-    appointments = t.patient_appointment.select(
-        F.col("name").alias("patient_appointment"),
+    appointments = t.patient_appointment.select(F.col("name").alias("patient_appointment"), *_own_appointment())
+    own = claims.select(F.col("name").alias("claim"), "patient_appointment").join(appointments, "patient_appointment")
+    finals = final_encounters(claims, t)
+    stays = claim_stay(claim_inpatient_record(finals), t, run)
+    return _headers(claims, own.drop("patient_appointment"), claim_practitioners(finals, t), stays, t, run)
+
+
+def claim_headers_of(frame, run: RunContext) -> DataFrame:
+    """``claim_headers`` from the kept tables of a ``ClaimFrame``."""
+    own = frame.appointments.filter("position = -1").select("claim", *_own_appointment())
+    people = frame.finals.filter("known").select("claim", F.col("practitioner").alias("id"), "practitioner_name", "tz_mct_code")
+    return _headers(frame.claims, own, people_of_claims(people), stay_columns(frame.stays, run), frame.t, run)
+
+
+def _own_appointment() -> list[Column]:
+    return [
         F.col("patient").alias("_patient"),
         F.col("company").alias("_company"),
         F.col("coverage_plan_card_number").alias("_card"),
         F.col("authorization_number").alias("_authorization"),
         F.col("coverage_plan_name").alias("_plan"),
-        "appointment_date",
-        "appointment_time",
-    )
+        F.col("appointment_date").alias("_date"),
+        F.col("appointment_time").alias("_time"),
+    ]
+
+
+def _headers(
+    claims: DataFrame, own: DataFrame, people: DataFrame, stays: DataFrame, t: Tables, run: RunContext
+) -> DataFrame:
+    """Headers from each claim's own appointment, practitioners and stay."""
     patients = t.patient.select(
-        F.col("name").alias("patient"),
+        F.col("name").alias("_who"),
         "patient_name",
         "first_name",
         "last_name",
@@ -160,28 +199,20 @@ def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
         F.col("patient_signature").alias("_signature"),
     )
     settings = t.company_claim_settings.select("company", "facility_code")
-    finals = final_encounters(claims, t)
-    people = claim_practitioners(finals, t).select(
-        F.col("claim").alias("name"), "practitioner_name", "practitioner_no"
-    )
-    stays = claim_stay(claim_inpatient_record(finals), t, run).withColumnRenamed("claim", "name")
     base = claims.drop("attendance_date", "authorization_no", "practitioner_name", "practitioner_no")
     header = (
-        base.join(appointments, "patient_appointment", "left")
+        base.join(own.withColumnRenamed("claim", "name"), "name", "left")
+        .join(people.select(F.col("claim").alias("name"), "practitioner_name", "practitioner_no"), "name", "left")
+        .join(stays.withColumnRenamed("claim", "name"), "name", "left")
         .withColumn("patient", F.coalesce(non_blank("patient"), "_patient"))
         .withColumn("company", F.coalesce(non_blank("company"), "_company"))
         .withColumn("cardno", F.coalesce(non_blank("cardno"), "_card"))
         .withColumn("coverage_plan_name", F.coalesce(non_blank("coverage_plan_name"), "_plan"))
         .withColumnsRenamed(
-            {
-                "_authorization": "authorization_no",
-                "appointment_date": "attendance_date",
-                "appointment_time": "attendance_time",
-            }
+            {"_authorization": "authorization_no", "_date": "attendance_date", "_time": "attendance_time"}
         )
-        .join(people, "name", "left")
-        .join(stays, "name", "left")
-        .join(patients, "patient", "left")
+        .withColumn("_who", spread_blank("patient", "name"))
+        .join(patients, "_who", "left")
         .join(settings, "company", "left")
         .withColumn("patient_type_code", F.coalesce("patient_type_code", F.lit("OUT")))
         .withColumn("patient_signature", F.coalesce(non_blank("patient_signature"), non_blank("_signature")))
@@ -197,18 +228,20 @@ def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
 FOLIO_KEYS = ["company", "claim_year", "claim_month"]
 
 
-def folio_numbers(headers: DataFrame, counters: DataFrame) -> tuple[DataFrame, DataFrame]:
+def folio_numbers(headers: DataFrame, counters: DataFrame, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(claims with folio_no, new counters) per company and claim month, after the stored counters.
 
-    A company's month may hold any share of the claims, so it is numbered in slices.
+    A company's month may hold any share of the claims, so it is numbered in slices. ``stored`` headers are read from
+    a written table.
     """
-    stored = counters.groupBy(*FOLIO_KEYS).agg(F.max("folio_no").alias("last_no"))
+    last = counters.groupBy(*FOLIO_KEYS).agg(F.max("folio_no").alias("last_no"))
     claims = number_within(
         headers.select(F.col("name").alias("claim"), *FOLIO_KEYS, "creation"),
         FOLIO_KEYS,
         [F.col("creation").asc(), F.col("claim").asc()],
         "folio_no",
-        after=stored,
+        after=last,
+        stored=stored,
     ).drop("creation")
     return claims, folio_counters(headers, counters)
 

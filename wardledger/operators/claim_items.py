@@ -11,9 +11,9 @@ from wardledger.functions.columns import differs, is_blank, is_set, is_unset, mo
 from wardledger.functions.joins import spread_null
 from wardledger.functions.numbering import number_within
 from wardledger.operators import claim_header as H
+from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.operators.prescriptions import prescriptions, with_approval, with_item, with_status
 from wardledger.options import RunContext
-from wardledger.session import materialize
 from wardledger.sources.schemas import CLAIM_LINE
 from wardledger.sources.tables import Tables
 
@@ -21,7 +21,6 @@ LINE_COLUMNS = [f.name for f in CLAIM_LINE.fields]
 ORDER_COLUMNS = ["encounter_creation", "table_order", "row_idx"]
 
 
-
 def _lines(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Claim lines with the columns that break ties in their numbering."""
     named = {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
@@ -135,8 +134,12 @@ def admission_lines(stays: DataFrame, t: Tables) -> DataFrame:
     appointments = t.patient_appointment.select(
         F.col("name").alias("patient_appointment"), "billing_item", "paid_amount", "creation", "practitioner"
     )
+    return _admission_lines(stays.join(appointments, "patient_appointment"))
+
+
+def _admission_lines(rows: DataFrame) -> DataFrame:
     return _lines(
-        stays.join(appointments, "patient_appointment"),
+        rows,
         claim="claim",
         item_name="billing_item",
         item_code="billing_item",
@@ -182,21 +185,52 @@ def _priced_occupancies(stays: DataFrame, t: Tables) -> DataFrame:
 
 def bed_lines(stays: DataFrame, t: Tables) -> DataFrame:
     """One line per confirmed bed occupancy."""
+    return _rated_lines(_bed_rows(_priced_occupancies(stays, t)))
+
+
+RATED_COLUMNS = [
+    "claim", "item_name", "item_code", "patient_encounter", "ref_doctype", "ref_docname", "date_created", "item_crt_by", "row_idx",
+]
+RATE_KEYS = ["company", "insurance_subscription", "insurance_company"]
+
+
+def _bed_rows(occupancies: DataFrame) -> DataFrame:
+    """Occupancies in the columns of lines whose price is a rate."""
+    return occupancies.withColumns(
+        {
+            "item_name": F.col("service_unit"),
+            "patient_encounter": F.col("admission_encounter"),
+            "ref_doctype": F.lit("Inpatient Occupancy"),
+            "date_created": F.to_date("modified"),
+            "item_crt_by": F.col("modified_by"),
+            "row_idx": F.col("idx"),
+        }
+    )
+
+
+def _consultation_rows(appointments: DataFrame) -> DataFrame:
+    """A claim's chargeable appointments in the columns of lines whose price is a rate."""
+    return appointments.withColumns(
+        {
+            "item_name": F.col("item_code"),
+            "patient_encounter": F.lit(None).cast("string"),
+            "ref_doctype": F.lit("Patient Appointment"),
+            "date_created": F.to_date("modified"),
+            "item_crt_by": F.col("practitioner"),
+            "row_idx": F.col("position"),
+        }
+    )
+
+
+def _rated_lines(rows: DataFrame) -> DataFrame:
+    """Lines of quantity 1 at their ``rate``."""
     return _lines(
-        _priced_occupancies(stays, t),
-        claim="claim",
-        item_name="service_unit",
-        item_code="item_code",
+        rows,
+        **{c: c for c in RATED_COLUMNS},
         item_quantity=F.lit(1.0),
         unit_price="rate",
         amount_claimed="rate",
         approval_ref_no=F.lit(""),
-        patient_encounter="admission_encounter",
-        ref_doctype=F.lit("Inpatient Occupancy"),
-        ref_docname="ref_docname",
-        date_created=F.to_date("modified"),
-        item_crt_by="modified_by",
-        row_idx="idx",
     )
 
 
@@ -208,7 +242,13 @@ def inpatient_consultancy_lines(stays: DataFrame, t: Tables) -> DataFrame:
         .filter(is_set("is_consultancy_chargeable"))
         .select("inpatient_record", "day")
     )
-    visits = t.inpatient_consultancy.filter(is_set("is_confirmed") & (F.col("rate") != 0)).select(
+    rows = _consultancies(t).join(chargeable, ["inpatient_record", "day"]).join(stays, "inpatient_record")
+    return _consultancy_lines(rows)
+
+
+def _consultancies(t: Tables) -> DataFrame:
+    """Confirmed, priced consultancies of inpatient records."""
+    return t.inpatient_consultancy.filter(is_set("is_confirmed") & (F.col("rate") != 0)).select(
         F.col("parent").alias("inpatient_record"),
         F.col("date").alias("day"),
         F.col("name").alias("ref_docname"),
@@ -219,8 +259,11 @@ def inpatient_consultancy_lines(stays: DataFrame, t: Tables) -> DataFrame:
         "healthcare_practitioner",
         "idx",
     )
+
+
+def _consultancy_lines(rows: DataFrame) -> DataFrame:
     return _lines(
-        visits.join(chargeable, ["inpatient_record", "day"]).join(stays, "inpatient_record"),
+        rows,
         claim="claim",
         item_name="consultation_item",
         item_code="consultation_item",
@@ -248,10 +291,12 @@ def inpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFra
     return _stay_lines(inpatient_claims(claims, records, t), t).unionByName(_prescribed_lines(visits, t))
 
 
+def _chargeable() -> Column:
+    return is_unset("follow_up") & differs("has_no_consultation_charges", 1)
+
+
 def _priced_appointments(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
-    appointments = t.patient_appointment.filter(
-        is_unset("follow_up") & differs("has_no_consultation_charges", 1)
-    ).select(
+    appointments = t.patient_appointment.filter(_chargeable()).select(
         F.col("name").alias("ref_docname"),
         F.col("billing_item").alias("item_code"),
         "insurance_subscription",
@@ -272,21 +317,7 @@ def _priced_appointments(claims: DataFrame, records: DataFrame, t: Tables) -> Da
 
 def consultation_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
     """One line per chargeable appointment of claims without an inpatient record."""
-    return _lines(
-        _priced_appointments(claims, records, t),
-        claim="claim",
-        item_name="item_code",
-        item_code="item_code",
-        item_quantity=F.lit(1.0),
-        unit_price="rate",
-        amount_claimed="rate",
-        approval_ref_no=F.lit(""),
-        ref_doctype=F.lit("Patient Appointment"),
-        ref_docname="ref_docname",
-        date_created=F.to_date("modified"),
-        item_crt_by="practitioner",
-        row_idx="position",
-    )
+    return _rated_lines(_consultation_rows(_priced_appointments(claims, records, t)))
 
 
 def price_violations(lines: DataFrame) -> DataFrame:
@@ -302,10 +333,7 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
     A claim has at most as many consultations as its own row lists appointments, so these are
     numbered in one window; services may be any number and are numbered in slices.
     """
-    listed = F.size(F.from_json("claim_appointment_list", "array<string>"))
-    counts = claims.select(
-        F.col("name").alias("claim"), F.when(listed > 0, listed).otherwise(1).alias("last_no")
-    )
+    counts = claims.select(F.col("name").alias("claim"), F.size(H.listed_appointments()).alias("last_no"))
     order = [
         F.col(c).asc_nulls_first()
         for c in (
@@ -321,13 +349,40 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
 
 
 def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
-    """All numbered lines of each claim.
+    """All numbered lines of each claim."""
+    return claim_lines_of(ClaimFrame(claims, t))
+
 
-    The inpatient claims are few and read by every branch, so they are computed once and kept.
+def claim_lines_of(frame: ClaimFrame) -> DataFrame:
+    """All numbered lines of each claim, from its kept appointments, visits and stay.
+
+    Beds and consultations are tagged and united before their rates are looked up.
     """
-    stays = materialize(inpatient_claims(claims, H.claim_inpatient_record(H.final_encounters(claims, t)), t))
-    services = _stay_lines(stays, t).unionByName(_prescribed_lines(claimed_encounters(claims, stays, t), t))
-    return numbered_lines(claims, services, consultation_lines(claims, stays, t))
+    stays, t = frame.stays, frame.t
+    own = frame.appointments.filter("position = -1").select("claim", "billing_item", "paid_amount", "creation", "practitioner")
+    beds = frame.occupancies.filter("is_confirmed").join(stays, "inpatient_record")
+    visits = _consultancies(t).join(stays, "inpatient_record").filter(F.try_element_at("days", F.col("day"))["chargeable"])
+    consultations = (
+        frame.appointments.filter((F.col("position") >= 0) & _chargeable())
+        .join(stays.select("claim"), "claim", "left_anti")
+        .drop("company")
+        .withColumnsRenamed({"claim_company": "company", "appointment": "ref_docname", "billing_item": "item_code"})
+    )
+    columns = [*RATED_COLUMNS, *RATE_KEYS]
+    tagged = _bed_rows(beds).select(*columns, F.lit(False).alias("consultation")).unionByName(
+        _consultation_rows(consultations).select(*columns, F.lit(True).alias("consultation"))
+    )
+    rated = with_rate(tagged, t)
+    services = reduce(
+        DataFrame.unionByName,
+        [
+            _admission_lines(stays.join(own, "claim")),
+            _rated_lines(rated.filter("not consultation")),
+            _consultancy_lines(visits),
+            _prescribed_lines(frame.billed, t),
+        ],
+    )
+    return numbered_lines(frame.claims, services, _rated_lines(rated.filter("consultation")))
 
 
 def completed_items(items: DataFrame, headers: DataFrame, run: RunContext) -> DataFrame:

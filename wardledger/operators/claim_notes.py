@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank, joined
 from wardledger.operators import claim_header as H
+from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.operators.claim_items import claimed_encounters
 from wardledger.options import RunContext
-from wardledger.session import materialize
 from wardledger.sources.tables import Tables
 
 
@@ -29,8 +29,8 @@ def note_encounters(claims: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def _drug_text(wanted: DataFrame, t: Tables) -> DataFrame:
-    """All drug rows of each wanted encounter as text, in row order."""
+def _drug_text(billed: DataFrame, t: Tables) -> DataFrame:
+    """All drug rows of each billed encounter as text, in row order."""
     # The given texts of a note.
     def part(label: str, column: str) -> Column:
         return F.when(~is_blank(column), F.concat(F.lit(f", {label}: "), F.col(column))).otherwise("")
@@ -42,22 +42,16 @@ def _drug_text(wanted: DataFrame, t: Tables) -> DataFrame:
     )
     return (
         t.drug_prescription.select(F.col("parent").alias("encounter"), F.struct("idx", "name", line.alias("line")).alias("row"))
-        .join(wanted, "encounter", "left_semi")
+        .join(billed.select("encounter"), "encounter", "left_semi")
         .groupBy("encounter")
         .agg(F.concat(F.lit("<br>Medication(s): <br>"), joined(F.collect_list("row"), "line", "")).alias("drugs"))
     )
 
 
-def _encounter_text(wanted: DataFrame, t: Tables) -> DataFrame:
-    """The note of each wanted encounter."""
-    departments = t.healthcare_practitioner.select(F.col("name").alias("practitioner"), "department")
+def _encounter_notes(billed: DataFrame, t: Tables) -> DataFrame:
+    """(claim, place, note) of each billed encounter."""
     visits = t.patient_encounter.select(
-        F.col("name").alias("encounter"),
-        "practitioner",
-        "practitioner_name",
-        "encounter_date",
-        "encounter_time",
-        "examination_detail",
+        F.col("name").alias("encounter"), "practitioner_name", "encounter_date", "encounter_time", "examination_detail"
     )
     note = F.concat(
         F.lit("<br>PractitionerName: <i>"), _text("practitioner_name"),
@@ -65,15 +59,15 @@ def _encounter_text(wanted: DataFrame, t: Tables) -> DataFrame:
         F.lit(",</i> DateofService: <i>"), _text("encounter_date"), F.lit(" "), _text("encounter_time"),
         F.lit("</i> <br>"), F.coalesce("examination_detail", F.lit("")), F.coalesce("drugs", F.lit("")),
     )
+    place = F.struct("position", "creation", "encounter")
     return (
-        visits.join(wanted, "encounter", "left_semi")
-        .join(departments, "practitioner", "left")
-        .join(_drug_text(wanted, t), "encounter", "left")
-        .select("encounter", note.alias("note"))
+        billed.join(visits, "encounter")
+        .join(_drug_text(billed, t), "encounter", "left")
+        .select("claim", place.alias("place"), note.alias("note"))
     )
 
 
-def clinical_notes(claims: DataFrame, headers: DataFrame, t: Tables, run: RunContext) -> DataFrame:
+def clinical_notes(frame: ClaimFrame, headers: DataFrame, run: RunContext) -> DataFrame:
     """(claim, clinical_notes): patient line, then a note per encounter; double quotes become spaces."""
     age = F.floor(F.datediff(run.today, "date_of_birth") / 365)
     patient_line = headers.select(
@@ -84,10 +78,8 @@ def clinical_notes(claims: DataFrame, headers: DataFrame, t: Tables, run: RunCon
             F.coalesce(age.cast("string"), F.lit("None")), F.lit(" years</b>,<br>"),
         ).alias("head"),
     )
-    shown = materialize(note_encounters(claims, t))
-    texts = _encounter_text(shown.select("encounter").distinct(), t)
     bodies = (
-        shown.join(texts, "encounter")
+        _encounter_notes(frame.billed, frame.t)
         .groupBy("claim")
         .agg(joined(F.collect_list(F.struct("place", "note")), "note", "").alias("body"))
     )

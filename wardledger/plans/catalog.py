@@ -21,6 +21,7 @@ from wardledger.operators import orders as O
 from wardledger.operators import prescriptions as P
 from wardledger.operators import revenue as R
 from wardledger.operators import stock as S
+from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
 from wardledger.plans.claim_build import build_claims
@@ -47,6 +48,11 @@ def _rated_lines(t: Tables) -> DataFrame:
     return beds.unionByName(C.consultation_lines(claims, records, t))
 
 
+def _notes(t: Tables) -> DataFrame:
+    frame = ClaimFrame(t.insurance_claim, t)
+    return N.clinical_notes(frame, H.claim_headers_of(frame, RUN), RUN)
+
+
 def _folios(t: Tables) -> DataFrame:
     return build_claims(t.insurance_claim, t, RUN).documents
 
@@ -160,7 +166,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "c10_completed_items": lambda t: C.completed_items(t.claim_item, _headers(t), RUN),
     "c10_claim_totals": lambda t: C.claim_totals(t.claim_item),
     "c10_completed_diseases": lambda t: C.completed_diseases(D.claim_diseases(t.insurance_claim, t), _headers(t), RUN),
-    "c11_clinical_notes": lambda t: N.clinical_notes(t.insurance_claim, _headers(t), t, RUN),
+    "c11_clinical_notes": lambda t: _notes(t),
     "c11_missing_examination": lambda t: N.missing_examination(t.insurance_claim, t),
     "c12_folio_documents": lambda t: _folio_fields(_folios(t)),
     "c13_item_reference_codes": lambda t: C.item_reference_codes(t),

@@ -13,6 +13,7 @@ from wardledger.operators import claim_header as H
 from wardledger.operators import claim_items as C
 from wardledger.operators.claim_diseases import claim_diseases
 from wardledger.operators.claim_export import folio_documents
+from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.operators.claim_notes import clinical_notes
 from wardledger.operators.claim_reconcile import reconcile_items
 from wardledger.options import RunContext
@@ -41,16 +42,17 @@ class BuiltClaims:
 def build_claims(claims: DataFrame, t: Tables, run: RunContext) -> BuiltClaims:
     """Everything that saving a claim computes, for all the given claims.
 
-    Headers are computed once and kept, since several outputs read them; lines and folio numbers
-    rest on the kept slices of their numbering.
+    The claims meet their appointments, encounters and stays once (``ClaimFrame``); headers are kept too, bucketed by
+    claim, since several outputs read them.
     """
-    headers = materialize(H.claim_headers(claims, t, run))
-    numbers, counters = H.folio_numbers(headers, t.folio_counter)
+    frame = ClaimFrame(claims, t)
+    headers = materialize(H.claim_headers_of(frame, run), by=("name",))
+    numbers, counters = H.folio_numbers(headers, t.folio_counter, stored=True)
     return BuiltClaims(
         headers=headers,
-        diseases=claim_diseases(claims, t),
-        lines=C.claim_lines(claims, t),
-        notes=clinical_notes(claims, headers, t, run),
+        diseases=claim_diseases(claims, t, frame.visits),
+        lines=C.claim_lines_of(frame),
+        notes=clinical_notes(frame, headers, run),
         folio_numbers=numbers,
         folio_counters=counters,
     )
