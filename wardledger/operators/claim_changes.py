@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import non_blank, violation
+from wardledger.functions.joins import spread_null
 from wardledger.operators.prescriptions import DRUG, KINDS
 from wardledger.options import RunContext
 from wardledger.session import materialize
@@ -45,53 +46,59 @@ def _amount(column: str) -> Column:
     return F.coalesce(column, F.lit(0.0))
 
 
-def amount_changes(originals: DataFrame, items: DataFrame) -> DataFrame:
-    """Claim items whose amount differs from the original of the same item."""
-    before = originals.select(
-        "parent", _key("item_code").alias("_item"), _amount("amount_claimed").alias("previous_amount")
-    )
-    now = items.select(
+def compared(originals: DataFrame, items: DataFrame) -> DataFrame:
+    """Every original (``was``) beside the claim items of its claim and item code (``now``); either may be missing."""
+    keyed = lambda df, side: df.select(
         "parent",
         _key("item_code").alias("_item"),
-        "item_code",
-        "item_name",
-        F.col("item_quantity").alias("quantity"),
-        _amount("amount_claimed").alias("current_amount"),
-        "ref_docname",
-        "ref_doctype",
-        "patient_encounter",
+        F.struct("idx", "item_code", "item_name", F.col("item_quantity").alias("quantity"), "amount_claimed", "ref_docname", "ref_doctype", "patient_encounter").alias(side),
+    )
+    return keyed(originals, "was").join(keyed(items, "now"), ["parent", "_item"], "full")
+
+
+def _amount_changes(pairs: DataFrame) -> DataFrame:
+    both = pairs.filter("was is not null and now is not null").select(
+        F.col("parent").alias("claim"),
+        "now.*",
+        _amount("was.amount_claimed").alias("previous_amount"),
+        _amount("now.amount_claimed").alias("current_amount"),
+    )
+    return _events(both.filter(F.col("previous_amount") != F.col("current_amount")), status=F.lit("Amount Changed"))
+
+
+def amount_changes(originals: DataFrame, items: DataFrame) -> DataFrame:
+    """Claim items whose amount differs from the original of the same item."""
+    return _amount_changes(compared(originals, items))
+
+
+def _seen(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("was is not null and now is not null").select(
+        F.col("parent").alias("claim"), _key("was.ref_docname").alias("reference")
     )
-    changed = now.join(before, ["parent", "_item"]).filter(F.col("previous_amount") != F.col("current_amount"))
-    return _events(changed, claim=F.col("parent"), status=F.lit("Amount Changed"))
 
 
 def seen_references(originals: DataFrame, items: DataFrame) -> DataFrame:
     """(claim, reference): references of originals whose item is still claimed."""
-    claimed = items.select("parent", _key("item_code").alias("_item")).distinct()
-    return (
-        originals.withColumn("_item", _key("item_code"))
-        .join(claimed, ["parent", "_item"], "left_semi")
-        .select(F.col("parent").alias("claim"), _key("ref_docname").alias("reference"))
-        .distinct()
-    )
+    return _seen(compared(originals, items)).distinct()
 
 
-def removed_originals(originals: DataFrame, items: DataFrame) -> DataFrame:
-    """Originals whose reference was not seen, as unchanged-amount events without a status."""
-    rows = originals.select(
+def _removed(pairs: DataFrame) -> DataFrame:
+    gone = pairs.filter("now is null").select(
         F.col("parent").alias("claim"),
-        "idx",
-        "item_code",
-        "item_name",
-        F.col("item_quantity").alias("quantity"),
-        F.col("amount_claimed").alias("previous_amount"),
-        F.col("amount_claimed").alias("current_amount"),
-        _key("ref_docname").alias("reference"),
-        "ref_docname",
-        "ref_doctype",
-        "patient_encounter",
+        "was.*",
+        F.col("was.amount_claimed").alias("previous_amount"),
+        F.col("was.amount_claimed").alias("current_amount"),
+        _key("was.ref_docname").alias("reference"),
     )
-    return rows.join(seen_references(originals, items), ["claim", "reference"], "left_anti").drop("reference")
+    return gone.drop("amount_claimed").join(_seen(pairs), ["claim", "reference"], "left_anti").drop("reference")
+
+
+def removed_originals(originals: DataFrame, items: DataFrame) -> DataFrame:
+    """Originals whose reference was not seen, as unchanged-amount events without a status.
+
+    An original whose item is still claimed has been seen itself, so only the others are looked up.
+    """
+    return _removed(compared(originals, items))
 
 
 def removed_appointments(removed: DataFrame) -> DataFrame:
@@ -102,26 +109,31 @@ def removed_names(removed: DataFrame, seen: DataFrame) -> DataFrame:
     """Removed originals per single reference name.
 
     A name is looked at once per claim, for the first original that has it, across all record
-    types; names already seen are skipped.
+    types; names already seen are skipped. Removed and seen names are tagged and meet in one aggregation.
     """
     routed = removed.filter(F.col("ref_doctype").isin(DRUG, *SERVICES, *STAYS))
     kept = [c for c in routed.columns if c not in ("claim", "idx")]
-    names = routed.select("*", F.posexplode(F.split(_key("ref_docname"), ",")).alias("_at", "name"))
+    split = routed.select("*", F.posexplode(F.split(_key("ref_docname"), ",")).alias("_at", "name"))
+    names = split.select("claim", "name", F.struct("idx", "_at", *kept).alias("row"), F.lit(False).alias("seen"))
+    known = seen.select("claim", F.col("reference").alias("name"), F.lit(None).cast(names.schema["row"].dataType).alias("row"), F.lit(True).alias("seen"))
     return (
-        names.groupBy("claim", "name")
-        .agg(F.min(F.struct("idx", "_at", *kept)).alias("row"))
+        names.unionByName(known)
+        .groupBy("claim", "name")
+        .agg(F.min("row").alias("row"), F.bool_or("seen").alias("seen"))
+        .filter("not seen")
         .select("claim", "name", *[F.col(f"row.{c}").alias(c) for c in kept])
-        .join(seen.withColumnRenamed("reference", "name"), ["claim", "name"], "left_anti")
     )
 
 
-def _return_documents(returns: DataFrame, parentfield: str) -> DataFrame:
-    """One return document per (name, encounter)."""
-    return (
-        returns.filter((F.col("parentfield") == parentfield) & (F.col("parenttype") == RETURNS))
-        .groupBy(F.col("child_name").alias("name"), F.col("encounter_no").alias("child_encounter"))
-        .agg(F.min("parent").alias("return_document"))
-    )
+def _return_documents(t: Tables) -> DataFrame:
+    """One return document per (is_drug, name, encounter)."""
+    tagged = [
+        returns.filter((F.col("parentfield") == field) & (F.col("parenttype") == RETURNS)).select(
+            F.lit(field == "drug_items").alias("is_drug"), F.col("child_name").alias("name"), F.col("encounter_no").alias("child_encounter"), "parent"
+        )
+        for returns, field in ((t.medication_return, "drug_items"), (t.item_return, "lrpt_items"))
+    ]
+    return reduce(DataFrame.unionByName, tagged).groupBy("is_drug", "name", "child_encounter").agg(F.min("parent").alias("return_document"))
 
 
 def change_requests(t: Tables) -> DataFrame:
@@ -140,91 +152,96 @@ def change_requests(t: Tables) -> DataFrame:
     )
 
 
-def _cancelled_or_removed(df: DataFrame) -> Column:
+def _cancelled_or_removed() -> Column:
     """Status of a found prescription; a cancelled one without a return document is no change."""
     return F.when(F.col("is_cancelled") == 0, "Item Removed").when(
         (F.col("is_cancelled") == 1) & F.col("return_document").isNotNull(), "Item Cancelled"
     )
 
 
-def drug_removals(names: DataFrame, t: Tables) -> DataFrame:
-    """Removed drugs: removed, cancelled by a return, or replaced by a change request."""
-    found = t.drug_prescription.select("name", "is_cancelled", F.col("parent").alias("child_encounter"))
+def _current_rows(t: Tables) -> DataFrame:
+    """The rows that names refer to, of all record types: (ref_doctype, name, is_cancelled, is_confirmed, child_encounter)."""
+    prescribed = [
+        t.get(k.table).select(
+            F.lit(k.ref_doctype).alias("ref_doctype"), "name", "is_cancelled", F.lit(None).cast("int").alias("is_confirmed"), F.col("parent").alias("child_encounter")
+        )
+        for k in KINDS
+    ]
+    stays = [
+        t.get(table).select(
+            F.lit(doctype).alias("ref_doctype"), "name", F.lit(None).cast("int").alias("is_cancelled"), "is_confirmed", F.lit(None).cast("string").alias("child_encounter")
+        )
+        for doctype, table in STAYS.items()
+    ]
+    return reduce(DataFrame.unionByName, [*prescribed, *stays])
+
+
+def removals(names: DataFrame, t: Tables) -> DataFrame:
+    """What became of each removed name, by one lookup for all record types.
+
+    Drugs: removed, cancelled by a return, or replaced by a change request. Other services: removed, or cancelled by a
+    return; unknown ones are no change. Beds and consultancies: unconfirmed ones by name, others removed with their
+    whole reference.
+    """
+    doctype = F.col("ref_doctype")
+    is_drug, is_stay = doctype == DRUG, doctype.isin(*STAYS)
+    known = _current_rows(t).withColumn("known", F.lit(True))
     rows = (
-        names.filter(F.col("ref_doctype") == DRUG)
-        .join(found, "name", "left")
-        .join(_return_documents(t.medication_return, "drug_items"), ["name", "child_encounter"], "left")
-        .join(change_requests(t), ["item_name", "patient_encounter"], "left")
+        names.withColumn("is_drug", is_drug)
+        .join(known, ["ref_doctype", "name"], "left")
+        .withColumn("child_encounter", F.when(~is_stay, F.col("child_encounter")))
+        .withColumn("_encounter", spread_null("child_encounter", "name"))
+        .join(_return_documents(t).withColumnRenamed("child_encounter", "_encounter"), ["is_drug", "name", "_encounter"], "left")
     )
     missing = F.col("child_encounter").isNull()
-    status = F.when(
-        missing & F.col("medication_change_request").isNotNull(), "Item Replaced"
-    ).otherwise(F.when(~missing, _cancelled_or_removed(rows)))
+    unconfirmed = F.coalesce(F.col("is_confirmed") == 0, F.lit(False))
+    replaced = is_drug & missing
+    rows = (
+        rows.withColumn("_drug", spread_null(F.when(replaced, F.col("item_name")), "name"))
+        .join(change_requests(t).withColumnRenamed("item_name", "_drug"), ["_drug", "patient_encounter"], "left")
+        .withColumn(
+            "status",
+            F.when(is_stay, F.when(unconfirmed, "Item Unconfirmed").otherwise("Item Removed"))
+            .when(replaced, F.when(F.col("medication_change_request").isNotNull(), "Item Replaced"))
+            .when(F.col("known"), _cancelled_or_removed()),
+        )
+        .filter(F.col("status").isNotNull())
+    )
+    named = ~is_stay | unconfirmed
+    own_encounter = F.when(is_drug, F.col("child_encounter")).otherwise(non_blank("child_encounter"))
     return _events(
-        rows.withColumn("status", status).filter(F.col("status").isNotNull()),
-        ref_docname=F.col("name"),
-        patient_encounter=F.coalesce("child_encounter", "patient_encounter"),
+        rows,
+        ref_docname=F.when(named, F.col("name")).otherwise(F.col("ref_docname")),
+        patient_encounter=F.coalesce(own_encounter, "patient_encounter"),
         lrpmt_return=F.when(F.col("status") == "Item Cancelled", F.col("return_document")),
-        medication_change_request=F.when(
-            F.col("status") == "Item Replaced", F.col("medication_change_request")
-        ),
+        medication_change_request=F.when(F.col("status") == "Item Replaced", F.col("medication_change_request")),
     )
 
 
-def _services(t: Tables) -> DataFrame:
-    tables = [
-        t.get(k.table).select(
-            F.lit(k.ref_doctype).alias("ref_doctype"),
-            "name",
-            "is_cancelled",
-            F.col("parent").alias("child_encounter"),
-        )
-        for k in KINDS
-        if k.ref_doctype in SERVICES
-    ]
-    return reduce(DataFrame.unionByName, tables)
+def drug_removals(names: DataFrame, t: Tables) -> DataFrame:
+    """Removed drugs: removed, cancelled by a return, or replaced by a change request."""
+    return removals(names.filter(F.col("ref_doctype") == DRUG), t)
 
 
 def service_removals(names: DataFrame, t: Tables) -> DataFrame:
     """Removed lab, radiology, procedure and therapy items: removed, or cancelled by a return."""
-    rows = (
-        names.filter(F.col("ref_doctype").isin(*SERVICES))
-        .join(_services(t), ["ref_doctype", "name"])
-        .join(_return_documents(t.item_return, "lrpt_items"), ["name", "child_encounter"], "left")
-    )
-    return _events(
-        rows.withColumn("status", _cancelled_or_removed(rows)).filter(F.col("status").isNotNull()),
-        ref_docname=F.col("name"),
-        patient_encounter=F.coalesce(non_blank("child_encounter"), "patient_encounter"),
-        lrpmt_return=F.when(F.col("status") == "Item Cancelled", F.col("return_document")),
-    )
+    return removals(names.filter(F.col("ref_doctype").isin(*SERVICES)), t)
+
+
+def stay_removals(names: DataFrame, t: Tables) -> DataFrame:
+    """Removed beds and consultancies: unconfirmed ones by name, others with their whole reference."""
+    return removals(names.filter(F.col("ref_doctype").isin(*STAYS)), t)
 
 
 def unknown_service_violations(names: DataFrame, t: Tables) -> DataFrame:
     """Removed services whose prescription does not exist."""
     return (
         names.filter(F.col("ref_doctype").isin(*SERVICES))
-        .join(_services(t), ["ref_doctype", "name"], "left_anti")
+        .join(_current_rows(t), ["ref_doctype", "name"], "left_anti")
         .select(*violation("claim", "unknown_prescription", F.col("name")))
     )
 
 
-def stay_removals(names: DataFrame, t: Tables) -> DataFrame:
-    """Removed beds and consultancies: unconfirmed ones by name, others with their whole reference."""
-    tables = [
-        t.get(table).select(F.lit(doctype).alias("ref_doctype"), "name", "is_confirmed")
-        for doctype, table in STAYS.items()
-    ]
-    found = reduce(DataFrame.unionByName, tables)
-    unconfirmed = F.coalesce(F.col("is_confirmed") == 0, F.lit(False))
-    rows = names.filter(F.col("ref_doctype").isin(*STAYS)).join(found, ["ref_doctype", "name"], "left")
-    return _events(
-        rows,
-        status=F.when(unconfirmed, "Item Unconfirmed").otherwise("Item Removed"),
-        ref_docname=F.when(unconfirmed, F.col("name")).otherwise(F.col("ref_docname")),
-    )
-
-
 def change_records(events: DataFrame, headers: DataFrame, run: RunContext) -> DataFrame:
     """Events as change records, with the claim's period and company and the run's time and user."""
     heads = headers.select(
@@ -251,15 +268,14 @@ def track_changes(
 ) -> DataFrame:
     """All change records of submitted claims, from reconciled originals and claim items.
 
-    The removed names are computed once and kept, as three kinds of removals read them.
+    Originals and items meet once; the pairs are kept, as changed, seen and removed ones are read from them. Of
+    ``headers`` only the columns of ``claim_periods`` are used.
     """
-    removed = removed_originals(originals, items)
-    names = materialize(removed_names(removed, seen_references(originals, items)))
+    pairs = materialize(compared(originals, items))
+    removed = materialize(_removed(pairs))
     events = [
-        amount_changes(originals, items),
+        _amount_changes(pairs),
         removed_appointments(removed),
-        drug_removals(names, t),
-        service_removals(names, t),
-        stay_removals(names, t),
+        removals(removed_names(removed, _seen(pairs)), t),
     ]
     return change_records(reduce(DataFrame.unionByName, events), headers, run)

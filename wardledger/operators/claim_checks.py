@@ -6,12 +6,16 @@ report reads the claims once; each rule can also be run alone on the facts it ne
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardledger.functions.columns import differs, is_blank, money, violation
-from wardledger.functions.joins import join_null_safe
+from wardledger.functions.columns import differs, is_blank, money, non_blank, violation
+from wardledger.functions.joins import join_null_safe, spread_blank, spread_null
+from wardledger.operators import claim_diseases as D
 from wardledger.operators import claim_header as H
+from wardledger.options import RunContext
 from wardledger.sources.tables import Tables
 
 # Insurers whose claims are made elsewhere.
@@ -111,7 +115,7 @@ def _visit_facts(rows: DataFrame, claims: DataFrame, t: Tables) -> DataFrame:
 
     appointments: same patient, day, card and plan, not cancelled; open_claims: unclaimable drafts of
     the same patient, appointment and card; merged: the distinct appointments those list; merged_here:
-    how many of ``appointments`` are among them.
+    how many of ``appointments`` are among them. drafts: all drafts of the same patient, appointment and card.
     """
     appointments = t.patient_appointment.filter(differs("status", "Cancelled")).select(
         F.col("name").alias("appointment"),
@@ -121,22 +125,165 @@ def _visit_facts(rows: DataFrame, claims: DataFrame, t: Tables) -> DataFrame:
         "coverage_plan_name",
     )
     appointment_counts = appointments.groupBy(*VISIT).agg(F.count(F.lit(1)).alias("appointments"))
-    held = claims.filter((F.col("docstatus") == 0) & (F.col("workflow_state") == "Unclaimable"))
-    claim_counts = held.groupBy(*CLAIM_CARD).agg(F.count(F.lit(1)).alias("open_claims"))
+    drafts = claims.filter(F.col("docstatus") == 0)
+    held = drafts.filter(F.col("workflow_state") == "Unclaimable")
     listed = held.select(
         *CLAIM_CARD, F.explode(F.from_json("claim_appointment_list", "array<string>")).alias("appointment")
     ).distinct()
-    merged_counts = listed.groupBy(*CLAIM_CARD).agg(F.count(F.lit(1)).alias("merged"))
+    nothing = F.lit(0)
+    per_card = (
+        drafts.select(*CLAIM_CARD, F.lit(1).alias("d"), (F.col("workflow_state") == "Unclaimable").cast("int").alias("o"), nothing.alias("m"))
+        .unionByName(listed.select(*CLAIM_CARD, nothing.alias("d"), nothing.alias("o"), F.lit(1).alias("m")))
+        .groupBy(*CLAIM_CARD)
+        .agg(F.sum("d").alias("drafts"), F.sum("o").alias("open_claims"), F.sum("m").alias("merged"))
+    )
     here = (
         join_null_safe(listed, appointments, ["appointment", "patient", "cardno"])
         .groupBy(*CLAIM_CARD, "attendance_date", "coverage_plan_name")
         .agg(F.count(F.lit(1)).alias("merged_here"))
     )
     rows = join_null_safe(rows, appointment_counts, VISIT, "left")
-    rows = join_null_safe(rows, claim_counts, CLAIM_CARD, "left")
-    rows = join_null_safe(rows, merged_counts, CLAIM_CARD, "left")
+    rows = join_null_safe(rows, per_card, CLAIM_CARD, "left")
     rows = join_null_safe(rows, here, [*CLAIM_CARD, "attendance_date", "coverage_plan_name"], "left")
-    return rows.fillna(0, ["appointments", "open_claims", "merged", "merged_here"])
+    return rows.fillna(0, ["appointments", "drafts", "open_claims", "merged", "merged_here"])
+
+
+def _tagged(df: DataFrame, **facts: Column) -> DataFrame:
+    """One source's part of the facts of a claim; the parts of all sources have the same columns."""
+    missing = {name: F.lit(None).cast(kind) for name, kind in _PARTS.items() if name not in facts}
+    return df.select("claim", *[(facts | missing)[name].cast(kind).alias(name) for name, kind in _PARTS.items()])
+
+
+# What a source can say of a claim: its kind of value, summed up by _GATHERED.
+_PERSON = "struct<practitioner:string,practitioner_name:string,tz_mct_code:string>"
+_STAY = "struct<scheduled_date:date,admitted_day:date,discharge_date:date,recorded:boolean>"
+_OWN = (
+    "struct<patient:string,company:string,appointment_date:date,authorization_number:string,"
+    "coverage_plan_card_number:string,insurance_company:string>"
+)
+_CLAIM = (
+    "struct<patient:string,patient_appointment:string,cardno:string,authorization_no:string,total_amount:double,"
+    "docstatus:int,company:string,patient_signature:string,appointments:bigint,drafts:bigint,open_claims:bigint,"
+    "merged:bigint,merged_here:bigint>"
+)
+_PARTS = {
+    "row": _CLAIM,
+    "own": _OWN,
+    "visit": "int",
+    "final": "int",
+    "disease": "int",
+    "person": _PERSON,
+    "stay_order": "struct<modified:timestamp_ntz,encounter:string>",
+    "stay": _STAY,
+    "item": "int",
+    "item_amount": "decimal(18,4)",
+}
+
+
+def _claim_part(claims: DataFrame, t: Tables) -> DataFrame:
+    rows = claims.withColumn("claim", F.col("name"))
+    counted = _visit_facts(rows, claims, t)
+    names = [f.split(":")[0] for f in _CLAIM[7:-1].split(",")]
+    return _tagged(counted, row=F.struct(*names))
+
+
+def _care_part(claims: DataFrame, t: Tables) -> DataFrame:
+    """Rows per claim and appointment, and per encounter of it: what appointment, practitioner, stay and diagnoses say."""
+    listed = F.array_distinct(H.listed_appointments())
+    own = F.col("patient_appointment")
+    named = claims.select(F.col("name").alias("claim"), own.alias("own"), F.explode(F.array_union(listed, F.array(own))).alias("appointment"), listed.alias("_listed"))
+    named = named.filter(~is_blank("appointment")).select(
+        "claim", "appointment", (F.col("appointment") == F.col("own")).alias("is_own"), F.array_contains("_listed", F.col("appointment")).alias("is_listed")
+    )
+    appointments = t.patient_appointment.select(
+        F.col("name").alias("appointment"),
+        F.struct("patient", "company", "appointment_date", "authorization_number", "coverage_plan_card_number", "insurance_company").alias("own"),
+    )
+    coded = t.codification_table.filter((F.col("parenttype") == "Patient Encounter") & F.col("parentfield").isin(*D.BLOCKS))
+    diagnosed = coded.select(F.col("parent").alias("encounter"), F.lit(1).alias("disease")).distinct()
+    people = t.healthcare_practitioner.select(
+        F.col("name").alias("_who"), F.struct(F.col("name").alias("practitioner"), "practitioner_name", "tz_mct_code").alias("person")
+    )
+    records = t.inpatient_record.select(
+        F.col("name").alias("_record"),
+        F.struct("scheduled_date", F.to_date("admitted_datetime").alias("admitted_day"), "discharge_date", F.lit(True).alias("recorded")).alias("stay"),
+    )
+    final = F.coalesce("is_final", F.lit(False))
+    encounters = (
+        t.patient_encounter.filter(F.col("docstatus") == 1)
+        .select(*H.own_visits(), "inpatient_record")
+        .join(diagnosed, "encounter", "left")
+        .withColumn("_who", spread_null(F.when(final, F.col("practitioner")), "encounter"))
+        .join(people, "_who", "left")
+        .withColumn("_record", spread_blank(F.when(final, F.col("inpatient_record")), "encounter"))
+        .join(records, "_record", "left")
+    )
+    rows = named.join(appointments, "appointment", "left").join(encounters, "appointment", "left")
+    visited = F.col("is_listed") & F.col("encounter").isNotNull()
+    stayed = visited & final & (F.col("inpatient_record") != "")
+    return _tagged(
+        rows,
+        own=F.when(F.col("is_own"), F.col("own")),
+        visit=visited.cast("int"),
+        final=(visited & final).cast("int"),
+        disease=F.when(visited, F.col("disease")),
+        person=F.when(visited & final, F.col("person")),
+        stay_order=F.when(stayed, F.struct("modified", "encounter")),
+        stay=F.when(stayed, F.coalesce("stay", F.lit(None).cast(_STAY))),
+    )
+
+
+def _item_part(items: DataFrame) -> DataFrame:
+    return _tagged(items.withColumn("claim", F.col("parent")), item=F.lit(1), item_amount=money("amount_claimed"))
+
+
+def all_facts(claims: DataFrame, items: DataFrame, t: Tables, run: RunContext) -> DataFrame:
+    """One row of facts per claim for all rules.
+
+    Claims, their appointments and encounters, and items each give tagged partial rows; one aggregation by claim, with
+    partial sums before its exchange, makes them one.
+    """
+    parts = [_claim_part(claims, t), _care_part(claims, t), _item_part(items)]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    facts = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("claim")
+        .agg(
+            F.max("row").alias("row"),
+            F.max("own").alias("own"),
+            total("visit").alias("encounters"),
+            total("final").alias("final_encounters"),
+            total("disease").alias("disease_rows"),
+            F.min("person").alias("first"),
+            F.max_by("stay", "stay_order").alias("stay"),
+            F.max("stay_order").isNotNull().alias("stayed"),
+            total("item").alias("item_rows"),
+            F.sum("item_amount").alias("item_total"),
+        )
+        .filter(F.col("row").isNotNull())
+    )
+    flat = facts.select(
+        "claim",
+        "row.*",
+        F.col("own").isNotNull().alias("has_appointment"),
+        "own.authorization_number",
+        "own.coverage_plan_card_number",
+        "own.insurance_company",
+        F.coalesce(non_blank("row.patient"), "own.patient").alias("header_patient"),
+        F.coalesce(non_blank("row.company"), "own.company").alias("_company"),
+        F.col("own.appointment_date").alias("attendance_date"),
+        H.discharge_day("stay", run).alias("_discharge"),
+        *[F.col(c) for c in ("encounters", "final_encounters", "disease_rows", "first", "item_rows", "item_total", "stayed")],
+    )
+    period = H.with_period(flat.withColumn("date_discharge", F.when(F.col("stayed"), F.col("_discharge"))))
+    signatures = t.patient.select(F.col("name").alias("_who"), F.col("patient_signature").alias("_signature"))
+    settings = t.company_claim_settings.select(F.col("company").alias("_company"), "submit_claim_month", "submit_claim_year")
+    return (
+        period.withColumn("_who", spread_blank("header_patient", "claim"))
+        .join(signatures, "_who", "left")
+        .join(settings, "_company", "left")
+        .withColumn("patient_signature", F.coalesce(non_blank("patient_signature"), non_blank("_signature")))
+    )
 
 
 # Rules ---------------------------------------------------------------------------------------------------
@@ -287,16 +434,10 @@ def card_decisions(claims: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def claim_violations(
-    claims: DataFrame, headers: DataFrame, diseases: DataFrame, items: DataFrame, t: Tables
-) -> DataFrame:
+def claim_violations(claims: DataFrame, items: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     """All rules over all claims, from one row of facts per claim."""
-    facts = _visit_facts(_draft_facts(_appointment_facts(_rows(claims), t), claims), claims, t)
-    facts = _row_facts(_encounter_facts(facts, claims, t), diseases, items).join(
-        _header_facts(headers, t), "claim", "left"
-    )
     per_claim = _report(
-        facts,
+        all_facts(claims, items, t, run),
         _encounter_rule(),
         _final_encounter_rule(),
         _practitioner_rules(),

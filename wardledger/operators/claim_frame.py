@@ -1,12 +1,13 @@
 """What the claim operators share: a claim's appointments, visits and stay, each computed and written once.
 
 The tables are bucketed by claim (occupancies by inpatient record, billed visits by encounter), so the operators that
-read them join and group without moving them again. A table is built when it is first asked for.
+read them join and group without moving them again. A table is built when it is first asked for. A claim's rows are
+narrow here (ids, dates, numbers) and are streamed; a claim with very many visits makes its bucket longer, not larger
+in memory.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -19,15 +20,14 @@ from wardledger.session import Workspace
 from wardledger.sources.tables import Tables
 
 
-@dataclass(frozen=True)
 class ClaimFrame:
-    claims: DataFrame
-    t: Tables
-    space: Workspace = field(default=None)
+    def __init__(self, claims: DataFrame, t: Tables):
+        self.given, self.t, self.space = claims, t, Workspace(claims.sparkSession)
 
-    def __post_init__(self):
-        if self.space is None:
-            object.__setattr__(self, "space", Workspace(self.claims.sparkSession))
+    @cached_property
+    def claims(self) -> DataFrame:
+        """The given claims, read once."""
+        return self.space.keep(self.given, "claims", by=("name",))
 
     @cached_property
     def appointments(self) -> DataFrame:

@@ -117,16 +117,26 @@ def claim_stay(records: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     return stay_columns(records.join(details, "inpatient_record", "left"), run)
 
 
+def _admission(stay: str, run: RunContext) -> tuple[Column, Column]:
+    """Whether the scheduled date comes first, and the day of admission; a missing date is today where it is compared."""
+    scheduled, admitted = F.col(f"{stay}scheduled_date"), F.col(f"{stay}admitted_day")
+    scheduled_first = F.coalesce(scheduled, run.today) < F.coalesce(admitted, run.today)
+    return scheduled_first, F.when(F.col(f"{stay}recorded"), F.when(scheduled_first, scheduled).otherwise(admitted))
+
+
+def discharge_day(stay: str, run: RunContext) -> Column:
+    """The discharge of a stay (a struct column), NULL where it was the day of admission."""
+    admitted_on, discharged = _admission(f"{stay}.", run)[1], F.col(f"{stay}.discharge_date")
+    return F.when(F.coalesce(admitted_on, run.today) != F.coalesce(discharged, run.today), discharged)
+
+
 def stay_columns(stays: DataFrame, run: RunContext) -> DataFrame:
     """As ``claim_stay``, from claims joined with their records; ``recorded`` where the record exists."""
     today = run.today
-    scheduled_first = F.coalesce("scheduled_date", today) < F.coalesce("admitted_day", today)
+    scheduled_first, admitted_on = _admission("", run)
     admitted_time = F.when(scheduled_first, F.col("created_clock")).otherwise(F.col("admitted_clock"))
     with_admission = stays.withColumns(
-        {
-            "admitted_on": F.when(F.col("recorded"), F.when(scheduled_first, F.col("scheduled_date")).otherwise(F.col("admitted_day"))),
-            "admitted_time": F.when(F.col("recorded"), admitted_time),
-        }
+        {"admitted_on": admitted_on, "admitted_time": F.when(F.col("recorded"), admitted_time)}
     )
     same_day = F.coalesce("admitted_on", today) == F.coalesce("discharge_date", today)
     return with_admission.select(
@@ -158,18 +168,40 @@ def with_period(df: DataFrame) -> DataFrame:
 
 def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     """Claims with everything the header takes from other tables."""
-    appointments = t.patient_appointment.select(F.col("name").alias("patient_appointment"), *_own_appointment())
-    own = claims.select(F.col("name").alias("claim"), "patient_appointment").join(appointments, "patient_appointment")
     finals = final_encounters(claims, t)
     stays = claim_stay(claim_inpatient_record(finals), t, run)
-    return _headers(claims, own.drop("patient_appointment"), claim_practitioners(finals, t), stays, t, run)
+    return _headers(_with_own_appointment(claims, t), claim_practitioners(finals, t), stays, t, run)
 
 
 def claim_headers_of(frame, run: RunContext) -> DataFrame:
     """``claim_headers`` from the kept tables of a ``ClaimFrame``."""
-    own = frame.appointments.filter("position = -1").select("claim", *_own_appointment())
     people = frame.finals.filter("known").select("claim", F.col("practitioner").alias("id"), "practitioner_name", "tz_mct_code")
-    return _headers(frame.claims, own, people_of_claims(people), stay_columns(frame.stays, run), frame.t, run)
+    return _headers(_with_kept_appointment(frame), people_of_claims(people), stay_columns(frame.stays, run), frame.t, run)
+
+
+def claim_patients_of(frame) -> DataFrame:
+    """(name, patient_name, gender, date_of_birth) of each claim's patient."""
+    claims = _with_kept_appointment(frame).select("name", F.coalesce(non_blank("patient"), "_patient").alias("patient"))
+    return _with_patient(claims, frame.t).select("name", "patient_name", "gender", "date_of_birth")
+
+
+def claim_periods(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
+    """(name, patient_appointment, company, creation, claim_year, claim_month): the header's part that numbers and changes need."""
+    stays = claim_stay(claim_inpatient_record(final_encounters(claims, t)), t, run).select(F.col("claim").alias("name"), "date_discharge")
+    own = _with_own_appointment(claims.select("name", "patient_appointment", "company", "creation"), t)
+    period = own.join(stays, "name", "left").withColumns({"company": F.coalesce(non_blank("company"), "_company"), "attendance_date": F.col("_date")})
+    return with_period(period).select("name", "patient_appointment", "company", "creation", "claim_year", "claim_month")
+
+
+def _with_own_appointment(claims: DataFrame, t: Tables) -> DataFrame:
+    """Claims with the columns of their own appointment."""
+    appointments = t.patient_appointment.select(F.col("name").alias("_own"), *_own_appointment())
+    return claims.withColumn("_own", spread_blank("patient_appointment", "name")).join(appointments, "_own", "left").drop("_own")
+
+
+def _with_kept_appointment(frame) -> DataFrame:
+    own = frame.appointments.filter("position = -1").select(F.col("claim").alias("name"), *_own_appointment())
+    return frame.claims.join(own, "name", "left")
 
 
 def _own_appointment() -> list[Column]:
@@ -184,10 +216,7 @@ def _own_appointment() -> list[Column]:
     ]
 
 
-def _headers(
-    claims: DataFrame, own: DataFrame, people: DataFrame, stays: DataFrame, t: Tables, run: RunContext
-) -> DataFrame:
-    """Headers from each claim's own appointment, practitioners and stay."""
+def _with_patient(claims: DataFrame, t: Tables) -> DataFrame:
     patients = t.patient.select(
         F.col("name").alias("_who"),
         "patient_name",
@@ -198,10 +227,14 @@ def _headers(
         F.col("sex").alias("gender"),
         F.col("patient_signature").alias("_signature"),
     )
+    return claims.withColumn("_who", spread_blank("patient", "name")).join(patients, "_who", "left").drop("_who")
+
+
+def _headers(claims: DataFrame, people: DataFrame, stays: DataFrame, t: Tables, run: RunContext) -> DataFrame:
+    """Headers from claims with their own appointment, practitioners and stay."""
     settings = t.company_claim_settings.select("company", "facility_code")
-    base = claims.drop("attendance_date", "authorization_no", "practitioner_name", "practitioner_no")
-    header = (
-        base.join(own.withColumnRenamed("claim", "name"), "name", "left")
+    known = (
+        claims.drop("attendance_date", "authorization_no", "practitioner_name", "practitioner_no")
         .join(people.select(F.col("claim").alias("name"), "practitioner_name", "practitioner_no"), "name", "left")
         .join(stays.withColumnRenamed("claim", "name"), "name", "left")
         .withColumn("patient", F.coalesce(non_blank("patient"), "_patient"))
@@ -211,8 +244,9 @@ def _headers(
         .withColumnsRenamed(
             {"_authorization": "authorization_no", "_date": "attendance_date", "_time": "attendance_time"}
         )
-        .withColumn("_who", spread_blank("patient", "name"))
-        .join(patients, "_who", "left")
+    )
+    header = (
+        _with_patient(known, t)
         .join(settings, "company", "left")
         .withColumn("patient_type_code", F.coalesce("patient_type_code", F.lit("OUT")))
         .withColumn("patient_signature", F.coalesce(non_blank("patient_signature"), non_blank("_signature")))

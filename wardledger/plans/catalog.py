@@ -38,6 +38,10 @@ def _headers(t: Tables) -> DataFrame:
     return H.claim_headers(t.insurance_claim, t, RUN)
 
 
+def _periods(t: Tables) -> DataFrame:
+    return H.claim_periods(t.insurance_claim, t, RUN)
+
+
 def _records(t: Tables) -> DataFrame:
     return H.claim_inpatient_record(H.final_encounters(t.insurance_claim, t))
 
@@ -50,7 +54,7 @@ def _rated_lines(t: Tables) -> DataFrame:
 
 def _notes(t: Tables) -> DataFrame:
     frame = ClaimFrame(t.insurance_claim, t)
-    return N.clinical_notes(frame, H.claim_headers_of(frame, RUN), RUN)
+    return N.clinical_notes(frame, H.claim_patients_of(frame), RUN)
 
 
 def _folios(t: Tables) -> DataFrame:
@@ -138,10 +142,10 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "h4_claim_practitioners": lambda t: H.claim_practitioners(H.final_encounters(t.insurance_claim, t), t),
     "h5_claim_inpatient_record": lambda t: H.claim_inpatient_record(H.final_encounters(t.insurance_claim, t)),
     "h6_claim_stays": lambda t: H.claim_stays(t.insurance_claim, t, RUN),
-    "h7_claim_period": lambda t: _headers(t).select(F.col("name").alias("claim"), "claim_year", "claim_month"),
+    "h7_claim_period": lambda t: _periods(t).select(F.col("name").alias("claim"), "claim_year", "claim_month"),
     "h8_claim_headers": lambda t: _headers(t),
-    "h9_folio_numbers": lambda t: H.folio_numbers(_headers(t), t.folio_counter)[0],
-    "h9_folio_counters": lambda t: H.folio_counters(_headers(t), t.folio_counter),
+    "h9_folio_numbers": lambda t: H.folio_numbers(_periods(t), t.folio_counter)[0],
+    "h9_folio_counters": lambda t: H.folio_counters(_periods(t), t.folio_counter),
     "h10_eligible_appointments": lambda t: H.eligible_appointments(t).select(
         "name", "patient", "insurance_company", "insurance_subscription", "nhif_patient_claim"
     ),
@@ -191,7 +195,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "t5_stay_removals": lambda t: G.stay_removals(_removed_names(t), t),
     "t6_change_requests": lambda t: G.change_requests(t),
     "t7_change_records": lambda t: G.track_changes(
-        materialize(_originals(t)), t.claim_item, _headers(t), t, RUN
+        materialize(_originals(t)), t.claim_item, _periods(t), t, RUN
     ),
     "v1_without_encounters": lambda t: V.without_encounters(t.insurance_claim, t),
     "v2_without_final_encounters": lambda t: V.without_final_encounters(t.insurance_claim, t),
@@ -207,9 +211,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "v11_missing_signatures": lambda t: V.missing_signatures(_headers(t), t),
     "v12_merge_needed": lambda t: V.merge_needed(t.insurance_claim, t),
     "v13_card_decisions": lambda t: V.card_decisions(t.insurance_claim, t),
-    "v_claim_violations": lambda t: V.claim_violations(
-        t.insurance_claim, _headers(t), D.claim_diseases(t.insurance_claim, t), t.claim_item, t
-    ),
+    "v_claim_violations": lambda t: V.claim_violations(t.insurance_claim, t.claim_item, t, RUN),
     "s1_order_encounters": lambda t: O.order_encounters(t).select("name", "inpatient_record", "insurance_subscription"),
     "s2_order_lines": lambda t: O.order_lines(O.order_encounters(t), t, RUN).drop("dosage_info"),
     "s3_dosage_text": lambda t: O.order_lines(O.order_encounters(t), t, RUN)

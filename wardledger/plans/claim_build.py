@@ -64,11 +64,10 @@ def submit_claims(claims: DataFrame, t: Tables, run: RunContext) -> tuple[DataFr
     Changes are tracked for the claims that are submitted (``docstatus`` 1), after their originals
     were reconciled.
     """
-    headers = materialize(H.claim_headers(claims, t, run))
-    violations = V.claim_violations(claims, headers, claim_diseases(claims, t), t.claim_item, t)
+    violations = V.claim_violations(claims, t.claim_item, t, run)
     submitted = claims.filter(F.col("docstatus") == 1).select(F.col("name").alias("parent"))
     originals = materialize(
         reconcile_items(t.original_claim_item.join(submitted, "parent", "left_semi"))
     )
     items = t.claim_item.join(submitted, "parent", "left_semi")
-    return violations, G.track_changes(originals, items, headers, t, run)
+    return violations, G.track_changes(originals, items, H.claim_periods(claims, t, run), t, run)
