@@ -44,7 +44,6 @@ def number_within(
         .select("*", F.spark_partition_id().alias("_slice"), place.alias("_place")),
         "slices",
         by=("_slice",),
-        sort=("_slice", "_place"),
         dealt=True,
     )
     in_slice = Window.partitionBy("_slice", *keys).orderBy("_place")

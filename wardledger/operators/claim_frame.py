@@ -1,7 +1,8 @@
-"""What the claim operators share: a claim's appointments, visits and stay, each computed and written once.
+"""What the claim operators share: a claim's appointments, visits and stay.
 
-The tables are bucketed by claim (occupancies by inpatient record, billed visits by encounter), so the operators that
-read them join and group without moving them again. A table is built when it is first asked for. A claim's rows are
+A job that runs several operators keeps them: each is then computed and written once, bucketed by claim (billed visits
+by encounter), so the operators that read them join and group without moving them again. A single operator keeps only
+what it reads several times. A table is built when it is first asked for. A claim's rows are
 narrow here (ids, dates, numbers) and are streamed; a claim with very many visits makes its bucket longer, not larger
 in memory.
 """
@@ -16,18 +17,30 @@ from pyspark.sql import functions as F
 from wardledger.functions.columns import clock, is_blank, is_set
 from wardledger.functions.joins import spread_blank, spread_null
 from wardledger.operators.claim_header import listed_appointments, own_visits
-from wardledger.session import Workspace
+from wardledger.session import Workspace, together
 from wardledger.sources.tables import Tables
 
 
+ALL = ("claims", "appointments", "visits", "stays", "billed")
+
+
 class ClaimFrame:
-    def __init__(self, claims: DataFrame, t: Tables):
-        self.given, self.t, self.space = claims, t, Workspace(claims.sparkSession)
+    def __init__(self, claims: DataFrame, t: Tables, keep: tuple[str, ...] = ALL):
+        self.given, self.t, self.kept, self.space = claims, t, keep, Workspace(claims.sparkSession)
+
+    def _keep(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        return self.space.keep(df, name, by=(by,)) if name in self.kept else df
+
+    def prepare(self) -> None:
+        """Builds the kept tables, those that don't need each other at the same time."""
+        _ = self.claims
+        together(lambda: self.appointments, lambda: self.visits)
+        _ = self.stays
 
     @cached_property
     def claims(self) -> DataFrame:
         """The given claims, read once."""
-        return self.space.keep(self.given, "claims", by=("name",))
+        return self._keep(self.given, "claims", "name")
 
     @cached_property
     def appointments(self) -> DataFrame:
@@ -42,28 +55,30 @@ class ClaimFrame:
             "coverage_plan_name", "appointment_date", "appointment_time", "billing_item", "paid_amount", "creation", "modified",
             "practitioner", "follow_up", "has_no_consultation_charges", "insurance_subscription", "insurance_company",
         )
-        return self.space.keep(named.join(details, "appointment"), "appointments", by=("claim",))
+        return self._keep(named.join(details, "appointment"), "appointments", "claim")
 
     @cached_property
     def visits(self) -> DataFrame:
-        """A row per claim and submitted encounter, with what is known of the practitioner."""
-        people = self.t.healthcare_practitioner.select(
-            F.col("name").alias("_who"), F.lit(True).alias("known"), "practitioner_name", "tz_mct_code", "department"
-        )
-        encounters = (
-            self.t.patient_encounter.filter(F.col("docstatus") == 1)
-            .select(*own_visits(), "inpatient_record")
-            .withColumn("_who", spread_null("practitioner", "encounter"))
-            .join(people, "_who", "left")
-            .drop("_who")
-        )
+        """A row per claim and submitted encounter; kept ones carry what is known of the practitioner."""
+        encounters = self.t.patient_encounter.filter(F.col("docstatus") == 1).select(*own_visits(), "inpatient_record")
+        if "visits" in self.kept:
+            encounters = self.with_people(encounters)
         wanted = self.claims.select(
             F.col("name").alias("claim"),
             F.col("company").alias("claim_company"),
             F.col("patient_appointment").alias("claim_appointment"),
             F.explode(F.array_distinct(listed_appointments())).alias("appointment"),
         ).filter(~is_blank("appointment"))
-        return self.space.keep(wanted.join(encounters, "appointment").drop("appointment"), "visits", by=("claim",))
+        return self._keep(wanted.join(encounters, "appointment").drop("appointment"), "visits", "claim")
+
+    def with_people(self, encounters: DataFrame) -> DataFrame:
+        """Adds what is known of the practitioner, where the encounters don't carry it yet."""
+        if "known" in encounters.columns:
+            return encounters
+        people = self.t.healthcare_practitioner.select(
+            F.col("name").alias("_who"), F.lit(True).alias("known"), "practitioner_name", "tz_mct_code", "department"
+        )
+        return encounters.withColumn("_who", spread_null("practitioner", "encounter")).join(people, "_who", "left").drop("_who")
 
     @property
     def finals(self) -> DataFrame:
@@ -87,8 +102,7 @@ class ClaimFrame:
             "modified_by",
             spread_blank("service_unit", "name").alias("_unit"),
         )
-        found = rows.join(units, "_unit", "left").drop("_unit", "service_unit_type")
-        return self.space.keep(found, "occupancies", by=("inpatient_record",))
+        return rows.join(units, "_unit", "left").drop("_unit", "service_unit_type")
 
     @cached_property
     def stays(self) -> DataFrame:
@@ -134,7 +148,7 @@ class ClaimFrame:
             .join(insurance, "_admission", "left")
             .drop("_admission")
         )
-        return self.space.keep(found, "stays", by=("claim",))
+        return self._keep(found, "stays", "claim")
 
     @cached_property
     def billed(self) -> DataFrame:
@@ -147,8 +161,9 @@ class ClaimFrame:
             .withColumn("position", F.try_element_at("days", F.col("encounter_date"))["position"])
             .filter(~inpatient | F.col("position").isNotNull())
             .select(
-                "claim", "encounter", "creation", "practitioner", "department", inpatient.alias("inpatient"),
+                "claim", "encounter", "creation", "practitioner", inpatient.alias("inpatient"),
                 F.coalesce("position", F.lit(0)).alias("position"),
+                *[c for c in ("known", "department") if c in self.visits.columns],
             )
         )
-        return self.space.keep(found, "billed", by=("encounter",))
+        return self._keep(found, "billed", "encounter")

@@ -175,7 +175,7 @@ def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
 
 def claim_headers_of(frame, run: RunContext) -> DataFrame:
     """``claim_headers`` from the kept tables of a ``ClaimFrame``."""
-    people = frame.finals.filter("known").select("claim", F.col("practitioner").alias("id"), "practitioner_name", "tz_mct_code")
+    people = frame.with_people(frame.finals).filter("known").select("claim", F.col("practitioner").alias("id"), "practitioner_name", "tz_mct_code")
     return _headers(_with_kept_appointment(frame), people_of_claims(people), stay_columns(frame.stays, run), frame.t, run)
 
 

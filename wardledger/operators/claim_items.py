@@ -350,7 +350,7 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
 
 def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
     """All numbered lines of each claim."""
-    return claim_lines_of(ClaimFrame(claims, t))
+    return claim_lines_of(ClaimFrame(claims, t, keep=("stays",)))
 
 
 def claim_lines_of(frame: ClaimFrame) -> DataFrame:

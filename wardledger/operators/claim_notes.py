@@ -61,7 +61,8 @@ def _encounter_notes(billed: DataFrame, t: Tables) -> DataFrame:
     )
     place = F.struct("position", "creation", "encounter")
     return (
-        billed.join(visits, "encounter")
+        billed.select("claim", "encounter", "position", "creation", "department")
+        .join(visits, "encounter")
         .join(_drug_text(billed, t), "encounter", "left")
         .select("claim", place.alias("place"), note.alias("note"))
     )
@@ -79,7 +80,7 @@ def clinical_notes(frame: ClaimFrame, headers: DataFrame, run: RunContext) -> Da
         ).alias("head"),
     )
     bodies = (
-        _encounter_notes(frame.billed, frame.t)
+        _encounter_notes(frame.with_people(frame.billed), frame.t)
         .groupBy("claim")
         .agg(joined(F.collect_list(F.struct("place", "note")), "note", "").alias("body"))
     )

@@ -17,7 +17,7 @@ from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.operators.claim_notes import clinical_notes
 from wardledger.operators.claim_reconcile import reconcile_items
 from wardledger.options import RunContext
-from wardledger.session import materialize
+from wardledger.session import materialize, together
 from wardledger.sources.tables import Tables
 
 
@@ -46,12 +46,17 @@ def build_claims(claims: DataFrame, t: Tables, run: RunContext) -> BuiltClaims:
     claim, since several outputs read them.
     """
     frame = ClaimFrame(claims, t)
-    headers = materialize(H.claim_headers_of(frame, run), by=("name",))
-    numbers, counters = H.folio_numbers(headers, t.folio_counter, stored=True)
+    frame.prepare()
+
+    def heads() -> tuple[DataFrame, DataFrame, DataFrame]:
+        headers = materialize(H.claim_headers_of(frame, run), by=("name",))
+        return headers, *H.folio_numbers(headers, t.folio_counter, stored=True)
+
+    (headers, numbers, counters), lines = together(heads, lambda: C.claim_lines_of(frame))
     return BuiltClaims(
         headers=headers,
         diseases=claim_diseases(claims, t, frame.visits),
-        lines=C.claim_lines_of(frame),
+        lines=lines,
         notes=clinical_notes(frame, headers, run),
         folio_numbers=numbers,
         folio_counters=counters,

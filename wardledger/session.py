@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +50,13 @@ class Workspace:
         self._tables: dict[str, str] = {}  # bucketed tables, which the catalog knows
 
     def keep(
-        self, df: DataFrame, name: str, by: tuple[str, ...] = (), sort: tuple[str, ...] = (), dealt: bool = False
+        self, df: DataFrame, name: str, by: tuple[str, ...] = (), dealt: bool = False
     ) -> DataFrame:
         """``df`` as a written table.
 
-        With ``by`` it is bucketed by these columns, as many buckets as the session has shuffle partitions, and sorted
-        by ``sort`` within them: joins and groups on these columns then read it without an exchange. Each bucket is
-        one file; ``dealt`` frames, whose tasks hold few buckets each, are written as they are.
+        With ``by`` it is bucketed by these columns, as many buckets as the session has shuffle partitions: joins and
+        groups on these columns then read it without an exchange. Each bucket is one file; ``dealt`` frames, whose
+        tasks hold few buckets each, are written as they are.
         """
         path = f"{self.path}/{name}"
         if not by:
@@ -63,7 +65,7 @@ class Workspace:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = df if dealt else df.repartition(buckets, *by)
         table = f"{self._prefix}_{name}"
-        rows.write.bucketBy(buckets, *by).sortBy(*(sort or by)).option("path", path).saveAsTable(table)
+        rows.write.bucketBy(buckets, *by).option("path", path).saveAsTable(table)
         self._tables[name] = table
         return self.spark.table(table)
 
@@ -93,6 +95,12 @@ class Workspace:
         self.close()
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """Runs jobs that don't need each other at the same time; their results in the given order."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [started.result() for started in [pool.submit(job) for job in jobs]]
+
+
 def materialize(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Computes ``df`` once for several later uses, as a table in the shared folder, bucketed if ``by`` is given."""
     return Workspace(df.sparkSession).keep(df, "kept", by)
