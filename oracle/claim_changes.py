@@ -29,23 +29,45 @@ QUERIES["c11_missing_examination"] = """
 SELECT n.claim, n.encounter FROM note_enc n JOIN patient_encounter e ON e.name = n.encounter
 WHERE coalesce(e.examination_detail, '') = ''"""
 
-QUERIES["c12_folio_documents"] = """
-SELECT h.name AS claim, h.name AS bill_no, CAST(f.folio_no AS varchar) AS folio_no, CAST(h.serial_no AS varchar) AS serial_no,
-  CAST(h.claim_year AS varchar) AS claim_year, trim(h.cardno) AS card_no, h.last_name, CAST(h.date_of_birth AS varchar) AS date_of_birth,
-  n.clinical_notes, h.patient_type_code,
-  CASE WHEN h.patient_type_code = 'IN' THEN coalesce(CAST(h.date_admitted AS varchar), 'None') || ' ' || coalesce(h.admitted_time, 'None') END AS date_admitted,
-  CASE WHEN h.patient_type_code = 'IN' THEN coalesce(CAST(h.date_discharge AS varchar), 'None') || ' ' || coalesce(h.discharge_time, 'None') END AS date_discharged,
-  'Stripped off' AS patient_file, CASE WHEN h.delayreason IS NULL THEN 1 ELSE 0 END AS late_reason_is_null,
-  CAST(coalesce(d.n, 0) AS int) AS diseases, coalesce(d.codes, '') AS disease_codes,
-  CAST(coalesce(i.n, 0) AS int) AS items, coalesce(i.codes, '') AS item_codes, coalesce(i.approvals, '') AS approvals,
-  coalesce(i.total, 0.0) AS amount
+STEPS["disease_text"] = """
+SELECT claim, CAST(count(*) AS int) AS n, string_agg(concat_ws('|', coalesce(status, 'null'), coalesce(disease_code, 'null'), 'null',
+    coalesce(item_crt_by, 'null'), coalesce(CAST(date_created AS varchar), 'None')), ',' ORDER BY status DESC, medical_code) AS txt
+FROM disease_rows GROUP BY claim"""
+STEPS["item_text"] = """
+SELECT claim, CAST(count(*) AS int) AS n, string_agg(concat_ws('|', coalesce(item_code, 'null'),
+    coalesce(CAST(CAST(trunc(item_quantity) AS int) AS varchar), 'null'), coalesce(CAST(CAST(unit_price AS decimal(18,4)) AS varchar), 'null'),
+    coalesce(CAST(CAST(amount_claimed AS decimal(18,4)) AS varchar), 'null'), coalesce(nullif(approval_ref_no, ''), 'null'),
+    coalesce(item_crt_by, 'null'), coalesce(date_created, 'None')), ',' ORDER BY idx, ref_docname) AS txt
+FROM numbered GROUP BY claim"""
+STEPS["saved_header"] = """
+SELECT h.* REPLACE (CASE WHEN h.practitioner_no IS NULL AND h.name IN (SELECT claim FROM claim_people) THEN '' ELSE h.practitioner_no END
+    AS practitioner_no), coalesce(i.total_amount, 0.0) AS total_amount, f.folio_no, n.clinical_notes
 FROM claim_header h LEFT JOIN folio_no f ON f.claim = h.name LEFT JOIN notes n ON n.claim = h.name
-LEFT JOIN (SELECT claim, count(*) AS n, string_agg(coalesce(disease_code, 'null'), ',' ORDER BY status DESC, medical_code) AS codes
-           FROM disease_rows GROUP BY claim) d ON d.claim = h.name
-LEFT JOIN (SELECT claim, count(*) AS n, string_agg(coalesce(item_code, 'null'), ',' ORDER BY idx, ref_docname) AS codes,
-                  string_agg(coalesce(nullif(approval_ref_no, ''), 'null'), ',' ORDER BY idx, ref_docname) AS approvals,
-                  CAST(sum(CAST(amount_claimed AS decimal(18,4))) AS double) AS total
+LEFT JOIN (SELECT claim, CAST(sum(CAST(unit_price * item_quantity AS decimal(18,4))) AS double) AS total_amount
            FROM numbered GROUP BY claim) i ON i.claim = h.name"""
+_TEXT_DATES = """CAST(date_of_birth AS varchar) AS date_of_birth, CAST(posting_date AS varchar) AS posting_date,
+  CAST(date_discharge AS varchar) AS date_discharge, CAST(date_admitted AS varchar) AS date_admitted,
+  CAST(attendance_date AS varchar) AS attendance_date, CAST(creation AS varchar) AS creation"""
+QUERIES["c10_saved_headers"] = f"SELECT * REPLACE ({_TEXT_DATES}) FROM saved_header"
+_HEAD_KEYS = (
+    "ClaimYear,ClaimMonth,FolioNo,SerialNo,FacilityCode,CardNo,FirstName,LastName,Gender,DateOfBirth,PatientFileNo,ClaimFile,"
+    "ClinicalNotes,AuthorizationNo,AttendanceDate,PatientTypeCode"
+)
+_TAIL_KEYS = "PractitionerName,PractitionerNo,CreatedBy,DateCreated,BillNo,LateSubmissionReason,FolioDiseases,FolioItems,PatientFile"
+QUERIES["c12_folio_documents"] = f"""
+SELECT h.name AS claim, '{_HEAD_KEYS},' || CASE WHEN h.patient_type_code = 'IN' THEN 'DateAdmitted,DateDischarged,' ELSE '' END || '{_TAIL_KEYS}' AS keys,
+  h.name AS billno, CAST(h.folio_no AS varchar) AS foliono, CAST(h.serial_no AS varchar) AS serialno,
+  CAST(h.claim_year AS varchar) AS claimyear, CAST(h.claim_month AS varchar) AS claimmonth, h.facility_code AS facilitycode,
+  trim(h.cardno) AS cardno, h.first_name AS firstname, h.last_name AS lastname, h.gender,
+  coalesce(CAST(h.date_of_birth AS varchar), 'None') AS dateofbirth, h.patient_file_no AS patientfileno, 'Stripped off' AS claimfile,
+  h.clinical_notes AS clinicalnotes, h.authorization_no AS authorizationno,
+  coalesce(CAST(h.attendance_date AS varchar), 'None') AS attendancedate, h.patient_type_code AS patienttypecode,
+  CASE WHEN h.patient_type_code = 'IN' THEN coalesce(CAST(h.date_admitted AS varchar), 'None') || ' ' || coalesce(h.admitted_time, 'None') END AS dateadmitted,
+  CASE WHEN h.patient_type_code = 'IN' THEN coalesce(CAST(h.date_discharge AS varchar), 'None') || ' ' || coalesce(h.discharge_time, 'None') END AS datedischarged,
+  h.practitioner_name AS practitionername, h.practitioner_no AS practitionerno, h.item_crt_by AS createdby,
+  coalesce(CAST(h.posting_date AS varchar), 'None') AS datecreated, h.delayreason AS latesubmissionreason, 'Stripped off' AS patientfile,
+  coalesce(d.n, 0) AS diseases, coalesce(d.txt, '') AS disease_rows, coalesce(i.n, 0) AS items, coalesce(i.txt, '') AS item_rows
+FROM saved_header h LEFT JOIN disease_text d ON d.claim = h.name LEFT JOIN item_text i ON i.claim = h.name"""
 
 
 def _reconciled(table, recompute):

@@ -24,7 +24,7 @@ from wardledger.operators import stock as S
 from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
-from wardledger.plans.claim_build import build_claims
+from wardledger.plans.claim_build import BuiltClaims, build_claims, merge_leads, rebuild_merged_claims
 from wardledger.session import materialize
 from wardledger.sources.derived import derived_tables
 from wardledger.sources.tables import Tables
@@ -61,49 +61,51 @@ def _folios(t: Tables) -> DataFrame:
     return build_claims(t.insurance_claim, t, RUN).documents
 
 
+# Fields of a folio document that are compared one by one, and those of its disease and item rows.
+FOLIO_TEXTS = (
+    "BillNo", "FolioNo", "SerialNo", "ClaimYear", "ClaimMonth", "FacilityCode", "CardNo", "FirstName", "LastName", "Gender",
+    "DateOfBirth", "PatientFileNo", "ClaimFile", "ClinicalNotes", "AuthorizationNo", "AttendanceDate", "PatientTypeCode",
+    "DateAdmitted", "DateDischarged", "PractitionerName", "PractitionerNo", "CreatedBy", "DateCreated",
+    "LateSubmissionReason", "PatientFile",
+)
+DISEASE_TEXTS = ("Status", "DiseaseCode", "Remarks", "CreatedBy", "DateCreated")
+ITEM_TEXTS = ("ItemCode", "ItemQuantity", "UnitPrice", "AmountClaimed", "ApprovalRefNo", "CreatedBy", "DateCreated")
+
+
 def _folio_fields(folios: DataFrame) -> DataFrame:
-    """The documents read back, field by field, so that both engines can be compared."""
-    schema = (
-        "entities array<struct<BillNo string, FolioNo string, SerialNo string, ClaimYear string, CardNo string, "
-        "LastName string, DateOfBirth string, ClinicalNotes string, PatientTypeCode string, DateAdmitted string, "
-        "DateDischarged string, PatientFile string, FolioDiseases array<struct<DiseaseCode string>>, "
-        "FolioItems array<struct<ItemCode string, ApprovalRefNo string, AmountClaimed decimal(18,4)>>>>"
-    )
+    """The whole documents read back, so that both engines can be compared: a column per field, rows as joined text."""
+
+    def kind(name: str) -> str:
+        return "decimal(18,4)" if name in ("UnitPrice", "AmountClaimed") else "string"
+
+    def struct(names: tuple[str, ...]) -> str:
+        return "array<struct<" + ", ".join(f"{n}: {kind(n)}" for n in names) + ">>"
+
+    fields = ", ".join(f"{n}: string" for n in FOLIO_TEXTS)
+    schema = f"entities array<struct<{fields}, FolioDiseases: {struct(DISEASE_TEXTS)}, FolioItems: {struct(ITEM_TEXTS)}>>"
     e = F.col("entity")
 
-    def codes(array: str, field: str):
-        return F.array_join(F.transform(e[array], lambda x: x[field]), ",", "null")
+    def rows(array: str, names: tuple[str, ...]):
+        text = lambda x: F.concat_ws("|", *[F.coalesce(x[n].cast("string"), F.lit("null")) for n in names])
+        return F.array_join(F.transform(e[array], text), ",")
 
-    return folios.withColumn("entity", F.from_json("folio_json", schema)["entities"][0]).select(
+    parsed = folios.withColumn("entity", F.from_json("folio_json", schema)["entities"][0])
+    keys = F.json_object_keys(F.get_json_object("folio_json", "$.entities[0]"))
+    return parsed.select(
         "claim",
-        e["BillNo"].alias("bill_no"),
-        e["FolioNo"].alias("folio_no"),
-        e["SerialNo"].alias("serial_no"),
-        e["ClaimYear"].alias("claim_year"),
-        e["CardNo"].alias("card_no"),
-        e["LastName"].alias("last_name"),
-        e["DateOfBirth"].alias("date_of_birth"),
-        e["ClinicalNotes"].alias("clinical_notes"),
-        e["PatientTypeCode"].alias("patient_type_code"),
-        e["DateAdmitted"].alias("date_admitted"),
-        e["DateDischarged"].alias("date_discharged"),
-        e["PatientFile"].alias("patient_file"),
-        F.col("folio_json").contains('"LateSubmissionReason":null').cast("int").alias("late_reason_is_null"),
+        F.array_join(keys, ",").alias("keys"),
+        *[e[n].alias(n.lower()) for n in FOLIO_TEXTS],
         F.size(e["FolioDiseases"]).alias("diseases"),
-        codes("FolioDiseases", "DiseaseCode").alias("disease_codes"),
+        rows("FolioDiseases", DISEASE_TEXTS).alias("disease_rows"),
         F.size(e["FolioItems"]).alias("items"),
-        codes("FolioItems", "ItemCode").alias("item_codes"),
-        codes("FolioItems", "ApprovalRefNo").alias("approvals"),
-        F.aggregate(
-            e["FolioItems"],
-            F.lit(0).cast("decimal(28,4)"),
-            lambda total, x: (total + F.coalesce(x["AmountClaimed"], F.lit(0))).cast("decimal(28,4)"),
-        )
-        .cast("double")
-        .alias("amount"),
+        rows("FolioItems", ITEM_TEXTS).alias("item_rows"),
     )
 
 
+def _rebuilt(t: Tables) -> BuiltClaims:
+    return rebuild_merged_claims(t.insurance_claim, t, RUN)
+
+
 def _originals(t: Tables) -> DataFrame:
     return M.reconcile_items(t.original_claim_item)
 
@@ -170,6 +172,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "c10_completed_items": lambda t: C.completed_items(t.claim_item, _headers(t), RUN),
     "c10_claim_totals": lambda t: C.claim_totals(t.claim_item),
     "c10_completed_diseases": lambda t: C.completed_diseases(D.claim_diseases(t.insurance_claim, t), _headers(t), RUN),
+    "c10_saved_headers": lambda t: build_claims(t.insurance_claim, t, RUN).saved_headers,
     "c11_clinical_notes": lambda t: _notes(t),
     "c11_missing_examination": lambda t: N.missing_examination(t.insurance_claim, t),
     "c12_folio_documents": lambda t: _folio_fields(_folios(t)),
@@ -179,6 +182,11 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "m1_reconciled_originals": lambda t: M.reconcile_items(t.original_claim_item),
     "m2_merged_claims": lambda t: M.mergeable_claims(t.insurance_claim),
     "m2_single_claims": lambda t: M.single_claim_violations(t.insurance_claim),
+    "m2_rebuilt_claims": lambda t: _rebuilt(t).saved_headers,
+    "m2_rebuilt_lines": lambda t: _rebuilt(t).lines,
+    "m2_relinked_appointments": lambda t: H.link_appointments(
+        t.patient_appointment, merge_leads(t.insurance_claim)
+    ).select("name", "nhif_patient_claim"),
     "m3_original_snapshot": lambda t: M.original_snapshot(t.claim_item),
     "m4_missing_originals": lambda t: M.missing_originals(t.claim_item, t.original_claim_item),
     "m4_missing_originals_by_name": lambda t: M.missing_originals(

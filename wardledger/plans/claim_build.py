@@ -15,7 +15,7 @@ from wardledger.operators.claim_diseases import claim_diseases
 from wardledger.operators.claim_export import folio_documents
 from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.operators.claim_notes import clinical_notes
-from wardledger.operators.claim_reconcile import reconcile_items
+from wardledger.operators.claim_reconcile import mergeable_claims, reconcile_items
 from wardledger.options import RunContext
 from wardledger.session import materialize, together
 from wardledger.sources.tables import Tables
@@ -29,11 +29,26 @@ class BuiltClaims:
     notes: DataFrame
     folio_numbers: DataFrame
     folio_counters: DataFrame
+    run: RunContext
 
     @property
     def totals(self) -> DataFrame:
         return C.claim_totals(self.lines.withColumnRenamed("claim", "parent"))
 
+    @property
+    def saved_headers(self) -> DataFrame:
+        """Headers as they are saved: with their folio number, notes and the total of their lines, 0 without lines."""
+        return (
+            self.headers.join(self.totals.withColumnRenamed("claim", "name"), "name", "left")
+            .join(self.folio_numbers.select(F.col("claim").alias("name"), "folio_no"), "name", "left")
+            .join(self.notes.withColumnRenamed("claim", "name"), "name", "left")
+            .withColumn("total_amount", F.coalesce("total_amount", F.lit(0.0)))
+        )
+
+    @property
+    def saved_diseases(self) -> DataFrame:
+        return C.completed_diseases(self.diseases, self.headers, self.run)
+
     @property
     def documents(self) -> DataFrame:
         return folio_documents(self.headers, self.diseases, self.lines, self.notes, self.folio_numbers)
@@ -60,9 +75,24 @@ def build_claims(claims: DataFrame, t: Tables, run: RunContext) -> BuiltClaims:
         notes=clinical_notes(frame, headers, run),
         folio_numbers=numbers,
         folio_counters=counters,
+        run=run,
     )
 
 
+def merge_leads(claims: DataFrame) -> DataFrame:
+    """The claims that lead a merge, with the appointments of all claims of their group as their list."""
+    merged = mergeable_claims(claims).select(F.col("claim").alias("name"), F.col("claim_appointment_list").alias("_merged"))
+    return claims.join(merged, "name").withColumn("claim_appointment_list", F.col("_merged")).select(*claims.columns)
+
+
+def rebuild_merged_claims(claims: DataFrame, t: Tables, run: RunContext) -> BuiltClaims:
+    """Merged claims built anew from the united appointments, as saving them does.
+
+    They keep their folio numbers' order among themselves; the claims that were merged into them stay as they are.
+    """
+    return build_claims(materialize(merge_leads(claims)), t, run)
+
+
 def submit_claims(claims: DataFrame, t: Tables, run: RunContext) -> tuple[DataFrame, DataFrame]:
     """(violations, change records) of saved claims at submission.
 
