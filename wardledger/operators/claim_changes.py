@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import non_blank, violation
-from wardledger.functions.joins import spread_null
+from wardledger.functions.joins import spread_blank, spread_null
 from wardledger.operators.prescriptions import DRUG, KINDS
 from wardledger.options import RunContext
 from wardledger.session import materialize
@@ -185,19 +185,19 @@ def removals(names: DataFrame, t: Tables) -> DataFrame:
     """
     doctype = F.col("ref_doctype")
     is_drug, is_stay = doctype == DRUG, doctype.isin(*STAYS)
-    known = _current_rows(t).withColumn("known", F.lit(True))
+    known = _current_rows(t).withColumn("known", F.lit(True)).withColumnRenamed("name", "_name")
     rows = (
-        names.withColumn("is_drug", is_drug)
-        .join(known, ["ref_doctype", "name"], "left")
+        names.withColumns({"is_drug": is_drug, "_name": spread_blank("name", "claim")})
+        .join(known, ["ref_doctype", "_name"], "left")
         .withColumn("child_encounter", F.when(~is_stay, F.col("child_encounter")))
-        .withColumn("_encounter", spread_null("child_encounter", "name"))
-        .join(_return_documents(t).withColumnRenamed("child_encounter", "_encounter"), ["is_drug", "name", "_encounter"], "left")
+        .withColumn("_encounter", spread_null("child_encounter", "_name"))
+        .join(_return_documents(t).withColumnsRenamed({"child_encounter": "_encounter", "name": "_name"}), ["is_drug", "_name", "_encounter"], "left")
     )
     missing = F.col("child_encounter").isNull()
     unconfirmed = F.coalesce(F.col("is_confirmed") == 0, F.lit(False))
     replaced = is_drug & missing
     rows = (
-        rows.withColumn("_drug", spread_null(F.when(replaced, F.col("item_name")), "name"))
+        rows.withColumn("_drug", spread_null(F.when(replaced, F.col("item_name")), "_name"))
         .join(change_requests(t).withColumnRenamed("item_name", "_drug"), ["_drug", "patient_encounter"], "left")
         .withColumn(
             "status",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import differs, is_blank, is_set, is_unset, money_sum, non_blank, stable_id, violation
-from wardledger.functions.joins import spread_null
+from wardledger.functions.joins import spread_blank, spread_null
 from wardledger.functions.numbering import number_within
 from wardledger.operators import claim_header as H
 from wardledger.operators.claim_frame import ClaimFrame
@@ -174,10 +174,11 @@ def _priced_occupancies(stays: DataFrame, t: Tables) -> DataFrame:
         "idx",
     )
     insurance = t.patient_encounter.select(
-        F.col("name").alias("admission_encounter"), "insurance_subscription", "insurance_company"
+        F.col("name").alias("_admission"), "insurance_subscription", "insurance_company"
     )
+    insured = stays.withColumn("_admission", spread_blank("admission_encounter", "claim")).join(insurance, "_admission", "left")
     rows = (
-        occupancies.join(stays.join(insurance, "admission_encounter", "left"), "inpatient_record")
+        occupancies.join(insured.drop("_admission"), "inpatient_record")
         .join(_unit_types(t), "service_unit", "left")
     )
     return with_rate(rows, t)

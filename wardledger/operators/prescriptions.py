@@ -80,9 +80,13 @@ def prescriptions(t: Tables) -> DataFrame:
 def with_item(rows: DataFrame, t: Tables) -> DataFrame:
     """Adds ``item_code`` through the template."""
     templates = t.item_template.select(
-        "template_type", F.col("name").alias("template"), F.col("item").alias("item_code")
+        "template_type", F.col("name").alias("_template"), F.col("item").alias("item_code")
+    )
+    return (
+        rows.withColumn("_template", spread_blank("template", "name"))
+        .join(templates, ["template_type", "_template"], "left")
+        .drop("_template")
     )
-    return rows.join(templates, ["template_type", "template"], "left")
 
 
 def with_status(rows: DataFrame, t: Tables) -> DataFrame:

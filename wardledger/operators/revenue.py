@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import money, money_sum, month_name, month_start
-from wardledger.functions.joins import spread_blank
+from wardledger.functions.joins import spread_blank, spread_null
 from wardledger.options import ReportFilters
 from wardledger.sources.schemas import REVENUE, shaped
 from wardledger.sources.tables import Tables
@@ -266,9 +266,7 @@ def consultancy_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
         t.item.groupBy(F.col("item_name").alias("consultation_item"), F.col("item_group").alias("speciality"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    practitioners = t.healthcare_practitioner.select(
-        F.col("name").alias("healthcare_practitioner"), "healthcare_practitioner_type"
-    )
+    practitioners = t.healthcare_practitioner.select(F.col("name").alias("_who"), "healthcare_practitioner_type")
     encounters = t.patient_encounter.select(
         F.col("name").alias("encounter"),
         F.col("practitioner").alias("healthcare_practitioner"),
@@ -282,7 +280,8 @@ def consultancy_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
         visits.join(_insured_stays(t, filters), "parent")
         .join(items, "consultation_item")
         .join(encounters, "encounter", "left")
-        .join(practitioners, "healthcare_practitioner", "left")
+        .withColumn("_who", spread_null("healthcare_practitioner", "encounter"))
+        .join(practitioners, "_who", "left")
         .groupBy(*keys)
         .agg(
             F.sum(money("rate") * F.col("copies")).cast("double").alias("amount"),

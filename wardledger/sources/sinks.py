@@ -12,7 +12,7 @@ RUN_COLUMNS = ("posting_date", "posting_time", "user_email", "edited_by")
 def write_table(
     df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists"
 ) -> None:
-    """Parquet output; a table that is also an input must go to a new path, then be swapped in."""
+    """Parquet output; a table that is also an input is changed through ``VersionedTable`` instead."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
