@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -56,3 +57,13 @@ def test_lexer_follows_constants_and_holes():
     assert not findings('colour = "q8Z!r5Tn2#Wd"')
     assert name_score("userPassword") == 1.0 and name_score("title") == 0.0
     assert literal_score("aaaaaaaaaaaa") < 0.1 < literal_score("q8Z!r5Tn2#Wd")
+
+
+def test_constants_built_from_each_other_stay_linear():
+    doubling = "a = \"Xk29fLmQ81zWvB4t\"\n" + "a = \"{a}{a}\"\n" * 60 + "password = a\n"
+    chain = "v0 = \"Xk29fLmQ81zWvB4t\"\n" + "".join(f"v{i} = v{i - 1}\n" for i in range(1, 20_000)) + "token = v19999\n"
+    for text in (doubling, chain):
+        start = time.perf_counter()
+        found = [f for f in findings(text) if f.kind == "literal"]
+        assert time.perf_counter() - start < 2
+        assert [text[f.start : f.end] for f in found][:1] == ["Xk29fLmQ81zWvB4t"]

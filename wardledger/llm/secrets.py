@@ -6,8 +6,9 @@ through ``+`` and ``${name}``), and scores each literal by how sensitive the ass
 looks like a secret. The patterns' findings are always kept; the lexer adds to them.
 
 Null and empty texts have no findings. Rows are independent of each other, so repeated rows repeat their
-findings, an empty table gives an empty one, and columns other than the id and the text are not read. Texts are
-read whole, in time linear in their length.
+findings, an empty table gives an empty one, and columns other than the id and the text are not read, so their names
+don't matter. Of names that are equally sensitive a literal goes to the first; findings at one place are ordered by
+kind, then end. Texts are read whole, in time and memory linear in their length.
 """
 
 from __future__ import annotations
@@ -99,47 +100,82 @@ def literal_score(value: str) -> float:
     return min(1.0, len(value) / 16) * min(1.0, entropy / 3.0) * min(1.0, 0.5 + 0.25 * classes)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """Name-literal pairs in order, constants propagated: each name with the literals that make up its value."""
-    known: dict[str, list[Literal]] = {}
+class Assignment(NamedTuple):
+    """A name and the parts of its value: literals, and places of earlier assignments."""
+
+    name: str
+    parts: list[Literal | int]
+
+
+def assignments(text: str) -> list[Assignment]:
+    """Name-value pairs in order. A name on the right is its latest assignment, so parts point backwards only."""
+    known: dict[str, int] = {}
+    found: list[Assignment] = []
     for m in _PAIR.finditer(text):
-        literals = _expression(text, m.end(), known)
-        if literals:
-            known[m[1]] = literals
-            yield m[1], literals
+        parts = _expression(text, m.end(), known)
+        if parts:
+            known[m[1]] = len(found)
+            found.append(Assignment(m[1], parts))
+    return found
 
 
-def _expression(text: str, at: int, known: dict[str, list[Literal]]) -> list[Literal]:
-    literals: list[Literal] = []
+def pairs(text: str) -> Iterator[tuple[str, list[Literal]]]:
+    """Each name with the different literals that its value is made of, constants followed."""
+    found = assignments(text)
+    for i, assigned in enumerate(found):
+        literals: dict[Literal, None] = {}
+        open_, seen = [i], set()
+        while open_:
+            part = open_.pop()
+            if isinstance(part, Literal):
+                literals[part] = None
+            elif part not in seen:
+                seen.add(part)
+                open_ += reversed(found[part].parts)
+        yield assigned.name, list(literals)
+
+
+def _expression(text: str, at: int, known: dict[str, int]) -> list[Literal | int]:
+    parts: list[Literal | int] = []
     while True:
         if m := _QUOTED.match(text, at):
             group = m.lastindex
-            for hole in _HOLE.finditer(m[group]):
-                literals += known.get(hole[1], [])
-            literals.append(Literal(m[group], *m.span(group)))
+            parts += [known[h[1]] for h in _HOLE.finditer(m[group]) if h[1] in known]
+            parts.append(Literal(m[group], *m.span(group)))
         elif m := _BARE.match(text, at):
             named = _NAME.match(m[0])
-            literals += known[named[1]] if named and named[1] in known else [Literal(m[0], *m.span())]
+            parts.append(known[named[1]] if named and named[1] in known else Literal(m[0], *m.span()))
         else:
-            return literals
+            return parts
         joined = _JOIN.match(text, m.end())
         if not joined:
-            return literals
+            return parts
         at = joined.end()
 
 
 def lexed_findings(text: str, threshold: float) -> list[Finding]:
-    found = {}
-    if "=" in text or ":" in text:
-        for name, literals in pairs(text):
-            sensitive = name_score(name)
-            if sensitive == 0:
-                continue
-            for literal in literals:
-                score = sensitive * literal_score(literal.value)
-                if score >= threshold and score > found.get(literal, ("", 0.0))[1]:
-                    found[literal] = (name, score)
-    return [Finding("literal", x.start, x.end, name, score) for x, (name, score) in found.items()]
+    """Literals by the most sensitive name that they reach, the first of equally sensitive ones.
+
+    Names are handed down from the last assignment to the first, so each part is looked at once, however often
+    constants are built from one another.
+    """
+    if "=" not in text and ":" not in text:
+        return []
+    places = assignments(text)
+    best = [(name_score(a.name), -i, a.name) for i, a in enumerate(places)]
+    reached: dict[Literal, tuple[float, int, str]] = {}
+    for i in range(len(places) - 1, -1, -1):
+        for part in places[i].parts:
+            if isinstance(part, Literal):
+                reached[part] = max(best[i], reached.get(part, best[i]))
+            else:
+                best[part] = max(best[part], best[i])
+    found = []
+    for literal, (sensitive, _, name) in reached.items():
+        score = sensitive * literal_score(literal.value) if sensitive else 0.0
+        if score and score >= threshold:
+            found.append(Finding("literal", literal.start, literal.end, name, score))
+    return found
 
 
 def findings(text: str | None, threshold: float = 0.5) -> list[Finding]:
