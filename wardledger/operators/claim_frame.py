@@ -14,8 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardledger.functions.columns import clock, is_blank, is_set
-from wardledger.functions.joins import spread_blank, spread_null
+from wardledger.functions.columns import clock, is_blank
+from wardledger.functions.joins import spread_null
 from wardledger.operators.claim_header import listed_appointments, own_visits
 from wardledger.session import Workspace, together
 from wardledger.sources.tables import Tables
@@ -84,32 +84,12 @@ class ClaimFrame:
     def finals(self) -> DataFrame:
         return self.visits.filter("is_final")
 
-    @cached_property
-    def occupancies(self) -> DataFrame:
-        """Every occupancy with its day and what its unit's type says."""
-        types = self.t.healthcare_service_unit_type.select(
-            F.col("name").alias("service_unit_type"), F.col("item").alias("item_code"), is_set("is_consultancy_chargeable").alias("chargeable")
-        )
-        units = self.t.healthcare_service_unit.select(F.col("name").alias("_unit"), "service_unit_type").join(types, "service_unit_type")
-        rows = self.t.inpatient_occupancy.select(
-            F.col("parent").alias("inpatient_record"),
-            F.col("name").alias("ref_docname"),
-            "idx",
-            F.to_date("check_in").alias("day"),
-            "service_unit",
-            is_set("is_confirmed").alias("is_confirmed"),
-            "modified",
-            "modified_by",
-            spread_blank("service_unit", "name").alias("_unit"),
-        )
-        return rows.join(units, "_unit", "left").drop("_unit", "service_unit_type")
-
     @cached_property
     def stays(self) -> DataFrame:
         """A row per claim with an inpatient record: the record, its admission, and the days with a bed.
 
-        ``days`` leads from a check-in day to the first occupancy of that day: its number and whether consultancies
-        may be charged. It has an entry per calendar day of the stay.
+        ``days`` leads from a check-in day to the first occupancy of that day: its number and its service unit. It has
+        an entry per calendar day of the stay.
         """
         records = (
             self.finals.filter(F.col("inpatient_record") != "")
@@ -120,11 +100,11 @@ class ClaimFrame:
                 F.first("claim_appointment").alias("patient_appointment"),
             )
         )
-        first = F.min(F.struct(F.col("idx").alias("position"), "ref_docname", F.coalesce("chargeable", F.lit(False)).alias("chargeable")))
+        day = F.to_date("check_in")
         days = (
-            self.occupancies.filter(F.col("day").isNotNull())
-            .groupBy("inpatient_record", "day")
-            .agg(first.alias("first"))
+            self.t.inpatient_occupancy.filter(day.isNotNull())
+            .groupBy(F.col("parent").alias("inpatient_record"), day.alias("day"))
+            .agg(F.min(F.struct(F.col("idx").alias("position"), "name", "service_unit")).alias("first"))
             .groupBy("inpatient_record")
             .agg(F.map_from_entries(F.collect_list(F.struct("day", "first"))).alias("days"))
         )
@@ -138,16 +118,7 @@ class ClaimFrame:
             clock("admitted_datetime").alias("admitted_clock"),
             clock("creation").alias("created_clock"),
         )
-        insurance = self.t.patient_encounter.select(
-            F.col("name").alias("_admission"), "insurance_subscription", "insurance_company"
-        )
-        found = (
-            records.join(details, "inpatient_record", "left")
-            .join(days, "inpatient_record", "left")
-            .withColumn("_admission", spread_blank("admission_encounter", "claim"))
-            .join(insurance, "_admission", "left")
-            .drop("_admission")
-        )
+        found = records.join(details, "inpatient_record", "left").join(days, "inpatient_record", "left")
         return self._keep(found, "stays", "claim")
 
     @cached_property

@@ -163,8 +163,8 @@ def _unit_types(t: Tables) -> DataFrame:
     return units.join(types, "service_unit_type").drop("service_unit_type")
 
 
-def _priced_occupancies(stays: DataFrame, t: Tables) -> DataFrame:
-    """Confirmed occupancies with the item of their unit type and its rate for the admission's insurance."""
+def _insured_occupancies(stays: DataFrame, t: Tables) -> DataFrame:
+    """Confirmed occupancies with the item of their unit type and the admission's insurance."""
     occupancies = t.inpatient_occupancy.filter(is_set("is_confirmed")).select(
         F.col("parent").alias("inpatient_record"),
         F.col("name").alias("ref_docname"),
@@ -177,16 +177,12 @@ def _priced_occupancies(stays: DataFrame, t: Tables) -> DataFrame:
         F.col("name").alias("_admission"), "insurance_subscription", "insurance_company"
     )
     insured = stays.withColumn("_admission", spread_blank("admission_encounter", "claim")).join(insurance, "_admission", "left")
-    rows = (
-        occupancies.join(insured.drop("_admission"), "inpatient_record")
-        .join(_unit_types(t), "service_unit", "left")
-    )
-    return with_rate(rows, t)
+    return occupancies.join(insured.drop("_admission"), "inpatient_record").join(_unit_types(t), "service_unit", "left")
 
 
 def bed_lines(stays: DataFrame, t: Tables) -> DataFrame:
     """One line per confirmed bed occupancy."""
-    return _rated_lines(_bed_rows(_priced_occupancies(stays, t)))
+    return _rated_lines(with_rate(_bed_rows(_insured_occupancies(stays, t)), t))
 
 
 RATED_COLUMNS = [
@@ -361,8 +357,14 @@ def claim_lines_of(frame: ClaimFrame) -> DataFrame:
     """
     stays, t = frame.stays, frame.t
     own = frame.appointments.filter("position = -1").select("claim", "billing_item", "paid_amount", "creation", "practitioner")
-    beds = frame.occupancies.filter("is_confirmed").join(stays, "inpatient_record")
-    visits = _consultancies(t).join(stays, "inpatient_record").filter(F.try_element_at("days", F.col("day"))["chargeable"])
+    beds = _insured_occupancies(stays, t)
+    visits = (
+        _consultancies(t)
+        .join(stays, "inpatient_record")
+        .withColumn("service_unit", F.try_element_at("days", F.col("day"))["service_unit"])
+        .join(_unit_types(t), "service_unit")
+        .filter(is_set("is_consultancy_chargeable"))
+    )
     consultations = (
         frame.appointments.filter((F.col("position") >= 0) & _chargeable())
         .join(stays.select("claim"), "claim", "left_anti")

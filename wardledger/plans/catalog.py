@@ -53,7 +53,7 @@ def _rated_lines(t: Tables) -> DataFrame:
 
 
 def _notes(t: Tables) -> DataFrame:
-    frame = ClaimFrame(t.insurance_claim, t, keep=("billed",))
+    frame = ClaimFrame(t.insurance_claim, t, keep=("visits",))
     return N.clinical_notes(frame, H.claim_patients_of(frame), RUN)
 
 
