@@ -347,7 +347,9 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
 
 def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
     """All numbered lines of each claim."""
-    return claim_lines_of(ClaimFrame(claims, t, keep=("stays",)))
+    frame = ClaimFrame(claims, t, keep=("appointments", "visits", "stays"))
+    frame.prepare()
+    return claim_lines_of(frame)
 
 
 def claim_lines_of(frame: ClaimFrame) -> DataFrame:
