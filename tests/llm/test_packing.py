@@ -7,8 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wardledger.llm.packing import WordEncoder, best_fit, pack_pieces, packing_report, token_pieces
+from wardledger.llm.packing import best_fit, pack_pieces, packing_report, token_pieces
 from wardledger.llm.queries import tokenizer
+from wardledger.llm.word_encoder import RunTable, WordEncoder
 
 
 @pytest.fixture(scope="module")
@@ -108,8 +109,38 @@ def test_best_fit_places_every_piece_once(counts):
     assert bins <= len(gaps) + 1
 
 
-def test_a_length_that_most_pieces_share(spark, monkeypatch):
-    monkeypatch.setattr("wardledger.llm.packing._SLOT_ROWS", 50)
+def test_runs_by_their_bytes(plain_tokenizer):
+    """Runs of 7 to 26 bytes, digits and signs between letters, and letters of two bytes at every place."""
+    parts = ["a" * n for n in range(6, 28)] + ["é" * n for n in range(3, 14)] + ["x" * 23 + "É", "A1b2,c", "7", "d.e", "×a÷", "ªb", "ÀÞ"]
+    texts = [" ".join(parts[i:] + parts[:i]) for i in range(len(parts))]
+    for text, got in zip(texts, WordEncoder(tokenizer()).encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_table_of_runs_grows():
+    table, random = RunTable(room=4), np.random.default_rng(3)
+    keys = [random.integers(0, 40, 500).astype(np.uint64) for _ in range(3)]
+    different = np.unique(np.stack(keys), axis=1)
+    for block in np.array_split(np.arange(different.shape[1]), 7):
+        part = [k[block] for k in different]
+        assert (table.find(part) == -1).all()
+        assert table.find(part).tolist() != table.reserve(len(block), part).tolist()
+    assert table.find(list(different)).tolist() == list(range(different.shape[1]))
+    assert table.find([np.array([99], np.uint64)] * 3).tolist() == [-1]
+
+
+def test_any_columns_are_carried(spark, docs):
+    docs()
+    names = "doc_id long, length long, size string, part string, rank string, n string, c0 string, before string, `a.b` string, sequence_id string, `offset` string"
+    pieces = spark.createDataFrame([(1, 5, *"abcdefghi"), (1, 5, *"abcdefghi"), (None, 7, *[None] * 9)], names)
+    found = pack_pieces(pieces, capacity=10).collect()
+    assert sorted(tuple(r)[2:9] for r in found if r["doc_id"]) == [tuple("abcdefg")] * 2
+    assert sorted((r["length"], r["offset"]) for r in found) == [(5, 0), (5, 5), (7, 0)]
+    with pytest.raises(Exception, match="lengths must be from 1 to 6"):
+        pack_pieces(pieces, capacity=6)
+
+
+def test_a_length_that_most_pieces_share(spark):
     rows = [(i, 0, 7) for i in range(900)] + [(i, 0, 1 + i % 9) for i in range(100)]
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long")
     found = pack_pieces(pieces, capacity=20).collect()

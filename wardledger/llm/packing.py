@@ -6,8 +6,8 @@ stand sorted by size; a sweep gives each piece the next gap at or above its leng
 for the same gaps are told apart by their rank; the gaps shrink and the sweep repeats, opening sequences where no gap
 is left. Sizes are whole numbers up to ``capacity``, so both sorted lists are held as runs of equal size, whose
 number depends on the capacity and not on the documents: a sweep step moves a whole run of pieces into a run of
-gaps. The rows themselves are ranked within their length by a distributed sort (in slots, so that a length that most
-pieces share is spread) and find their place by their rank.
+gaps. The rows themselves are numbered within their length where they are made, by task and place in the task, and
+find their sequence by that rank.
 
 A null text is empty and has the end id only. Repeated rows are packed each for itself; rows are told apart by rank,
 so ties and missing ids do no harm. An empty table gives no pieces. ``pack_pieces`` carries any further columns;
@@ -21,113 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardledger.llm.word_encoder import WordEncoder
 from wardledger.llm.words import chunks, utf8
 from wardledger.session import Workspace
 
 CAPACITY = 2048
 END = 0
-_SLOT_ROWS = 10_000
-
-
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins what it separates.
-
-    Words seen before are looked up; new ones are encoded together, a separator between them. If the tokenizer
-    proves to ignore case and to part letters from punctuation, a new word of letters and trailing punctuation takes
-    the ids of its lower-cased letters and of its punctuation. At most about ``most`` words are remembered, whatever
-    the texts hold.
-    """
-
-    _SEPARATOR = "\0"
-    #: Punctuation without the apostrophe, which tokenizers join with letters, and what delimits special tokens.
-    _TRAILING = b".,;:!?#$%&*()[]{}+=/-\""
-    #: Below this character, lower-casing is a matter of single letters.
-    _SIMPLE = "\u0130"
-    _loaded: dict[str, WordEncoder] = {}
-
-    def __init__(self, path: str, most: int = 700_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.known: dict[bytes, bytes] = {}  # by word
-        self.parts: dict[bytes, bytes] = {}  # by what a word is made of
-        self.separator = self._encode(self._SEPARATOR).tolist()
-        same = lambda a, *b: self._encode(a).tolist() == [i for x in b for i in self._encode(x).tolist()]
-        self.splits = same("Abc.,", "abc", ".,") and same("XÉ#", "xé", "#") and same("a b", "a", "b")
-
-    @classmethod
-    def load(cls, path: str) -> WordEncoder:
-        """One encoder for all tasks of a worker process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        if self.splits:
-            letters = word.rstrip(self._TRAILING)
-            rest = word[len(letters) :]
-            if not letters.isalpha():  # of ASCII letters; others one by one
-                text = letters.decode("utf-8", "replace")
-                if not text.isalpha() or max(text) >= self._SIMPLE:
-                    return (word,)
-                letters = text.lower().encode()
-            return (letters.lower(), rest) if rest else (letters.lower(),)
-        return (word,)
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-            self.parts.clear()
-        made = {word: self._parts(word) for word in words}
-        new = list({p for parts in made.values() for p in parts} - self.parts.keys())
-        joined = [p for p in new if b"\0" not in p]
-        ids = self._encode(f" {self._SEPARATOR} ".encode().join(joined).decode("utf-8", "replace"))
-        ends = [*np.flatnonzero(ids == self.separator[0]).tolist(), len(ids)]
-        if len(self.separator) != 1 or len(ends) != len(joined):
-            joined = []  # a tokenizer that treats the separator otherwise: one by one
-        start, data, known = 0, ids.tobytes(), self.parts
-        for part, end in zip(joined, ends, strict=False):
-            known[part] = data[4 * start : 4 * end]
-            start = end + 1
-        for part in new:
-            if part not in known:
-                known[part] = self._encode(part.decode("utf-8", "replace")).tobytes()
-        for word, parts in made.items():
-            self.known[word] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        out = []
-        for a, b in chunks(texts):
-            steps = [_steps(text) for text in texts[a:b]]
-            words = [step.split() for text in steps for step in text]
-            whole = set().union(*words)
-            # The words of the chunk itself stay known until it is done.
-            if new := whole - self.known.keys():
-                self._learn(new if len(self.known) + len(new) <= self.most else whole)
-            known = self.known
-            encoded = iter([b"".join([known[w] for w in step]) for step in words])
-            out += [b"".join([next(encoded) for _ in text]) for text in steps]
-        return out
-
-
-def _steps(text: bytes, size: int = 1 << 20) -> list[bytes]:
-    """A text in parts of about ``size`` bytes that end before a blank or a line's end."""
-    out, at = [], 0
-    while at < len(text):
-        ends = (i for i in (text.find(b" ", at + size), text.find(b"\n", at + size)) if i >= 0)
-        end = min(ends, default=len(text))
-        out.append(text[at:end])
-        at = end
-    return out
 
 
 def token_pieces(
@@ -194,44 +98,62 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return steps
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` (with ``length``) and their ``sequence_id`` and ``offset``.
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (with ``length``) and their ``sequence_id`` and ``offset``, which replace columns of these names.
 
-    ``pieces`` is read twice and should be a table. ``order`` is only for a stable choice among pieces of one length.
+    ``pieces`` is computed once and kept as a table, each row with its task and its rank among the task's pieces of its
+    length. Counts by task and length then give every row its rank in the whole table: no row is sorted or sent to
+    the others of its length. A length that is null, not positive or beyond the capacity is an error.
     """
-    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
-    counts = {r["length"]: r["n"] for r in lengths}
-    slots = 1 + max(counts.values(), default=0) // _SLOT_ROWS
-    steps = sorted(best_fit(counts, capacity))
-    names = pieces.columns
-    rows = pieces.withColumn("__slot", F.pmod(F.xxhash64(*order), F.lit(slots)).cast("int"))
-    before = Window.partitionBy("length").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("length", "__slot").agg(F.count("*").alias("__n"))
-    offsets = offsets.select("length", "__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__slot").orderBy(*order)) - 1)
-    ranked = ranked.join(offsets, ["length", "__slot"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = [f"c{i}" for i in range(len(names))]
+    kinds = [pieces.schema[c].dataType for c in names]
+    rows = pieces.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(names, inner, strict=True)], F.col("length").cast("long").alias("size"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            size = batch.column("size").fill_null(0).to_numpy(zero_copy_only=False)
+            if len(size) and not 1 <= size.min() <= size.max() <= capacity:
+                raise ValueError(f"lengths must be from 1 to {capacity}")
+            order = np.argsort(size, kind="stable")
+            counts = np.bincount(size, minlength=capacity + 1)
+            rank = np.empty(len(size), np.int64)
+            rank[order] = np.arange(len(size)) + np.repeat(seen - np.cumsum(counts) + counts, counts)
+            seen += counts
+            more = [pa.array(np.full(len(size), part, np.int64)), pa.array(rank)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "part", "rank"])
+
+    fields = [T.StructField(a, t) for a, t in zip(inner, kinds, strict=True)]
+    longs = [T.StructField(c, T.LongType()) for c in ("size", "part", "rank")]
+    ranked = Workspace(pieces.sparkSession).keep(rows.mapInArrow(number, T.StructType(fields + longs)), "pieces")
+    counts = ranked.groupBy("size", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    offsets = counts.select("size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    lengths = ranked.groupBy("size").agg(F.count("*").alias("n")).collect()  # capacity rows at most
+    steps = sorted(best_fit({r["size"]: r["n"] for r in lengths}, capacity))
+    places = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]
     if not steps:
-        return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        return ranked.select(*inner, *[F.lit(0).cast("long").alias(c.name) for c in places]).withColumnsRenamed(dict(zip(inner, names, strict=True)))
 
     step_length, step_rank, step_first, step_offset = (np.array(x, np.int64) for x in zip(*steps, strict=True))
     step_key = (step_length << 42) + step_rank
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "rank"))
             step = np.searchsorted(step_key, (length << 42) + rank, "right") - 1
-            columns = [batch.column(c) for c in names]
+            columns = [batch.column(c) for c in inner]
             columns += [pa.array(step_first[step] + rank - step_rank[step]), pa.array(step_offset[step])]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(columns, [*inner, "sequence_id", "offset"])
 
-    fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return ranked.select(*names, "__rank").mapInArrow(place, T.StructType(fields))
+    whole = ranked.join(offsets, ["size", "part"]).select(*inner, "size", (F.col("rank") + F.col("before")).alias("rank"))
+    return whole.mapInArrow(place, T.StructType(fields + places)).withColumnsRenamed(dict(zip(inner, names, strict=True)))
 
 
 def packing_report(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with the crc32 of its ids and its place; the ids themselves are not shuffled."""
+    """Every piece with the crc32 of its ids and its place; the ids themselves are neither written nor shuffled."""
     pieces = token_pieces(docs, tokenizer, capacity)
-    pieces = Workspace(docs.sparkSession).keep(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return pack_pieces(pieces, capacity).select(
+    return pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
