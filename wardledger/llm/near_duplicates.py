@@ -275,12 +275,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, run: int) -> Data
     The texts of ``a`` travel to the text of ``b``; a ``b`` with many partners is copied to several places, each with
     a bounded number of them. Nothing but one set and the one it is compared with is held.
     """
-    places = pairs.groupBy("b").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("places"))
-    members = pairs.join(places, "b").select(
-        F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a", "b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("role")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    many = counts.filter(F.col("n") > _BLOCK).select("b", F.ceil(F.col("n") / _BLOCK).cast("int").alias("places"))
+    many = Workspace(docs.sparkSession).keep(many, "many")  # few, of known size: the pairs stay where they are
+    places = F.coalesce("places", F.lit(1))
+    members = pairs.join(many, "b", "left").select(
+        F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a", "b"), places).cast("int").alias("place"), F.lit(1).alias("role")
     )
-    heads = places.select(
-        F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role")
+    heads = pairs.select("b").distinct().join(many, "b", "left").select(
+        F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.lit(0).alias("role")
     )
     dealt = members.unionByName(heads)
     rows = _texts_of(docs, dealt.select(F.col("id").alias("node"))).join(dealt, "id").repartition("b", "place").sortWithinPartitions("b", "place", "role")
@@ -332,9 +335,11 @@ def near_duplicates(
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), Workspace(docs.sparkSession))
     groups = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    found = rows.select("id", "n", "digest").join(groups, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
-    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # Empty sets share a digest and need no group.
+    found = rows.filter("n > 0").select("id", "n", "digest").join(groups, "digest", "left")
+    found = found.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    found = found.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
 
 
 def duplicate_report(docs: DataFrame) -> DataFrame:
