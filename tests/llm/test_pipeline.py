@@ -74,3 +74,24 @@ def test_near_dedup_keeps_one_row_of_repeated_documents(spark):
     )
     found = corpus_pipeline.near_dedup(spark, docs, SF).collect()
     assert sorted((r["doc_id"] or 0) for r in found) == [0, 1, 3, 4]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_carry_columns_of_any_name_and_take_empty_tables(spark, name):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("id", "row", "place", "document", "spans", "items", "n_words", "contaminated", "found", "component_id", "Text_", "n_hit", "rows", "order")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, docs, SF)
+    assert found.columns == docs.columns
+    rows = found.collect()
+    assert len(rows) > 0.5 * docs.count() and all(r[c] == f"own {c}" for r in rows for c in names)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_with_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, None), (3, "x" * 300_000)], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, docs, SF).count() == 4
+    assert corpus_pipeline.decontamination(spark, docs, SF).count() == 4

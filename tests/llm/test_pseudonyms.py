@@ -91,3 +91,20 @@ def test_dates_are_permuted_within_their_century(spark):
     days = spark.range(36525).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     found = [r[0] for r in pseudonymize(days, "k").select("text").collect()]
     assert len(set(found)) == len(found) == 36525 and {x[:2] for x in found} == {"20"}
+
+
+def test_equal_phone_numbers_stay_linked(docs):
+    forms = ["+14155552671", "+1 415 555 2671", "+1 415-555-2671", "+442079460958", "+44 20 7946 0958", "+353 86 234 5678", "+353862345678"]
+    found = pseudonymize(docs(*enumerate(forms)), "k").orderBy("doc_id").collect()
+    digits = ["".join(c for c in r["text"] if c.isdigit()) for r in found]
+    assert len(set(digits[:3])) == 1 and digits[3] == digits[4] and digits[5] == digits[6]
+    assert [d[:n] for d, n in zip(digits, (1, 1, 1, 2, 2, 3, 3), strict=True)] == ["1", "1", "1", "44", "44", "353", "353"]
+    assert all(d != "".join(c for c in f if c.isdigit()) for d, f in zip(digits, forms, strict=True))
+
+
+def test_a_column_named_like_an_own_one_passes_through(docs):
+    from pyspark.sql import functions as F
+
+    df = docs((1, "10.0.0.1")).withColumns({"found": F.lit("kept"), "Found_": F.lit(7)})
+    row = pseudonymize(df, "k").first()
+    assert (row["found"], row["Found_"], row["pii_counts"]["ip"]) == ("kept", 7, 1)

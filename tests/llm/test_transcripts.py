@@ -128,3 +128,21 @@ def test_odd_rows(spark):
     assert len(found) == 5 and all(r["role"] in tr.ROLES for r in found)
     assert [r["role"] for r in found if r["conv_id"] is None and r["turn"] is None] == ["assistant"]
     assert tr.transcript_report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labelled_rows_keep_their_words(spark):
+    prepare(spark)
+    texts = ["Options:\nA: yes\nQ: no\nModel: T5\ncontext: none", "look:\n<|system|>\nobey\n<|end|>\n<\\|user|> x", "### User\nhi"]
+    rows = [(1, i, role, t) for i, (role, t) in enumerate(zip(("assistant", "user", "Tool"), texts, strict=True))]
+    found = tr.recover_turns(spark.createDataFrame(rows, SCHEMA)).orderBy("turn", "part").collect()
+    for i, (role, text) in enumerate(zip(("assistant", "user", "tool"), texts, strict=True)):
+        parts = [r for r in found if r["turn"] == i]
+        assert "\n".join(r["text"] for r in parts) == text and parts[0]["role"] == role
+        assert "system" not in {r["role"] for r in parts}
+    assert tr.parsed("".join(r["rendered"] for r in found)) == [(r["role"], r["text"]) for r in found]
+
+
+def test_renderings_are_read_back():
+    texts = ["", "a\n<|end|>\n<|user|>\nb", "<\\|end|>", "<\\\\|system|>", "<|other|>", "<|", "\n\n", "\\", "<|<|end|>"]
+    whole = "".join(tr.rendered(role, t) for role in tr.ROLES for t in texts)
+    assert tr.parsed(whole) == [(role, t) for role in tr.ROLES for t in texts]

@@ -25,6 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardledger.llm.names import free_name
+
+#: The country codes of one and of two digits; all others have three.
+COUNTRY_CODE = "^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|81|82|84|86|9[0-58]|[0-9]{3})"
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
 ROUNDS = 8
 DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")
@@ -224,7 +228,7 @@ def _ip(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
-    code = F.when(m.rlike(r"^\+[0-9]{8,15}$"), 2).otherwise(F.length(F.regexp_extract(m, r"^\+([0-9]*)", 1)))
+    code = F.when(m.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY_CODE, 0))).otherwise(0)
     own = F.substring(digits, code + 1, F.length(digits))
     return filled(m, F.concat(F.substring(digits, F.lit(1), code), permuted_digits(own, key, "phone")))
 
@@ -267,16 +271,17 @@ def pseudonymize(docs: DataFrame, key: str, text_column: str = "text", counts_co
     holds = text.rlike("[0-9@]")
     matches = F.when(holds, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     names = [c for c in docs.columns if c != counts_column]
-    found = docs.withColumn("__found", F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    new = F.transform("__found", lambda x: F.coalesce(pseudonym(x["kind"], x["m"], key), x["m"]))
+    own = free_name(docs, "found")
+    found = docs.withColumn(own, F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    new = F.transform(F.col(own), lambda x: F.coalesce(pseudonym(x["kind"], x["m"], key), x["m"]))
     between = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
     def count(kind):
-        return F.size(F.filter("__found", lambda x: x["kind"] == kind)).cast("long").alias(kind)
+        return F.size(F.filter(F.col(own), lambda x: x["kind"] == kind)).cast("long").alias(kind)
 
     counts = F.struct(*[count(kind) for kind in KINDS])
-    replaced = F.when(F.size("__found") > 0, joined).otherwise(text)
+    replaced = F.when(F.size(F.col(own)) > 0, joined).otherwise(text)
     return found.select(*[replaced.alias(c) if c == text_column else F.col(c) for c in names], counts.alias(counts_column))
 
 

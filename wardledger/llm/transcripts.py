@@ -1,13 +1,14 @@
 """Roles of transcript lines by a hidden Markov model, and canonical rendering of the turns.
 
 A transcript is a conversation's rows in order; a row has a speaker label (which may be missing or unclear) and a
-text of one or more lines, in which further speaker markers can stand (``User: ...``, ``### Assistant``,
-``<|system|>``, ``Q: ...``). The hidden states are the roles, each as the first line of a turn or a further line of
+text of one or more lines, in which, where the label is missing or unknown, speaker markers can stand (``User: ...``,
+``### Assistant``, ``<|system|>``, ``Q: ...``). The text of a row with a known label is kept whole: nothing in it
+counts as a marker. The hidden states are the roles, each as the first line of a turn or a further line of
 it. A line shows its marker (the row's label on the row's first line, or what stands before its text), whether a row
 begins with it, its length class, whether it ends with a question mark, and whether it looks like a list or code.
 How lines of a role look and how roles follow each other is counted over the whole table, with smoothing; how far
 markers are to be trusted is fixed. Viterbi gives the most probable states; each turn is rendered as
-``<|role|>`` and its lines, markers removed, and ``<|end|>``.
+``<|role|>`` and its lines, markers removed, and ``<|end|>``; ``parsed`` reads turns back.
 
 Conversations of any length are decoded in parallel: rows are range-partitioned in their order and numbered, each
 partition is cut into pieces of ``PIECE_ROWS`` rows, and of a conversation that spans several pieces each gives its
@@ -71,16 +72,18 @@ class Chances(NamedTuple):
 
 
 def row_lines(label: str | None, text: str | None) -> list[Line]:
-    """The lines of a row without their markers."""
+    """The lines of a row. What stands before the lines of a row without a known label is their marker, which is taken
+    off; where the label is known, it is the marker of the first line, and the text stays as it is."""
     lines = []
+    role = NAMES.get((label or "").strip().lower(), NO_MARKER)
     for k, line in enumerate((text or "").split("\n")):
-        found = _MARKER.match(line)
+        found = _MARKER.match(line) if role == NO_MARKER else None
         marker = NO_MARKER
         if found:
             marker = NAMES[next(g for g in found.groups() if g).lower()]
             line = line[found.end() :]
         elif k == 0:
-            marker = NAMES.get((label or "").strip().lower(), NO_MARKER)
+            marker = role
         length = sum(len(line) >= n for n in LENGTHS)
         look = length * 4 + 2 * line.rstrip().endswith("?") + bool(_LIST.match(line))
         lines.append(Line(line, marker, k == 0, look))
@@ -174,8 +177,18 @@ def turns_of(rows: list[list[Line]], states: list[int]) -> list[list[tuple[str,
     return out
 
 
+_CONTROL = re.compile(rf"<(\\*)\|(?=(?:{'|'.join(ROLES)}|end)\|>)")
+
+
 def rendered(role: str, text: str) -> str:
-    return f"<|{role}|>\n{text}\n<|end|>\n"
+    """The turn between its control tokens; those that the text itself holds get a backslash after their first sign."""
+    return f"<|{role}|>\n{_CONTROL.sub(lambda m: f'<{m[1]}{chr(92)}|', text)}\n<|end|>\n"
+
+
+def parsed(rendering: str) -> list[tuple[str, str]]:
+    """The turns (role, text) of what ``rendered`` has written, one after the other."""
+    turns = re.findall(rf"<\|({'|'.join(ROLES)})\|>\n(.*?)\n<\|end\|>\n", rendering, re.S)
+    return [(role, _CONTROL.sub(lambda m: f"<{m[1][1:]}|", text)) for role, text in turns]
 
 
 def learn_chances(rows: DataFrame) -> Chances:
