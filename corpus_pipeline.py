@@ -5,7 +5,9 @@ language go, one document of each near-duplicate group stays, contaminated docum
 pseudonyms, and what is left is packed. All stages but the last return the columns of ``documents``.
 
 Rows without an id belong to no near-duplicate group and stay. Of several rows with one id one stays, the one with
-the smallest text.
+the smallest text. A null or empty text has no language and goes at the first stage; such texts among the documents of
+a later stage stay (an empty text is no near duplicate and holds no benchmark words). Empty tables give empty tables.
+Further columns of any names are carried as they are; a map column is not, since no stage could compare it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from spark_setup import prepare  # noqa: E402
 from wardledger.llm.decontaminate import find_contamination, with_verdict  # noqa: E402
 from wardledger.llm.langid import fit, identified  # noqa: E402
+from wardledger.llm.names import free_name  # noqa: E402
 from wardledger.llm.near_duplicates import near_duplicates  # noqa: E402
 from wardledger.llm.packing import packing_report  # noqa: E402
 from wardledger.llm.pseudonyms import pseudonymize  # noqa: E402
@@ -38,14 +41,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"))
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__row", one).filter("__row = 1")
+    place = free_name(docs, "place")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn(place, one).filter(F.col(place) == 1)
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = with_verdict(find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns)))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("document"))
+    found = with_verdict(find_contamination(rows, table(spark, sf_dir, "benchmark"), carry=("document",)))
+    return found.filter(~F.col("contaminated")).select("document.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
