@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import wardledger
-from wardledger.functions.joins import join_null_safe, spread_blank
+from wardledger.functions.joins import join_frequent, join_null_safe, spread_blank
 from wardledger.functions.numbering import number_within
 from wardledger.operators import revenue as R
 from wardledger.options import ReportFilters
@@ -97,6 +97,50 @@ def test_blank_keys_are_spread_and_match_nothing(spark):
     assert spread.join(right, "key", "left").filter("v is not null").count() == 10
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_frequent_keys_join_as_others_do(spark, how):
+    key = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 300))
+    left = spark.range(6000).select("id", key.alias("key"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3), (None, 4), ("none", 5)], "key string, v int")
+    found = join_frequent(left, right, ["key"], "id", how)
+    expected = left.join(right, ["key"], how)
+    assert found.columns == expected.columns
+    assert found.exceptAll(expected).count() == 0 and found.count() == expected.count() > 0
+    with pytest.raises(ValueError):
+        join_frequent(left, right, ["key"], "id", "full")
+
+
+def test_half_of_the_rows_under_one_key_are_no_larger_task(spark):
+    left = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"))
+    right = left.select("key").distinct().withColumn("v", F.lit(1))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = join_frequent(left, right, ["key"], "id")
+        sizes = sorted(r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        plain = left.join(right, "key").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert plain > 20_000
+
+
+def test_files_of_skewed_partitions_keep_their_size(spark, tmp_path):
+    rows = spark.range(400_000).select(F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id") % 7).alias("month"), F.rand(3).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400KB")
+    try:
+        write_table(rows.repartition(12), str(tmp_path / "t"), ("month",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = {d.name: sorted(f.stat().st_size for f in d.glob("*.parquet")) for d in (tmp_path / "t").glob("month=*")}
+    assert len(sizes["month=1"]) >= 4 and max(sizes["month=1"]) < 2 * 400 * 1024
+    assert sum(len(f) for f in sizes.values()) < 12 * 7 / 2  # 84 where each task writes every month
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 400_000
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path, table):
     for name in SCHEMAS:
         table(name).write.parquet(str(tmp_path / name))

@@ -1,8 +1,12 @@
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from wardledger.operators import stock as S
 from wardledger.plans import table_jobs as J
-from wardledger.sources.schemas import SCHEMAS
+from wardledger.sources.schemas import SCHEMAS, STOCK_STATE
 from wardledger.sources.versions import StaleBaseError, VersionedTable
 
 SCHEMA = "name string, month string, v int"
@@ -102,3 +106,43 @@ def test_links_and_originals_are_saved_once(spark, table, tmp_path):
     for _ in range(2):
         J.save_missing_originals(originals, items, "top up")
     assert sorted(r.ref_docname for r in originals.read().collect()) == ["x", "y"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kept_stock_equals_the_whole_ledger(spark, tables, tmp_path, seed):
+    r = random.Random(seed)
+    start = dt.datetime(2023, 1, 1)
+    ledger: dict[str, dict] = {}
+    kept = VersionedTable(spark, str(tmp_path / "stock"), STOCK_STATE, F.col("warehouse"))
+
+    def post(hour, cancelled=0, item=None, warehouse=None):
+        name = f"s{len(ledger):04d}"
+        ledger[name] = {
+            "name": name, "item_code": item or r.choice(["a", "b", "c", None]), "warehouse": warehouse or r.choice(["w1", "w2"]),
+            "qty_after_transaction": r.choice([None, 1.5, 4.0, 9.0]), "is_cancelled": cancelled,
+            "creation": r.choice([start + dt.timedelta(hours=hour)] * 5 + [None]),
+        }
+
+    for run in range(4):
+        for _ in range(8):
+            post(24 * run + r.randrange(3))
+        if run % 2:  # an entry made long ago is cancelled, which adds one that is cancelled itself
+            old = r.choice([e for e in ledger.values() if not e["is_cancelled"]])
+            old["is_cancelled"] = 1
+            post(24 * run + 3, 1, old["item_code"], old["warehouse"])
+            list(ledger.values())[-1].update(creation=start + dt.timedelta(hours=24 * run + 3), item_code=old["item_code"])
+        t = tables(stock_ledger_entry=list(ledger.values()))
+        for _ in range(2):  # a rerun changes nothing
+            assert J.save_stock_state(kept, t, f"run {run}") == run + 1
+        assert rows(S.stock_of_state(kept.read())) == rows(S.stock_on_hand(t))
+
+
+def test_only_new_ledger_rows_are_scanned(spark, table, tables, tmp_path):
+    entry = {"item_code": "a", "warehouse": "w", "is_cancelled": 0, "qty_after_transaction": 1.0}
+    old = tables(stock_ledger_entry=[{**entry, "name": "s1", "creation": dt.datetime(2023, 1, 1)}])
+    kept = VersionedTable(spark, str(tmp_path / "stock"), STOCK_STATE, F.col("warehouse"))
+    J.save_stock_state(kept, old, "first")
+    # the first day's rows are no longer there, so reading them would lose the item
+    later = [{**entry, "name": "s2", "item_code": "b", "creation": dt.datetime(2023, 1, 2), "qty_after_transaction": 7.0}]
+    J.save_stock_state(kept, tables(stock_ledger_entry=later), "second")
+    assert rows(S.stock_of_state(kept.read())) == [("a", "w", 1.0), ("b", "w", 7.0)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank, non_blank, stable_id
-from wardledger.functions.joins import spread_null
+from wardledger.functions.joins import join_frequent, spread_null
 from wardledger.operators.prescriptions import DRUG, LAB, prescriptions, with_item
 from wardledger.options import RunContext
 from wardledger.sources.tables import Tables
@@ -54,10 +54,9 @@ def order_lines(encounters: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     )
     items = t.item.select(F.col("item_code").alias("_item"), "item_name", "description")
     is_drug = F.col("ref_doctype") == DRUG
+    sold = with_item(rows.join(visits, "parent"), t).withColumn("_item", spread_null("item_code", "name"))
     return (
-        with_item(rows.join(visits, "parent"), t)
-        .withColumn("_item", spread_null("item_code", "name"))
-        .join(items, "_item", "left")
+        join_frequent(sold, items, ["_item"], "name", "left")
         .select(
             F.col("parent").alias("encounter"),
             F.when(is_drug, "drug").when(F.col("ref_doctype") == LAB, "lab").otherwise("other").alias("category"),

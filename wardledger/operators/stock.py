@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank, non_blank
-from wardledger.functions.joins import spread_blank
+from wardledger.functions.joins import join_frequent, spread_blank
 from wardledger.operators.prescriptions import DRUG
 from wardledger.sources.tables import Tables
 
@@ -24,17 +24,61 @@ def stock_on_hand(t: Tables) -> DataFrame:
     )
 
 
-def _checked(items: DataFrame, t: Tables, stage: str) -> DataFrame:
-    """Shortages of stock items and, when validating, drug lines that are no stock item."""
+STOCK_KEYS = ["item_code", "warehouse"]
+
+
+def stock_state(entries: DataFrame) -> DataFrame:
+    """The latest entry that is not cancelled of each item and warehouse, and when its last entry of any kind was made.
+
+    ``stock_on_hand`` kept in a form that later entries can be merged with; keys with cancelled entries only have no ``entry``.
+    """
+    latest = F.struct("creation", "name", "qty_after_transaction")
+    grouped = entries.groupBy(*STOCK_KEYS).agg(
+        F.max(F.when(F.col("is_cancelled") == 0, latest)).alias("_latest"), F.max("creation").alias("seen")
+    )
+    return _state_columns(grouped)
+
+
+def _state_columns(grouped: DataFrame) -> DataFrame:
+    return grouped.select(
+        *STOCK_KEYS,
+        F.col("_latest.creation").alias("entry_creation"),
+        F.col("_latest.name").alias("entry"),
+        F.col("_latest.qty_after_transaction").alias("qty_after_transaction"),
+        F.col("_latest").isNotNull().alias("has_entry"),
+        "seen",
+    )
+
+
+def merged_stock_state(state: DataFrame, more: DataFrame) -> DataFrame:
+    """The state after the entries that ``more`` is the state of; an entry may be in both."""
+    entry = F.struct(F.col("entry_creation").alias("creation"), F.col("entry").alias("name"), "qty_after_transaction")
+    grouped = state.unionByName(more).groupBy(*STOCK_KEYS).agg(
+        F.max(F.when(F.col("has_entry"), entry)).alias("_latest"), F.max("seen").alias("seen")
+    )
+    return _state_columns(grouped)
+
+
+def stock_of_state(state: DataFrame) -> DataFrame:
+    """``stock_on_hand`` from the kept state."""
+    return state.filter("has_entry").select(*STOCK_KEYS, F.coalesce("qty_after_transaction", F.lit(0.0)).alias("actual_qty"))
+
+
+def _checked(items: DataFrame, lines: DataFrame, t: Tables, stage: str) -> DataFrame:
+    """Shortages of stock items and, when validating, drug lines that are no stock item.
+
+    An item that many of the ``lines``, from which ``items`` come, name does not pile up on one task.
+    """
     kinds = t.item.select("item_code", "is_stock_item")
     is_stock = F.coalesce(F.col("is_stock_item") == 1, F.lit(False))
     available = F.coalesce("actual_qty", F.lit(0.0))
     rule = F.when(is_stock & (F.col("qty") > available), "shortage")
     if stage == "validate":
         rule = rule.when(~is_stock & (F.col("reference_dt") == DRUG), "not_a_stock_item")
+    row = F.concat_ws("/", "parent", "idx")
+    with_kind = join_frequent(items, kinds, ["item_code"], row, "left", lines)
     return (
-        items.join(kinds, "item_code", "left")
-        .join(stock_on_hand(t), ["item_code", "warehouse"], "left")
+        join_frequent(with_kind, stock_on_hand(t), STOCK_KEYS, row, "left", lines, ["item_code"])
         .withColumn("rule", rule)
         .filter(F.col("rule").isNotNull())
         .select(
@@ -54,7 +98,7 @@ def order_stock_checks(t: Tables, stage: str) -> DataFrame:
     """Order items against the order's warehouse."""
     orders = t.sales_order.select(F.col("name").alias("parent"), F.col("set_warehouse").alias("warehouse"))
     items = t.sales_order_item.select("parent", "idx", "item_code", "qty", "reference_dt")
-    return _checked(items.join(orders, "parent"), t, stage)
+    return _checked(items.join(orders, "parent"), t.sales_order_item, t, stage)
 
 
 def _first_items(t: Tables) -> DataFrame:
@@ -79,7 +123,7 @@ def invoice_stock_checks(t: Tables, stage: str) -> DataFrame:
         firsts = _first_items(t).filter(~is_blank("sales_order") & (F.col("first_dt") == DRUG))
         invoices = invoices.join(firsts.select("parent"), "parent")
     items = t.sales_invoice_item.select("parent", "idx", "item_code", "qty", "reference_dt", "warehouse")
-    return _checked(items.join(invoices, "parent"), t, stage)
+    return _checked(items.join(invoices, "parent"), t.sales_invoice_item, t, stage)
 
 
 def with_order_dimensions(t: Tables) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import differs
+from wardledger.functions.joins import join_null_safe
 from wardledger.operators import claim_header as H
 from wardledger.operators import claim_reconcile as M
 from wardledger.operators import delivery as L
-from wardledger.sources.schemas import shaped
+from wardledger.operators import stock as S
+from wardledger.sources.schemas import STOCK_STATE, shaped
 from wardledger.sources.tables import Tables
 from wardledger.sources.versions import VersionedTable
 
@@ -56,3 +60,29 @@ def save_dispensed_drugs(prescriptions: VersionedTable, t: Tables, run: str) ->
     """The drug prescriptions after the delivery notes: dispensed rows added, undelivered ones gone."""
     base = prescriptions.version()
     return prescriptions.replace(L.updated_prescriptions(t.with_tables(drug_prescription=prescriptions.read(base))), run, base)
+
+
+def save_stock_state(state: VersionedTable, t: Tables, run: str, lag: dt.timedelta = dt.timedelta(hours=1)) -> int:
+    """Brings the kept stock state (``STOCK_STATE``) up to the ledger; S6 is then ``stock_of_state`` of it.
+
+    Only entries made since the last one the state has seen are read, and those of ``lag`` before it, since entries
+    become visible in another order than they are made; entries without a time are read each time. A cancellation marks
+    earlier entries and adds entries that are cancelled themselves: items and warehouses with such an entry among those
+    read are computed anew from the whole ledger, the others are merged. Only keys whose state changes are written.
+    """
+    base = state.version()
+    stored = state.read(base)
+    ledger = t.stock_ledger_entry
+    mark = stored.agg(F.max("seen")).first()[0]
+    recent = ledger if mark is None else ledger.filter(F.col("creation").isNull() | (F.col("creation") >= F.lit(mark - lag)))
+    if mark is None:
+        return state.upsert(S.stock_state(recent), S.STOCK_KEYS, run, base)
+    cancelled = recent.filter(~F.col("is_cancelled").eqNullSafe(0)).select(*S.STOCK_KEYS).distinct()
+    touched = recent.select(*S.STOCK_KEYS).distinct()
+    kept = join_null_safe(stored, touched, S.STOCK_KEYS, "left_semi")
+    merged = S.merged_stock_state(kept, S.stock_state(recent))
+    if not cancelled.isEmpty():
+        anew = S.stock_state(join_null_safe(ledger, cancelled, S.STOCK_KEYS, "left_semi"))
+        merged = join_null_safe(merged, cancelled, S.STOCK_KEYS, "left_anti").unionByName(anew)
+    changed = merged.exceptAll(kept)
+    return state.upsert(changed, S.STOCK_KEYS, run, base)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 _TYPES = {
     "string": T.StringType(),
-    "int": T.IntegerType(),
+    "int": T.IntegerType(), "boolean": T.BooleanType(),
     "double": T.DoubleType(),
     "date": T.DateType(),
     "timestamp_ntz": T.TimestampNTZType(),
@@ -213,6 +213,12 @@ CLAIM_CHANGE = _struct(
     "medication_change_request string, user_email string, edited_by string"
 )
 
+#: The latest ledger entry of each item and warehouse, kept between runs.
+STOCK_STATE = _struct(
+    "item_code string, warehouse string, entry_creation timestamp_ntz, entry string, qty_after_transaction double, "
+    "has_entry boolean, seen timestamp_ntz"
+)
+
 
 def shaped(df: DataFrame, schema: T.StructType, missing_as_null: bool = False) -> DataFrame:
     """The columns of a schema, in its order and types."""

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def sized(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` dealt for writing: few files for each value of ``by``, none far above the session's target size.
+
+    Adaptive planning cuts a large value into parts of ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and
+    puts small ones together, from the measured sizes of the shuffle.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in by])
+
+
 # What a rerun of the same change may differ in.
 RUN_COLUMNS = ("posting_date", "posting_time", "user_email", "edited_by")
 
@@ -13,7 +22,7 @@ def write_table(
     df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists"
 ) -> None:
     """Parquet output; a table that is also an input is changed through ``VersionedTable`` instead."""
-    writer = df.write.mode(mode)
+    writer = sized(df, partition_by).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -32,9 +41,10 @@ def append_changes(changes: DataFrame, path: str) -> None:
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         known = spark.read.parquet(path).select("change_id")
         changes = changes.join(known, "change_id", "left_anti")
-    changes.write.mode("append").partitionBy("claim_year", "claim_month").parquet(path)
+    by = ("claim_year", "claim_month")
+    sized(changes, by).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def write_folio_documents(folios: DataFrame, path: str, column: str = "folio_json") -> None:
     """One JSON document per line."""
-    folios.select(column).write.mode("errorifexists").text(path, lineSep="\n")
+    sized(folios.select(column)).write.mode("errorifexists").text(path, lineSep="\n")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from wardledger.functions.joins import join_null_safe
 from wardledger.session import materialize
+from wardledger.sources.sinks import sized
 
 _PART = "_part"
 _WHOLE = "all"
@@ -111,7 +112,7 @@ class VersionedTable:
     def _deal(self, rows: DataFrame, kind: str, run: str) -> dict[str, list[str]]:
         """Writes rows by partition; the folder of each. A folder of an earlier try is written over."""
         folder = f"{kind}/{run}"
-        rows.write.mode("overwrite").partitionBy(_PART).parquet(f"{self.path}/{folder}")
+        sized(rows, (_PART,)).write.mode("overwrite").partitionBy(_PART).parquet(f"{self.path}/{folder}")
         found = [n for n in self._names(f"{self.path}/{folder}") if n.startswith(f"{_PART}=")]
         return {n: [f"{folder}/{n}"] for n in found}
 
