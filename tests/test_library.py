@@ -15,7 +15,7 @@ from wardledger.options import ReportFilters
 from wardledger.session import Workspace
 from wardledger.sources.schemas import REVENUE, SCHEMAS
 from wardledger.sources.sinks import append_changes, write_folio_documents, write_table
-from wardledger.sources.tables import Tables
+from wardledger.sources.tables import DATED, Tables, write_by_month
 
 
 @pytest.mark.parametrize("slices", [1, 3, 16])
@@ -157,6 +157,35 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, table):
     assert [(f.name, f.dataType) for f in report.schema] == [(f.name, f.dataType) for f in REVENUE]
 
 
+def test_reports_read_the_months_of_their_dates_only(spark, tmp_path, table):
+    visit = {"status": "Closed", "insurance_subscription": "x", "follow_up": 0, "practitioner": "D", "company": "A"}
+    days = [dt.date(2023, 1, 1), dt.date(2023, 1, 31), dt.date(2023, 2, 1), dt.date(2022, 12, 31), None]
+    rows = [{**visit, "name": f"A{i}", "appointment_date": d, "paid_amount": 10.0 + i} for i, d in enumerate(days)]
+    doctor = {"healthcare_practitioner": [{"name": "D", "department": "M"}], "medical_department": [{"name": "M"}]}
+    for name in SCHEMAS:
+        frame = table(name, *(rows if name == "patient_appointment" else doctor.get(name, [])))
+        if name in DATED:
+            write_by_month(frame, str(tmp_path / "by_month"), name)
+        else:
+            frame.write.parquet(str(tmp_path / "by_month" / name))
+        frame.write.parquet(str(tmp_path / "flat" / name))
+    stored, flat = (Tables.from_parquet(spark, str(tmp_path / p)) for p in ("by_month", "flat"))
+    assert stored.patient_appointment.columns == flat.patient_appointment.columns
+    assert stored.patient_appointment.exceptAll(flat.patient_appointment).count() == 0 and stored.patient_appointment.count() == 5
+    for filters in (ReportFilters(dt.date(2023, 1, 5), dt.date(2023, 1, 31), "A"), ReportFilters(to_date=dt.date(2023, 1, 1)), ReportFilters()):
+        found, expected = (R.consultation_revenue(t, filters) for t in (stored, flat))
+        assert found.exceptAll(expected).count() == 0 and found.count() == expected.count() > 0
+    january = ReportFilters(dt.date(2023, 1, 5), dt.date(2023, 1, 31), "A")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = R.consultation_revenue(stored, january)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "stored_month" in line)
+    assert re.search(r"PartitionFilters: \[.*stored_month.* >= 2023-01-01.*stored_month.* <= 2023-01-31", scan)
+    assert "stored_month" not in R.consultation_revenue(stored, january).columns
+    read = stored.in_months("patient_appointment", january)
+    assert len(read.select(F.input_file_name()).distinct().collect()) == 1 and read.count() == 2
+
+
 def test_tables_rename_and_replace(spark, table, tmp_path):
     stored = spark.createDataFrame([("M", "Surgery")], "id string, main_department string")
     t = Tables(lambda n: stored, renames={"medical_department": {"id": "name"}})

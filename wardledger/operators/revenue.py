@@ -55,7 +55,7 @@ def _labelled(df: DataFrame, **columns) -> DataFrame:
 
 def consultation_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
     """Paid amounts of closed, insured, first-time appointments."""
-    visits = t.patient_appointment.filter(
+    visits = t.in_months("patient_appointment", filters).filter(
         (F.col("status") == "Closed")
         & (F.col("insurance_subscription") != "")
         & (F.col("follow_up") == 0)
@@ -91,7 +91,7 @@ def _encounters(t: Tables, filters: ReportFilters) -> DataFrame:
     if filters.company:
         wanted = wanted & (F.col("docstatus") == 1)
     return (
-        t.patient_encounter.filter(wanted)
+        t.in_months("patient_encounter", filters).filter(wanted)
         .select(
             F.col("name").alias("parent"),
             month_start("encounter_date").alias("period"),
@@ -223,7 +223,7 @@ def _insured_stays(t: Tables, filters: ReportFilters) -> DataFrame:
 def bed_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
     """Confirmed bed occupancies, grouped by month of admission, shown under the earliest check-in."""
     filters.require_all("bed_revenue")
-    stays = t.inpatient_occupancy.filter(
+    stays = t.in_months("inpatient_occupancy", filters).filter(
         (F.col("is_confirmed") == 1) & filters.instant_range("check_in")
     ).select("parent", F.col("service_unit").alias("department_hsu"), "check_in", "amount")
     types = t.healthcare_service_unit_type.select(
@@ -257,7 +257,7 @@ def consultancy_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
     are first counted per (name, group) and the rates multiplied, so no duplicate rows are made.
     """
     filters.require_all("consultancy_revenue")
-    visits = t.inpatient_consultancy.filter(
+    visits = t.in_months("inpatient_consultancy", filters).filter(
         (F.col("is_confirmed") == 1) & filters.date_range("date")
     ).select(
         "parent", "date", "consultation_item", "rate", spread_blank("encounter", "name").alias("encounter")
@@ -296,7 +296,7 @@ def consultancy_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
 
 def cash_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
     """Cash invoices: point-of-sale ones, and others of a known patient, as separate rows."""
-    invoices = t.sales_invoice.filter(
+    invoices = t.in_months("sales_invoice", filters).filter(
         ((F.col("is_pos") == 1) | ((F.col("is_pos") == 0) & (F.col("patient") != "")))
         & filters.date_range("posting_date")
         & filters.same_company()

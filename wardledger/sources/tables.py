@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wardledger.functions.columns import month_start
+from wardledger.options import ReportFilters
 from wardledger.sources.schemas import SCHEMAS, shaped
+from wardledger.sources.sinks import write_table
+
+#: The column that deals stored rows to a folder for each month of their table's date.
+MONTH = "stored_month"
+#: The date by which reports read a table.
+DATED = {
+    "patient_appointment": "appointment_date",
+    "patient_encounter": "encounter_date",
+    "inpatient_occupancy": "check_in",
+    "inpatient_consultancy": "date",
+    "sales_invoice": "posting_date",
+}
 
 
 class Tables:
@@ -31,6 +46,21 @@ class Tables:
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:
+        df = self._stored(name)
+        return df.drop(MONTH) if MONTH in df.columns else df
+
+    def in_months(self, name: str, filters: ReportFilters) -> DataFrame:
+        """At least the rows of the filters' dates: where the table is stored by month, the folders of these months only."""
+        df = self._stored(name)
+        if MONTH not in df.columns:
+            return df
+        if filters.from_date:
+            df = df.filter(F.col(MONTH) >= F.lit(filters.from_date.replace(day=1)))
+        if filters.to_date:
+            df = df.filter(F.col(MONTH) <= F.lit(filters.to_date))
+        return df.drop(MONTH)
+
+    def _stored(self, name: str) -> DataFrame:
         if name not in self._open:
             df = self._loader(name)
             for stored, declared in self._renames.get(name, {}).items():
@@ -46,7 +76,10 @@ class Tables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, **kwargs) -> Tables:
-        """One parquet folder per table below ``root``, read with the declared schema."""
+        """One parquet folder per table below ``root``, read with the declared schema.
+
+        Those of ``DATED`` may be stored by month (``write_by_month``).
+        """
         return cls(lambda n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}"), **kwargs)
 
     @classmethod
@@ -82,6 +115,11 @@ class Tables:
         return cls(lambda n: frames[n])
 
 
+def write_by_month(df: DataFrame, root: str, name: str, mode: str = "errorifexists") -> None:
+    """Stores a table of ``DATED`` below ``root``, a folder for each month; rows without a date are in one of their own."""
+    write_table(df.withColumn(MONTH, month_start(DATED[name])), f"{root}/{name}", (MONTH,), mode)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Cast the declared columns to their declared types; missing ones become NULL."""
     return shaped(df, SCHEMAS[name], missing_as_null=True)
