@@ -4,15 +4,21 @@ A text is the mean of the embeddings of its subwords, which are the byte n-grams
 blanks at their borders) hashed into ``2**BITS`` rows; a linear softmax of the mean gives the languages'
 probabilities. Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample of
 labelled rows: about ``rows_per_language`` rows of each language, those with the smallest hashes. A fifth of the
-sample is held back to fit the softmax's temperature and the probability below which a text is rejected.
+sample is held back to fit the softmax's temperature.
+
+Rejection: the softmax has one more class, for texts of no learned language. Its rows are made from the sample, one of
+each text, of the same length: letters drawn anew from the same or from another script, letters dealt to other places,
+or letters exchanged for others, vowels for vowels, as in a language that was not learned. A text whose calibrated probability of that class is above
+``reject_above`` is rejected. Its ``score`` is the probability of the language named, which is the likeliest learned one.
 
 Nothing but the text enters a prediction. A null text, and one without a letter, is ``und`` with score 0 and
-rejected; so is every text where no labelled row was given. Rows are independent, so repeated rows repeat their
+rejected; so is every text where no labelled row was given. Of languages that are equally likely the first by name is given. Rows are independent, so repeated rows repeat their
 prediction; texts are read whole, in chunks. Columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,19 +34,25 @@ UNKNOWN = "und"
 BITS = 15
 ORDERS = (2, 3, 4)
 
+# First code points of Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari, Thai, kana, Han and Hangul letters.
+_SCRIPTS = (0x391, 0x410, 0x531, 0x5D0, 0x620, 0x904, 0xE01, 0x3041, 0x4E00, 0xAC00)
+
 _LETTERS = bytes([*range(65, 91), *range(97, 123)])
 _OTHERS = bytes(b for b in range(128) if b not in _LETTERS)
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + _OTHERS, bytes(range(97, 123)) + b" " * len(_OTHERS))
 
 
 class Model(NamedTuple):
-    """``logits`` of a text: the mean of ``scores`` over its subwords, plus ``bias``, divided by ``temperature``."""
+    """``logits`` of a text: the mean of ``scores`` over its subwords, plus ``bias``, divided by ``temperature``.
+
+    The last column of ``scores`` is the class of texts in none of the ``languages``.
+    """
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    reject_above: float
 
 
 def subwords(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,14 +81,39 @@ def has_letter(text: bytes) -> bool:
     return text.upper() != text.lower() or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def foreign(text: str, seed: int) -> str:
+    """A text of the same shape that is in no language: other letters, letters in other places, or a cipher."""
+    random = np.random.default_rng(seed & 0xFFFFFFFF)
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).copy()
+    found, place = np.unique(codes, return_inverse=True)
+    letters = np.array([chr(c).isalpha() for c in found], bool)
+    at = np.flatnonzero(letters[place])
+    kind = seed % 4
+    if kind == 0:
+        codes[at] = random.integers(97, 123, len(at)) if (found[letters] < 0x250).all() else random.choice(found[letters], len(at))
+    elif kind == 1:
+        codes[at] = random.permutation(codes[at])
+    elif kind == 2:
+        first = random.choice(_SCRIPTS)
+        codes[at] = random.choice([c for c in range(first, first + 80) if chr(c).isalpha()], len(at))
+    else:
+        alphabet = np.union1d(found[letters], np.arange(97, 123)) if (found[letters] < 0x250).all() else found[letters]
+        vowel = np.array([unicodedata.normalize("NFD", chr(c))[0] in "aeiouy" for c in alphabet], bool)
+        cipher = alphabet.copy()
+        for group in (vowel, ~vowel):
+            cipher[group] = random.permutation(alphabet[group])
+        codes[at] = cipher[np.searchsorted(alphabet, codes[at])]
+    return codes.tobytes().decode("utf-32-le", "replace")
+
+
 def log_probabilities(logits: np.ndarray) -> np.ndarray:
     shifted = logits - logits.max(axis=1, keepdims=True)
     return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
 
 
-def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """The language of each text and its calibrated probability."""
-    width = len(model.languages)
+def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of each text, its calibrated probability, and whether the text is rejected."""
+    width = model.scores.shape[1]
     total, counts = np.zeros((len(texts), width)), np.zeros(len(texts))
     for hashed, owner in subwords(texts):
         counts += np.bincount(owner, minlength=len(texts))
@@ -84,28 +121,39 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
             total[:, k] += np.bincount(owner, model.scores[hashed, k], len(texts))
     logits = total / np.maximum(counts, 1)[:, None] + model.bias
     p = np.exp(log_probabilities(logits / model.temperature))
-    known = [has_letter(t) for t in texts]
-    best = p.argmax(axis=1)
+    known = np.array([has_letter(t) for t in texts], bool)
+    best = p[:, :-1].argmax(axis=1)
     return (
         [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
         np.where(known, p[np.arange(len(texts)), best], 0.0),
+        ~known | (p[:, -1] > model.reject_above),
     )
 
 
 def train(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = 16, steps: int = 10_000, reject_share: float = 0.001
+    rows: list[tuple[np.ndarray, np.ndarray]],
+    labels: list[str | None],
+    dim: int = 16,
+    steps_per_language: int = 2_500,
+    reject_above: float = 0.9,
 ) -> Model:
-    """Fits a model to texts given as (subword hashes, their shares) in about ``steps`` steps; every fifth row
-    calibrates it."""
-    languages = sorted(set(labels))
-    answer = np.array([languages.index(x) for x in labels])
+    """Fits a model to texts given as (subword hashes, their shares), None labelling those of no language.
+
+    Each language gets about ``steps_per_language`` steps, however many languages there are, and as many steps are taken
+    on texts of none; every fifth row calibrates.
+    """
+    languages = sorted({x for x in labels if x is not None})
+    number = {x: i for i, x in enumerate([*languages, None])}
+    answer = np.array([number[x] for x in labels])
+    width = len(number)
     random = np.random.default_rng(7)
     embeddings = random.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
-    weights, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    weights, bias = np.zeros((dim, width), np.float32), np.zeros(width, np.float32)
     squares, w_squares, b_squares = np.full(1 << BITS, 1e-8, np.float32), np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)
     order = np.arange(len(rows))
     fitted = order[order % 5 != 4]
-    epochs = max(1, round(steps / max(len(fitted), 1)))
+    own = sum(x is not None for x in labels) / len(labels)
+    epochs = max(1, round(steps_per_language * len(languages) / max(own * len(fitted), 1)))
     for epoch in range(epochs):
         rate = 0.1 * (1 - epoch / epochs)
         for i in random.permutation(fitted):
@@ -124,13 +172,13 @@ def train(
     scores = embeddings @ weights
     held = order[order % 5 == 4] if len(rows) >= 50 else order
     logits = np.array([rows[i][1] @ scores[rows[i][0]] for i in held]) + bias
-    answers = answer[held]
-    grid = np.geomspace(0.5, 20, 60)  # a perfect held-back part would ask for ever sharper scores
-    loss = [-log_probabilities(logits / t)[np.arange(len(held)), answers].mean() for t in grid]
+    # Targets a little below 1 (Platt): a perfect held-back part would ask for ever sharper scores.
+    target = np.full((len(held), width), 1 / (len(held) + 2) / max(width - 1, 1))
+    target[np.arange(len(held)), answer[held]] = (len(held) + 1) / (len(held) + 2)
+    grid = np.geomspace(0.05, 20, 120)
+    loss = [-(target * log_probabilities(logits / t)).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = np.exp(log_probabilities(logits / temperature)).max(axis=1)
-    threshold = min(0.5, float(np.quantile(best, reject_share, method="lower")))
-    return Model(languages, scores, bias, temperature, threshold)
+    return Model(languages, scores, bias, temperature, reject_above)
 
 
 def _sampled(rows: DataFrame, rows_per_language: int) -> DataFrame:
@@ -161,19 +209,22 @@ def fit(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            order, texts = batch.column("order").to_pylist(), utf8(batch.column("text"))
+            others = [foreign(t.decode("utf-8", "replace"), i).encode("utf-8", "replace") for t, i in zip(texts, order, strict=True)]
             hashes, shares = [], []
-            for text in utf8(batch.column("text")):
+            for text in [*texts, *others]:
                 found, counts = np.unique(np.concatenate([h for h, _ in subwords([text])]), return_counts=True)
                 hashes.append(found.astype(np.int32).tobytes())
                 shares.append((counts / counts.sum()).astype(np.float32).tobytes())
-            columns = [batch.column("order"), batch.column("lang"), pa.array(hashes, pa.binary()), pa.array(shares, pa.binary())]
+            languages = [*batch.column("lang").to_pylist(), *[None] * len(others)]
+            columns = [pa.array(order * 2), pa.array(languages, pa.string()), pa.array(hashes, pa.binary()), pa.array(shares, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["order", "lang", "hashes", "shares"])
 
     if rows.isEmpty():
         return None
     sample = _sampled(rows, rows_per_language).select("order", "lang", "text")
     found = sample.mapInArrow(features, "order long, lang string, hashes binary, shares binary").collect()
-    found.sort(key=lambda r: (r["order"], r["lang"], bytes(r["hashes"])))
+    found.sort(key=lambda r: (r["order"], r["lang"] or "", bytes(r["hashes"])))
     pairs = [(np.frombuffer(r["hashes"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
     return train(pairs, [r["lang"] for r in found])
 
@@ -184,11 +235,9 @@ def detect_language(docs: DataFrame, model: Model | None, id_column: str = "doc_
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(1))
-            languages, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            languages, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             for start, end in chunks(texts) if model else ():
-                languages[start:end], scores[start:end] = predict(model, texts[start:end])
-            low = scores < (model.threshold if model else 0.0)
-            rejected = [x == UNKNOWN or bool(y) for x, y in zip(languages, low, strict=True)]
+                languages[start:end], scores[start:end], rejected[start:end] = predict(model, texts[start:end])
             columns = [batch.column(0), pa.array(languages, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "rejected"])
 
@@ -206,8 +255,7 @@ def identified(docs: DataFrame, model: Model | None, text_column: str = "text")
             texts = utf8(batch.column(text_column))
             kept = np.zeros(len(texts), bool)
             for start, end in chunks(texts) if model else ():
-                languages, scores = predict(model, texts[start:end])
-                kept[start:end] = (scores >= model.threshold) & (np.array(languages, object) != UNKNOWN)
+                kept[start:end] = ~predict(model, texts[start:end])[2]
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)
