@@ -43,6 +43,7 @@ END_HASH = np.uint64(0x5DEECE66D1CE4E5B)
 #: Past gradients that every row starts with, so that a rare feature's first steps are small.
 START_SQUARE = 10.0
 _BATCH = 4096
+_FEW = 32
 _CHUNK = 1 << 18
 
 
@@ -119,9 +120,11 @@ def features_of(tokens: Tokens, classes: np.ndarray) -> np.ndarray:
 
 def class_logits(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Unnormalized logarithms, a row for each token, the largest 0."""
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
+    z = weights.take(rows[1], axis=0)
+    more = np.empty_like(z)
+    for r in rows[2:]:
+        z += np.take(weights, r, axis=0, out=more, mode="clip")
+    z += weights[rows[0, :1]]  # the bias is one row
     z -= z.max(axis=1, keepdims=True)
     return z
 
@@ -146,6 +149,23 @@ def class_scores(tokens: Tokens, model: ClassModel) -> np.ndarray:
     return out / np.log(10)
 
 
+def group_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each group's rows of ``values``: those named by ``sizes`` places of ``order`` from ``first`` on.
+
+    Most groups are small, so the k-th rows of all of them are added at once; large ones are summed one by one.
+    """
+    out = values.take(order[first], axis=0)
+    rest = np.flatnonzero((sizes > 1) & (sizes <= _FEW))
+    for k in range(1, _FEW):
+        if not len(rest):
+            break
+        out[rest] += values.take(order[first[rest] + k], axis=0)
+        rest = rest[sizes[rest] > k + 1]
+    for g in np.flatnonzero(sizes > _FEW):
+        out[g] = values.take(order[first[g] : first[g] + sizes[g]], axis=0).sum(axis=0)
+    return out
+
+
 class Trainer:
     """Gradient steps on one task's share of the texts; each row's step shrinks with its past gradients."""
 
@@ -164,16 +184,19 @@ class Trainer:
             error = class_probabilities(part, self.weights)
             error[np.arange(len(answer)), answer] -= 1
             self._step(part[0, :1], error.sum(axis=0, keepdims=True), np.array([len(answer)]))
-            for feature in part[1:]:
-                order = np.argsort(feature.astype(np.uint16), kind="stable")
-                found = feature[order]
-                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-                slope = np.add.reduceat(error[order], first, axis=0)
-                self._step(found[first], slope, np.diff(np.append(first, len(found))))
+            features = part[1:].ravel()
+            order = np.argsort(features.astype(np.uint16), kind="stable")
+            found = features[order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            sizes = np.diff(np.append(first, len(found)))
+            self._step(found[first], group_sums(error, order % len(answer), first, sizes), sizes)
 
     def _step(self, rows: np.ndarray, slope: np.ndarray, evidence: np.ndarray) -> None:
-        self.squares[rows] += np.einsum("ij,ij->i", slope, slope) / CLASSES
-        self.weights[rows] -= (self.rate / np.sqrt(self.squares[rows]))[:, None] * slope
+        squares = self.squares[rows] + np.einsum("ij,ij->i", slope, slope) / CLASSES
+        self.squares[rows] = squares
+        slope *= (-self.rate / np.sqrt(squares))[:, None]
+        slope += self.weights.take(rows, axis=0)
+        self.weights[rows] = slope
         self.evidence[rows] += evidence
 
 
