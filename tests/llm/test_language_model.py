@@ -46,6 +46,39 @@ def test_class_probabilities_add_up(words):
     assert np.allclose(lm.class_probabilities(rows, model.weights).sum(axis=1), 1, atol=1e-4)
 
 
+def test_scores_are_those_of_a_plain_softmax(words):
+    texts = [" ".join(words(200, seed=i, vocabulary=60)).encode() for i in range(2)]
+    tokens = lm.tokens_of(texts)
+    trainer = lm.Trainer(np.sort(np.unique(tokens.hashes)[:10]), 0.4)
+    trainer.learn(texts)
+    classes = lm.classes_of(tokens, trainer.singles)
+    rows = lm.features_of(tokens, classes)
+    found = lm.class_scores(tokens, lm.ClassModel(trainer.singles, trainer.weights))
+    for i in range(len(classes)):
+        z = [sum(float(trainer.weights[r, k]) for r in rows[:, i]) for k in range(lm.CLASSES)]
+        plain = z[classes[i]] - math.log(sum(math.exp(x) for x in z))
+        assert math.isclose(found[i], plain / math.log(10), abs_tol=1e-4)
+
+
+def test_sums_of_groups_of_any_size():
+    random = np.random.default_rng(3)
+    number = np.sort(np.concatenate([random.integers(0, 300, 900), np.full(200, 7), np.full(lm._FEW, 400), np.full(lm._FEW + 1, 401)]))
+    values = random.normal(size=(len(number), 5))
+    order = random.permutation(len(number))
+    found, first, sizes = np.unique(number, return_index=True, return_counts=True)
+    plain = np.zeros((402, 5))
+    np.add.at(plain, number, values[order])
+    assert np.allclose(lm.group_sums(values, order, first, sizes), plain[found])
+
+
+def test_scores_do_not_depend_on_the_number_of_tasks(docs, words, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 1000)  # several shares
+    table = docs(*corpus(words), (7, "the1 the1"), (7, "the1 the1"), (None, None))
+    one, many = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_report(table.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys()
+    assert all(math.isclose(one[k], many[k], rel_tol=1e-5) for k in one)
+
+
 def learned(cases, singles):
     """Scores of the last word of each text after training on all; the other words share a suffix class."""
     trainer = lm.Trainer(np.sort(lm.tokens_of([singles]).hashes[:-1]), 0.4)

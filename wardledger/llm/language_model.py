@@ -6,9 +6,12 @@ tokens are a class each; all others fall into ``SUFFIXES`` classes by their last
 have a class too. Classes are predicted by a softmax over hashed n-gram and skip features of the preceding tokens;
 within a class the softmax has one free weight per word, whose optimum is the word's smoothed share of the class.
 
-Training: every task of a bounded number runs through its share of all training texts and takes gradient steps in
-sparse numpy batches from the common start; the changed weight rows go to the tasks that own the rows, which average
-them by the evidence behind each. Counts cover all training tokens. Tokens are counted by a 64-bit hash of the word.
+Training: all training texts are dealt by a hash of id and text to shares of about ``SHARE`` tokens, whose number
+follows from the corpus and not from the cluster, and put in order of that hash. One task runs through each share and
+takes gradient steps in sparse numpy batches from the common start; the changed weight rows go to the tasks that own the
+rows, which average them by the evidence behind each. So the scores depend on the table alone, apart from the order of
+sums, and a lost task repeats one share. Rows that agree in id and text are in one share. Counts cover all training
+tokens. Tokens are counted by a 64-bit hash of the word; of equally frequent ones those of smaller hashes are singles.
 
 Scoring: class probabilities come in sparse numpy batches. Tokens with at least one 2**20th of all occurrences,
 hence at most 2**20 different ones, are looked up in a table given to all tasks; the rest are joined with the counts.
@@ -38,6 +41,7 @@ CLASSES = SINGLES + SUFFIXES
 BITS = 16
 FEATURES = 6
 HEAD = 1 << 20
+SHARE = 1 << 23
 SMOOTHING = 0.1
 END_HASH = np.uint64(0x5DEECE66D1CE4E5B)
 #: Past gradients that every row starts with, so that a rare feature's first steps are small.
@@ -201,7 +205,9 @@ class Trainer:
 
 
 def _training(docs: DataFrame, id_column: str, text_column: str, folds: int) -> DataFrame:
-    return docs.filter(remainder(F.col(id_column), folds) != 0).select(F.col(text_column).alias("text"))
+    text = F.col(text_column)
+    kept = docs.filter(remainder(F.col(id_column), folds) != 0)
+    return kept.select(text.alias("text"), F.xxhash64(F.col(id_column).cast("string"), text).alias("place"))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -221,8 +227,8 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("token").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
-def train_classes(texts: DataFrame, singles: np.ndarray, trainers: int, rate: float = 0.4) -> np.ndarray:
-    """The weights, averaged over the trainers by evidence."""
+def train_classes(texts: DataFrame, singles: np.ndarray, shares: int, rate: float = 0.4) -> np.ndarray:
+    """The weights, averaged over the shares of ``texts`` (``text``, ``place``) by evidence."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(singles, rate)
@@ -246,8 +252,10 @@ def train_classes(texts: DataFrame, singles: np.ndarray, trainers: int, rate: fl
         mean = (total[found] / evidence[found][:, None]).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([m.tobytes() for m in mean], pa.binary())], ["row", "weights"])
 
-    changes = texts.coalesce(trainers).mapInArrow(learn, "row long, evidence long, weights binary")
-    owned = changes.repartition(min(trainers, 64), "row").mapInArrow(average, "row long, weights binary").toArrow()
+    dealt = texts.repartition(shares, "place").sortWithinPartitions("place").select("text")
+    # One trainer a share at most, also where a session deals rows to more tasks: each sends up to a whole table of weights.
+    changes = dealt.coalesce(shares).mapInArrow(learn, "row long, evidence long, weights binary")
+    owned = changes.repartition(min(shares, 64), "row").mapInArrow(average, "row long, weights binary").toArrow()
     weights = np.zeros((1 << BITS, CLASSES), np.float32)
     if owned.num_rows:
         data = b"".join(owned.column("weights").to_pylist())
@@ -271,12 +279,12 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = docs.sparkSession
     space = Workspace(spark)
     training = _training(docs, id_column, text_column, folds)
-    counts = space.keep(token_counts(training), "counts")
+    counts = space.keep(token_counts(training.select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     norm = total["n"] + SMOOTHING * (total["v"] + 1)
     top = counts.orderBy(F.desc("c"), "token").limit(SINGLES).toArrow()
     singles = np.sort(top.column("token").to_numpy().view(np.uint64))
-    weights = train_classes(training, singles, 2 * spark.sparkContext.defaultParallelism)
+    weights = train_classes(training, singles, 1 + total["n"] // SHARE)
     model = spark.sparkContext.broadcast(ClassModel(singles, weights))
 
     is_single = F.col("token").isin(singles.view(np.int64).tolist())
