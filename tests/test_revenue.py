@@ -5,6 +5,7 @@ import pytest
 from wardledger.operators import revenue as R
 from wardledger.options import ReportFilters
 from wardledger.plans.revenue_report import report_with_total, revenue_report
+from wardledger.sources.schemas import REVENUE
 
 DAY = dt.date(2023, 2, 10)
 ALL = ReportFilters(dt.date(2023, 1, 1), dt.date(2023, 12, 31), "A")
@@ -120,6 +121,26 @@ def test_inpatient_branches_need_all_filters(tables):
         R.bed_revenue(tables(), ReportFilters(company="A"))
 
 
+def test_total_of_repeated_rows_and_of_none(spark):
+    row = {f.name: None for f in REVENUE.fields} | {"year": 2023, "department": "Lab", "status": "Draft", "amount": 0.1}
+    blank = dict.fromkeys(REVENUE.names)
+    report = spark.createDataFrame([row, row, row | {"amount": 0.2}, row | {"amount": None}, blank], REVENUE)
+    found = sorted(((r.department, r.year, r.amount) for r in report_with_total(report).collect()), key=str)
+    lab = [("Lab", 2023, 0.1), ("Lab", 2023, 0.1), ("Lab", 2023, 0.2), ("Lab", 2023, None)]
+    assert found == sorted([*lab, (None, None, None), ("Total", None, 0.4)], key=str)
+    (total,) = report_with_total(report.limit(0)).collect()
+    assert total.asDict() == blank | {"department": "Total"}
+
+
+def test_total_costs_one_exchange_and_no_second_pass(tables):
+    report = revenue_report(tables(), ALL, include_cash=True)
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert exchanges(report_with_total(report)) <= exchanges(report) + 1
+
+
 def test_total_is_the_sum_of_the_branches(tables):
     t = tables(
         healthcare_practitioner=PRACTITIONER,

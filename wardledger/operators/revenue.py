@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import money, money_sum, month_name, month_start
@@ -325,6 +325,36 @@ def cash_revenue(t: Tables, filters: ReportFilters) -> DataFrame:
     )
 
 
+def with_grand_total(report: DataFrame) -> DataFrame:
+    """The report's rows and one row with their total amount: two sets of groups from one pass over the report.
+
+    Each row enters as itself and as a part of the total. Rows of the report that agree in every column are one group,
+    counted and repeated. The total is there, and empty, for a report without rows too.
+    """
+    names = REVENUE.names
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in REVENUE.fields}
+
+    def entry(is_total: bool, values: dict[str, Column], part: Column) -> Column:
+        columns = [value.alias(name) for name, value in values.items()]
+        return F.struct(F.lit(is_total).alias("_is_total"), *columns, money(part).alias("_part"))
+
+    total = nothing | {"department": F.lit("Total")}
+    own = {name: F.col(name) for name in names}
+    entries = report.select(F.inline(F.array(entry(False, own, F.lit(None)), entry(True, total, F.col("amount")))))
+    none = report.sparkSession.range(1).select(F.inline(F.array(entry(True, total, F.lit(None)))))
+    groups = (
+        entries.unionByName(none)
+        .groupBy("_is_total", *names)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.sum("_part").cast("double").alias("_sum"))
+    )
+    copies = F.when(F.col("_is_total"), 1).otherwise(F.col("_rows")).cast("int")
+    return (
+        groups.withColumn("amount", F.when(F.col("_is_total"), F.col("_sum")).otherwise(F.col("amount")))
+        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))
+        .select(*names)
+    )
+
+
 def grand_total(report: DataFrame) -> DataFrame:
     """The report's total amount as one row of the report."""
     total = report.agg(money_sum("amount").alias("amount")).withColumn("department", F.lit("Total"))

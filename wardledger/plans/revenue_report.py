@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from wardledger.operators import revenue as R
 from wardledger.options import ReportFilters
-from wardledger.session import materialize
 from wardledger.sources.tables import Tables
 
 
@@ -29,6 +28,5 @@ def revenue_report(t: Tables, filters: ReportFilters, include_cash: bool = False
 
 
 def report_with_total(report: DataFrame) -> DataFrame:
-    """The report and its total row. The report is computed once and kept, as both read it."""
-    report = materialize(report)
-    return report.unionByName(R.grand_total(report))
+    """The report and its total row, computed in one pass."""
+    return R.with_grand_total(report)
