@@ -130,6 +130,10 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray, np
     )
 
 
+def _shares(times: np.ndarray) -> np.ndarray:
+    return (times / times.sum()).astype(np.float32)
+
+
 def train(
     rows: list[tuple[np.ndarray, np.ndarray]],
     labels: list[str | None],
@@ -137,7 +141,7 @@ def train(
     steps_per_language: int = 2_500,
     reject_above: float = 0.9,
 ) -> Model:
-    """Fits a model to texts given as (subword hashes, their shares), None labelling those of no language.
+    """Fits a model to texts given as (subword hashes, how often each occurs), None labelling those of no language.
 
     Each language gets about ``steps_per_language`` steps, however many languages there are, and as many steps are taken
     on texts of none; every fifth row calibrates.
@@ -157,7 +161,7 @@ def train(
     for epoch in range(epochs):
         rate = 0.1 * (1 - epoch / epochs)
         for i in random.permutation(fitted):
-            hashed, share = rows[i]
+            hashed, share = rows[i][0], _shares(rows[i][1])
             mean = share @ embeddings[hashed]
             error = np.exp(log_probabilities((mean @ weights + bias)[None])[0])
             error[answer[i]] -= 1
@@ -171,7 +175,7 @@ def train(
             embeddings[hashed] -= (rate * share / np.sqrt(squares[hashed]))[:, None] * back
     scores = embeddings @ weights
     held = order[order % 5 == 4] if len(rows) >= 50 else order
-    logits = np.array([rows[i][1] @ scores[rows[i][0]] for i in held]) + bias
+    logits = np.array([_shares(rows[i][1]) @ scores[rows[i][0]] for i in held]) + bias
     # Targets a little below 1 (Platt): a perfect held-back part would ask for ever sharper scores.
     target = np.full((len(held), width), 1 / (len(held) + 2) / max(width - 1, 1))
     target[np.arange(len(held)), answer[held]] = (len(held) + 1) / (len(held) + 2)
@@ -211,21 +215,24 @@ def fit(
         for batch in batches:
             order, texts = batch.column("order").to_pylist(), utf8(batch.column("text"))
             others = [foreign(t.decode("utf-8", "replace"), i).encode("utf-8", "replace") for t, i in zip(texts, order, strict=True)]
-            hashes, shares = [], []
+            hashes, times = [], []
             for text in [*texts, *others]:
                 found, counts = np.unique(np.concatenate([h for h, _ in subwords([text])]), return_counts=True)
-                hashes.append(found.astype(np.int32).tobytes())
-                shares.append((counts / counts.sum()).astype(np.float32).tobytes())
+                hashes.append(found.astype(np.uint16).tobytes())
+                times.append(counts.astype(np.min_scalar_type(counts.max(initial=1))).tobytes())
             languages = [*batch.column("lang").to_pylist(), *[None] * len(others)]
-            columns = [pa.array(order * 2), pa.array(languages, pa.string()), pa.array(hashes, pa.binary()), pa.array(shares, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["order", "lang", "hashes", "shares"])
+            columns = [pa.array(order * 2), pa.array(languages, pa.string()), pa.array(hashes, pa.binary()), pa.array(times, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["order", "lang", "hashes", "times"])
 
     if rows.isEmpty():
         return None
     sample = _sampled(rows, rows_per_language).select("order", "lang", "text")
-    found = sample.mapInArrow(features, "order long, lang string, hashes binary, shares binary").collect()
+    found = sample.mapInArrow(features, "order long, lang string, hashes binary, times binary").collect()
     found.sort(key=lambda r: (r["order"], r["lang"] or "", bytes(r["hashes"])))
-    pairs = [(np.frombuffer(r["hashes"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
+    pairs = []
+    for r in found:
+        hashes = np.frombuffer(r["hashes"], np.uint16)
+        pairs.append((hashes, np.frombuffer(r["times"], f"u{len(r['times']) // max(len(hashes), 1) or 1}")))
     return train(pairs, [r["lang"] for r in found])
 
 
