@@ -33,6 +33,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by one key alone.
+
+    Joins, groups and windows on this key and further ones then find their rows in place, on every side that is dealt
+    so: narrow rows move once, where each step would move them by its own keys. Spark leaves the step out for rows
+    that lie so already. Keys are those of documents of bounded size (a claim's rows, a row's name), never a flag.
+    """
+    return df.repartition(key)
+
+
 #: The sketch tells apart all keys that hold more than about a thousandth of the rows.
 _TOP, _TRACKED = 1024, 16384
 _EVEN = 8

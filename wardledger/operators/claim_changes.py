@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import non_blank, violation
-from wardledger.functions.joins import spread_blank, spread_null
+from wardledger.functions.joins import dealt_by, spread_blank, spread_null
 from wardledger.operators.prescriptions import DRUG, KINDS
 from wardledger.options import RunContext
 from wardledger.session import materialize
@@ -46,22 +46,34 @@ def _amount(column: str) -> Column:
     return F.coalesce(column, F.lit(0.0))
 
 
+_FIELDS = ["idx", "item_code", "item_name", "quantity", "amount_claimed", "ref_docname", "ref_doctype", "patient_encounter"]
+
+
 def compared(originals: DataFrame, items: DataFrame) -> DataFrame:
-    """Every original (``was``) beside the claim items of its claim and item code (``now``); either may be missing."""
-    keyed = lambda df, side: df.select(
-        "parent",
-        _key("item_code").alias("_item"),
-        F.struct("idx", "item_code", "item_name", F.col("item_quantity").alias("quantity"), "amount_claimed", "ref_docname", "ref_doctype", "patient_encounter").alias(side),
+    """Originals and claim items (``is_item``) as rows of one frame that lies by claim (``dealt_by``).
+
+    ``claimed`` says if the claim has an item of the row's code, ``previous`` holds the amounts of the claim's originals
+    of that code. Both are found within the claim, so no row moves again; a join of the two sides would move them by
+    claim and code. Items may be codes only, the other fields are NULL then.
+    """
+    def keyed(side: DataFrame, is_item: bool) -> DataFrame:
+        rows = dealt_by(side.withColumnRenamed("item_quantity", "quantity"), "parent")
+        fields = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in _FIELDS]
+        return rows.select(F.col("parent").alias("claim"), F.lit(is_item).alias("is_item"), _key("item_code").alias("_item"), *fields)
+
+    same = Window.partitionBy("claim", "_item")
+    known = F.col("claim").isNotNull()
+    return keyed(originals, False).unionByName(keyed(items, True)).select(
+        "claim", "is_item", *_FIELDS,
+        (known & F.bool_or("is_item").over(same)).alias("claimed"),
+        F.when(known, F.collect_list(F.when(~F.col("is_item"), _amount("amount_claimed"))).over(same)).alias("previous"),
     )
-    return keyed(originals, "was").join(keyed(items, "now"), ["parent", "_item"], "full")
 
 
-def _amount_changes(pairs: DataFrame) -> DataFrame:
-    both = pairs.filter("was is not null and now is not null").select(
-        F.col("parent").alias("claim"),
-        "now.*",
-        _amount("was.amount_claimed").alias("previous_amount"),
-        _amount("now.amount_claimed").alias("current_amount"),
+def _amount_changes(rows: DataFrame) -> DataFrame:
+    both = rows.filter("is_item").select(
+        "claim", *[c for c in _FIELDS if c != "amount_claimed"],
+        F.explode("previous").alias("previous_amount"), _amount("amount_claimed").alias("current_amount"),
     )
     return _events(both.filter(F.col("previous_amount") != F.col("current_amount")), status=F.lit("Amount Changed"))
 
@@ -71,26 +83,33 @@ def amount_changes(originals: DataFrame, items: DataFrame) -> DataFrame:
     return _amount_changes(compared(originals, items))
 
 
-def _seen(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("was is not null and now is not null").select(
-        F.col("parent").alias("claim"), _key("was.ref_docname").alias("reference")
+#: What is kept of a removed original.
+_KEPT = ["item_code", "item_name", "quantity", "ref_docname", "ref_doctype", "patient_encounter", "previous_amount", "current_amount"]
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """The originals, with ``seen`` if one of their claim's claimed originals has their reference."""
+    amount = F.col("amount_claimed")
+    return (
+        rows.filter("not is_item")
+        .withColumns({"reference": _key("ref_docname"), "previous_amount": amount, "current_amount": amount})
+        .withColumn("seen", F.bool_or("claimed").over(Window.partitionBy("claim", "reference")))
     )
 
 
+def marked_originals(originals: DataFrame, items: DataFrame) -> DataFrame:
+    """Every original, ``claimed`` or not, and ``seen`` or not; of the items only the codes are read."""
+    codes = dealt_by(items.select("parent", "item_code"), "parent").distinct()
+    return _marked(compared(originals, codes))
+
+
 def seen_references(originals: DataFrame, items: DataFrame) -> DataFrame:
     """(claim, reference): references of originals whose item is still claimed."""
-    return _seen(compared(originals, items)).distinct()
+    return marked_originals(originals, items).filter("claimed").select("claim", "reference").distinct()
 
 
-def _removed(pairs: DataFrame) -> DataFrame:
-    gone = pairs.filter("now is null").select(
-        F.col("parent").alias("claim"),
-        "was.*",
-        F.col("was.amount_claimed").alias("previous_amount"),
-        F.col("was.amount_claimed").alias("current_amount"),
-        _key("was.ref_docname").alias("reference"),
-    )
-    return gone.drop("amount_claimed").join(_seen(pairs), ["claim", "reference"], "left_anti").drop("reference")
+def _removed(marked: DataFrame) -> DataFrame:
+    return marked.filter("not claimed and not seen").select("claim", "idx", *_KEPT)
 
 
 def removed_originals(originals: DataFrame, items: DataFrame) -> DataFrame:
@@ -98,42 +117,41 @@ def removed_originals(originals: DataFrame, items: DataFrame) -> DataFrame:
 
     An original whose item is still claimed has been seen itself, so only the others are looked up.
     """
-    return _removed(compared(originals, items))
+    return _removed(marked_originals(originals, items))
 
 
 def removed_appointments(removed: DataFrame) -> DataFrame:
     return _events(removed.filter(F.col("ref_doctype") == APPOINTMENT), status=F.lit("Item Removed"))
 
 
-def removed_names(removed: DataFrame, seen: DataFrame) -> DataFrame:
-    """Removed originals per single reference name.
+def removed_names(marked: DataFrame) -> DataFrame:
+    """Removed originals (of ``marked_originals``) per single reference name.
 
     A name is looked at once per claim, for the first original that has it, across all record
-    types; names already seen are skipped. Removed and seen names are tagged and meet in one aggregation.
+    types; names already seen are skipped. Removed and seen names meet in one aggregation, within their claim.
     """
-    routed = removed.filter(F.col("ref_doctype").isin(DRUG, *SERVICES, *STAYS))
-    kept = [c for c in routed.columns if c not in ("claim", "idx")]
-    split = routed.select("*", F.posexplode(F.split(_key("ref_docname"), ",")).alias("_at", "name"))
-    names = split.select("claim", "name", F.struct("idx", "_at", *kept).alias("row"), F.lit(False).alias("seen"))
-    known = seen.select("claim", F.col("reference").alias("name"), F.lit(None).cast(names.schema["row"].dataType).alias("row"), F.lit(True).alias("seen"))
+    routed = F.col("ref_doctype").isin(DRUG, *SERVICES, *STAYS)
+    names = F.when(F.col("claimed"), F.array("reference")).when(~F.col("seen") & routed, F.split("reference", ","))
     return (
-        names.unionByName(known)
+        marked.select("*", F.posexplode(names).alias("_at", "name"))
+        .select("claim", "name", "claimed", F.when(~F.col("claimed"), F.struct("idx", "_at", *_KEPT)).alias("row"))
         .groupBy("claim", "name")
-        .agg(F.min("row").alias("row"), F.bool_or("seen").alias("seen"))
-        .filter("not seen")
-        .select("claim", "name", *[F.col(f"row.{c}").alias(c) for c in kept])
+        .agg(F.min("row").alias("row"), F.bool_or("claimed").alias("claimed"))
+        .filter("not claimed")
+        .select("claim", "name", *[F.col(f"row.{c}").alias(c) for c in _KEPT])
     )
 
 
 def _return_documents(t: Tables) -> DataFrame:
-    """One return document per (is_drug, name, encounter)."""
+    """One return document per (is_drug, name, encounter), where both are known."""
     tagged = [
         returns.filter((F.col("parentfield") == field) & (F.col("parenttype") == RETURNS)).select(
             F.lit(field == "drug_items").alias("is_drug"), F.col("child_name").alias("name"), F.col("encounter_no").alias("child_encounter"), "parent"
         )
         for returns, field in ((t.medication_return, "drug_items"), (t.item_return, "lrpt_items"))
     ]
-    return reduce(DataFrame.unionByName, tagged).groupBy("is_drug", "name", "child_encounter").agg(F.min("parent").alias("return_document"))
+    rows = reduce(DataFrame.unionByName, tagged).filter("name is not null and child_encounter is not null")
+    return rows.groupBy("is_drug", "name", "child_encounter").agg(F.min("parent").alias("return_document"))
 
 
 def change_requests(t: Tables) -> DataFrame:
@@ -268,14 +286,14 @@ def track_changes(
 ) -> DataFrame:
     """All change records of submitted claims, from reconciled originals and claim items.
 
-    Originals and items meet once; the pairs are kept, as changed, seen and removed ones are read from them. Of
+    Originals and items meet once and are kept by claim, as changed, seen and removed ones are read from them. Of
     ``headers`` only the columns of ``claim_periods`` are used.
     """
-    pairs = materialize(compared(originals, items))
-    removed = materialize(_removed(pairs))
+    rows = materialize(compared(originals, items), by=("claim",))
+    marked = _marked(rows)
     events = [
-        _amount_changes(pairs),
-        removed_appointments(removed),
-        removals(removed_names(removed, _seen(pairs)), t),
+        _amount_changes(rows),
+        removed_appointments(_removed(marked)),
+        removals(removed_names(marked), t),
     ]
     return change_records(reduce(DataFrame.unionByName, events), headers, run)

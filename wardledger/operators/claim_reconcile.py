@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank, joined, money_sum, non_blank, violation
+from wardledger.functions.joins import dealt_by
 from wardledger.operators.claim_header import claim_appointments
 
 # Stored field names.
@@ -17,12 +18,12 @@ def reconcile_items(items: DataFrame, recompute_amount: bool = False) -> DataFra
 
     Approval numbers are joined in row order; encounters and references are joined as sets of whole
     strings. With ``recompute_amount`` (claim items, which are saved again) the amount is the first
-    row's unit price times the added-up quantity.
+    row's unit price times the added-up quantity. The result lies by claim (``dealt_by``).
     """
     merged = ["item_quantity", "amount_claimed", "approval_ref_no", "patient_encounter", "ref_docname", "status"]
     kept = [c for c in items.columns if c not in (*merged, "parent", "item_code", "idx", "name")]
     approval = F.when(~is_blank("approval_ref_no"), F.struct("idx", "name", "approval_ref_no"))
-    grouped = items.groupBy("parent", "item_code").agg(
+    grouped = dealt_by(items, "parent").groupBy("parent", "item_code").agg(
         F.min(F.struct("idx", "name", "status", *kept)).alias("first"),
         F.sum("item_quantity").cast("int").alias("item_quantity"),
         money_sum("amount_claimed").alias("amount_claimed"),
@@ -103,23 +104,34 @@ def missing_originals(items: DataFrame, originals: DataFrame, token_match: bool
     that joins several names is always added; ``token_match`` compares its names one by one and adds
     it if one of them is missing.
     """
-    known = (
-        originals.filter(~is_blank("ref_docname"))
-        .select("parent", F.explode(F.split("ref_docname", ",")).alias("_reference"))
-        .distinct()
-    )
     if not token_match:
+        known = (
+            originals.filter(~is_blank("ref_docname"))
+            .select("parent", F.explode(F.split("ref_docname", ",")).alias("_reference"))
+            .distinct()
+        )
         missing = items.withColumn("_reference", F.col("ref_docname")).join(
             known, ["parent", "_reference"], "left_anti"
         )
         return missing.drop("_reference").drop(*IDENTITY_COLUMNS)
-    names = items.select("parent", "ref_docname", F.explode_outer(F.split("ref_docname", ",")).alias("_reference"))
+    # Names and items lie by claim, and what is known of them is found there: no row moves for it.
+    names = dealt_by(items, "parent").select(
+        "parent", F.explode_outer(F.split("ref_docname", ",")).alias("_reference"), F.coalesce("ref_docname", F.lit("")).alias("_whole"), F.lit(False).alias("_known")
+    )
+    named = dealt_by(originals.filter(~is_blank("ref_docname")), "parent").select(
+        "parent", F.explode(F.split("ref_docname", ",")).alias("_reference"), F.lit(None).cast("string").alias("_whole"), F.lit(True).alias("_known")
+    )
     unknown = (
-        names.join(known, ["parent", "_reference"], "left_anti").select("parent", F.coalesce("ref_docname", F.lit("")).alias("_whole")).distinct()
+        names.unionByName(named)
+        .withColumn("_any", F.bool_or("_known").over(Window.partitionBy("parent", "_reference")))
+        .filter("not _known and not _any and parent is not null")
+        .select("parent", "_whole", F.lit(True).alias("_unknown"))
     )
+    whole = dealt_by(items, "parent").withColumns({"_whole": F.coalesce("ref_docname", F.lit("")), "_unknown": F.lit(False)})
     return (
-        items.withColumn("_whole", F.coalesce("ref_docname", F.lit("")))
-        .join(unknown, ["parent", "_whole"], "left_semi")
-        .drop("_whole")
+        whole.unionByName(unknown, allowMissingColumns=True)
+        .withColumn("_missing", F.bool_or("_unknown").over(Window.partitionBy("parent", "_whole")))
+        .filter("not _unknown and _missing")
+        .select(*items.columns)
         .drop(*IDENTITY_COLUMNS)
     )

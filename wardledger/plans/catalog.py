@@ -25,7 +25,6 @@ from wardledger.operators.claim_frame import ClaimFrame
 from wardledger.options import ReportFilters, RunContext
 from wardledger.plans import revenue_report as report
 from wardledger.plans.claim_build import BuiltClaims, build_claims, merge_leads, rebuild_merged_claims
-from wardledger.session import materialize
 from wardledger.sources.derived import derived_tables
 from wardledger.sources.tables import Tables
 
@@ -115,8 +114,7 @@ def _removed(t: Tables) -> DataFrame:
 
 
 def _removed_names(t: Tables) -> DataFrame:
-    originals = _originals(t)
-    return G.removed_names(G.removed_originals(originals, t.claim_item), G.seen_references(originals, t.claim_item))
+    return G.removed_names(G.marked_originals(_originals(t), t.claim_item))
 
 
 def _delivered(t: Tables) -> Tables:
@@ -203,7 +201,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "t5_stay_removals": lambda t: G.stay_removals(_removed_names(t), t),
     "t6_change_requests": lambda t: G.change_requests(t),
     "t7_change_records": lambda t: G.track_changes(
-        materialize(_originals(t)), t.claim_item, _periods(t), t, RUN
+        _originals(t), t.claim_item, _periods(t), t, RUN
     ),
     "v1_without_encounters": lambda t: V.without_encounters(t.insurance_claim, t),
     "v2_without_final_encounters": lambda t: V.without_final_encounters(t.insurance_claim, t),

@@ -70,10 +70,26 @@ FROM {{lineitem}} WHERE l_partkey % 5 = {kind} AND l_returnflag <> 'N' AND l_lin
 
 
 def _claim_row(price: str, where: str) -> str:
+    return _claim_columns(price, _claim("l_orderkey"), """row_number() OVER (PARTITION BY l_orderkey
+            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)""") + f"FROM {{lineitem}} WHERE l_orderkey % 2 = 0{where}"
+
+
+def _dealt_claim_row(price: str, where: str) -> str:
+    """The same rows for Spark, which numbers narrow rows that lie by claim, and names them after that.
+
+    The number within an order is counted within the claim's name, which two orders may share.
+    """
+    numbered = f"""(SELECT *, row_number() OVER (PARTITION BY l_claim
+            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)
+            - rank() OVER (PARTITION BY l_claim ORDER BY l_orderkey) + 1 AS l_row_no
+       FROM (SELECT *, {_claim('l_orderkey')} AS l_claim FROM {{lineitem}} WHERE l_orderkey % 2 = 0{where}))"""
+    return _claim_columns(price, "l_claim", "l_row_no") + f"FROM {numbered}"
+
+
+def _claim_columns(price: str, claim: str, row_no: str) -> str:
     return f"""
-SELECT 'CI-'||{_ROW} AS name, {_claim('l_orderkey')} AS parent,
-       CAST(row_number() OVER (PARTITION BY l_orderkey
-            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS int) AS idx,
+SELECT 'CI-'||{_ROW} AS name, {claim} AS parent,
+       CAST({row_no} AS int) AS idx,
        'ITEM-'||(l_partkey % 6) AS item_code, 'Service '||(l_partkey % 6) AS item_name,
        CAST(l_quantity AS int) AS item_quantity, {price} AS unit_price,
        ({price}) * l_quantity AS amount_claimed,
@@ -97,11 +113,32 @@ SELECT 'CI-'||{_ROW} AS name, {_claim('l_orderkey')} AS parent,
        CASE WHEN l_linenumber = 5 THEN NULL ELSE 'FI-'||{_ROW} END AS folio_item_id,
        CASE WHEN l_linenumber = 6 THEN NULL ELSE 'FOLIO-'||l_orderkey END AS folio_id,
        'HP-'||(l_suppkey % 110) AS item_crt_by
-FROM {{lineitem}} WHERE l_orderkey % 2 = 0{where}"""
+"""
+
+
+def _invoice_columns(invoice: str, row_no: str) -> str:
+    return f"""
+SELECT 'SII-'||{_ROW} AS name, {invoice} AS parent,
+       CAST({row_no} AS int) AS idx,
+       CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS docstatus,
+       'ITEM-'||l_partkey AS item_code, p_type AS item_group, l_quantity AS qty, l_extendedprice AS amount,
+       'WH-'||(l_suppkey % 3) AS warehouse, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'HP-'||l_suppkey END AS healthcare_practitioner,
+       CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'HSU-'||(l_suppkey % 7) END AS healthcare_service_unit,
+       CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE 'DEP-'||(l_suppkey % 4) END AS department,
+       CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 AND l_partkey % 9 = 0 THEN '' ELSE 'SO-'||l_orderkey END AS sales_order,
+       CASE WHEN l_partkey % 2 = 0 THEN 'Drug Prescription' ELSE NULL END AS reference_dt,
+       CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'frequency: '||(l_suppkey % 5)||' x 1, <br>period: '||l_linenumber||' days, <br>dosage_form: Drops' END AS dosage_info
+"""
 
 
 _CLAIMED_PRICE = "CASE WHEN l_returnflag = 'A' THEN l_extendedprice + 10 ELSE l_extendedprice END"
 
+_CLAIM_ROWS = {
+    # Some claims gained items after their originals were kept.
+    "original_claim_item": ("l_extendedprice", " AND NOT (l_orderkey % 5 = 0 AND l_linenumber % 3 = 0)"),
+    "claim_item": (_CLAIMED_PRICE, " AND l_returnflag <> 'R'"),
+}
+
 DERIVED: dict[str, str] = {
     "healthcare_practitioner": """
 SELECT 'HP-'||s_suppkey AS name,
@@ -257,18 +294,9 @@ SELECT 'SI-'||o_orderkey AS name, 'CO-'||(o_custkey % 3) AS company, CAST(o_orde
        CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 1 ELSE 0 END AS is_pos,
        CASE WHEN o_orderpriority = '3-MEDIUM' THEN '' WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'PT-'||o_custkey END AS patient,
        CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS enabled_auto_create_delivery_notes FROM {orders}""",
-    "sales_invoice_item": f"""
-SELECT 'SII-'||{_ROW} AS name, 'SI-'||l_orderkey AS parent,
-       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS int) AS idx,
-       CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS docstatus,
-       'ITEM-'||l_partkey AS item_code, p_type AS item_group, l_quantity AS qty, l_extendedprice AS amount,
-       'WH-'||(l_suppkey % 3) AS warehouse, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'HP-'||l_suppkey END AS healthcare_practitioner,
-       CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'HSU-'||(l_suppkey % 7) END AS healthcare_service_unit,
-       CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE 'DEP-'||(l_suppkey % 4) END AS department,
-       CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 AND l_partkey % 9 = 0 THEN '' ELSE 'SO-'||l_orderkey END AS sales_order,
-       CASE WHEN l_partkey % 2 = 0 THEN 'Drug Prescription' ELSE NULL END AS reference_dt,
-       CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'frequency: '||(l_suppkey % 5)||' x 1, <br>period: '||l_linenumber||' days, <br>dosage_form: Drops' END AS dosage_info
-FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
+    "sales_invoice_item": _invoice_columns(
+        "'SI-'||l_orderkey", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+    ) + "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
     "sales_order": """
 SELECT 'SO-'||o_orderkey AS name, 'CO-'||(o_custkey % 3) AS company, 'WH-'||(o_orderkey % 3) AS set_warehouse,
        'HP-'||(o_orderkey % 110) AS healthcare_practitioner,
@@ -338,9 +366,7 @@ SELECT {_claim('900000000 + o_orderkey')} AS name, 'APP-'||o_orderkey AS patient
        CAST(NULL AS string) AS folio_id, CAST(NULL AS string) AS patient_signature, 0 AS allow_changes,
        CAST(NULL AS string) AS delayreason, 'Clerk' AS item_crt_by, o_orderdate + INTERVAL '21' HOUR AS creation
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey WHERE o_orderkey % 28 = 0""",
-    # Some claims gained items after their originals were kept.
-    "original_claim_item": _claim_row("l_extendedprice", " AND NOT (l_orderkey % 5 = 0 AND l_linenumber % 3 = 0)"),
-    "claim_item": _claim_row(_CLAIMED_PRICE, " AND l_returnflag <> 'R'"),
+    **{name: _claim_row(*how) for name, how in _CLAIM_ROWS.items()},
     "medication_return": f"""
 SELECT 'RX-'||{_ROW} AS child_name, 'ENC-'||l_orderkey AS encounter_no, 'drug_items' AS parentfield,
        'LRPMT Returns' AS parenttype, 'RET-'||l_orderkey AS parent
@@ -385,6 +411,14 @@ FROM {orders} WHERE month(o_orderdate) % 2 = 0""",
 }
 
 
+#: What Spark reads instead of the text of ``DERIVED``.
+DEALT = {name: _dealt_claim_row(*how) for name, how in _CLAIM_ROWS.items()} | {
+    "sales_invoice_item": _invoice_columns("l_invoice", "l_row_no")
+    + """FROM (SELECT *, row_number() OVER (PARTITION BY l_invoice ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS l_row_no
+      FROM (SELECT *, 'SI-'||l_orderkey AS l_invoice FROM {lineitem} JOIN {part} ON l_partkey = p_partkey))""",
+}
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The hospital tables over one folder of test tables."""
     base: dict[str, DataFrame] = {}
@@ -395,7 +429,7 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return base[name]
 
     def load(name: str) -> DataFrame:
-        text = DERIVED[name]
+        text = DEALT.get(name, DERIVED[name])
         used = {k: open_table(k) for k in TEST_TABLES if "{" + k + "}" in text}
         return conform(spark.sql(text, **used), name)
 
