@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank, non_blank
-from wardledger.functions.joins import join_frequent, spread_blank
+from wardledger.functions.joins import dealt_by, join_frequent, spread_blank
 from wardledger.operators.prescriptions import DRUG
 from wardledger.sources.tables import Tables
 
@@ -104,7 +104,7 @@ def order_stock_checks(t: Tables, stage: str) -> DataFrame:
 def _first_items(t: Tables) -> DataFrame:
     """(parent, sales_order, reference_dt) of each invoice's first item."""
     return (
-        t.sales_invoice_item.groupBy("parent")
+        dealt_by(t.sales_invoice_item, "parent").groupBy("parent")
         .agg(F.min(F.struct("idx", "name", "sales_order", "reference_dt")).alias("first"))
         .select("parent", "first.sales_order", F.col("first.reference_dt").alias("first_dt"))
     )
@@ -137,7 +137,7 @@ def with_order_dimensions(t: Tables) -> DataFrame:
         .join(orders, "_order")
         .drop("_order")
     )
-    items = t.sales_invoice_item
+    items = dealt_by(t.sales_invoice_item, "parent")
     filled = {
         d: F.when(is_blank(d) & F.col("_from_order"), F.col(f"_{d}")).otherwise(F.col(d)) for d in dimensions
     }
