@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import disease_code, violation
+from wardledger.functions.joins import dealt_by
 from wardledger.operators.claim_header import submitted_encounters
 from wardledger.sources.schemas import CLAIM_DISEASE, shaped
 from wardledger.sources.tables import Tables
@@ -22,13 +23,15 @@ DESCRIPTION_LENGTH = 139
 def claim_diseases(claims: DataFrame, t: Tables, encounters: DataFrame | None = None) -> DataFrame:
     """One row per claim, diagnosis block and medical code: the earliest entry, its description cut to the stored length.
 
+    Descriptions are cut before they move. The result lies by claim (``dealt_by``).
+
     ``encounters`` are the claims' submitted encounters, where they were kept before.
     """
     entries = t.codification_table.filter(
         (F.col("parenttype") == "Patient Encounter") & F.col("parentfield").isin(*BLOCKS)
     ).select(
         F.col("parent").alias("encounter"), "parentfield", "medical_code", "modified",
-        F.col("name").alias("codification_table"), "code", "description",
+        F.col("name").alias("codification_table"), "code", F.substring("description", 1, DESCRIPTION_LENGTH).alias("description"),
     )
     if encounters is None:
         encounters = submitted_encounters(claims, t)
@@ -37,7 +40,7 @@ def claim_diseases(claims: DataFrame, t: Tables, encounters: DataFrame | None =
         F.struct("modified", "codification_table", "encounter", "code", "description", "practitioner")
     )
     chosen = (
-        entries.join(encounters, "encounter")
+        dealt_by(entries.join(encounters, "encounter"), "claim")
         .groupBy("claim", "parentfield", "medical_code")
         .agg(first.alias("entry"))
         .select("claim", "parentfield", "medical_code", "entry.*")
@@ -51,7 +54,6 @@ def claim_diseases(claims: DataFrame, t: Tables, encounters: DataFrame | None =
                 "status": F.when(is_final, final[1]).otherwise(provisional[1]),
                 "patient_encounter": F.col("encounter"),
                 "disease_code": disease_code("code"),
-                "description": F.substring("description", 1, DESCRIPTION_LENGTH),
                 "item_crt_by": F.col("practitioner"),
                 "date_created": F.to_date("modified"),
             }
