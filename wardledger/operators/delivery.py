@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import DOSAGE_KEYS, dosage_field, is_blank, stable_id
+from wardledger.functions.joins import dealt_by
 from wardledger.session import materialize
 from wardledger.sources.tables import Tables
 
@@ -31,7 +32,7 @@ def item_medications(t: Tables) -> DataFrame:
     return (
         t.medication.groupBy(F.col("item").alias("item_code"))
         .agg(F.min(F.struct("name", *columns)).alias("m"))
-        .select("item_code", F.col("m.name").alias("drug_code"), *[F.col(f"m.{c}").alias(c) for c in columns])
+        .select("item_code", F.lit(True).alias("linked"), F.col("m.name").alias("drug_code"), *[F.col(f"m.{c}").alias(c) for c in columns])
     )
 
 
@@ -55,13 +56,6 @@ def _dispensing_notes(t: Tables) -> DataFrame:
     )
 
 
-def _note_items(t: Tables) -> DataFrame:
-    items = t.delivery_note_item.select(
-        F.col("parent").alias("note"), "name", "idx", "item_code", "qty", "rate", "description", "reference_name"
-    )
-    return dosage_or_default(items.join(_dispensing_notes(t), "note"), t)
-
-
 def _first_diagnoses(t: Tables) -> DataFrame:
     """(encounter, medical_code): code and description of the first final diagnosis."""
     finals = t.codification_table.filter(
@@ -95,9 +89,18 @@ def dispensing_violations(t: Tables) -> DataFrame:
 
 
 def accepted_items(t: Tables) -> DataFrame:
-    """Items of the notes without violations; a refused note changes nothing."""
-    refused = dispensing_violations(t).select("note").distinct()
-    return _note_items(t).join(refused, "note", "left_anti")
+    """Items of the notes without violations, with their encounter's first diagnosis; a refused note changes nothing.
+
+    Items look up their medication first and lie by note after that: a note that has an item without medication, or no
+    final diagnosis, is found there (the rules of ``dispensing_violations``), so the items are read and moved once.
+    """
+    items = t.delivery_note_item.select(
+        F.col("parent").alias("note"), "name", "idx", "item_code", "qty", "rate", "description", "reference_name"
+    )
+    linked = dealt_by(dosage_or_default(items, t).drop("description"), "note")
+    notes = _dispensing_notes(t).join(_first_diagnoses(t), "encounter", "left")
+    refused = F.bool_or(F.col("linked").isNull() | F.col("medical_code").isNull()).over(Window.partitionBy("note"))
+    return linked.join(notes, "note").withColumn("_refused", refused).filter("not _refused").drop("_refused", "linked")
 
 
 def dispensed_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
@@ -109,7 +112,6 @@ def dispensed_prescriptions(accepted: DataFrame, t: Tables) -> DataFrame:
     )
     return (
         accepted.filter(is_blank("reference_name"))
-        .join(_first_diagnoses(t), "encounter")
         .join(pharmacies, ["company", "warehouse"], "left")
         .select(
             stable_id("encounter", "name").alias("name"),
@@ -137,23 +139,23 @@ def undelivered_prescriptions(accepted: DataFrame, prescriptions: DataFrame) ->
     One rule for stored and for newly dispensed rows, whatever the order of the notes.
 
     Notes per encounter are compared with notes per (encounter, drug), so a row is joined with two
-    counts and not with the notes.
+    counts and not with the notes. All of it lies by encounter, where a map leads from its drugs to their counts.
     """
-    delivered = accepted.select("encounter", "note", "drug_code").distinct()
-    notes = (
-        delivered.groupBy("encounter").agg(F.count_distinct("note").alias("notes")).withColumnRenamed("encounter", "parent")
-    )
+    delivered = dealt_by(accepted.select(F.col("encounter").alias("parent"), "note", "drug_code"), "parent").distinct()
+    notes = delivered.groupBy("parent").agg(F.count_distinct("note").alias("notes"))
     deliveries = (
-        delivered.groupBy("encounter", "drug_code")
-        .agg(F.count(F.lit(1)).alias("deliveries"))
-        .withColumnRenamed("encounter", "parent")
+        delivered.filter(F.col("drug_code").isNotNull())
+        .groupBy("parent", "drug_code")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("parent")
+        .agg(F.map_from_entries(F.collect_list(F.struct("drug_code", "n"))).alias("deliveries"))
     )
     return (
         prescriptions.filter(F.col("prescribe") == 1)
         .select("name", "parent", "drug_code")
         .join(notes, "parent")
-        .join(deliveries, ["parent", "drug_code"], "left")
-        .filter(F.coalesce("deliveries", F.lit(0)) < F.col("notes"))
+        .join(deliveries, "parent", "left")
+        .filter(F.coalesce(F.try_element_at("deliveries", F.col("drug_code")), F.lit(0)) < F.col("notes"))
         .select("name")
     )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardledger.functions.columns import is_blank, non_blank
-from wardledger.functions.joins import dealt_by, join_frequent, spread_blank
+from wardledger.functions.columns import is_blank
+from wardledger.functions.joins import dealt_by, join_frequent
 from wardledger.operators.prescriptions import DRUG
 from wardledger.sources.tables import Tables
 
@@ -150,14 +150,9 @@ def with_order_dimensions(t: Tables) -> DataFrame:
 
 
 def with_invoice_dosage(t: Tables) -> DataFrame:
-    """Delivery items whose description names no frequency take the invoice item's dosage text."""
+    """Delivery items whose description names no frequency take the invoice item's dosage text; only these move."""
     items = t.delivery_note_item
     wants = ~F.coalesce("description", F.lit("")).contains("frequency") & ~is_blank("si_detail")
-    dosages = t.sales_invoice_item.select(F.col("name").alias("_key"), F.col("dosage_info").alias("_dosage"))
-    return (
-        items.withColumn("_wants", wants)
-        .withColumn("_key", spread_blank(F.when(F.col("_wants"), non_blank("si_detail")), "name"))
-        .join(dosages, "_key", "left")
-        .withColumn("description", F.when(F.col("_wants"), F.col("_dosage")).otherwise(F.col("description")))
-        .select(*items.columns)
-    )
+    dosages = t.sales_invoice_item.select(F.col("name").alias("si_detail"), F.col("dosage_info").alias("_dosage"))
+    filled = items.filter(wants).drop("description").join(dosages, "si_detail", "left").withColumnRenamed("_dosage", "description")
+    return items.filter(~wants).unionByName(filled.select(*items.columns))
