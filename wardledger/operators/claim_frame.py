@@ -15,17 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import clock, is_blank
-from wardledger.functions.joins import spread_null
+from wardledger.functions.joins import dealt_by, spread_null
 from wardledger.operators.claim_header import listed_appointments, own_visits
 from wardledger.session import Workspace, together
 from wardledger.sources.tables import Tables
 
 
 ALL = ("claims", "appointments", "visits", "stays", "billed")
+#: What the lines read of a claim and of its appointments, and what headers read of the latter besides.
+LINE_CLAIM = ["name", "company", "patient_appointment", "claim_appointment_list"]
+LINE_DETAILS = [
+    "billing_item", "paid_amount", "creation", "modified", "practitioner", "follow_up", "has_no_consultation_charges",
+    "insurance_subscription", "insurance_company",
+]
+HEADER_DETAILS = [
+    "patient", "company", "coverage_plan_card_number", "authorization_number", "coverage_plan_name", "appointment_date", "appointment_time",
+]
 
 
 class ClaimFrame:
-    def __init__(self, claims: DataFrame, t: Tables, keep: tuple[str, ...] = ALL):
+    def __init__(self, claims: DataFrame, t: Tables, keep: tuple[str, ...] = ALL, lines_only: bool = False):
+        """``lines_only`` frames hold what claim lines read, and nothing that only headers and notes do."""
+        self.lines_only = lines_only
+        claims = claims.select(*LINE_CLAIM) if lines_only else claims
         self.given, self.t, self.kept, self.space = claims, t, keep, Workspace(claims.sparkSession)
 
     def _keep(self, df: DataFrame, name: str, by: str) -> DataFrame:
@@ -50,18 +62,15 @@ class ClaimFrame:
         named = self.claims.select(
             F.col("name").alias("claim"), F.col("company").alias("claim_company"), F.inline(F.concat(own, listed))
         ).filter(~is_blank("appointment"))
-        details = self.t.patient_appointment.select(
-            F.col("name").alias("appointment"), "patient", "company", "coverage_plan_card_number", "authorization_number",
-            "coverage_plan_name", "appointment_date", "appointment_time", "billing_item", "paid_amount", "creation", "modified",
-            "practitioner", "follow_up", "has_no_consultation_charges", "insurance_subscription", "insurance_company",
-        )
+        columns = LINE_DETAILS if self.lines_only else [*HEADER_DETAILS, *LINE_DETAILS]
+        details = self.t.patient_appointment.select(F.col("name").alias("appointment"), *columns)
         return self._keep(named.join(details, "appointment"), "appointments", "claim")
 
     @cached_property
     def visits(self) -> DataFrame:
         """A row per claim and submitted encounter; kept ones carry what is known of the practitioner."""
         encounters = self.t.patient_encounter.filter(F.col("docstatus") == 1).select(*own_visits(), "inpatient_record")
-        if "visits" in self.kept:
+        if "visits" in self.kept and not self.lines_only:
             encounters = self.with_people(encounters)
         wanted = self.claims.select(
             F.col("name").alias("claim"),
@@ -102,7 +111,7 @@ class ClaimFrame:
         )
         day = F.to_date("check_in")
         days = (
-            self.t.inpatient_occupancy.filter(day.isNotNull())
+            dealt_by(self.t.inpatient_occupancy.filter(day.isNotNull() & F.col("parent").isNotNull()), "parent")
             .groupBy(F.col("parent").alias("inpatient_record"), day.alias("day"))
             .agg(F.min(F.struct(F.col("idx").alias("position"), "name", "service_unit")).alias("first"))
             .groupBy("inpatient_record")

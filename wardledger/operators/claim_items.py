@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import differs, is_blank, is_set, is_unset, money_sum, non_blank, stable_id, violation
-from wardledger.functions.joins import spread_blank, spread_null
-from wardledger.functions.numbering import number_within
+from wardledger.functions.joins import dealt_by, spread_blank, spread_null
 from wardledger.operators import claim_header as H
 from wardledger.operators.claim_frame import ClaimFrame
-from wardledger.operators.prescriptions import prescriptions, with_approval, with_item, with_status
+from wardledger.operators.prescriptions import lab_tests_under_way, prescriptions, status_of, with_approval, with_item
 from wardledger.options import RunContext
 from wardledger.sources.schemas import CLAIM_LINE
 from wardledger.sources.tables import Tables
@@ -51,29 +50,37 @@ def with_rate(lines: DataFrame, t: Tables) -> DataFrame:
 def _prescribed_lines(encounters: DataFrame, t: Tables) -> DataFrame:
     """Lines of the prescriptions of these (claim, encounter, inpatient) rows.
 
-    Inpatient lines are named by the template's code, others by its display name.
+    Inpatient lines are named by the template's code, others by its display name. What lies by encounter meets in one
+    step; after it a row carries only what its line needs.
     """
     rows = prescriptions(t).filter(is_unset("prescribe") & is_unset("is_cancelled"))
     visits = encounters.select(
         "claim", F.col("encounter").alias("parent"), F.col("creation").alias("encounter_creation"), "practitioner", "inpatient"
     )
-    found = with_approval(with_status(with_item(rows.join(visits, "parent"), t), t), t)
     delivered = F.coalesce("quantity", F.lit(0.0)) - F.coalesce("quantity_returned", F.lit(0.0))
-    quantity = F.when(delivered == 0, F.lit(1.0)).otherwise(delivered)
+    needed = rows.join(visits.join(lab_tests_under_way(t), "parent", "left"), "parent").select(
+        "claim", "parent", "name", "template_type", "template", "ref_doctype", "document_type", "document", "amount", "practitioner",
+        "encounter_creation", "table_order", "idx",
+        F.when(F.col("inpatient"), F.col("template")).otherwise(F.col("display_name")).alias("item_name"),
+        F.when(delivered == 0, F.lit(1.0)).otherwise(delivered).alias("item_quantity"),
+        status_of().alias("status"),
+        F.to_date("modified").alias("date_created"),
+    )
+    found = with_item(with_approval(needed, t), t)
     return _lines(
         found,
         claim="claim",
-        item_name=F.when(F.col("inpatient"), F.col("template")).otherwise(F.col("display_name")),
+        item_name="item_name",
         item_code="item_code",
-        item_quantity=quantity,
+        item_quantity="item_quantity",
         unit_price="amount",
-        amount_claimed=F.col("amount") * quantity,
+        amount_claimed=F.col("amount") * F.col("item_quantity"),
         approval_ref_no="approval_ref_no",
         status="status",
         patient_encounter="parent",
         ref_doctype="ref_doctype",
         ref_docname="name",
-        date_created=F.to_date("modified"),
+        date_created="date_created",
         item_crt_by="practitioner",
         encounter_creation="encounter_creation",
         table_order="table_order",
@@ -327,10 +334,10 @@ def price_violations(lines: DataFrame) -> DataFrame:
 def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFrame) -> DataFrame:
     """Lines with ``idx``: consultations from 1, services after the claim's appointment count.
 
-    A claim has at most as many consultations as its own row lists appointments, so these are
-    numbered in one window; services may be any number and are numbered in slices.
+    Lines lie by claim (``dealt_by``) and are numbered there: the claim's count is sorted in before its services and
+    weighs what they go on from, so nothing is joined, and a window holds none of the rows in memory.
     """
-    counts = claims.select(F.col("name").alias("claim"), F.size(H.listed_appointments()).alias("last_no"))
+    counts = claims.select(F.col("name").alias("claim"), F.size(H.listed_appointments()).cast("long").alias("_weight"), F.lit(0).alias("_given"))
     order = [
         F.col(c).asc_nulls_first()
         for c in (
@@ -338,7 +345,9 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
             "table_order", "row_idx", "ref_docname",
         )
     ]
-    numbered = number_within(services, ["claim"], order, "idx", after=counts)
+    rows = services.withColumns({"_weight": F.lit(1).cast("long"), "_given": F.lit(1)}).unionByName(counts, allowMissingColumns=True)
+    in_claim = Window.partitionBy("claim").orderBy("_given", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = dealt_by(rows, "claim").withColumn("idx", F.sum("_weight").over(in_claim).cast("int")).filter("_given = 1")
     by_position = Window.partitionBy("claim").orderBy("row_idx")
     first = consultations.withColumn("idx", F.row_number().over(by_position))
     columns = ["idx", *LINE_COLUMNS]
@@ -347,7 +356,7 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
 
 def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
     """All numbered lines of each claim."""
-    frame = ClaimFrame(claims, t, keep=("appointments", "visits", "stays"))
+    frame = ClaimFrame(claims, t, keep=("claims", "appointments", "visits", "stays"), lines_only=True)
     frame.prepare()
     return claim_lines_of(frame)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import is_blank
-from wardledger.functions.joins import spread_blank
+from wardledger.functions.joins import dealt_by, spread_blank, spread_null
 from wardledger.sources.tables import Tables
 
 DOSAGE_COLUMNS = (
@@ -90,33 +90,42 @@ def with_item(rows: DataFrame, t: Tables) -> DataFrame:
 
 
 def with_status(rows: DataFrame, t: Tables) -> DataFrame:
-    """Adds ``status``: ``Submitted`` where the service was done or a lab test is under way.
+    """Adds ``status`` (``status_of``), looking up the lab tests of each row's encounter."""
+    tests = lab_tests_under_way(t).withColumnRenamed("parent", "_parent")
+    found = rows.withColumn("_parent", spread_null("parent", "name")).join(tests, "_parent", "left")
+    return found.withColumn("status", status_of()).drop("_parent", "under_way")
+
+
+def lab_tests_under_way(t: Tables) -> DataFrame:
+    """(parent, under_way): the names of the prescriptions of each encounter that have a lab test under way."""
+    state = F.min_by("workflow_state", "name")
+    return (
+        dealt_by(t.lab_test.filter((F.col("ref_doctype") == "Patient Encounter") & F.col("ref_docname").isNotNull()), "ref_docname")
+        .groupBy(F.col("ref_docname").alias("parent"), "ref_childname")
+        .agg(state.alias("state"))
+        .filter(~is_blank("state") & (F.col("state") != "Lab Test Requested") & ~is_blank("ref_childname"))
+        .groupBy("parent")
+        .agg(F.collect_list("ref_childname").alias("under_way"))
+    )
+
+
+def status_of() -> Column:
+    """``Submitted`` where the service was done or a lab test is under way (``under_way`` of the row's encounter).
 
     Only lab rows without a reference document look for a lab test by their own name.
     """
-    lab_tests = (
-        t.lab_test.filter(F.col("ref_doctype") == "Patient Encounter")
-        .groupBy(F.col("ref_docname").alias("parent"), F.col("ref_childname").alias("_lab_key"))
-        .agg(F.min_by("workflow_state", "name").alias("_state"))
-    )
     waiting = (F.col("ref_doctype") == LAB) & is_blank("document")
-    under_way = ~is_blank("_state") & (F.col("_state") != "Lab Test Requested")
+    under_way = F.coalesce(F.array_contains("under_way", F.col("name")), F.lit(False))
     done = (F.col("ref_doctype") == THERAPY) | ~is_blank("document") | (waiting & under_way)
-    return (
-        rows.withColumn("_lab_key", spread_blank(F.when(waiting, F.col("name")), "name"))
-        .join(lab_tests, ["parent", "_lab_key"], "left")
-        .withColumn("status", F.when(done, "Submitted").otherwise("Draft"))
-        .drop("_lab_key", "_state")
-    )
+    return F.when(done, "Submitted").otherwise("Draft")
 
 
 def with_approval(rows: DataFrame, t: Tables) -> DataFrame:
-    """Adds ``approval_ref_no`` of the reference document."""
+    """Adds ``approval_ref_no`` of the reference document; rows without one are not moved."""
     approvals = t.approval.groupBy(
         F.col("ref_doctype").alias("document_type"), F.col("ref_docname").alias("_document")
     ).agg(F.min("approval_number").alias("approval_ref_no"))
-    return (
-        rows.withColumn("_document", spread_blank("document", "name"))
-        .join(approvals, ["document_type", "_document"], "left")
-        .drop("_document")
-    )
+    named = F.col("document_type").isNotNull() & ~is_blank("document")
+    found = rows.filter(named).withColumn("_document", F.col("document")).join(approvals, ["document_type", "_document"], "left").drop("_document")
+    none = F.lit(None).cast(approvals.schema["approval_ref_no"].dataType)
+    return found.unionByName(rows.filter(~named).withColumn("approval_ref_no", none))
