@@ -70,8 +70,10 @@ class ClaimFrame:
     def visits(self) -> DataFrame:
         """A row per claim and submitted encounter; kept ones carry what is known of the practitioner."""
         encounters = self.t.patient_encounter.filter(F.col("docstatus") == 1).select(*own_visits(), "inpatient_record")
-        if "visits" in self.kept and not self.lines_only:
+        if "visits" in self.kept:
+            columns = encounters.columns
             encounters = self.with_people(encounters)
+            encounters = encounters.select(*columns) if self.lines_only else encounters
         wanted = self.claims.select(
             F.col("name").alias("claim"),
             F.col("company").alias("claim_company"),
