@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from wardledger.llm.word_encoder import WordEncoder
 from wardledger.llm.words import chunks, utf8
-from wardledger.session import Workspace
+from wardledger.session import Workspace, materialize
 
 CAPACITY = 2048
 END = 0
@@ -152,8 +152,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packing_report(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with the crc32 of its ids and its place; the ids themselves are neither written nor shuffled."""
-    pieces = token_pieces(docs, tokenizer, capacity)
-    return pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity).select(
+    """Every piece with the crc32 of its ids and its place; the ids themselves are neither written nor shuffled.
+
+    Pieces are written, without their ids, before they are numbered: a task then has one Python worker, not two at a time.
+    """
+    pieces = materialize(token_pieces(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pack_pieces(pieces, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
