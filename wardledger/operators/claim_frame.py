@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardledger.functions.columns import clock, is_blank
+from wardledger.functions.columns import clock, differs, is_blank, is_unset
 from wardledger.functions.joins import dealt_by, spread_null
 from wardledger.operators.claim_header import listed_appointments, own_visits
 from wardledger.session import Workspace, together
@@ -22,23 +22,27 @@ from wardledger.sources.tables import Tables
 
 
 ALL = ("claims", "appointments", "visits", "stays", "billed")
-#: What the lines read of a claim and of its appointments, and what headers read of the latter besides.
+#: What the lines read of a claim and of its appointments: of all, of its own one, of the listed ones; and what headers read of its own.
 LINE_CLAIM = ["name", "company", "patient_appointment", "claim_appointment_list"]
-LINE_DETAILS = [
-    "billing_item", "paid_amount", "creation", "modified", "practitioner", "follow_up", "has_no_consultation_charges",
-    "insurance_subscription", "insurance_company",
-]
+LINE_DETAILS = ["billing_item", "practitioner"]
+OWN_DETAILS = ["paid_amount", "creation"]
+LISTED_DETAILS = ["claim_company", "modified", "insurance_subscription", "insurance_company"]
 HEADER_DETAILS = [
     "patient", "company", "coverage_plan_card_number", "authorization_number", "coverage_plan_name", "appointment_date", "appointment_time",
 ]
 
 
+def chargeable() -> Column:
+    """Whether an appointment's consultation is charged."""
+    return is_unset("follow_up") & differs("has_no_consultation_charges", 1)
+
+
 class ClaimFrame:
     def __init__(self, claims: DataFrame, t: Tables, keep: tuple[str, ...] = ALL, lines_only: bool = False):
         """``lines_only`` frames hold what claim lines read, and nothing that only headers and notes do."""
         self.lines_only = lines_only
         claims = claims.select(*LINE_CLAIM) if lines_only else claims
-        self.given, self.t, self.kept, self.space = claims, t, keep, Workspace(claims.sparkSession)
+        self.given, self.t, self.kept, self.space = claims, t, keep, Workspace(claims.sparkSession, "zstd")
 
     def _keep(self, df: DataFrame, name: str, by: str) -> DataFrame:
         return self.space.keep(df, name, by=(by,)) if name in self.kept else df
@@ -56,24 +60,33 @@ class ClaimFrame:
 
     @cached_property
     def appointments(self) -> DataFrame:
-        """A row per claim and appointment that exists: ``position`` in its list, and -1 for the claim's own one."""
+        """A row per claim and appointment that exists: ``position`` in its list, and -1 for the claim's own one.
+
+        Listed ones are there if they are chargeable; a row holds what its position is read for, and NULL else.
+        """
         own = F.array(F.struct(F.lit(-1).alias("position"), F.col("patient_appointment").alias("appointment")))
         listed = F.transform(listed_appointments(), lambda a, i: F.struct(i.cast("int").alias("position"), a.alias("appointment")))
         named = self.claims.select(
             F.col("name").alias("claim"), F.col("company").alias("claim_company"), F.inline(F.concat(own, listed))
         ).filter(~is_blank("appointment"))
-        columns = LINE_DETAILS if self.lines_only else [*HEADER_DETAILS, *LINE_DETAILS]
-        details = self.t.patient_appointment.select(F.col("name").alias("appointment"), *columns)
-        return self._keep(named.join(details, "appointment"), "appointments", "claim")
+        own_details = OWN_DETAILS if self.lines_only else [*OWN_DETAILS, *HEADER_DETAILS]
+        details = self.t.patient_appointment.select(
+            F.col("name").alias("appointment"), *LINE_DETAILS, *own_details, *LISTED_DETAILS[1:], chargeable().alias("_chargeable")
+        )
+        is_own = F.col("position") == -1
+        found = named.join(details, "appointment").filter(is_own | F.col("_chargeable")).select(
+            "claim", "position", "appointment", *LINE_DETAILS,
+            *[F.when(is_own, F.col(c)).alias(c) for c in own_details],
+            *[F.when(~is_own, F.col(c)).alias(c) for c in LISTED_DETAILS],
+        )
+        return self._keep(found, "appointments", "claim")
 
     @cached_property
     def visits(self) -> DataFrame:
-        """A row per claim and submitted encounter; kept ones carry what is known of the practitioner."""
+        """A row per claim and submitted encounter; only final ones that name an inpatient record hold it and ``modified``."""
         encounters = self.t.patient_encounter.filter(F.col("docstatus") == 1).select(*own_visits(), "inpatient_record")
-        if "visits" in self.kept:
-            columns = encounters.columns
-            encounters = self.with_people(encounters)
-            encounters = encounters.select(*columns) if self.lines_only else encounters
+        recorded = F.col("is_final") & (F.col("inpatient_record") != "")
+        encounters = encounters.withColumns({c: F.when(recorded, F.col(c)) for c in ("modified", "inpatient_record")})
         wanted = self.claims.select(
             F.col("name").alias("claim"),
             F.col("company").alias("claim_company"),
@@ -83,9 +96,7 @@ class ClaimFrame:
         return self._keep(wanted.join(encounters, "appointment").drop("appointment"), "visits", "claim")
 
     def with_people(self, encounters: DataFrame) -> DataFrame:
-        """Adds what is known of the practitioner, where the encounters don't carry it yet."""
-        if "known" in encounters.columns:
-            return encounters
+        """Adds what is known of the practitioner; one that is stored twice gives its encounters twice."""
         people = self.t.healthcare_practitioner.select(
             F.col("name").alias("_who"), F.lit(True).alias("known"), "practitioner_name", "tz_mct_code", "department"
         )
@@ -145,7 +156,6 @@ class ClaimFrame:
             .select(
                 "claim", "encounter", "creation", "practitioner", inpatient.alias("inpatient"),
                 F.coalesce("position", F.lit(0)).alias("position"),
-                *[c for c in ("known", "department") if c in self.visits.columns],
             )
         )
         return self._keep(found, "billed", "encounter")

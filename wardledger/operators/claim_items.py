@@ -10,14 +10,25 @@ from pyspark.sql import functions as F
 from wardledger.functions.columns import differs, is_blank, is_set, is_unset, money_sum, non_blank, stable_id, violation
 from wardledger.functions.joins import dealt_by, spread_blank, spread_null
 from wardledger.operators import claim_header as H
-from wardledger.operators.claim_frame import ClaimFrame
-from wardledger.operators.prescriptions import lab_tests_under_way, prescriptions, status_of, with_approval, with_item
+from wardledger.operators.claim_frame import ClaimFrame, chargeable
+from wardledger.operators.prescriptions import (
+    KINDS, kind_field, lab_tests_under_way, looked_up_in_place, prescriptions, status_of, with_approval, with_item,
+)
 from wardledger.options import RunContext
 from wardledger.sources.schemas import CLAIM_LINE
 from wardledger.sources.tables import Tables
 
 LINE_COLUMNS = [f.name for f in CLAIM_LINE.fields]
 ORDER_COLUMNS = ["encounter_creation", "table_order", "row_idx"]
+# Record types of the lines that are no prescriptions.
+APPOINTMENT, OCCUPANCY, CONSULTANCY = "Patient Appointment", "Inpatient Occupancy", "Inpatient Consultancy"
+#: The record types in one list, the prescriptions' in their table order.
+LINE_TYPES = [*[k.ref_doctype for k in KINDS], APPOINTMENT, OCCUPANCY, CONSULTANCY]
+#: What a line is made from, see ``_narrow``; first what lines of an encounter share, which Spark's files then hold shorter.
+NARROW_COLUMNS = [
+    "claim", "patient_encounter", "item_crt_by", "encounter_creation", "done", "kind", "approval_ref_no", "row_idx", "item_quantity",
+    "date_created", "unit_price", "item_code", "item_name", "ref_docname",
+]
 
 
 def _lines(df: DataFrame, **columns: Column | str) -> DataFrame:
@@ -31,6 +42,22 @@ def _lines(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*out)
 
 
+def _narrow(lines: DataFrame) -> DataFrame:
+    """Lines of quantity times price as they move: without what follows from the other columns (``_from_narrow``)."""
+    kind = F.array_position(F.array(*map(F.lit, LINE_TYPES)), F.col("ref_doctype")).cast("int") - 1
+    return lines.withColumns({"kind": kind, "done": F.col("status") == "Submitted"}).select(*NARROW_COLUMNS)
+
+
+def _from_narrow() -> dict[str, Column]:
+    """The columns of lines that ``_narrow`` leaves out."""
+    return {
+        "ref_doctype": F.element_at(F.array(*map(F.lit, LINE_TYPES)), F.col("kind") + 1),
+        "table_order": F.when(F.col("kind") < len(KINDS), F.col("kind")),
+        "amount_claimed": F.col("unit_price") * F.col("item_quantity"),
+        "status": F.when(F.col("done"), "Submitted").when(~F.col("done"), "Draft"),
+    }
+
+
 def with_rate(lines: DataFrame, t: Tables) -> DataFrame:
     """Adds ``rate`` by item, company, subscription and insurer; NULL where there is none.
 
@@ -48,25 +75,38 @@ def with_rate(lines: DataFrame, t: Tables) -> DataFrame:
 
 
 def _prescribed_lines(encounters: DataFrame, t: Tables) -> DataFrame:
-    """Lines of the prescriptions of these (claim, encounter, inpatient) rows.
+    """Lines of the prescriptions of these (claim, encounter, inpatient) rows."""
+    return _care_lines(with_item(with_approval(_with_done(_care(encounters, t), t), t), t))
 
-    Inpatient lines are named by the template's code, others by its display name. What lies by encounter meets in one
-    step; after it a row carries only what its line needs.
+
+def _care(encounters: DataFrame, t: Tables) -> DataFrame:
+    """The prescriptions of these (claim, encounter, inpatient) rows, by encounter.
+
+    Inpatient lines are named by the template's code, others by its display name. A row carries only what its line needs,
+    its kind as a number (``kind_field``).
     """
-    rows = prescriptions(t).filter(is_unset("prescribe") & is_unset("is_cancelled"))
+    delivered = F.coalesce("quantity", F.lit(0.0)) - F.coalesce("quantity_returned", F.lit(0.0))
+    rows = prescriptions(t).filter(is_unset("prescribe") & is_unset("is_cancelled")).select(
+        "parent", "table_order", "idx", F.when(delivered == 0, F.lit(1.0)).otherwise(delivered).alias("item_quantity"),
+        F.to_date("modified").alias("date_created"), "amount", "template", "display_name", "name", "document",
+    )
     visits = encounters.select(
         "claim", F.col("encounter").alias("parent"), F.col("creation").alias("encounter_creation"), "practitioner", "inpatient"
     )
-    delivered = F.coalesce("quantity", F.lit(0.0)) - F.coalesce("quantity_returned", F.lit(0.0))
-    needed = rows.join(visits.join(lab_tests_under_way(t), "parent", "left"), "parent").select(
-        "claim", "parent", "name", "template_type", "template", "ref_doctype", "document_type", "document", "amount", "practitioner",
+    return rows.join(visits, "parent").select(
+        "claim", "parent", "name", "template", "document", "amount", "item_quantity", "date_created", "practitioner",
         "encounter_creation", "table_order", "idx",
         F.when(F.col("inpatient"), F.col("template")).otherwise(F.col("display_name")).alias("item_name"),
-        F.when(delivered == 0, F.lit(1.0)).otherwise(delivered).alias("item_quantity"),
-        status_of().alias("status"),
-        F.to_date("modified").alias("date_created"),
     )
-    found = with_item(with_approval(needed, t), t)
+
+
+def _with_done(care: DataFrame, t: Tables) -> DataFrame:
+    """Adds whether the service was done, from the lab tests of its encounter, where the rows lie."""
+    found = care.join(lab_tests_under_way(t), "parent", "left")
+    return found.withColumn("done", status_of() == "Submitted").drop("under_way")
+
+
+def _care_lines(found: DataFrame) -> DataFrame:
     return _lines(
         found,
         claim="claim",
@@ -76,9 +116,9 @@ def _prescribed_lines(encounters: DataFrame, t: Tables) -> DataFrame:
         unit_price="amount",
         amount_claimed=F.col("amount") * F.col("item_quantity"),
         approval_ref_no="approval_ref_no",
-        status="status",
+        status=F.when(F.col("done"), "Submitted").otherwise("Draft"),
         patient_encounter="parent",
-        ref_doctype="ref_doctype",
+        ref_doctype=kind_field("ref_doctype"),
         ref_docname="name",
         date_created="date_created",
         item_crt_by="practitioner",
@@ -155,7 +195,7 @@ def _admission_lines(rows: DataFrame) -> DataFrame:
         amount_claimed="paid_amount",
         approval_ref_no=F.lit(""),
         patient_encounter="admission_encounter",
-        ref_doctype=F.lit("Patient Appointment"),
+        ref_doctype=F.lit(APPOINTMENT),
         ref_docname="patient_appointment",
         date_created=F.to_date("creation"),
         item_crt_by="practitioner",
@@ -204,7 +244,7 @@ def _bed_rows(occupancies: DataFrame) -> DataFrame:
         {
             "item_name": F.col("service_unit"),
             "patient_encounter": F.col("admission_encounter"),
-            "ref_doctype": F.lit("Inpatient Occupancy"),
+            "ref_doctype": F.lit(OCCUPANCY),
             "date_created": F.to_date("modified"),
             "item_crt_by": F.col("modified_by"),
             "row_idx": F.col("idx"),
@@ -218,7 +258,7 @@ def _consultation_rows(appointments: DataFrame) -> DataFrame:
         {
             "item_name": F.col("item_code"),
             "patient_encounter": F.lit(None).cast("string"),
-            "ref_doctype": F.lit("Patient Appointment"),
+            "ref_doctype": F.lit(APPOINTMENT),
             "date_created": F.to_date("modified"),
             "item_crt_by": F.col("practitioner"),
             "row_idx": F.col("position"),
@@ -276,7 +316,7 @@ def _consultancy_lines(rows: DataFrame) -> DataFrame:
         amount_claimed="rate",
         approval_ref_no=F.lit(""),
         patient_encounter=F.coalesce(non_blank("encounter"), "admission_encounter"),
-        ref_doctype=F.lit("Inpatient Consultancy"),
+        ref_doctype=F.lit(CONSULTANCY),
         ref_docname="ref_docname",
         date_created=F.to_date("modified"),
         item_crt_by="healthcare_practitioner",
@@ -295,12 +335,8 @@ def inpatient_lines(claims: DataFrame, records: DataFrame, t: Tables) -> DataFra
     return _stay_lines(inpatient_claims(claims, records, t), t).unionByName(_prescribed_lines(visits, t))
 
 
-def _chargeable() -> Column:
-    return is_unset("follow_up") & differs("has_no_consultation_charges", 1)
-
-
 def _priced_appointments(claims: DataFrame, records: DataFrame, t: Tables) -> DataFrame:
-    appointments = t.patient_appointment.filter(_chargeable()).select(
+    appointments = t.patient_appointment.filter(chargeable()).select(
         F.col("name").alias("ref_docname"),
         F.col("billing_item").alias("item_code"),
         "insurance_subscription",
@@ -331,9 +367,13 @@ def price_violations(lines: DataFrame) -> DataFrame:
     )
 
 
-def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFrame) -> DataFrame:
+def numbered_lines(
+    claims: DataFrame, services: DataFrame, consultations: DataFrame, derived: dict[str, Column] | None = None
+) -> DataFrame:
     """Lines with ``idx``: consultations from 1, services after the claim's appointment count.
 
+    ``derived`` are columns that the services lack and that are computed where their claim lies.
+
     Lines lie by claim (``dealt_by``) and are numbered there: the claim's count is sorted in before its services and
     weighs what they go on from, so nothing is joined, and a window holds none of the rows in memory.
     """
@@ -347,7 +387,7 @@ def numbered_lines(claims: DataFrame, services: DataFrame, consultations: DataFr
     ]
     rows = services.withColumns({"_weight": F.lit(1).cast("long"), "_given": F.lit(1)}).unionByName(counts, allowMissingColumns=True)
     in_claim = Window.partitionBy("claim").orderBy("_given", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = dealt_by(rows, "claim").withColumn("idx", F.sum("_weight").over(in_claim).cast("int")).filter("_given = 1")
+    numbered = dealt_by(rows, "claim").withColumns(derived or {}).withColumn("idx", F.sum("_weight").over(in_claim).cast("int")).filter("_given = 1")
     by_position = Window.partitionBy("claim").orderBy("row_idx")
     first = consultations.withColumn("idx", F.row_number().over(by_position))
     columns = ["idx", *LINE_COLUMNS]
@@ -364,9 +404,11 @@ def claim_lines(claims: DataFrame, t: Tables) -> DataFrame:
 def claim_lines_of(frame: ClaimFrame) -> DataFrame:
     """All numbered lines of each claim, from its kept appointments, visits and stay.
 
-    Beds and consultations are tagged and united before their rates are looked up.
+    Beds and consultations are united before their rates are looked up; their record type tells them apart again. The
+    prescriptions and the other lines are written in steps of their own, so that the disk holds what one step shuffles.
     """
     stays, t = frame.stays, frame.t
+    care = frame.space.keep(_care(frame.with_people(frame.billed), t), "care", by=("parent",))
     own = frame.appointments.filter("position = -1").select("claim", "billing_item", "paid_amount", "creation", "practitioner")
     beds = _insured_occupancies(stays, t)
     visits = (
@@ -377,26 +419,19 @@ def claim_lines_of(frame: ClaimFrame) -> DataFrame:
         .filter(is_set("is_consultancy_chargeable"))
     )
     consultations = (
-        frame.appointments.filter((F.col("position") >= 0) & _chargeable())
+        frame.appointments.filter("position >= 0")
         .join(stays.select("claim"), "claim", "left_anti")
         .drop("company")
         .withColumnsRenamed({"claim_company": "company", "appointment": "ref_docname", "billing_item": "item_code"})
     )
     columns = [*RATED_COLUMNS, *RATE_KEYS]
-    tagged = _bed_rows(beds).select(*columns, F.lit(False).alias("consultation")).unionByName(
-        _consultation_rows(consultations).select(*columns, F.lit(True).alias("consultation"))
-    )
-    rated = with_rate(tagged, t)
-    services = reduce(
-        DataFrame.unionByName,
-        [
-            _admission_lines(stays.join(own, "claim")),
-            _rated_lines(rated.filter("not consultation")),
-            _consultancy_lines(visits),
-            _prescribed_lines(frame.billed, t),
-        ],
-    )
-    return numbered_lines(frame.claims, services, _rated_lines(rated.filter("consultation")))
+    tagged = _bed_rows(beds).select(*columns).unionByName(_consultation_rows(consultations).select(*columns))
+    rated = _narrow(_rated_lines(with_rate(tagged, t))).withColumn("consultation", F.col("kind") == LINE_TYPES.index(APPOINTMENT))
+    unrated = _narrow(_admission_lines(stays.join(own, "claim"))).unionByName(_narrow(_consultancy_lines(visits)))
+    others = frame.space.keep(rated.unionByName(unrated.withColumn("consultation", F.lit(False))), "others")
+    prescribed = _narrow(_care_lines(looked_up_in_place(_with_done(care, t), t)))
+    services = others.filter("not consultation").drop("consultation").unionByName(prescribed)
+    return numbered_lines(frame.claims, services, others.filter("consultation").withColumns(_from_narrow()), _from_narrow())
 
 
 def completed_items(items: DataFrame, headers: DataFrame, run: RunContext) -> DataFrame:

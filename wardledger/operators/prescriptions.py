@@ -45,6 +45,17 @@ KINDS = (
 DRUG, LAB, THERAPY = "Drug Prescription", "Lab Prescription", "Therapy Plan Detail"
 
 
+def kind_field(field: str) -> Column:
+    """A fixed value of a row's kind, found by its ``table_order``: rows that move carry that number, not the texts."""
+    return F.element_at(F.array(*[F.lit(getattr(k, field)).cast("string") for k in KINDS]), F.col("table_order") + 1)
+
+
+def _kind_of(field: str, value: str) -> Column:
+    """The ``table_order`` of the kind that has this value; NULL where none has."""
+    given = {getattr(k, field): i for i, k in enumerate(KINDS) if getattr(k, field)}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in given.items() for x in pair]), F.col(value))
+
+
 def _projection(t: Tables, position: int, kind: Kind) -> DataFrame:
     def column(name: str | None, type_name: str = "string") -> Column:
         return F.col(name) if name else F.lit(None).cast(type_name)
@@ -78,17 +89,48 @@ def prescriptions(t: Tables) -> DataFrame:
 
 
 def with_item(rows: DataFrame, t: Tables) -> DataFrame:
-    """Adds ``item_code`` through the template."""
-    templates = t.item_template.select(
-        "template_type", F.col("name").alias("_template"), F.col("item").alias("item_code")
-    )
+    """Adds ``item_code`` through the template. Rows without their ``template_type`` meet it by ``table_order``."""
+    typed = "template_type" in rows.columns
+    kind = "template_type" if typed else "table_order"
+    types = F.col("template_type") if typed else _kind_of("template_type", "template_type").alias(kind)
+    templates = t.item_template.select(types, F.col("name").alias("_template"), F.col("item").alias("item_code"))
     return (
         rows.withColumn("_template", spread_blank("template", "name"))
-        .join(templates, ["template_type", "_template"], "left")
+        .join(templates, [kind, "_template"], "left")
         .drop("_template")
     )
 
 
+def looked_up_in_place(rows: DataFrame, t: Tables) -> DataFrame:
+    """``with_item`` and ``with_approval`` of written rows that lie by ``parent`` and stay there.
+
+    Only the different templates and documents of each encounter move, and what was found for them comes back to it.
+    """
+    templates = t.item_template.select(
+        _kind_of("template_type", "template_type").alias("table_order"), F.col("name").alias("template"), F.col("item").alias("item_code")
+    )
+    approvals = t.approval.groupBy(_kind_of("document_type", "ref_doctype").alias("table_order"), F.col("ref_docname").alias("document")).agg(
+        F.min("approval_number").alias("approval_ref_no")
+    )
+    found = rows.join(_by_encounter(rows, templates, "template"), "parent", "left").join(_by_encounter(rows, approvals, "document"), "parent", "left")
+
+    def matches(name: str) -> Column:
+        same = lambda e: (e["table_order"] == F.col("table_order")) & (e[name] == F.col(name))
+        return F.filter(f"_{name}s", same)
+
+    codes = F.transform(matches("template"), lambda e: e["item_code"])
+    columns = [*rows.columns, F.try_element_at(matches("document"), F.lit(1))["approval_ref_no"].alias("approval_ref_no")]
+    return found.select(*columns, F.explode_outer(codes).alias("item_code"))
+
+
+def _by_encounter(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """(parent, _names): what is ``known`` of the different (table_order, name) of each encounter, in a list."""
+    wanted = rows.filter(~is_blank(name)).select("parent", "table_order", name).distinct()
+    found = dealt_by(wanted.join(known, ["table_order", name]), "parent")
+    entry = F.struct("table_order", *known.columns[1:])
+    return found.groupBy("parent").agg(F.collect_list(entry).alias(f"_{name}s"))
+
+
 def with_status(rows: DataFrame, t: Tables) -> DataFrame:
     """Adds ``status`` (``status_of``), looking up the lab tests of each row's encounter."""
     tests = lab_tests_under_way(t).withColumnRenamed("parent", "_parent")
@@ -114,18 +156,25 @@ def status_of() -> Column:
 
     Only lab rows without a reference document look for a lab test by their own name.
     """
-    waiting = (F.col("ref_doctype") == LAB) & is_blank("document")
+    kind = kind_field("ref_doctype")
+    waiting = (kind == LAB) & is_blank("document")
     under_way = F.coalesce(F.array_contains("under_way", F.col("name")), F.lit(False))
-    done = (F.col("ref_doctype") == THERAPY) | ~is_blank("document") | (waiting & under_way)
+    done = (kind == THERAPY) | ~is_blank("document") | (waiting & under_way)
     return F.when(done, "Submitted").otherwise("Draft")
 
 
 def with_approval(rows: DataFrame, t: Tables) -> DataFrame:
-    """Adds ``approval_ref_no`` of the reference document; rows without one are not moved."""
-    approvals = t.approval.groupBy(
-        F.col("ref_doctype").alias("document_type"), F.col("ref_docname").alias("_document")
-    ).agg(F.min("approval_number").alias("approval_ref_no"))
-    named = F.col("document_type").isNotNull() & ~is_blank("document")
-    found = rows.filter(named).withColumn("_document", F.col("document")).join(approvals, ["document_type", "_document"], "left").drop("_document")
+    """Adds ``approval_ref_no`` of the reference document; rows without one are not moved.
+
+    Rows without their ``document_type`` meet it by ``table_order``.
+    """
+    typed = "document_type" in rows.columns
+    kind = "document_type" if typed else "table_order"
+    types = F.col("ref_doctype") if typed else _kind_of("document_type", "ref_doctype")
+    approvals = t.approval.groupBy(types.alias(kind), F.col("ref_docname").alias("_document")).agg(
+        F.min("approval_number").alias("approval_ref_no")
+    )
+    named = (F.col(kind) if typed else kind_field("document_type")).isNotNull() & ~is_blank("document")
+    found = rows.filter(named).withColumn("_document", F.col("document")).join(approvals, [kind, "_document"], "left").drop("_document")
     none = F.lit(None).cast(approvals.schema["approval_ref_no"].dataType)
     return found.unionByName(rows.filter(~named).withColumn("approval_ref_no", none))

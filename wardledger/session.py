@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,11 @@ TUNING = {
 }
 
 
+#: Spark removes an action's shuffle files at its end; frames that run again would compute them anew.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleanup_lock, _cleanups = threading.Lock(), []
+
+
 def build_session(app: str = "wardledger", **conf: str) -> SparkSession:
     """A session with the library's settings; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -34,6 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions begun inside leave no shuffle files on the disk. Jobs that run ``together`` may be inside at the same time."""
+    with _cleanup_lock:
+        if not _cleanups:
+            _cleanups.append(spark.conf.get(SHUFFLE_CLEANUP, "false"))
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        _cleanups.append(None)
+    try:
+        yield
+    finally:
+        with _cleanup_lock:
+            _cleanups.pop()
+            if len(_cleanups) == 1:
+                spark.conf.set(SHUFFLE_CLEANUP, _cleanups.pop())
+
+
 class Workspace:
     """Tables that a run writes for its own later steps, in a folder of its own below the shared one.
 
@@ -42,8 +66,10 @@ class Workspace:
     table leaves that folder to whoever clears the shared folder.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, codec: str | None = None):
+        """``codec`` is that of the tables' files, by default the session's."""
         self.spark = spark
+        self._codec = codec or spark.conf.get("spark.sql.parquet.compression.codec")
         run = uuid.uuid4().hex
         self.path = f"{shared_folder(spark)}/run-{run}"
         self._prefix = f"kept_{run}"
@@ -57,15 +83,20 @@ class Workspace:
         With ``by`` it is bucketed by these columns, as many buckets as the session has shuffle partitions: joins and
         groups on these columns then read it without an exchange. Each bucket is one file; ``dealt`` frames, whose
         tasks hold few buckets each, are written as they are.
+
+        What was shuffled for the table is removed from the disk once it is written: a job in steps needs the disk of its
+        largest step, not of all.
         """
         path = f"{self.path}/{name}"
         if not by:
-            df.write.parquet(path)
+            with shuffles_removed(self.spark):
+                df.write.parquet(path, compression=self._codec)
             return self.spark.read.schema(df.schema).parquet(path)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = df if dealt else df.repartition(buckets, *by)
         table = f"{self._prefix}_{name}"
-        rows.write.bucketBy(buckets, *by).option("path", path).saveAsTable(table)
+        with shuffles_removed(self.spark):
+            rows.write.bucketBy(buckets, *by).option("path", path).option("compression", self._codec).saveAsTable(table)
         self._tables[name] = table
         return self.spark.table(table)
 
@@ -101,6 +132,6 @@ def together(*jobs: Callable[[], object]) -> list:
         return [started.result() for started in [pool.submit(job) for job in jobs]]
 
 
-def materialize(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, by: tuple[str, ...] = (), codec: str | None = None) -> DataFrame:
     """Computes ``df`` once for several later uses, as a table in the shared folder, bucketed if ``by`` is given."""
-    return Workspace(df.sparkSession).keep(df, "kept", by)
+    return Workspace(df.sparkSession, codec).keep(df, "kept", by)
