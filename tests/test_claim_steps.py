@@ -1,5 +1,6 @@
 """Claims are built in steps: what a step leaves on the disk, and what moves in it."""
 
+import datetime as dt
 import os
 import time
 from pathlib import Path
@@ -9,12 +10,17 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.test_exchanges import moves, shuffled  # noqa: F401
+from wardledger.operators import claim_diseases as D
 from wardledger.operators import claim_items as C
 from wardledger.operators import prescriptions as P
 from wardledger.operators.claim_frame import ClaimFrame
+from wardledger.options import RunContext
+from wardledger.plans.claim_build import build_claims
 from wardledger.session import SHUFFLE_CLEANUP, Workspace, together
+from wardledger.sources.derived import derived_tables
 
 SF = "/root/testdata/sf0.001"
+RUN = RunContext(dt.datetime(2002, 3, 4, 5, 6, 7))
 
 
 def shuffle_files(spark):
@@ -62,6 +68,21 @@ def test_lookups_in_place_find_the_same_and_move_no_row(shuffled, tables):  # no
         assert expected.count() == 29
 
 
+def test_equal_diagnoses_give_the_least_of_each_field(shuffled, tables):  # noqa: F811
+    """An entry and an encounter that are stored twice, with other values; descriptions move only for who reads them."""
+    code = {"name": "c", "parent": "E", "parenttype": "Patient Encounter", "parentfield": D.FINAL, "medical_code": "m", "code": "A01"}
+    visit = {"name": "E", "appointment": "A", "docstatus": 1}
+    t = tables(
+        codification_table=[{**code, "description": d} for d in ("y" * 200, "x" * 200)] + [{**code, "name": "d", "description": "a"}],
+        patient_encounter=[{**visit, "practitioner": p} for p in ("q", "p")],
+        insurance_claim=[{"name": "C", "patient_appointment": "A"}],
+    )
+    found = D.claim_diseases(t.insurance_claim, t)
+    assert [(r.codification_table, r.description, r.item_crt_by, r.status) for r in found.collect()] == [("c", "x" * 139, "p", "Final")]
+    plan = found.select("claim", "status", "disease_code")._jdf.queryExecution().executedPlan().toString()
+    assert "substring(description" not in plan
+
+
 def test_listed_appointments_of_a_claim_are_chargeable_ones(tables):
     t = tables(
         insurance_claim=[{"name": "C", "company": "co", "patient_appointment": "A", "claim_appointment_list": '["A","B","D"]'}],
@@ -76,6 +97,13 @@ def test_listed_appointments_of_a_claim_are_chargeable_ones(tables):
         (-1, "A", 5.0, None, None), (1, "B", None, "i", "co")]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_documents_are_joined_where_their_claim_lies(shuffled):  # noqa: F811
+    t = derived_tables(shuffled, SF)
+    built = build_claims(t.insurance_claim.limit(50), t, RUN)
+    assert moves(built.documents) <= 3  # of the folio numbers
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_prescribed_rows_move_by_encounter_and_by_claim_only(shuffled):  # noqa: F811
     lines = entry.queries()["c9_claim_lines"](shuffled, SF)

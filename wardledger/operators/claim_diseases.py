@@ -12,9 +12,10 @@ from wardledger.sources.schemas import CLAIM_DISEASE, shaped
 from wardledger.sources.tables import Tables
 
 # Diagnosis blocks of an encounter.
+FINAL = "patient_encounter_final_diagnosis"
 BLOCKS = {
     "patient_encounter_preliminary_diagnosis": ("Provisional Diagnosis", "Provisional"),
-    "patient_encounter_final_diagnosis": ("Final Diagnosis", "Final"),
+    FINAL: ("Final Diagnosis", "Final"),
 }
 # Fixed value: stored descriptions are cut to this length.
 DESCRIPTION_LENGTH = 139
@@ -23,30 +24,29 @@ DESCRIPTION_LENGTH = 139
 def claim_diseases(claims: DataFrame, t: Tables, encounters: DataFrame | None = None) -> DataFrame:
     """One row per claim, diagnosis block and medical code: the earliest entry, its description cut to the stored length.
 
-    Descriptions are cut before they move. The result lies by claim (``dealt_by``).
+    Descriptions are cut before they move, and not moved for a reader that shows none. The result lies by claim (``dealt_by``).
 
     ``encounters`` are the claims' submitted encounters, where they were kept before.
     """
     entries = t.codification_table.filter(
         (F.col("parenttype") == "Patient Encounter") & F.col("parentfield").isin(*BLOCKS)
     ).select(
-        F.col("parent").alias("encounter"), "parentfield", "medical_code", "modified",
+        F.col("parent").alias("encounter"), (F.col("parentfield") == FINAL).alias("is_final"), "medical_code", "modified",
         F.col("name").alias("codification_table"), "code", F.substring("description", 1, DESCRIPTION_LENGTH).alias("description"),
     )
     if encounters is None:
         encounters = submitted_encounters(claims, t)
     encounters = encounters.select("claim", "encounter", "practitioner")
-    first = F.min(
-        F.struct("modified", "codification_table", "encounter", "code", "description", "practitioner")
-    )
+    # An entry meets all rows of its encounter, so the least description and practitioner of equal entries come of one row.
+    entry = ["modified", "codification_table", "encounter", "code"]
     chosen = (
         dealt_by(entries.join(encounters, "encounter"), "claim")
-        .groupBy("claim", "parentfield", "medical_code")
-        .agg(first.alias("entry"))
-        .select("claim", "parentfield", "medical_code", "entry.*")
+        .groupBy("claim", "is_final", "medical_code")
+        .agg(F.min(F.struct(*entry, "practitioner")).alias("entry"), F.min(F.struct(*entry, "description")).alias("described"))
+        .select("claim", "is_final", "medical_code", "entry.*", "described.description")
     )
     provisional, final = BLOCKS.values()
-    is_final = F.col("parentfield") == "patient_encounter_final_diagnosis"
+    is_final = F.col("is_final")
     return shaped(
         chosen.withColumns(
             {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardledger.functions.columns import non_blank
+from wardledger.session import Workspace
 
 STRIPPED = "Stripped off"
 _SPACE = " \t\n\r\u000b\f"
@@ -67,8 +68,13 @@ def folio_documents(
     """(claim, folio_json): one JSON document per claim, without the attached files.
 
     ``diseases`` and ``items`` are keyed by ``claim``, items ordered by ``idx``. Admission and
-    discharge appear for inpatients only; empty fields are kept as null.
+    discharge appear for inpatients only; empty fields are kept as null. The lists and notes are written one after the
+    other, bucketed by claim, so the disk holds what is shuffled for one of them, and the documents are joined in place.
     """
+    space = Workspace(headers.sparkSession, "zstd")
+    disease_lists = space.keep(_disease_list(diseases), "diseases", by=("claim",))
+    item_lists = space.keep(_item_list(items), "items", by=("claim",))
+    notes = space.keep(notes.select("claim", "clinical_notes"), "notes", by=("claim",))
     special = {
         "CardNo": F.btrim("cardno", F.lit(_SPACE)),
         "DateOfBirth": _text("date_of_birth"),
@@ -99,9 +105,9 @@ def folio_documents(
     outpatient = document([*fields(_HEAD), *fields(_TAIL), *lists])
     return (
         headers.withColumn("claim", F.col("name"))
-        .join(_disease_list(diseases), "claim", "left")
-        .join(_item_list(items), "claim", "left")
-        .join(notes.select("claim", "clinical_notes"), "claim", "left")
+        .join(disease_lists, "claim", "left")
+        .join(item_lists, "claim", "left")
+        .join(notes, "claim", "left")
         .join(folio_nos.select("claim", "folio_no"), "claim", "left")
         .select("claim", F.when(F.col("patient_type_code") == "IN", inpatient).otherwise(outpatient).alias("folio_json"))
     )

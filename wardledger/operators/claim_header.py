@@ -170,13 +170,13 @@ def claim_headers(claims: DataFrame, t: Tables, run: RunContext) -> DataFrame:
     """Claims with everything the header takes from other tables."""
     finals = final_encounters(claims, t)
     stays = claim_stay(claim_inpatient_record(finals), t, run)
-    return _headers(_with_own_appointment(claims, t), claim_practitioners(finals, t), stays, t, run)
+    return finished_headers(_known_headers(_with_own_appointment(claims, t), claim_practitioners(finals, t), stays, t), run)
 
 
-def claim_headers_of(frame, run: RunContext) -> DataFrame:
-    """``claim_headers`` from the kept tables of a ``ClaimFrame``."""
+def known_headers_of(frame, run: RunContext) -> DataFrame:
+    """What ``finished_headers`` makes the headers of, from the kept tables of a ``ClaimFrame``."""
     people = frame.with_people(frame.finals).filter("known").select("claim", F.col("practitioner").alias("id"), "practitioner_name", "tz_mct_code")
-    return _headers(_with_kept_appointment(frame), people_of_claims(people), stay_columns(frame.stays, run), frame.t, run)
+    return _known_headers(_with_kept_appointment(frame), people_of_claims(people), stay_columns(frame.stays, run), frame.t)
 
 
 def claim_patients_of(frame) -> DataFrame:
@@ -230,8 +230,12 @@ def _with_patient(claims: DataFrame, t: Tables) -> DataFrame:
     return claims.withColumn("_who", spread_blank("patient", "name")).join(patients, "_who", "left").drop("_who")
 
 
-def _headers(claims: DataFrame, people: DataFrame, stays: DataFrame, t: Tables, run: RunContext) -> DataFrame:
-    """Headers from claims with their own appointment, practitioners and stay."""
+#: What a header shows and nothing stores: ``finished_headers`` computes it.
+_COMPUTED = ["posting_date", "claim_year", "claim_month", "serial_no", "item_crt_by", "patient_file_no"]
+
+
+def _known_headers(claims: DataFrame, people: DataFrame, stays: DataFrame, t: Tables) -> DataFrame:
+    """Claims with their own appointment, practitioners, stay and patient: the columns of a header that are not computed."""
     settings = t.company_claim_settings.select("company", "facility_code")
     known = (
         claims.drop("attendance_date", "authorization_no", "practitioner_name", "practitioner_no")
@@ -250,7 +254,14 @@ def _headers(claims: DataFrame, people: DataFrame, stays: DataFrame, t: Tables,
         .join(settings, "company", "left")
         .withColumn("patient_type_code", F.coalesce("patient_type_code", F.lit("OUT")))
         .withColumn("patient_signature", F.coalesce(non_blank("patient_signature"), non_blank("_signature")))
-        .withColumn("patient_file_no", F.col("patient"))
+    )
+    return header.select(*[f.name for f in CLAIM_HEADER.fields if f.name not in _COMPUTED])
+
+
+def finished_headers(known: DataFrame, run: RunContext) -> DataFrame:
+    """Headers: ids, numbers and dates that follow from the claim are added to what is known of it."""
+    header = (
+        known.withColumn("patient_file_no", F.col("patient"))
         .withColumn("serial_no", F.substring("name", -9, 9).try_cast("int"))
         .withColumn("posting_date", run.today)
         .withColumn("folio_id", F.coalesce(non_blank("folio_id"), F.sha2(F.concat_ws("|", F.lit("folio"), "name"), 256)))

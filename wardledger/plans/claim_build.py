@@ -64,7 +64,7 @@ def build_claims(claims: DataFrame, t: Tables, run: RunContext) -> BuiltClaims:
     frame.prepare()
 
     def heads() -> tuple[DataFrame, DataFrame, DataFrame]:
-        headers = materialize(H.claim_headers_of(frame, run), by=("name",))
+        headers = H.finished_headers(materialize(H.known_headers_of(frame, run), ("name",), "zstd"), run)
         return headers, *H.folio_numbers(headers, t.folio_counter, stored=True)
 
     (headers, numbers, counters), lines = together(heads, lambda: C.claim_lines_of(frame))
